@@ -83,7 +83,8 @@ SWITCH_LIMIT = 5
 TERMINAL = ("DONE", "DEAD_LETTER", "CANCELLED", "SKIPPED", "SKIPPED_CACHED")
 SATISFIED = ("DONE", "SKIPPED", "SKIPPED_CACHED")
 NOT_STARTED = ("PENDING", "BLOCKED", "READY")
-IN_FLIGHT = ("RUNNING", "SUBMITTED", "VERIFYING", "RETRY", "FAILED", "WAITING_APPROVAL", "READY")
+WAITING = ("PENDING", "BLOCKED", "READY", "RUNNING", "SUBMITTED", "VERIFYING", "RETRY", "YIELDING")
+IN_FLIGHT = ("RUNNING", "SUBMITTED", "VERIFYING", "RETRY")
 P0_KINDS = ("dead_letter", "inconsistent", "dispatch_sla_breach")
 P1_KINDS = ("task_failed", "task_failed_3x", "security_violation", "lease_expired", "waiting_approval_timeout",
             "queue_backlog", "session_switch_fused", "planner_split_failed", "final_consistency_failed",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the two product page forms and the shell page that wraps a product url
-_DESKTOP = r"^https?://item\.jd\.com/(\d+)\.html"
-_MOBILE = r"^https?://item\.m\.jd\.com/(?:product/)?(\d+)\.html"
-_SHELL = r"[?&]url=([^&#]+)"
+# fixed values: product page forms, and the page that wraps a product url in its query string
+_PRODUCT = r"(?:item\.jd\.com|item\.m\.jd\.com/product)/(\d+)\.html"
+_SHELL_PAGE = "historylowest.aspx"
+_SHELL_PARAM = r"[?&]url=([^&#]+)"
 _CANONICAL = "https://item.jd.com/%s.html"
 
 
@@ -19,10 +19,10 @@ def domain_of(col: Column) -> Column:
 
 
 def norm_product_url(col: Column) -> Column:
-    """Canonical product url of a desktop, mobile or shell-wrapped form; null for anything else."""
-    inner = F.regexp_extract(col, _SHELL, 1)
-    target = F.when(inner != "", F.try_url_decode(inner)).otherwise(col)
-    sku = F.greatest(F.regexp_extract(target, _DESKTOP, 1), F.regexp_extract(target, _MOBILE, 1))
+    """Canonical product url of a desktop, mobile or wrapped form; null for anything else."""
+    inner = F.regexp_extract(col, _SHELL_PARAM, 1)
+    wrapped = F.contains(F.lower(col), F.lit(_SHELL_PAGE)) & (inner != "")
+    sku = F.regexp_extract(F.when(wrapped, F.try_url_decode(inner)).otherwise(col), _PRODUCT, 1)
     return F.when(sku != "", F.format_string(_CANONICAL, sku))
 
 
