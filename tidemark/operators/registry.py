@@ -16,7 +16,7 @@ from tidemark.operators.ordered import first_per_key, number_rows
 _NUMERIC_URL = r"item\.jd\.com/\d+\.html$"
 _DIRECT = "item.jd.com"
 _INDIRECT = "jingfen"
-APPROVED, PENDING = "通过", "待审"
+APPROVED, PENDING = "通过", "待核"
 AUTO_CHANNELS = ("自营", "官旗")
 MATCH_NOTE = "search 配对"
 
@@ -103,15 +103,16 @@ def anchor_board(registry: DataFrame, entities: DataFrame, obs: DataFrame) -> Da
 
 
 def latest_picture(dumps: DataFrame) -> DataFrame:
-    """Newest dump date with a picture per identity key, and the first picture url of that payload.
+    """Pictures of the newest dump date that has any: identity key -> first picture url in the payload.
 
-    dumps: date, category, series, spec, payload (JSON text).
+    dumps: date, pos, category, series, spec, payload (JSON text); the last listing of an identity wins.
     """
-    key = F.lower(F.concat_ws("|", "category", "series", "spec"))
-    pic = F.regexp_extract("payload", r'"(?:spPic|picUrl|pic|img)"\s*:\s*"([^"]+)"', 1)
-    rows = dumps.select(key.alias("identity_key"), "date", pic.alias("pic")).filter("pic <> ''")
-    return rows.groupBy("identity_key").agg(F.max_by("pic", F.struct("date", "pic")).alias("pic"),
-                                            F.max("date").alias("date"))
+    key = F.lower(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("category", "series", "spec")]))
+    pic = F.regexp_extract("payload", r'"spPic"\s*:\s*"([^"]+)"', 1)
+    rows = dumps.select(key.alias("identity_key"), "date", "pos", pic.alias("pic")).filter("pic <> ''")
+    newest = rows.agg(F.max("date")).scalar()
+    return (rows.filter(F.col("date") == newest).groupBy("identity_key")
+            .agg(F.max_by("pic", "pos").alias("pic"), F.max("date").alias("date")))
 
 
 def replace_proposals(existing: DataFrame, new: DataFrame) -> DataFrame:
