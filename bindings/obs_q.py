@@ -121,7 +121,7 @@ def parse_date_price(spark, d):
 @R.add("segment_trend", """SELECT o_orderkey AS url, CASE WHEN o_orderkey % 3 = 0 THEN 3 WHEN o_orderkey % 3 = 1 THEN 2 ELSE 0 END AS n_points,
   CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE (CAST(epoch(o_orderdate) AS BIGINT)) * 1000 END AS first_ms,
   CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE round(CAST(floor(o_totalprice) AS BIGINT) / 100, 2) END AS first_price,
-  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 39.14 END AS min_price FROM orders""")
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 39.14e0 END AS min_price FROM orders""")
 def segment_trend(spark, d):
     from tidemark.functions.dates import epoch_micros
     o = table(spark, d, "orders").withColumn("m", F.col("o_orderkey") % 3)

@@ -54,8 +54,9 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[str, int, str]:
     if types:
         note = "types " + ",".join(types)
     if gr != wr:
-        extra = [r for r in gr if r not in set(wr)][:3]
-        miss = [r for r in wr if r not in set(gr)][:3]
+        sg, sw = set(gr), set(wr)
+        extra = [r for r in gr if r not in sw][:3]
+        miss = [r for r in wr if r not in sg][:3]
         return "DIFF", len(gr), f"{len(gr)} vs {len(wr)} {gn}\n   got {extra}\n   want {miss} {note}"
     return "ok" if not types else "TYPES", len(gr), note
 

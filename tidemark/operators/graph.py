@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.session import cut_lineage
+from tidemark.session import Rounds, cut_lineage
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -39,34 +39,29 @@ def reach_from(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = N
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
     edges = cut_lineage(edges)
-    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
-    seen = cut_lineage(frontier)
-    frontier = seen
+    rounds = Rounds(edges.sparkSession)
+    frontier = rounds.add(roots.select(F.col("node").alias("root"), "node").distinct())
     for _ in range(max_rounds):
         nxt = (frontier.join(edges, frontier["node"] == edges["src"])
                .select("root", F.col("dst").alias("node")).distinct()
-               .join(seen, ["root", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(nxt))
-        frontier = nxt
+               .join(rounds.all(), ["root", "node"], "left_anti"))
+        frontier = rounds.add(nxt)
+        if frontier.isEmpty():
+            return rounds.all()
     raise RuntimeError("walk did not end")
 
 
 def mark_reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Nodes reached from any seed along src -> dst, seeds included (one row per node)."""
     edges = cut_lineage(edges.select("src", "dst").distinct())
-    seen = cut_lineage(seeds.select("node").distinct())
-    frontier = seen
+    rounds = Rounds(edges.sparkSession)
+    frontier = rounds.add(seeds.select("node").distinct())
     for _ in range(max_rounds):
         nxt = (edges.join(frontier, edges["src"] == frontier["node"], "left_semi")
-               .select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(nxt))
-        frontier = nxt
+               .select(F.col("dst").alias("node")).distinct().join(rounds.all(), "node", "left_anti"))
+        frontier = rounds.add(nxt)
+        if frontier.isEmpty():
+            return rounds.all()
     raise RuntimeError("walk did not end")
 
 

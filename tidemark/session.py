@@ -37,3 +37,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Frames of an iteration kept as one folder per round, so that earlier rounds are never rewritten."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.paths, self.schema = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
