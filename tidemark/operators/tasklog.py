@@ -278,13 +278,18 @@ def provider_health(log: DataFrame) -> DataFrame:
 
 
 def rule_handoff(results: DataFrame) -> DataFrame:
-    """Per task: file and row rules as `rule:ok` / `rule:FAIL detail`, in rule order, at most 2000 characters."""
+    """Per task: file and row rules as `rule:ok` / `rule:FAIL detail`, in rule order, at most 2000 characters.
+
+    A rule takes at least five characters, so the 401 first rules fill the text and no task gathers more.
+    """
     judged = results.filter(F.col("type").isin("file_exists", "row_count"))
+    passed = judged.groupBy(*TASK_KEY).agg(F.every("ok").alias("passed"))
+    judged = top_per_key(judged, TASK_KEY, ["pos"], 401, "_r")
     word = F.concat("rule_id", F.when(F.col("ok"), ":ok").otherwise(F.concat(F.lit(":FAIL "), F.coalesce("detail", F.lit("")))))
     ordered = F.array_sort(F.collect_list(F.struct("pos", word.alias("w"))))
-    return judged.groupBy(*TASK_KEY).agg(
-        F.substring(F.array_join(F.transform(ordered, lambda x: x["w"]), "; "), 1, 2000).alias("handoff"),
-        F.every("ok").alias("passed"))
+    text = judged.groupBy(*TASK_KEY).agg(
+        F.substring(F.array_join(F.transform(ordered, lambda x: x["w"]), "; "), 1, 2000).alias("handoff"))
+    return text.join(passed, list(TASK_KEY))
 
 
 def decomposition_view(tasks: DataFrame) -> DataFrame:
