@@ -61,8 +61,6 @@ def chain(spark, d):
     return raw, uniq, kept, dropped, cache, judged
 
 
-SHAPES = """SELECT provider, page_id AS query_id, pos, title, url, snippet, published_at FROM pages,
-  (VALUES ('flat', 0), ('flat', 1), ('pages', 0), ('pages', 1), ('blocks', 0)) v(provider, pos)"""
 
 
 @R.add("parse_search_response", """WITH v(provider, pos) AS (VALUES ('flat', 0), ('flat', 1), ('pages', 0), ('pages', 1), ('blocks', 0), ('blocks', 1))
