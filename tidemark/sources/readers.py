@@ -114,7 +114,7 @@ def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
 def all_text_values(body: Column) -> Column:
     """Every `Text` value anywhere in a JSON text, in order."""
     hits = F.regexp_extract_all(body, F.lit(r'"Text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    return F.filter(F.transform(hits, F.trim), lambda t: t != "")
+    return F.filter(F.transform(hits, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +130,8 @@ def file_row_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """sha256 and size per file; the bytes never leave the task that reads them."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -138,9 +139,8 @@ def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
     lines = file_lines(spark, path)
     first = top_per_key(lines, ["path"], ["ord"], 5).groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.substring("line", 1, 500).alias("l")))).alias("_p"))
-    hashes = file_hashes(spark, path).withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
     counts = file_row_counts(spark, path)
-    out = hashes.join(counts, "path", "left").join(first, "path", "left")
+    out = file_hashes(spark, path).join(counts, "path", "left").join(first, "path", "left")
     return out.select("path", "sha256", "bytes", F.greatest(F.coalesce("n_lines", F.lit(0)) - 1, F.lit(0)).alias("rows"),
                       F.transform(F.coalesce("_p", F.array()), lambda s: s["l"]).alias("preview"))
 
