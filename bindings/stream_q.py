@@ -135,3 +135,60 @@ def seen_stream(spark, d):
     s = stream_of(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 10).cast("int").alias("price"), F.col("event_type").alias("desc"))
     out = run(spark, J.seen_stream(s, "ts", "90 days"))
     return out.groupBy("price", F.col("desc").alias("head")).agg((F.count("*") == 1).alias("seen"))
+
+
+@R.add("quota_stream", SQL["daily_quota"])
+def quota_stream(spark, d):
+    q = stream_of(spark, d, "events").select(F.lit("all").alias("who"), F.col("event_id").alias("pos"), F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"),
+                                             (F.get_json_object("props", "$.k").cast("int") % 9 + 1).alias("n"))
+    return run(spark, J.quota_stream(q, ["who"], QuotaFold(300))).select("pos", "day", "taken", "used")
+
+
+@R.add("lost_heartbeat_stream", f"""WITH h AS (SELECT user_id AS task_id, max(epoch_us(ts) // 1000 + event_id % 50 * 600000) AS lease_ms FROM events GROUP BY 1)
+  SELECT task_id, lease_ms, 'heartbeat_lost' AS event FROM h WHERE lease_ms <= (SELECT max(epoch_us(ts)) // 1000 - 10000 FROM events)""")
+def lost_heartbeat_stream(spark, d):
+    h = stream_of(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("p").alias("plan_id"), F.col("user_id").alias("task_id"),
+                                             (F.floor(epoch_micros(F.col("ts")) / 1000) + F.col("event_id") % 50 * 600000).alias("lease_ms"))
+    return run(spark, J.lost_heartbeat_stream(h)).select("task_id", "lease_ms", "event")
+
+
+@R.add("ingest_stream", """WITH v AS (SELECT *, event_id % 23 AS m FROM events WHERE event_type <> 'error')
+  SELECT CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS BIGINT) AS entity_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS obs_date, 'shop' || user_id AS shop_name,
+    arg_max(value, event_id) AS low_price FROM v WHERE value > 0 AND m NOT IN (0, 1, 2, 3, 4, 9, 10, 11, 12, 13, 14, 15) GROUP BY 1, 2, 3""")
+def ingest_stream(spark, d):
+    from bindings.obs_q import raw_observations
+    from tidemark import fixed
+    from tidemark.sources.readers import read_observations
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    when = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"))
+    raw = raw_observations(spark, d).join(when, "event_id")
+    line = F.to_json(F.struct("identity_hint", "attrs_hint", "low_price", "raw_price", "price_date", "metric", "shop", "in_stock"))
+    files = raw.groupBy("d").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda s: s["l"]), ",\n"), F.lit("]")).alias("value"))
+    files.write.partitionBy("d").text(f"{base}/in")
+    kinds = F.create_map(*[F.lit(x) for kv in {"view": 1, "click": 2, "purchase": 3, "signup": 4}.items() for x in kv])
+    ents = table(spark, d, "events").select("event_type").distinct().select(
+        F.try_element_at(kinds, F.col("event_type")).cast("long").alias("entity_id"), F.lit("显卡").alias("category"), F.col("event_type").alias("series"),
+        F.lit("8GB").alias("spec"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active")).filter("entity_id is not null")
+    stream = read_observations(spark, f"{base}/in", stream=True)
+    J.run_available(stream, f"{base}/checkpoint", J.ingest_batch(fixed.HARDWARE_CONTRACT, ents, f"{base}/table", f"{base}/quarantine"))
+    out = spark.read.parquet(f"{base}/table")
+    return out.select("entity_id", F.date_format("obs_date", "yyyy-MM-dd").alias("obs_date"), "shop_name", "low_price")
+
+
+@R.add("inbox_stream", """WITH s AS (SELECT s_suppkey, s_suppkey % 5 AS m FROM supplier)
+  SELECT CASE m WHEN 0 THEN 'error' WHEN 1 THEN 'error' WHEN 2 THEN 'already_exists' WHEN 3 THEN 'conflict' ELSE 'inserted' END AS outcome,
+    CASE m WHEN 0 THEN 'bad_json' WHEN 1 THEN 'path_traversal:artifacts/2024-01-01/../x' END AS reason, count(*) AS n FROM s GROUP BY ALL""")
+def inbox_stream(spark, d):
+    from tidemark.sources.readers import read_inbox
+    base = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    k, m = F.col("s_suppkey"), F.col("s_suppkey") % 5
+    s = table(spark, d, "supplier")
+    tid = F.concat(F.lit("t"), k.cast("string"))
+    path = F.when(m == 1, "artifacts/2024-01-01/../x").otherwise("artifacts/2024-01-01/x")
+    body = F.to_json(F.struct(tid.alias("task_id"), F.lit("p").alias("plan_id"), F.lit("do").alias("objective"),
+                              F.array(F.struct(F.lit("file_exists").alias("type"), path.alias("path"))).alias("acceptance")))
+    s.select(F.when(m == 0, F.concat(body, F.lit("}{"))).otherwise(body).alias("value"), k.alias("f")).repartition("f").write.partitionBy("f").text(f"{base}/in")
+    s.filter(m.isin(2, 3)).select(F.lit("p").alias("plan_id"), tid.alias("task_id"), F.when(m == 2, F.concat(F.lit("p/"), tid)).otherwise("old").alias("idempotency_key")).write.parquet(f"{base}/tasks/seed")
+    J.run_available(read_inbox(spark, f"{base}/in", stream=True), f"{base}/checkpoint", J.inbox_batch(f"{base}/tasks", f"{base}/out"))
+    out = spark.read.parquet(f"{base}/out")
+    return out.groupBy("outcome", "reason").agg(F.count("*").alias("n"))

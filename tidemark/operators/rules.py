@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions.attrs import is_json
 from tidemark.functions.dates import parse_any_date
 from tidemark.functions.text import question_keywords
 from tidemark.operators import evidence as E
@@ -76,7 +77,7 @@ def schema_violations(doc: Column, checks: Sequence[Mapping]) -> Column:
 
 def json_schema(docs: DataFrame, checks: Sequence[Mapping], keys: Sequence[str], rule_id: str = "json_schema") -> DataFrame:
     """docs: keys + body (JSON text). The detail names the first five violations."""
-    d = docs.withColumn("_doc", F.try_parse_json("body"))
+    d = docs.withColumn("_doc", F.when(is_json(F.col("body")), F.try_parse_json("body")))
     v = schema_violations(F.col("_doc"), checks)
     detail = F.when(F.col("_doc").isNull(), "not_json").otherwise(F.array_join(F.slice(v, 1, 5), "; "))
     return _result(d, keys, rule_id, "json_schema", F.col("_doc").isNotNull() & (F.size(v) == 0), detail)

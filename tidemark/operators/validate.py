@@ -181,6 +181,7 @@ def default_task_key() -> Column:
 
 
 def validate_tasks(tasks: DataFrame) -> DataFrame:
+    """Adds reason (first failing gate) and fills in plan and idempotency key."""
     return (tasks.withColumn("reason", task_reason()).withColumn("idempotency_key", default_task_key())
             .withColumn("plan_id", F.coalesce("plan_id", F.lit("pipeline"))))
 

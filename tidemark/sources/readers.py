@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions.attrs import is_json
 from tidemark.functions.text import clean_zero_width
 from tidemark.operators.observations import parse_date_price
 from tidemark.operators.ordered import top_per_key
@@ -21,14 +22,15 @@ def path_date(path: Column) -> Column:
     return F.regexp_extract(path, _DATE_DIR, 1)
 
 
-def read_observations(spark: SparkSession, path: str) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """JSON array files, one folder per collection date. Prices stay text, so that bad ones can be told apart.
 
-    `pos` orders the rows of a file as they stand there (a multi-line file is never split).
+    `pos` orders the rows of a file as they stand there (a multi-line file is never split); a stream gets it per batch.
     """
-    raw = spark.read.schema(schemas.RAW_OBSERVATION).option("multiLine", True).json(path)
-    return raw.select("*", path_date(F.col("_metadata.file_path")).alias("collected_on"),
-                      F.monotonically_increasing_id().alias("pos"))
+    reader = spark.readStream if stream else spark.read
+    raw = reader.schema(schemas.RAW_OBSERVATION).option("multiLine", True).json(path)
+    rows = raw.select("*", path_date(F.col("_metadata.file_path")).alias("collected_on"))
+    return rows if stream else rows.withColumn("pos", F.monotonically_increasing_id())
 
 
 def read_trend_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +53,15 @@ def read_event_log(spark: SparkSession, path: str, stream: bool = False, files_p
     return spark.read.schema(schemas.EVENT).json(path)
 
 
+def read_inbox(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """One task per JSON file: the task's columns, its size, and the file name as position; `bad_json` marks the rest."""
+    reader = spark.readStream if stream else spark.read
+    raw = reader.schema("value string").option("wholetext", True).text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("pos"), F.octet_length("value").alias("bytes"),
+                      (~is_json(F.col("value"))).alias("bad_json"), F.from_json("value", schemas.INBOX_TASK).alias("t"))
+    return rows.select("pos", "bytes", "bad_json", "t.*")
+
+
 _LISTS = {"sources": ("sources", "results", "items"), "claims": ("claims", "results", "items")}
 
 
@@ -65,7 +76,7 @@ def parse_wrapped_list(body: Column, kind: str) -> Column:
 
 def list_issue(body: Column, items: Column) -> Column:
     """Why a source list is empty: no file, not JSON, or another shape; null when it has entries."""
-    return (F.when(body.isNull(), "no_sources_json").when(F.try_parse_json(body).isNull(), "sources_json_invalid")
+    return (F.when(body.isNull(), "no_sources_json").when(~is_json(body), "sources_json_invalid")
             .when(F.size(items) == 0, "sources_json_bad_shape"))
 
 

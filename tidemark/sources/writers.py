@@ -25,12 +25,16 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, key:
 
     The merged dates are staged in the shared folder first, since a path cannot be read and overwritten at once.
     """
-    table = spark.read.parquet(path)
+    kept = [c for c in incoming.columns if c != "pos"]
+    # appending no rows creates a missing table and leaves an existing one alone
+    incoming.select(*kept).limit(0).write.mode("append").partitionBy("obs_date").parquet(path)
+    schema = incoming.select(*kept).schema
+    table = spark.read.schema(schema).parquet(path)
     dates = incoming.select("obs_date").distinct()
     touched = table.join(dates, "obs_date", "left_semi")
     merged = cut_lineage(O.upsert_observations(touched, incoming, key, updated))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _label(col: Column) -> Column:

@@ -156,7 +156,7 @@ def ingest_batch(contract: dict, entities: DataFrame, table_path: str, quarantin
     """foreachBatch body: validate, resolve, merge; what fails goes to quarantine. Redelivery changes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
         # cut once, so that both branches read the parsed rows instead of the files again
-        tagged = cut_lineage(V.tag_observations(batch, contract))
+        tagged = cut_lineage(V.tag_observations(batch.withColumn("pos", F.monotonically_increasing_id()), contract))
         good = V.shape_observations(tagged, contract)
         flat = good.select(*[F.col(f"identity.{k}").alias(k) for k in contract["identity"]], *[c for c in good.columns if c != "identity"])
         resolved = cut_lineage(E.resolve_entities(flat, entities))
@@ -173,7 +173,8 @@ def inbox_batch(tasks_path: str, out_path: str) -> Callable[[DataFrame, int], No
     """foreachBatch body for task files: gate every row, then accepted / already_exists / error by outcome."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        v = cut_lineage(V.validate_tasks(batch))
+        v = V.validate_tasks(batch)
+        v = cut_lineage(v.withColumn("reason", F.when(F.col("bad_json"), "bad_json").otherwise(F.col("reason"))))
         known = spark.read.schema("plan_id string, task_id string, idempotency_key string").parquet(f"{tasks_path}/*")
         outcome = L.idempotent_insert(known, v.filter("reason is null"))
         rows = cut_lineage(outcome.select("pos", "plan_id", "task_id", "idempotency_key", "outcome", F.lit(None).cast("string").alias("reason"))
