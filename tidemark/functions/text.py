@@ -11,19 +11,36 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
 
+#: characters that count as blank at the ends of a text
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(_BLANKS))
+
+
+def bind(col: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
+def _replace_if(col: Column, guard, pattern: str, by: str) -> Column:
+    """regexp_replace behind a cheap necessary condition: most texts skip the costly search."""
+    return bind(col, lambda v: F.when(guard(v), F.regexp_replace(v, pattern, by)).otherwise(v))
+
+
+def _not_ascii(v: Column) -> Column:
+    return F.octet_length(v) != F.char_length(v)
 
 
 def normalize_name(col: Column) -> Column:
     """Canonical product name: drop trailing bracket groups, halve wide characters, fix `Ti` and `GB`."""
     c = strip(F.coalesce(col, F.lit("")))
-    c = F.regexp_replace(c, r"(?U)(?:[（(][^（）()]*[)）]\s*)+$", "")
-    c = F.translate(strip(c), _WIDE, _NARROW)
-    c = F.regexp_replace(c, r"(?U)\s+", " ")
-    c = F.regexp_replace(c, r"(?iU)(?<=\d)\s*ti\b", " Ti")
-    c = F.regexp_replace(c, r"(?iU)(?<= )ti\b", "Ti")
-    c = F.regexp_replace(c, r"(?U)(\d)\s*[Gg]\b", "$1GB")
+    c = _replace_if(c, lambda v: F.endswith(v, F.lit(")")) | F.endswith(v, F.lit("）")), r"(?U)(?:[（(][^（）()]*[)）]\s*)+$", "")
+    c = bind(strip(c), lambda v: F.when(_not_ascii(v), F.translate(v, _WIDE, _NARROW)).otherwise(v))
+    c = _replace_if(c, lambda v: _not_ascii(v) | any_word(v, ("  ", "\t", "\n", "\r", "\x0b", "\x0c")), r"(?U)\s+", " ")
+    c = _replace_if(c, lambda v: F.contains(F.lower(v), F.lit("ti")), r"(?iU)(?:(?<=\d) ?| )ti\b", " Ti")
+    c = _replace_if(c, lambda v: _not_ascii(v) | any_word(F.translate(v, "123456789G", "000000000g"), ("0g", "0 g")), r"(?U)(\d)\s*[Gg]\b", "$1GB")
     return strip(c)
 
 
@@ -74,10 +91,19 @@ def estimate_tokens(col: Column) -> Column:
     return (F.length(c) - rest + F.ceil(rest / 4)).cast("long")
 
 
+def _pii_guard(kind: str, c: Column) -> Column:
+    """Cheap necessary condition of a pattern, so that most texts skip the costly search."""
+    if kind == "email":
+        return F.contains(c, F.lit("@"))
+    if kind == "api_key":
+        return F.rlike(c, F.lit("[:=]"))
+    return F.rlike(c, F.lit("[0-9]{11}"))
+
+
 def pii_flags(col: Column) -> Column:
     """Array of the kinds of personal data or secrets found, in fixed order."""
     c = F.coalesce(col, F.lit(""))
-    return F.array_compact(F.array(*[F.when(F.rlike(c, F.lit(p)), F.lit(k)) for k, p in fixed.PII.items()]))
+    return F.array_compact(F.array(*[F.when(_pii_guard(k, c) & F.rlike(c, F.lit(p)), F.lit(k)) for k, p in fixed.PII.items()]))
 
 
 def privacy_class(flags: Column, declared: Column) -> Column:
@@ -87,8 +113,8 @@ def privacy_class(flags: Column, declared: Column) -> Column:
 
 def redact(col: Column, limit: int = 2000) -> Column:
     c = F.coalesce(col, F.lit(""))
-    for pattern in fixed.PII.values():
-        c = F.regexp_replace(c, pattern, "[REDACTED]")
+    for kind, pattern in fixed.PII.items():
+        c = _replace_if(c, lambda v, kind=kind: _pii_guard(kind, v), pattern, "[REDACTED]")
     return F.substring(c, 1, limit)
 
 

@@ -196,7 +196,7 @@ def validate_split(tasks: DataFrame, plans: DataFrame, max_tasks: int = 20) -> D
     from pyspark.sql import Window as W
 
     tid = F.coalesce("task_id", F.lit(""))
-    seen_before = F.row_number().over(W.partitionBy("plan_id", "task_id").orderBy("pos")) > 1
+    named = tasks.filter("task_id <> ''").groupBy("plan_id", "task_id").agg(F.min("pos").alias("_at"))
 
     def blank(c):
         return F.coalesce(F.col(c), F.lit("")) == ""
@@ -210,7 +210,7 @@ def validate_split(tasks: DataFrame, plans: DataFrame, max_tasks: int = 20) -> D
         F.when(blank("slice_rationale"), F.concat(tid, F.lit("_no_slice_rationale"))),
         F.when(F.coalesce("needs_web", F.lit(False)) & (F.coalesce("freshness", F.lit("none")) == "none"),
                F.concat(tid, F.lit("_needs_web_without_freshness"))))), selfdep)
-    found = (tasks.withColumn("_dup", seen_before)
+    found = (tasks.join(named, ["plan_id", "task_id"], "left").withColumn("_dup", F.col("pos") > F.col("_at"))
              .select("plan_id", "pos", F.posexplode(per_task).alias("_i", "problem")))
     first8 = F.row_number().over(W.partitionBy("plan_id").orderBy("pos", "_i"))
     found = (found.withColumn("_rn", first8).filter("_rn <= 8").groupBy("plan_id")

@@ -23,10 +23,12 @@ def local_session(cores: int | str = "*", app: str = "tidemark", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Folder the cluster names in spark.checkpoint.dir. Only a local session may go without and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

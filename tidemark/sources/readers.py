@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+import re
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,6 @@ from tidemark import schemas
 from tidemark.functions.attrs import is_json
 from tidemark.functions.text import clean_zero_width
 from tidemark.operators.observations import parse_date_price
-from tidemark.operators.ordered import top_per_key
 
 _DATE_DIR = r"(\d{4}-\d{2}-\d{2})/[^/]*$"
 _NODE = r'<node[^>]*text="([^"]*)"[^>]*content-desc="([^"]*)"[^>]*bounds="\[(\d+),(\d+)\]\[(\d+),(\d+)\]"'
@@ -128,32 +131,51 @@ def all_text_values(body: Column) -> Column:
     return F.filter(F.transform(hits, lambda t: F.trim(t)), lambda t: t != "")
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and an order that follows the file (splits keep their offset)."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"),
-                                        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")).alias("ord"))
-
-
 def file_row_counts(spark: SparkSession, path: str) -> DataFrame:
     """Lines per file. Large files are split over tasks and only counts are shuffled."""
     return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+_DIGEST = "path string, bytes long, sha256 string, preview array<string>"
+
+
+def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reads each file once in blocks: hash and first five lines, in memory that does not depend on the size."""
+    for pdf in batches:
+        rows = []
+        for uri, size in zip(pdf["path"], pdf["bytes"]):
+            fs, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            sha, lines, open_line = hashlib.sha256(), [], b""
+            with fs.open_input_stream(name) as f:
+                while block := f.read(1 << 20):
+                    sha.update(block)
+                    for part in block.splitlines(keepends=True) if len(lines) < 5 else ():
+                        open_line += part[:2000 - len(open_line)]     # 500 characters are 2000 bytes at most
+                        if part.endswith((b"\n", b"\r")) and len(lines) < 5:
+                            lines.append(open_line)
+                            open_line = b""
+            if open_line and len(lines) < 5:
+                lines.append(open_line)
+            text = [ln.decode("utf-8", "ignore").rstrip("\r\n")[:500] for ln in lines]
+            rows.append((uri, size, sha.hexdigest(), text))
+        yield pd.DataFrame(rows, columns=["path", "bytes", "sha256", "preview"])
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Size, sha256 and first five lines per file. Spark spreads the files; a task streams one at a time, since
+    a hash needs its bytes in order and a file may be larger than any row."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    return files.mapInPandas(_digest, _DIGEST)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 and size per file; the bytes never leave the task that reads them."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return file_digests(spark, path).select("path", "bytes", "sha256")
 
 
 def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """sha256, bytes, data rows (lines less the header) and a preview of five lines per file."""
-    lines = file_lines(spark, path)
-    first = top_per_key(lines, ["path"], ["ord"], 5).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.substring("line", 1, 500).alias("l")))).alias("_p"))
-    counts = file_row_counts(spark, path)
-    out = file_hashes(spark, path).join(counts, "path", "left").join(first, "path", "left")
-    return out.select("path", "sha256", "bytes", F.greatest(F.coalesce("n_lines", F.lit(0)) - 1, F.lit(0)).alias("rows"),
-                      F.transform(F.coalesce("_p", F.array()), lambda s: s["l"]).alias("preview"))
+    """sha256, bytes, data rows (lines less the header, counted over file splits) and a preview of five lines per file."""
+    out = file_digests(spark, path).join(file_row_counts(spark, path), "path", "left")
+    return out.select("path", "sha256", "bytes", F.greatest(F.coalesce("n_lines", F.lit(0)) - 1, F.lit(0)).alias("rows"), "preview")
 
 
 def report_catalog(spark: SparkSession, path: str, days: int, labels: Mapping[str, str]) -> DataFrame:
