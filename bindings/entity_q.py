@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.base import OBS, SELF, VENDORS, Registry, day, l0_sql, observations, table
-from tidemark.functions.text import normalize_name
 from tidemark.operators import entities as E, registry as G, series as S
 from tidemark.plans import snapshot as P
 
@@ -47,9 +46,9 @@ def resolve_entities(spark, d):
     m = F.col("l_linenumber")
     h = li.join(p, li.l_partkey == p.p_partkey).select(
         "l_orderkey", "l_linenumber", F.col("p_type").alias("category"),
-        normalize_name(F.when(m % 4 == 0, F.col("p_name")).when(m % 4 == 1, F.replace("p_name", F.lit(" "), F.lit("")))
-                       .when(m % 4 == 2, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.lower("p_brand"))).alias("series"),
-        normalize_name(F.when(m % 3 == 0, "").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("g（x）")))).alias("spec"))
+        F.when(m % 4 == 0, F.col("p_name")).when(m % 4 == 1, F.replace("p_name", F.lit(" "), F.lit("")))
+        .when(m % 4 == 2, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.lower("p_brand")).alias("series"),
+        F.when(m % 3 == 0, "").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("g（x）"))).alias("spec"))
     return E.resolve_entities(h, part_entities(spark, d)).select("l_orderkey", "l_linenumber", "entity_id")
 
 

@@ -17,38 +17,41 @@ def _no_blank(c: Column) -> Column:
 
 
 def resolve_entities(hints: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds entity_id to rows holding category, series, spec (normalised), null when nothing fits.
+    """Adds entity_id to rows holding category, series, spec (raw or normalised), null when nothing fits.
 
     Exact identity or a normalised alias first (smallest id over both), then the series alone when it
     names one entity, then series plus spec. The entity side is folded to one row per lookup key and
-    the hints to their distinct identities, so no join can multiply rows and a hot identity costs one.
+    the hints to their distinct identities, so no join can multiply rows, a hot identity costs one, and
+    names are normalised once per identity instead of once per row.
     """
     ents = (entities.filter("active")
             .withColumn("n_series", normalize_name(F.col("series")))
             .withColumn("n_spec", normalize_name(F.col("spec"))))
-    exact = ents.groupBy(*IDENTITY).agg(F.min("entity_id").alias("_exact"))
+    exact = ents.groupBy(*[F.col(k).alias(f"_n_{k}") for k in IDENTITY]).agg(F.min("entity_id").alias("_exact"))
     alias = (ents.select("entity_id", F.explode(F.transform("aliases", normalize_name)).alias("_key"))
              .groupBy("_key").agg(F.min("entity_id").alias("_id")))
     series = ents.groupBy(_no_blank(F.col("n_series")).alias("_series_key")).agg(
-        F.count(F.lit(1)).alias("_n_series"), F.min("entity_id").alias("_by_series"))
-    spec = ents.groupBy(_no_blank(F.col("n_series")).alias("_series_key"), F.col("n_spec").alias("_spec_key")).agg(
-        F.count(F.lit(1)).alias("_n_spec"), F.min("entity_id").alias("_by_spec"))
-
-    text = {k: F.coalesce(F.col(k), F.lit("")) for k in IDENTITY}
-    h = (hints.select(*IDENTITY).distinct()
-         .withColumn("_k1", normalize_name(text["series"]))
-         .withColumn("_k2", normalize_name(F.concat_ws(" ", text["series"], text["spec"])))
-         .withColumn("_series_key", _no_blank(F.col("_k1"))).withColumn("_spec_key", normalize_name(text["spec"])))
-    h = (h.join(exact, list(IDENTITY), "left")
-         .join(alias.select(F.col("_key").alias("_k1"), F.col("_id").alias("_a1")), "_k1", "left")
-         .join(alias.select(F.col("_key").alias("_k2"), F.col("_id").alias("_a2")), "_k2", "left")
-         .join(series, "_series_key", "left").join(spec, ["_series_key", "_spec_key"], "left"))
+        F.count(F.lit(1)).alias("_n_series_hits"), F.min("entity_id").alias("_by_series"))
+    spec = ents.groupBy(_no_blank(F.col("n_series")).alias("_series_key"), F.col("n_spec").alias("_n_spec")).agg(
+        F.count(F.lit(1)).alias("_n_spec_hits"), F.min("entity_id").alias("_by_spec"))
+
+    h = hints.select(*[F.col(k).alias(f"_{k}") for k in IDENTITY]).distinct()
+    h = h.select("*", *[normalize_name(F.col(f"_{k}")).alias(f"_n_{k}") for k in IDENTITY])
+    h = h.withColumn("_full", normalize_name(F.concat_ws(" ", "_n_series", "_n_spec"))).withColumn(
+        "_series_key", _no_blank(F.col("_n_series")))
+    h = (h.join(exact, [f"_n_{k}" for k in IDENTITY], "left")
+         .join(alias.select(F.col("_key").alias("_n_series"), F.col("_id").alias("_a1")), "_n_series", "left")
+         .join(alias.select(F.col("_key").alias("_full"), F.col("_id").alias("_a2")), "_full", "left")
+         .join(series, "_series_key", "left").join(spec, ["_series_key", "_n_spec"], "left"))
     first = F.least("_exact", "_a1", "_a2")
-    named = F.col("_k1") != ""
-    found = (F.when(first.isNotNull(), first).when(named & (F.col("_n_series") == 1), F.col("_by_series"))
-             .when(named & (F.col("_spec_key") != "") & (F.col("_n_spec") == 1), F.col("_by_spec")))
-    # the three names are never null after normalisation, so a plain equality join gives them back
-    return hints.join(h.select(*IDENTITY, found.alias("entity_id")), list(IDENTITY), "left")
+    named = F.col("_n_series") != ""
+    found = (F.when(first.isNotNull(), first).when(named & (F.col("_n_series_hits") == 1), F.col("_by_series"))
+             .when(named & (F.col("_n_spec") != "") & (F.col("_n_spec_hits") == 1), F.col("_by_spec")))
+    h = h.select(*[f"_{k}" for k in IDENTITY], found.alias("entity_id"))
+    same = F.lit(True)
+    for k in IDENTITY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return hints.join(h, same, "left").drop(*[f"_{k}" for k in IDENTITY])
 
 
 def seed_entities(base: DataFrame, seed: DataFrame) -> DataFrame:

@@ -77,12 +77,16 @@ def tag_observations(raw: DataFrame, contract: dict, collected_on: str = "collec
     return raw.withColumn("reason", observation_reason(contract, F.col(collected_on)))
 
 
-def shape_observations(tagged: DataFrame, contract: dict) -> DataFrame:
-    """Good rows of `tag_observations` in table form, with the filter attributes as own columns."""
+def shape_observations(tagged: DataFrame, contract: dict, normalize: bool = True) -> DataFrame:
+    """Good rows of `tag_observations` in table form, with the filter attributes as own columns.
+
+    With normalize=False the identity stays raw; `resolve_entities` normalises each distinct one itself.
+    """
+    name = normalize_name if normalize else (lambda c: c)
     attrs = canonical_attrs(F.col("attrs_hint"), contract)
     promoted = ("source", "condition", "vendor", "channel", "anchor")
     return (tagged.filter(F.col("reason").isNull()).withColumn("attrs", attrs).select(
-        F.struct(*[normalize_name(F.col("identity_hint")[k]).alias(k) for k in contract["identity"]]).alias("identity"),
+        F.struct(*[name(F.col("identity_hint")[k]).alias(k) for k in contract["identity"]]).alias("identity"),
         F.trim("price_date").cast("date").alias("obs_date"), F.col("low_price").cast("double").alias("low_price"),
         F.col("raw_price").cast("double").alias("raw_price"),
         F.coalesce(F.when(F.col("metric") != "", F.col("metric")), F.lit("price")).alias("metric"),

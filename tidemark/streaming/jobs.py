@@ -157,7 +157,7 @@ def ingest_batch(contract: dict, entities: DataFrame, table_path: str, quarantin
     def run(batch: DataFrame, batch_id: int) -> None:
         # cut once, so that both branches read the parsed rows instead of the files again
         tagged = cut_lineage(V.tag_observations(batch.withColumn("pos", F.monotonically_increasing_id()), contract))
-        good = V.shape_observations(tagged, contract)
+        good = V.shape_observations(tagged, contract, normalize=False)
         flat = good.select(*[F.col(f"identity.{k}").alias(k) for k in contract["identity"]], *[c for c in good.columns if c != "identity"])
         resolved = cut_lineage(E.resolve_entities(flat, entities))
         rows = (resolved.filter("entity_id is not null").drop(*contract["identity"])
