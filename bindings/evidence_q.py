@@ -21,13 +21,13 @@ def page_results(spark, d):
     url = F.replace(F.replace("url", F.lit("example.org"), F.lit("gov.cn")), F.lit("example.net"), F.lit("zhihu.com"))
     day = F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), (k * 5).cast("int")), "yyyy-MM-dd")
     return p.select(
-        (k % 5).alias("pack_id"), k.alias("pos"),
+        F.floor(k / 50).alias("pack_id"), k.alias("pos"),
         F.when(k % 17 == 0, " ").when(k % 3 == 0, F.regexp_extract(url, "^(https?://[^/]+)", 1)).otherwise(url).alias("url"),
         F.concat(F.lit("t"), k.cast("string")).alias("title"), F.concat(F.lit("s"), F.col("url")).alias("snippet"),
         F.when(k % 7 == 0, None).when(k % 11 == 0, "last year").otherwise(day).alias("published_at"))
 
 
-RES = rf"""res AS (SELECT page_id % 5 AS pack_id, page_id AS pos, CASE WHEN page_id % 17 = 0 THEN ' ' WHEN page_id % 3 = 0 THEN regexp_extract(u, '^(https?://[^/]+)', 1)
+RES = rf"""res AS (SELECT page_id // 50 AS pack_id, page_id AS pos, CASE WHEN page_id % 17 = 0 THEN ' ' WHEN page_id % 3 = 0 THEN regexp_extract(u, '^(https?://[^/]+)', 1)
     ELSE u END AS url, 't' || page_id AS title, 's' || url0 AS snippet,
     CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 THEN 'last year' ELSE {DAY} END AS published_at
   FROM (SELECT page_id, url AS url0, replace(replace(url, 'example.org', 'gov.cn'), 'example.net', 'zhihu.com') AS u FROM pages)),

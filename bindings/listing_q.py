@@ -84,17 +84,17 @@ def cheap_anchor(spark, d):
     return G.cheap_anchor(rows, points, 3, 95, F.lit("RTX 5070"), F.lit("8GB"), "error").select("query_id", "url", "rank", "n_points")
 
 
-# --- screens: a user's events as the nodes of a screen -----------------------------------
+# --- screens: sixty consecutive events as the nodes of a screen ---------------------------
 VAL = ("CASE event_type WHEN 'view' THEN '¥' WHEN 'click' THEN CAST(CAST(floor(value * 10) AS INT) AS STRING) WHEN 'purchase' THEN '万' "
        "WHEN 'signup' THEN 'lead number ' || event_id || repeat(' long text', 6) ELSE '.5' END")
-NODES = """n AS (SELECT user_id AS screen_id, event_id AS pos, CAST(json_extract_string(props, '$.k') AS INT) * 12 AS y1, CAST(json_extract_string(props, '$.k') AS INT) * 12 + 8 AS y2,
+NODES = """n AS (SELECT event_id // 60 AS screen_id, event_id AS pos, CAST(json_extract_string(props, '$.k') AS INT) * 12 AS y1, CAST(json_extract_string(props, '$.k') AS INT) * 12 + 8 AS y2,
   CASE event_type WHEN 'view' THEN '¥' WHEN 'click' THEN CAST(CAST(floor(value * 10) AS INT) AS VARCHAR) WHEN 'purchase' THEN '万'
     WHEN 'signup' THEN 'lead number ' || event_id || repeat(' long text', 6) ELSE '.5' END AS val FROM events)"""
 
 
 def nodes(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, d, "events").select(F.col("user_id").alias("screen_id"), F.col("event_id").alias("pos"), (k * 12).alias("y1"), (k * 12 + 8).alias("y2"),
+    return table(spark, d, "events").select(F.floor(F.col("event_id") / 60).alias("screen_id"), F.col("event_id").alias("pos"), (k * 12).alias("y1"), (k * 12 + 8).alias("y2"),
                                             F.lit(0).alias("x1"), F.expr(VAL).alias("val"))
 
 

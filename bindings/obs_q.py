@@ -142,17 +142,18 @@ def segment_trend(spark, d):
                     F.round(first["price"], 2).alias("first_price"), "min_price")
 
 
-@R.add("convert_series", """WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) e, list(value ORDER BY event_id) v,
-    list(CASE WHEN event_id % 5 = 0 THEN '国补价' ELSE event_type END ORDER BY event_id) r FROM events GROUP BY user_id),
+@R.add("convert_series", """WITH p AS (SELECT user_id, CAST(ts AS DATE) d, min(event_id) AS event_id, min(value) AS value FROM events GROUP BY ALL),
+  g AS (SELECT user_id, list(event_id ORDER BY event_id) e, list(value ORDER BY event_id) v,
+    list(CASE WHEN event_id % 5 = 0 THEN '国补价' ELSE 'x' END ORDER BY event_id) r FROM p GROUP BY user_id),
   ok AS (SELECT user_id, unnest(e) eid, unnest(v) low_price, unnest(r) remark FROM g WHERE user_id % 10 <> 0)
   SELECT user_id, 'd' || eid AS price_date, low_price, CASE WHEN contains(remark, '国补') THEN '国补' ELSE '无' END AS promo,
     'gwdang' AS source, '黑' AS color, NULL AS error FROM ok
   UNION ALL SELECT user_id, NULL, NULL, NULL, NULL, NULL, 'length_mismatch:' || (len(e) + 1) || '!=' || len(e) FROM g
   WHERE user_id % 10 = 0""")
 def convert_series(spark, d):
-    e = table(spark, d, "events")
-    rows = F.array_sort(F.collect_list(F.struct("event_id", "value", F.when(F.col("event_id") % 5 == 0, "国补价")
-                                                .otherwise(F.col("event_type")).alias("r"))))
+    # one point per day first: the arrays are bounded by the calendar
+    e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min("event_id").alias("event_id"), F.min("value").alias("value"))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "value", F.when(F.col("event_id") % 5 == 0, "国补价").otherwise("x").alias("r"))))
     g = e.groupBy("user_id").agg(rows.alias("a")).select(
         "user_id", F.transform("a", lambda x: F.concat(F.lit("d"), x["event_id"].cast("string"))).alias("dates"),
         F.transform("a", lambda x: x["value"]).alias("prices"), F.transform("a", lambda x: x["r"]).alias("remarks"))

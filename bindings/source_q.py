@@ -26,21 +26,21 @@ def place(spark, name: str) -> str:
 @R.add("read_observations", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS collected_on, count(*) AS n, count(*) FILTER (event_id % 23 = 0) AS n_no_hint,
   count(*) FILTER (event_id % 23 = 10) AS n_text_price FROM events GROUP BY 1""")
 def read_observations(spark, d):
-    """One array file per date: rows of a date are concatenated inside its own file."""
+    """One folder per date."""
     path = place(spark, "obs")
     raw = raw_observations(spark, d).join(table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d")), "event_id")
-    line = F.to_json(F.struct("identity_hint", "attrs_hint", "low_price", "raw_price", "price_date", "metric", "shop", "in_stock"))
-    files = raw.groupBy("d").agg(F.concat(F.lit("["), F.array_join(F.collect_list(line), ",\n"), F.lit("]")).alias("value"))
-    files.write.partitionBy("d").text(path)
-    back = S.read_observations(spark, path)
+    raw.select("d", "identity_hint", "attrs_hint", "low_price", "raw_price", "price_date", "metric", "shop", "in_stock").write.partitionBy("d").json(path)
+    back = S.read_observations(spark, path, lines=True)
     return back.groupBy("collected_on").agg(F.count("*").alias("n"), F.count_if(F.col("identity_hint").isNull()).alias("n_no_hint"),
                                             F.count_if(F.col("low_price") == "abc").alias("n_text_price"))
 
 
-@R.add("read_trend_dump", """SELECT c_custkey AS listing, count(o_orderkey) AS n_points, min(o_totalprice) AS low FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@R.add("read_trend_dump", """SELECT c_custkey AS listing, count(DISTINCT o_orderdate) AS n_points, min(o_totalprice) AS low FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def read_trend_dump(spark, d):
     path = place(spark, "dump")
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_totalprice").cast("string"), F.lit(',"x"]'))), ",").alias("p"))
+    # one point per day, so that a listing's points are bounded by the calendar
+    daily = table(spark, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("k"), F.min("o_totalprice").alias("low"))
+    o = daily.groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat(F.lit("["), F.col("k").cast("string"), F.lit(","), F.col("low").cast("string"), F.lit(',"x"]'))), ",").alias("p"))
     c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
     listing = F.struct(F.struct(F.lit("c").alias("category"), F.col("c_name").alias("series")).alias("identity"), F.col("c_custkey").cast("string").alias("url"),
                        F.struct(F.coalesce("p", F.lit("")).alias("datePrice")).alias("trend"))
@@ -65,14 +65,14 @@ def read_event_log(spark, d):
     return S.read_event_log(spark, path).groupBy(F.col("plan_id").cast("long").alias("plan")).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
 
 
-@R.add("parse_screen_nodes", """SELECT user_id AS screen_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CAST(event_id % 500 AS INT) AS y1, CAST(event_id % 500 + 9 AS INT) AS y2,
+@R.add("parse_screen_nodes", """SELECT event_id // 40 AS screen_id, row_number() OVER (PARTITION BY event_id // 40 ORDER BY event_id) - 1 AS pos, CAST(event_id % 500 AS INT) AS y1, CAST(event_id % 500 + 9 AS INT) AS y2,
   CAST(3 AS INT) AS x1, CASE WHEN event_id % 3 = 0 THEN 'd' || event_type ELSE event_type END AS val FROM events QUALIFY event_id % 11 <> 0""")
 def parse_screen_nodes(spark, d):
     k = F.col("event_id")
     text = F.when((k % 3 == 0) | (k % 11 == 0), "​").otherwise(F.concat(F.lit("​"), "event_type"))
     desc = F.when(k % 11 == 0, "").when(k % 3 == 0, F.concat(F.lit("d"), "event_type")).otherwise("x")
     node = F.concat(F.lit('<node index="1" text="'), text, F.lit('" class="a" content-desc="'), desc, F.lit('" bounds="[3,'), (k % 500).cast("string"), F.lit("][9,"), (k % 500 + 9).cast("string"), F.lit(']"/>'))
-    xml = table(spark, d, "events").groupBy(F.col("user_id").alias("screen_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", node.alias("n")))), lambda s: s["n"]), "\n").alias("xml"))
+    xml = table(spark, d, "events").groupBy(F.floor(k / 40).alias("screen_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", node.alias("n")))), lambda s: s["n"]), "\n").alias("xml"))
     return S.parse_screen_nodes(xml).select("screen_id", F.col("pos").cast("long").alias("pos"), "y1", "y2", "x1", "val")
 
 

@@ -162,14 +162,14 @@ def ingest_stream(spark, d):
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     when = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"))
     raw = raw_observations(spark, d).join(when, "event_id")
-    line = F.to_json(F.struct("identity_hint", "attrs_hint", "low_price", "raw_price", "price_date", "metric", "shop", "in_stock"))
-    files = raw.groupBy("d").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda s: s["l"]), ",\n"), F.lit("]")).alias("value"))
-    files.write.partitionBy("d").text(f"{base}/in")
+    # files of a date are named in the order of their ranges, rows inside stand in order
+    (raw.repartitionByRange("d", "event_id").sortWithinPartitions("d", "event_id")
+     .select("d", "identity_hint", "attrs_hint", "low_price", "raw_price", "price_date", "metric", "shop", "in_stock").write.partitionBy("d").json(f"{base}/in"))
     kinds = F.create_map(*[F.lit(x) for kv in {"view": 1, "click": 2, "purchase": 3, "signup": 4}.items() for x in kv])
     ents = table(spark, d, "events").select("event_type").distinct().select(
         F.try_element_at(kinds, F.col("event_type")).cast("long").alias("entity_id"), F.lit("显卡").alias("category"), F.col("event_type").alias("series"),
         F.lit("8GB").alias("spec"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active")).filter("entity_id is not null")
-    stream = read_observations(spark, f"{base}/in", stream=True)
+    stream = read_observations(spark, f"{base}/in", stream=True, lines=True)
     J.run_available(stream, f"{base}/checkpoint", J.ingest_batch(fixed.HARDWARE_CONTRACT, ents, f"{base}/table", f"{base}/quarantine"))
     out = spark.read.parquet(f"{base}/table")
     return out.select("entity_id", F.date_format("obs_date", "yyyy-MM-dd").alias("obs_date"), "shop_name", "low_price")

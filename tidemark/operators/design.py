@@ -80,7 +80,9 @@ def distress_signal(series: DataFrame, group: Sequence[str], keys: Sequence[str]
     d = _enough(series, [*group, *keys], min_history)
     prev = F.lag("price").over(W.partitionBy(*group, *keys).orderBy("obs_date"))
     d = d.withColumn("_prev", prev)
-    med = d.groupBy(*group, "obs_date").agg(F.median("price").alias("peer_median"))
+    # counted per distinct price first, so that a large group's median holds prices, not members
+    med = (d.groupBy(*group, "obs_date", "price").agg(F.count(F.lit(1)).alias("_c")).groupBy(*group, "obs_date")
+           .agg(F.percentile("price", 0.5, F.col("_c")).alias("peer_median")))
     j = d.join(med, [*group, "obs_date"])
     below = safe_pct(F.col("peer_median") - F.col("price"), F.col("peer_median"))
     fall = safe_pct(F.col("_prev") - F.col("price"), F.col("_prev"))

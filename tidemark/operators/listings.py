@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark import fixed
 from tidemark.functions.text import any_word, norm_title, norm_token, parse_price
-from tidemark.operators.ordered import first_per_key, top_per_key
+from tidemark.operators.ordered import first_per_key, lag_in_key, running_sum, top_per_key
 
 
 def match_spec(title: Column, series: Column, spec: Column) -> Column:
@@ -209,12 +209,13 @@ def gate_stats(gated: DataFrame) -> DataFrame:
 def line_cluster(words: DataFrame, page: Sequence[str] = ("page_id",), tol: int = 12) -> DataFrame:
     """Words to text lines: a new line starts when y is more than `tol` below the first word of the line.
 
-    A vertical gap above `tol` always starts a line, so a page is first cut at such gaps and only the short runs
-    between them are folded in order. words: page, y, x, text.
+    A vertical gap above `tol` always starts a line, so a page is first cut at such gaps (band by band) and only
+    the short runs between them are folded in order. words: page, y, x, text.
     """
-    w = W.partitionBy(*page).orderBy("y", "x", "text")
-    gap = F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(tol + 1)) > tol
-    runs = words.withColumn("_run", F.sum(gap.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    order, band = ["y", "x", "text"], F.floor(F.col("y") / 4096)
+    near = lag_in_key(words, page, order, band, {"_above": "y"})
+    gap = (F.coalesce(F.col("y") - F.col("_above"), F.lit(tol + 1)) > tol).cast("int")
+    runs = running_sum(near, page, order, band, gap, "_run")
     item = F.struct("y", "x", "text")
     arr = runs.groupBy(*page, "_run").agg(F.array_sort(F.collect_list(item)).alias("_w"))
 

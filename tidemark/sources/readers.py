@@ -25,15 +25,22 @@ def path_date(path: Column) -> Column:
     return F.regexp_extract(path, _DATE_DIR, 1)
 
 
-def read_observations(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """JSON array files, one folder per collection date. Prices stay text, so that bad ones can be told apart.
+def read_observations(spark: SparkSession, path: str, stream: bool = False, lines: bool = False) -> DataFrame:
+    """JSON array files (or, with lines=True, one row per line, which large files should use so that they can be
+    split), one folder per collection date. Prices stay text, so that bad ones can be told apart.
 
-    `pos` orders the rows of a file as they stand there (a multi-line file is never split); a stream gets it per batch.
+    `pos` orders rows by file and place in it, however Spark packs the files; a stream gets its last part per batch.
     """
     reader = spark.readStream if stream else spark.read
-    raw = reader.schema(schemas.RAW_OBSERVATION).option("multiLine", True).json(path)
-    rows = raw.select("*", path_date(F.col("_metadata.file_path")).alias("collected_on"))
-    return rows if stream else rows.withColumn("pos", F.monotonically_increasing_id())
+    raw = reader.schema(schemas.RAW_OBSERVATION).option("multiLine", not lines).json(path)
+    rows = raw.select("*", path_date(F.col("_metadata.file_path")).alias("collected_on"),
+                      F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("place"))
+    return rows if stream else with_position(rows)
+
+
+def with_position(rows: DataFrame) -> DataFrame:
+    """Turns `place` into the full row order `pos` (file, split, running number); batch frames only."""
+    return rows.withColumn("pos", F.struct("place.file", "place.at", F.monotonically_increasing_id().alias("i"))).drop("place")
 
 
 def read_trend_dump(spark: SparkSession, path: str) -> DataFrame:

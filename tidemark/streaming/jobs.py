@@ -16,6 +16,7 @@ from tidemark.operators import tasklog as L
 from tidemark.operators import validate as V
 from tidemark.session import cut_lineage
 from tidemark.sources import writers
+from tidemark.sources.readers import with_position
 from tidemark.streaming.folds import AlertFold, BreakerFold, QuotaFold, RateFold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -156,7 +157,7 @@ def ingest_batch(contract: dict, entities: DataFrame, table_path: str, quarantin
     """foreachBatch body: validate, resolve, merge; what fails goes to quarantine. Redelivery changes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
         # cut once, so that both branches read the parsed rows instead of the files again
-        tagged = cut_lineage(V.tag_observations(batch.withColumn("pos", F.monotonically_increasing_id()), contract))
+        tagged = cut_lineage(V.tag_observations(with_position(batch), contract))
         good = V.shape_observations(tagged, contract, normalize=False)
         flat = good.select(*[F.col(f"identity.{k}").alias(k) for k in contract["identity"]], *[c for c in good.columns if c != "identity"])
         resolved = cut_lineage(E.resolve_entities(flat, entities))
