@@ -110,8 +110,8 @@ def composite_index(factors: DataFrame, names: Sequence[str], out: str, weights:
     Serves fomo_index (slope, listings, news), stabilization and supply_heat. The ranges are one aggregated row.
     """
     w = weights or {n: 1.0 / len(names) for n in names}
-    span = factors.agg(*[F.min(n).alias(f"_lo_{n}") for n in names], *[F.max(n).alias(f"_hi_{n}") for n in names]).withColumn("_k", F.lit(1))
-    j = factors.withColumn("_k", F.lit(1)).join(F.broadcast(span), "_k")     # one row by construction
+    span = factors.agg(F.struct(*[F.min(n).alias(f"_lo_{n}") for n in names], *[F.max(n).alias(f"_hi_{n}") for n in names])).scalar()
+    j = factors.withColumn("_span", span).select(*factors.columns, "_span.*")
     score = F.lit(0.0)
     for n in names:
         width = F.col(f"_hi_{n}") - F.col(f"_lo_{n}")

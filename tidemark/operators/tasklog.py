@@ -151,12 +151,11 @@ def queue_board(tasks: DataFrame, metrics: DataFrame, now_us: int, block_s: floa
         F.coalesce(F.max(F.when(ready, wait)), F.lit(0.0)).alias("oldest"),
         F.sum(F.when(~F.col("status").isin("DONE", "DEAD_LETTER", "CANCELLED"), F.col("session_switch_total"))
               .otherwise(0)).alias("session_switch_total"))
-    m = metrics.agg(F.avg(F.when(F.col("name") == "dispatch_wait", F.col("value"))).alias("dw"),
-                    F.count_if(F.col("name") == "cache_hit").alias("cache_hit"))
-    one = F.lit(1)
-    return t.withColumn("_k", one).join(m.withColumn("_k", one), "_k").select(
+    m = metrics.agg(F.struct(F.avg(F.when(F.col("name") == "dispatch_wait", F.col("value"))).alias("dw"),
+                             F.count_if(F.col("name") == "cache_hit").alias("cache_hit"))).scalar()
+    return t.withColumn("_m", m).select(
         "ready_total", "running", F.floor("oldest").alias("oldest_wait_s"), (F.col("oldest") > block_s).alias("queue_blocked"),
-        F.round(F.coalesce("dw", F.lit(0.0)), 2).alias("dispatch_wait_avg_s"), "session_switch_total", "cache_hit",
+        F.round(F.coalesce("_m.dw", F.lit(0.0)), 2).alias("dispatch_wait_avg_s"), "session_switch_total", "_m.cache_hit",
         ((F.col("ready_total") > backlog) | (F.col("oldest") > backlog_s)).alias("backlog_alert"))
 
 
@@ -195,8 +194,8 @@ def quality_flags(tasks: DataFrame) -> DataFrame:
 
 def tuning_hints(report: DataFrame, board: DataFrame, switch_warn: int, sla_s: float) -> DataFrame:
     """Hint names for one report row and one board row."""
-    one = F.lit(1)
-    j = report.withColumnRenamed("switches", "_sw").withColumn("_k", one).join(board.withColumn("_k", one), "_k")
+    j = report.select(F.col("switches").alias("_sw"), board.select(F.struct("ready_total", "oldest_wait_s")).scalar().alias("_b")).select(
+        "_sw", "_b.*")
     hints = F.array_compact(F.array(
         F.when((F.col("_sw") > 0) & (F.col("_sw") >= switch_warn), "session_switches"),
         F.when(F.col("ready_total") > 50, "ready_backlog"), F.when(F.col("oldest_wait_s") > sla_s, "oldest_wait")))
