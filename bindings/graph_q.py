@@ -48,13 +48,13 @@ def dependents(spark, d):
 
 
 @R.add("cancel_closure", f"""WITH RECURSIVE {TASKS_SQL}, {DEPS_SQL},
-  roots AS (SELECT p_partkey AS root FROM part WHERE p_partkey IN (3, 7, 50, 120)),
+  roots AS (SELECT task_id AS root FROM tasks WHERE status = 'DEAD_LETTER'),
   walk AS (SELECT root, root AS node FROM roots UNION SELECT w.root, d.task_id FROM walk w JOIN deps d ON d.dep = w.node
     JOIN tasks t ON t.task_id = d.task_id AND t.status IN ('PENDING', 'BLOCKED', 'READY'))
   SELECT node AS task_id, root AS cascaded_from FROM walk WHERE node <> root""")
 def cancel_closure(spark, d):
     t = tasks(spark, d)
-    return G.cancel_closure(t, t.filter(F.col("task_id").isin(3, 7, 50, 120))).drop("plan_id")
+    return G.cancel_closure(t, t.filter("status = 'DEAD_LETTER'")).drop("plan_id")
 
 
 @R.add("dag_problems", f"""WITH RECURSIVE {DEPS_SQL},

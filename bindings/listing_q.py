@@ -233,9 +233,9 @@ def candidate_ranking(spark, d):
     return G.candidate_ranking(c, list("abcdef")).select("p_partkey", "total", "rank")
 
 
-@R.add("top_n_per_city", """WITH r AS (SELECT c_nationkey AS city, c_custkey AS row_id, round((c_acctbal + 1000) * 12 / ((c_custkey % 50 + 10) * 10000) * 100, 2) AS rr_pct FROM customer)
+@R.add("top_n_per_city", """WITH r AS (SELECT c_nationkey AS city, c_custkey AS row_id, round((c_acctbal + 1000) * 12 / ((c_custkey % 50 + 10) * 10007) * 100, 2) AS rr_pct FROM customer)
   SELECT city, row_id, rr_pct, row_number() OVER (PARTITION BY city ORDER BY rr_pct DESC, row_id) AS rank FROM r QUALIFY rank <= 20""")
 def top_n_per_city(spark, d):
     r = table(spark, d, "customer").select(F.col("c_nationkey").alias("city"), F.col("c_custkey").alias("row_id"), (F.col("c_acctbal") + 1000).alias("rent_per_month"),
-                                           ((F.col("c_custkey") % 50 + 10) * 10000).alias("price"))
+                                           ((F.col("c_custkey") % 50 + 10) * 10007).alias("price"))
     return G.top_n_per_city(r).select("city", "row_id", "rr_pct", "rank")

@@ -38,7 +38,7 @@ def trend_label(spark, d):
 
 
 @R.add("change_7", f"""WITH {PLAIN}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY obs_date DESC) rn
-  FROM ser) SELECT entity_id, round((min_by(price, rn) - max_by(price, rn)) / max_by(price, rn) * 100, 4) AS change_7_pct
+  FROM ser) SELECT entity_id, round(CASE WHEN max_by(price, rn) = 0 THEN 0.0 ELSE (min_by(price, rn) - max_by(price, rn)) / max_by(price, rn) * 100 END, 4) AS change_7_pct
   FROM r WHERE rn <= 8 GROUP BY entity_id""")
 def change_7(spark, d):
     c = S.change_7(S.build_series(plain_obs(spark, d)))
@@ -83,7 +83,7 @@ def priority_series(spark, d):
 
 PRIO = ("ser AS (SELECT o_orderpriority AS entity_id, CAST(o_orderdate AS DATE) AS obs_date, min(o_totalprice) AS price "
         "FROM orders GROUP BY ALL)")
-DRAW = """dd AS (SELECT entity_id, obs_date, price, greatest(0.0, (price - low) / price) AS drawdown FROM (
+DRAW = """dd AS (SELECT entity_id, obs_date, price, CASE WHEN price = 0 THEN 0.0 ELSE greatest(0.0, (price - low) / price) END AS drawdown FROM (
   SELECT *, min(price) OVER w low, count(*) OVER w lft FROM ser
   WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING)) WHERE lft > 15)"""
 RISK = """arr AS (SELECT entity_id, list_sort(list(drawdown)) a, median(drawdown) m FROM dd
