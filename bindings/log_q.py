@@ -58,7 +58,7 @@ def replay_state(spark, d):
   UNION ALL SELECT task_id, seq, 'broken_chain:' || pt FROM a WHERE pt IS NOT NULL AND pt <> from_s
   UNION ALL SELECT task_id, seq, 'bad_attempts' FROM a WHERE attempts <> coalesce(pa, 0)""")
 def transition_audit(spark, d):
-    return L.transition_audit(event_log(spark, d), F.col("day")).select("task_id", "seq", "problem")
+    return L.transition_audit(event_log(spark, d), F.floor(F.col("seq") / 1_000_000)).select("task_id", "seq", "problem")
 
 
 @R.add("yield_overuse", f"""WITH {LOG} SELECT task_id, count(*) AS n_yields FROM app WHERE from_s = 'RUNNING' AND to_s = 'READY'
@@ -71,7 +71,7 @@ def yield_overuse(spark, d):
     WINDOW w AS (PARTITION BY plan_id, task_id ORDER BY seq))
   SELECT task_id, seq, state, round((ts_us - since) / 1e6, 6) AS seconds FROM p WHERE state IS NOT NULL""")
 def dwell_times(spark, d):
-    t = L.dwell_times(event_log(spark, d), F.col("day"))
+    t = L.dwell_times(event_log(spark, d), F.floor(F.col("seq") / 1_000_000))
     return t.select("task_id", "seq", "state", F.round("seconds", 6).alias("seconds"))
 
 
@@ -80,7 +80,7 @@ def dwell_times(spark, d):
   SELECT state, count(*) AS n, round(avg((ts_us - since) / 1e6), 3) AS avg_s, quantile_disc((ts_us - since) / 1e6, 0.95) <= 60 AS within_sla
   FROM p WHERE state IS NOT NULL GROUP BY state""")
 def dwell_summary(spark, d):
-    s = L.dwell_summary(L.dwell_times(event_log(spark, d), F.col("day")))
+    s = L.dwell_summary(L.dwell_times(event_log(spark, d), F.floor(F.col("seq") / 1_000_000)))
     return s.select("state", "n", F.round("avg_s", 3).alias("avg_s"), "within_sla")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from bindings.base import Registry, table
-from bindings.log_q import LOG, event_log
+from bindings.log_q import LOG
 from tidemark.functions.dates import epoch_micros
 from tidemark.operators import folds as B
 from tidemark.session import shared_dir
@@ -62,7 +62,7 @@ def rate_limit(spark, d):
 def daily_quota(spark, d):
     q = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"),
                                          (F.get_json_object("props", "$.k").cast("int") % 9 + 1).alias("n"))
-    return B.daily_quota(q, fold=QuotaFold(300), chunk=F.floor(F.col("pos") / 1000)).select("pos", "day", "taken", "used")
+    return B.daily_quota(q, fold=QuotaFold(300)).select("pos", "day", "taken", "used")
 
 
 def calls(df):

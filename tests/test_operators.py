@@ -79,3 +79,13 @@ def test_prior_beats_cache(spark):
     judged = cache.select("url", F.lit(None).cast("string").alias("reply")).limit(0)
     row = E.assign_tiers(r, cache, judged).first()
     assert (row.tier, row.decided_by, row.tier_reason) == ("A", "domain_prior", "official_domain:gov.cn")
+
+
+def test_slices_follow_the_busiest_key(spark):
+    rows = [("hot", t) for t in range(0, 4000, 2)] + [("rare", 7), ("rare", 3900)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    sliced = df.withColumn("s", ordered.time_slice(df, ["k"], "t", rows=100))
+    sizes = [r["count"] for r in sliced.groupBy("k", "s").count().collect()]
+    assert 20 <= len(sizes) <= 24 and max(sizes) <= 101
+    whole = df.withColumn("s", ordered.time_slice(df, ["k"], "t"))
+    assert whole.select("s").distinct().count() <= 2

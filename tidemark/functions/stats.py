@@ -19,8 +19,3 @@ def exclusive_p75(sorted_arr: Column) -> Column:
     delta = (n + 1) * 3 - j * 4
     lo, hi = F.get(sorted_arr, j - 1), F.get(sorted_arr, j)
     return F.when(n < 4, F.element_at(sorted_arr, -1)).otherwise((lo * (4 - delta) + hi * delta) / 4)
-
-
-def upper_median(sorted_arr: Column) -> Column:
-    """Element at position size div 2 of a sorted array."""
-    return F.get(sorted_arr, F.floor(F.size(sorted_arr) / 2).cast("int"))

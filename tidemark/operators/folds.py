@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import lag_in_key, running_sum
+from tidemark.operators.ordered import lag_in_key, running_sum, time_slice
 from tidemark.streaming.folds import HOUR_US, AlertFold, BreakerFold, QuotaFold, RateFold
 
-SLICE_US = 24 * HOUR_US
-
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[n] for n in names]
@@ -45,9 +43,14 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold,
     return (df.repartition(*keys).sortWithinPartitions(*keys, *order).groupBy(*keys).applyInPandas(run, schema))
 
 
-def cut_at_gaps(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], gap_us: int, slice_us: int = SLICE_US) -> DataFrame:
+def _slice(df: DataFrame, keys: Sequence[str], ts: str, slice_us: int | None) -> Column:
+    """Slices of a given width, else of a width that fits the busiest key."""
+    return time_slice(df, keys, ts) if slice_us is None else F.floor(F.col(ts) / slice_us)
+
+
+def cut_at_gaps(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], gap_us: int, slice_us: int | None = None) -> DataFrame:
     """Adds `_session`, counting per key the pauses longer than the gap (found slice by slice)."""
-    piece = F.floor(F.col(ts) / slice_us)
+    piece = _slice(df, keys, ts, slice_us)
     d = lag_in_key(df, keys, order, piece, {"_prev_ts": ts})
     pause = F.coalesce((F.col(ts) - F.col("_prev_ts") > gap_us).cast("int"), F.lit(1))
     return running_sum(d, keys, order, piece, pause, "_session").drop("_prev_ts")
@@ -74,10 +77,10 @@ def _spaced_steps(ts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return upto[edge], last[edge]
 
 
-def admit_spaced(alerts: DataFrame, keys: Sequence[str], window_us: int, slice_us: int = SLICE_US) -> DataFrame:
+def admit_spaced(alerts: DataFrame, keys: Sequence[str], window_us: int, slice_us: int | None = None) -> DataFrame:
     """Greedy spacing as a parallel scan: adds `admitted`. Rows need ts_us and pos (order among equal times)."""
     keys = list(keys)
-    d = alerts.withColumn("_slice", F.floor(F.col("ts_us") / slice_us))
+    d = alerts.withColumn("_slice", _slice(alerts, keys, "ts_us", slice_us))
     kf = _fields(d, [*keys, "_slice"])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +123,7 @@ def admit_spaced(alerts: DataFrame, keys: Sequence[str], window_us: int, slice_u
 
 
 def admit_alerts(alerts: DataFrame, keys: Sequence[str] = ("plan_id", "task_id", "kind"), fold: AlertFold = AlertFold(),
-                 slice_us: int = SLICE_US) -> DataFrame:
+                 slice_us: int | None = None) -> DataFrame:
     """Adds admitted and reason to alerts (ts_us, pos).
 
     While cap x window fills the hour the cap can never bind, and spacing alone decides; otherwise the fold
@@ -134,7 +137,7 @@ def admit_alerts(alerts: DataFrame, keys: Sequence[str] = ("plan_id", "task_id",
     return ordered_fold(d, [*keys, "_session"], ["ts_us", "pos"], fold, out).drop("_session")
 
 
-def rate_limit(requests: DataFrame, keys: Sequence[str], fold: RateFold = RateFold(), slice_us: int = SLICE_US) -> DataFrame:
+def rate_limit(requests: DataFrame, keys: Sequence[str], fold: RateFold = RateFold(), slice_us: int | None = None) -> DataFrame:
     """Adds accepted and reason to requests (ts_us, pos); keys are cut at pauses longer than the span."""
     d = cut_at_gaps(requests, keys, "ts_us", ["ts_us", "pos"], fold.span_us, slice_us)
     out = [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType())]

@@ -32,6 +32,18 @@ def lag_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     return d.select(*df.columns, *[prev[o].alias(o) for o in take])
 
 
+def time_slice(df: DataFrame, keys: Sequence[str], ts: str, rows: int = 1_000_000) -> Column:
+    """Slice number of an integer time such that even the busiest key has about `rows` rows per slice.
+
+    The width comes from one aggregated row (count and span per key), read as a scalar subquery; small inputs
+    end up with a single slice per key.
+    """
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(ts) - F.min(ts) + 1).alias("span"))
+    busy = F.when(F.col("n") > rows, F.greatest(F.col("span") * (rows / F.col("n")), F.lit(1.0)))
+    width = per_key.agg(F.coalesce(F.min(busy), F.max("span"), F.lit(1)).cast("long")).scalar()
+    return F.floor(F.col(ts) / width)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column,
                 out: str) -> DataFrame:
     """Adds the inclusive running sum of `value` per key, chunk by chunk."""

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions.dates import business_date
-from tidemark.functions.stats import upper_median
 from tidemark.operators import graph
 from tidemark.operators.ordered import lag_in_key, top_per_key
 
@@ -66,7 +65,7 @@ def _payload_problem(payload: Column, from_s: Column, to_s: Column) -> Column:
 def transition_audit(events: DataFrame, chunk: Column) -> DataFrame:
     """Problems of every applied event: illegal pair, role, payload, and a broken chain of states.
 
-    `chunk` is a monotone slice of the event order (for example the day) that bounds each window.
+    `chunk` is a monotone slice of the event order that bounds each window, such as ranges of a million seq numbers.
     """
     prev = lag_in_key(applied(events), TASK_KEY, ["seq"], chunk, {"_prev_to": "to_s", "_prev_attempts": "attempts"})
     edge = F.concat_ws(">", F.coalesce("from_s", F.lit("")), "to_s")
