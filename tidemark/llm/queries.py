@@ -1,4 +1,4 @@
 """All registered queries of the subpackage: importing the modules registers them."""
 
-from tidemark.llm import fingerprint, linededup, packing, pii, quality, simhash, warc  # noqa: F401
+from tidemark.llm import fingerprint, linededup, packing, pii, quality, simhash, spm, warc  # noqa: F401
 from tidemark.llm.common import QUERIES, SQL  # noqa: F401
