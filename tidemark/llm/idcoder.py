@@ -36,12 +36,12 @@ MAGIC = b"TMIDS01\n"
 END = "\nend of ids\n"
 BLOCK = 4096
 PER_FILE = BLOCK * 1024     # ids of a file, more where a document is longer
-REBUILDS = frozenset((256, 768, 1536, 2560))
+REBUILDS = frozenset((384, 1536))
 PRIOR = 1024.0              # ids that the file's counts are worth in a block
 TABLE = 4096                # places of the order-1 and order-2 tables
 SHARE = 0.02
 TOTAL_BITS = 24
-ONE = np.uint64(1)
+NONE = (1 << 20) - 1       # no expected id: above any alphabet
 
 
 class Lanes:
@@ -51,20 +51,19 @@ class Lanes:
         self.k, self.a = k, len(counts)
         self.bits = max(14, int(2 * self.a - 1).bit_length())
         self.prior = counts / counts.sum()
-        self.table1, self.table2 = np.zeros(k * TABLE, np.int32), np.zeros(k * TABLE, np.int32)
+        self.table1, self.table2 = np.full(k * TABLE, NONE, np.int32), np.full(k * TABLE, NONE, np.int32)
         self.at = np.arange(k)
         self.hit1, self.hit2 = (np.tile([0.0, 0.2, 0.4, 0.6], k) for _ in range(2))
         self.w1 = self.w2 = np.full(k, 1 / 3)
         self.w0 = np.full(k, 1 / 3)
         self.last = self.before = np.zeros(k, np.int64)
-        self.seen = np.zeros(k * self.a, np.uint16)
+        self.seen = np.zeros(k * self.a, np.int32)
         self.rebuild(0)
 
     def rebuild(self, step: int) -> None:
         """Order-0 frequencies of every lane, each at least 1 of 1 << bits."""
-        share = self.prior * PRIOR if not step else self.seen.reshape(self.k, self.a) + self.prior * PRIOR
-        f = 1 + np.floor(share / (PRIOR + step) * ((1 << self.bits) - self.a)).astype(np.int32)
-        f = np.broadcast_to(f, (self.k, self.a)).copy()
+        part = ((1 << self.bits) - self.a) / (PRIOR + step)
+        f = np.floor(self.prior * (PRIOR * part)).astype(np.int32) + (self.seen.reshape(self.k, self.a) * int(part) + 1 if step else np.ones((self.k, 1), np.int32))
         c = np.zeros((self.k, self.a + 1), np.int32)
         f[:, -1] += (1 << self.bits) - f.sum(1, dtype=np.int32)
         np.cumsum(f, axis=1, out=c[:, 1:])
@@ -87,7 +86,7 @@ class Lanes:
         self.i1 = self.at * TABLE + (self.last & (TABLE - 1))
         self.i2 = self.at * TABLE + ((self.last * 2_654_435_761 + self.before * 40_503 >> 7) & (TABLE - 1))
         e1, e2 = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.c1, self.c2, self.k1, self.k2 = e1 & 0xFFFFF, e2 & 0xFFFFF, e1 >> 20, e2 >> 20
+        self.c1, self.c2, self.k1, self.k2 = e1 & NONE, e2 & NONE, e1 >> 20, e2 >> 20
         self.j1, self.j2 = self.at * 4 + self.k1, self.at * 4 + self.k2
         self.p1, self.p2 = self.hit1.take(self.j1), self.hit2.take(self.j2)
         self.f2 = (self.w2 * self.p2 * (1 << TOTAL_BITS)).astype(np.int64)
@@ -115,17 +114,18 @@ class Lanes:
 
     def update(self, s: np.ndarray) -> None:
         """Learn the ids that came. `place0` has looked them up."""
-        m1, m2 = (s == self.c1) & (self.k1 > 0), (s == self.c2) & (self.k2 > 0)
+        m1, m2 = s == self.c1, s == self.c2
         p0 = self.f0 * (1.0 / (1 << self.bits))
         w0 = self.w0 * p0
-        w1 = self.w1 * (self.p1 * m1 + (1.0 - self.p1) * p0)
-        w2 = self.w2 * (self.p2 * m2 + (1.0 - self.p2) * p0)
+        w1 = self.w1 * (p0 + self.p1 * (m1 - p0))
+        w2 = self.w2 * (p0 + self.p2 * (m2 - p0))
         part = (1.0 - SHARE) / (w0 + w1 + w2)
         self.w0, self.w1, self.w2 = w0 * part + SHARE / 3, w1 * part + SHARE / 3, w2 * part + SHARE / 3
-        self.hit1[self.j1] = self.p1 + (0.98 * m1 - self.p1) * 0.03 * (self.k1 > 0)
-        self.hit2[self.j2] = self.p2 + (0.98 * m2 - self.p2) * 0.03 * (self.k2 > 0)
-        for tab, i, k, c, m in ((self.table1, self.i1, self.k1, self.c1, m1), (self.table2, self.i2, self.k2, self.c2, m2)):
-            tab[i] = np.where(m, c + (np.minimum(k + 1, 3) << 20), np.where(k > 1, c + ((k - 1) << 20), s + (1 << 20)))
+        # without an expected id the share of hits stays 0
+        self.hit1[self.j1] = self.p1 * 0.97 + m1 * 0.0294
+        self.hit2[self.j2] = self.p2 * 0.97 + m2 * 0.0294
+        self.table1[self.i1] = s + ((np.minimum(self.k1 * m1, 2) + 1) << 20)
+        self.table2[self.i2] = s + ((np.minimum(self.k2 * m2, 2) + 1) << 20)
         self.seen[self.at * self.a + s] += 1
         self.before, self.last = self.last, s
 
@@ -140,17 +140,15 @@ def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -
     """The 16-bit words of each block of a sequence of places in an alphabet with the given counts."""
     n = len(symbols)
     k, tail = blocks_of(n, block)
-    grid = np.zeros((block, k), np.int64)
-    grid.T.reshape(-1)
     padded = np.zeros(k * block, np.int64)
     padded[:n] = symbols
-    grid[:] = padded.reshape(k, block).T
+    grid = np.ascontiguousarray(padded.reshape(k, block).T)
     lanes = Lanes(k, counts)
     low, rng = np.zeros(k, np.uint64), np.full(k, (1 << 48) - 1, np.uint64)
     out = np.zeros((k, block * 3 // 2 + 8), np.uint16)
     flat, width, size = out.ravel(), out.shape[1], np.zeros(k, np.int64)
     mask48, mask32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
-    full_low, full_rng = low, rng
+    full_low = low
 
     def carry(who: np.ndarray) -> None:
         at = who * width + size[who] - 1
@@ -186,7 +184,6 @@ def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -
         lanes.update(s)
     for _ in range(3):
         emit(full_low, np.arange(len(full_low)))
-    del full_rng
     return [out[i, :size[i]] for i in range(len(size))]
 
 
