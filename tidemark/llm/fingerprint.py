@@ -73,8 +73,8 @@ def in_ranges(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def with_next(ranged: DataFrame, key: str, order: list[str], carry: list[str]) -> DataFrame:
     """Rows of `in_ranges` without the guests, with next_{c}: values of the row that follows."""
     w = Window.partitionBy("range_no").orderBy("guest", *[F.desc_nulls_last(c) for c in (key, *order)])
-    seen = ranged.withColumn("after", F.lead(F.struct(*carry)).over(w)).filter("NOT guest")
-    return seen.select(*[c for c in ranged.columns if c not in ("guest", "range_no")], *[F.col(f"after.{c}").alias(f"next_{c}") for c in carry])
+    seen = ranged.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+    return seen.filter("NOT guest").drop("guest", "range_no")
 
 
 _SHINGLES = lambda w: f"CASE WHEN len({w}) = 0 THEN []::VARCHAR[] WHEN len({w}) <= {WORDS} THEN [left(md5(array_to_string({w}, ' ')), {HEX})] ELSE list_transform(range(1, len({w}) - {WORDS - 2}), lambda i: left(md5(array_to_string({w}[i:i + {WORDS - 1}], ' ')), {HEX})) END"
