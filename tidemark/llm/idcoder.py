@@ -303,7 +303,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                part, seq, names, ids = read_file(data.as_py())
+                image = data.as_py()
+                if not image:       # the sink leaves an empty file where there are no rows
+                    continue
+                part, seq, names, ids = read_file(image)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(names)), pa.array([seq] * len(names)), pa.array(range(len(names)), pa.int64()), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                                                  names=["part", "seq", "place", "doc_id", "ids"])
     return files.mapInArrow(run, kinds)

@@ -138,15 +138,15 @@ def _sql() -> str:
     fence = lambda m, s: f"({pick(f'{m}_q75' if s > 0 else f'{m}_q25')}) {'+' if s > 0 else '-'} greatest({FACTOR} * (({pick(f'{m}_q75')}) - ({pick(f'{m}_q50' if s > 0 and m not in LOWER else f'{m}_q25')})), {MARGIN[m]})"
     m = lambda k: f"{MEASURES[k][0]} * 1000 // greatest({MEASURES[k][1]}, 1)"
     inside = " AND ".join([f"coalesce({m(k)} <= l.{k}_max, true)" for k in MEASURES] + [f"coalesce({m(k)} >= l.{k}_min, true)" for k in LOWER])
-    return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-  tri AS (SELECT doc_id, w, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] AS g FROM d),
-  pos AS (SELECT doc_id, unnest(g) AS s, unnest(range(1, len(g) + 1)) AS i FROM tri),
-  rep AS (SELECT doc_id, i FROM pos QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
-  cov AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM rep) GROUP BY 1),
-  ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  tri AS (SELECT r, w, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] AS g FROM d),
+  pos AS (SELECT r, unnest(g) AS s, unnest(range(1, len(g) + 1)) AS i FROM tri),
+  rep AS (SELECT r, i FROM pos QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+  cov AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM rep) GROUP BY 1),
+  ln AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
   s0 AS (SELECT doc_id, lang, source, len(w) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
-    coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines FROM d JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+    coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines FROM d JOIN ln USING (r) LEFT JOIN cov USING (r)),
   st AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s0),
   sk AS (SELECT lang, source, measure, {bucket('v')} AS bucket, count(*) AS n FROM ({values}) GROUP BY ALL),
   own AS ({quart('lang, source')}), wide AS ({quart('lang')}),

@@ -181,7 +181,7 @@ _SQL = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '
   k AS (SELECT *, CASE WHEN n >= {MIN_SHARED} THEN max(page_id) OVER (PARTITION BY dg) END AS top, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '', 's') AS rest FROM p),
   u AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS host FROM k),
   v AS (SELECT *, array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[.]', ''), '.')), ',') || ')' || substr(rest, length(host) + 1) AS url_key FROM u)
-SELECT page_id, n AS payload_bytes, dg AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to,
+SELECT page_id, n AS payload_bytes, dg AS payload_digest, CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to,
   url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS place FROM v"""
 
 
