@@ -130,13 +130,14 @@ def price_outliers(spark, d):
     return G.price_outliers(S.build_series(line_obs(spark, d))).select("entity_id", day("obs_date"), "price", F.round("mean_7", 4).alias("mean_7"))
 
 
-@R.add("adopt_proposals", """WITH p AS (SELECT o_custkey AS q, arg_max((CASE o_orderkey % 3 WHEN 0 THEN 'merge_to' WHEN 1 THEN 'create_entity' ELSE 'hold' END, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey END, o_totalprice / 500000), o_totalprice) v FROM orders GROUP BY 1),
+@R.add("adopt_proposals", """WITH a AS (SELECT o_custkey AS q, CASE o_orderkey % 3 WHEN 0 THEN 'merge_to' WHEN 1 THEN 'create_entity' ELSE 'hold' END AS act, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey END AS tgt, floor(o_totalprice / 25000) / 20 AS conf FROM orders),
+  p AS (SELECT q, (act, tgt, conf) AS v FROM a QUALIFY row_number() OVER (PARTITION BY q ORDER BY conf DESC, act, tgt NULLS LAST) = 1),
   j AS (SELECT c_custkey, v[1] a, v[2] t, v[3] >= 0.8 AND (v[1] = 'create_entity' OR (v[1] = 'merge_to' AND v[2] IS NOT NULL)) AS ok FROM customer LEFT JOIN p ON q = c_custkey)
   SELECT c_custkey AS quarantine_id, CASE WHEN ok THEN a ELSE 'stays' END AS outcome, CASE WHEN ok THEN t END AS target_entity_id FROM j""")
 def adopt_proposals(spark, d):
     k = F.col("o_orderkey")
     p = table(spark, d, "orders").select(F.col("o_custkey").alias("quarantine_id"), F.when(k % 3 == 0, "merge_to").when(k % 3 == 1, "create_entity").otherwise("hold").alias("action"),
-                                         F.when(k % 6 == 0, k).alias("target_entity_id"), (F.col("o_totalprice") / 500000).alias("confidence"))
+                                         F.when(k % 6 == 0, k).alias("target_entity_id"), (F.floor(F.col("o_totalprice") / 25000) / 20).alias("confidence"))
     return G.adopt_proposals(table(spark, d, "customer").select(F.col("c_custkey").alias("quarantine_id")), p)
 
 

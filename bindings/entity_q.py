@@ -121,21 +121,22 @@ def lineage_expand(spark, d):
                                       F.min("low_price").alias("min_price"))
 
 
-CHANGES = """ch AS (SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'retire' END AS action,
+CHANGES = """one AS (SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'retire' END AS action,
     CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 2 - p_partkey % 4 END AS entity_id, CASE WHEN p_partkey % 13 = 0 THEN 'WOOD' ELSE p_type END AS category,
     CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS series, CASE WHEN p_partkey % 2 = 0 THEN p_size || 'GB' ELSE p_size || 'TB' END AS spec,
-    p_brand AS brand FROM part)"""
+    p_brand AS brand FROM part),
+  ch AS (SELECT * FROM one UNION ALL SELECT seq + 10000000, action, CASE WHEN seq % 10 = 0 THEN entity_id WHEN action <> 'create' THEN seq + 1 END, category, series, spec, brand FROM one WHERE seq % 5 = 0)"""
 
 
 @R.add("apply_entity_changes", f"""WITH {CHANGES},
-  newest AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY coalesce(CAST(entity_id AS VARCHAR), category || '|' || series || '|' || spec)
-    ORDER BY seq DESC) = 1),
-  holder AS (SELECT p_type category, p_name series, p_size || 'GB' spec, min(p_partkey) h FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL)
-  SELECT seq, action, entity_id, category, series, spec, CASE
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY coalesce(CAST(entity_id AS VARCHAR), category || '|' || series || '|' || spec) ORDER BY seq DESC) AS age FROM ch),
+  holder AS (SELECT p_type category, p_name series, p_size || 'GB' spec, min(p_partkey) h FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL),
+  o AS (SELECT *, CASE WHEN age > 1 THEN 'superseded'
     WHEN action <> 'create' AND entity_id NOT IN (SELECT p_partkey FROM part) THEN 'unknown_entity' WHEN action = 'retire' THEN 'retired'
     WHEN series = '' THEN 'bad:identity' WHEN category = 'WOOD' THEN 'bad:category'
-    WHEN brand IN ('Brand#1', 'Brand#2') THEN 'bad:brand' WHEN h IS NOT NULL AND h IS DISTINCT FROM entity_id THEN 'conflict'
-    WHEN action = 'create' THEN 'created' ELSE 'updated' END AS outcome FROM newest LEFT JOIN holder USING (category, series, spec)""")
+    WHEN brand IN ('Brand#1', 'Brand#2') THEN 'bad:brand' WHEN h IS NOT NULL AND h IS DISTINCT FROM entity_id THEN 'conflict' END AS refused FROM ranked LEFT JOIN holder USING (category, series, spec))
+  SELECT seq, action, entity_id, category, series, spec, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY refused IS NULL, category, series, spec ORDER BY seq) > 1 THEN 'conflict'
+    WHEN action = 'create' THEN 'created' ELSE 'updated' END) AS outcome FROM o""")
 def apply_entity_changes(spark, d):
     return E.apply_entity_changes(part_entities(spark, d), changes(spark, d), TYPES, BRANDS)
 
@@ -145,14 +146,17 @@ BRANDS = tuple(f"Brand#{i}" for i in range(3, 100))
 
 
 def changes(spark, d):
+    """Requests made of the parts; a later half repeats some targets, and every fifth asks for its neighbour's identity."""
     p = table(spark, d, "part")
     k = F.col("p_partkey")
-    return p.select(
+    one = p.select(
         k.alias("seq"), F.when(k % 3 == 0, "create").when(k % 3 == 1, "update").otherwise("retire").alias("action"),
         F.when(k % 3 > 0, k * 2 - k % 4).alias("entity_id"), F.when(k % 13 == 0, "WOOD").otherwise(F.col("p_type")).alias("category"),
         F.when(k % 17 == 0, "").otherwise(F.col("p_name")).alias("series"),
         F.concat(F.col("p_size").cast("string"), F.when(k % 2 == 0, "GB").otherwise("TB")).alias("spec"),
         F.col("p_brand").alias("brand"))
+    again = one.filter("seq % 5 = 0").withColumns({"seq": F.col("seq") + 10_000_000, "entity_id": F.when(F.col("seq") % 10 == 0, F.col("entity_id")).otherwise(F.when(F.col("action") != "create", F.col("seq") + 1))})
+    return one.unionByName(again)
 
 
 @R.add("merge_entity_changes")
@@ -169,6 +173,21 @@ SQL["merge_entity_changes"] = f"""WITH o AS ({SQL['apply_entity_changes']})
   FROM part LEFT JOIN (SELECT * FROM o WHERE outcome IN ('updated', 'retired')) o ON o.entity_id = p_partkey"""
 
 
+@R.add("rebind_identities")
+def rebind_identities(spark, d):
+    """Listings named by part identity follow the updates of their parts."""
+    ents = part_entities(spark, d)
+    rows = ents.select("category", "series", "spec", F.col("entity_id").alias("listing_id"))
+    out = E.rebind_identities(rows, ents, E.apply_entity_changes(ents, changes(spark, d), TYPES, BRANDS))
+    return out.select("listing_id", "category", "series", "spec", "rebound")
+
+
+SQL["rebind_identities"] = f"""WITH o AS ({SQL['apply_entity_changes']}),
+  m AS (SELECT p_type, p_name, p_size, arg_min((o.category, o.series, o.spec), p_partkey) AS n FROM part JOIN o ON o.entity_id = p_partkey AND o.outcome = 'updated' WHERE p_partkey % 7 <> 0 GROUP BY ALL)
+  SELECT p.p_partkey AS listing_id, coalesce(n[1], p.p_type) AS category, coalesce(n[2], p.p_name) AS series, coalesce(n[3], p.p_size || 'GB') AS spec, n IS NOT NULL AS rebound
+  FROM part p LEFT JOIN m USING (p_type, p_name, p_size)"""
+
+
 def users(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")

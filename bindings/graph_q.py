@@ -51,7 +51,7 @@ def dependents(spark, d):
   roots AS (SELECT task_id AS root FROM tasks WHERE status = 'DEAD_LETTER'),
   walk AS (SELECT root, root AS node FROM roots UNION SELECT w.root, d.task_id FROM walk w JOIN deps d ON d.dep = w.node
     JOIN tasks t ON t.task_id = d.task_id AND t.status IN ('PENDING', 'BLOCKED', 'READY'))
-  SELECT node AS task_id, root AS cascaded_from FROM walk WHERE node <> root""")
+  SELECT node AS task_id, min(root) AS cascaded_from FROM walk WHERE node NOT IN (SELECT root FROM roots) GROUP BY 1""")
 def cancel_closure(spark, d):
     t = tasks(spark, d)
     return G.cancel_closure(t, t.filter("status = 'DEAD_LETTER'")).drop("plan_id")

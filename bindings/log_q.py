@@ -353,9 +353,9 @@ def price_gap_days(spark, d):
 
 
 @R.add("idempotent_insert", """WITH old AS (SELECT o_custkey AS task_id, 'k' || o_custkey || '/' || (o_orderkey % 3) AS k FROM orders WHERE o_orderkey % 2 = 0),
-  inc AS (SELECT o_orderkey AS pos, o_custkey AS task_id, 'k' || o_custkey || '/' || (o_orderkey % 3) AS k, row_number() OVER (PARTITION BY 'k' || o_custkey || '/' || (o_orderkey % 3) ORDER BY o_orderkey) rn
-    FROM orders WHERE o_orderkey % 2 = 1)
-  SELECT pos, CASE WHEN k IN (SELECT k FROM old) OR rn > 1 THEN 'already_exists' WHEN task_id IN (SELECT task_id FROM old) THEN 'conflict' ELSE 'inserted' END AS outcome FROM inc""")
+  inc AS (SELECT o_orderkey AS pos, o_custkey AS task_id, 'k' || o_custkey || '/' || (o_orderkey % 3) AS k, o_custkey IN (SELECT task_id FROM old) AS had,
+    first_value('k' || o_custkey || '/' || (o_orderkey % 3)) OVER w AS k1, row_number() OVER w AS rn FROM orders WHERE o_orderkey % 2 = 1 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+  SELECT pos, CASE WHEN k IN (SELECT k FROM old) THEN 'already_exists' WHEN had THEN 'conflict' WHEN rn = 1 THEN 'inserted' WHEN k = k1 THEN 'already_exists' ELSE 'conflict' END AS outcome FROM inc""")
 def idempotent_insert(spark, d):
     o = table(spark, d, "orders").select(
         F.lit("p").alias("plan_id"), F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("pos"),

@@ -206,16 +206,18 @@ def merge_outcomes(spark, d):
     return m.groupBy("outcome").agg(F.count("*").alias("n_keys"), F.sum("n_rows").alias("n_rows"))
 
 
-@R.add("dedupe_rows", """WITH r AS (SELECT l_suppkey, l_quantity, CAST(l_shipdate AS DATE) AS dt, l_returnflag, l_linenumber % 2 AS p FROM lineitem)
-  SELECT DISTINCT l_suppkey AS shop_name, l_returnflag AS shop_platform, CAST(dt AS VARCHAR) AS obs_date, l_quantity AS low_price FROM r
+@R.add("dedupe_rows", """WITH r AS (SELECT l_suppkey, l_quantity, CAST(l_shipdate AS DATE) AS dt, l_returnflag, l_orderkey * 10 + l_linenumber AS pos, l_partkey, l_linenumber % 2 AS p FROM lineitem)
+  SELECT l_suppkey AS shop_name, l_returnflag AS shop_platform, CAST(dt AS VARCHAR) AS obs_date, l_quantity AS low_price, l_partkey AS spec FROM r
   WHERE p = 0 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.p = 1 AND x.l_suppkey = r.l_suppkey AND x.l_quantity = r.l_quantity
-    AND x.dt = r.dt AND x.l_returnflag = r.l_returnflag)""")
+    AND x.dt = r.dt AND x.l_returnflag = r.l_returnflag)
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag, dt, l_quantity ORDER BY pos) = 1""")
 def dedupe_rows(spark, d):
     li = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("shop_name"), F.col("l_returnflag").alias("shop_platform"),
-        F.to_date("l_shipdate").alias("obs_date"), F.col("l_quantity").alias("low_price"), "l_linenumber")
+        F.to_date("l_shipdate").alias("obs_date"), F.col("l_quantity").alias("low_price"), "l_linenumber", F.col("l_partkey").alias("spec"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     new, old = li.filter("l_linenumber % 2 = 0").drop("l_linenumber"), li.filter("l_linenumber % 2 = 1")
-    return O.dedupe_rows(new, old).select("shop_name", "shop_platform", day("obs_date"), "low_price")
+    return O.dedupe_rows(new, old).select("shop_name", "shop_platform", day("obs_date"), "low_price", "spec")
 
 
 @R.add("append_rows", """SELECT event_type, count(*) AS n, count(tag) AS n_tagged FROM (SELECT event_type, NULL AS tag FROM events

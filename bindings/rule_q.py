@@ -168,8 +168,8 @@ def rule_outcome(spark, d):
 
 INBOX = """WITH t AS (SELECT p_partkey, p_partkey % 15 AS m, 'task_' || p_partkey AS tid FROM part)
   SELECT p_partkey, CASE m WHEN 0 THEN 'file_too_large:200000>102400' WHEN 1 THEN 'bad_task_id:Task-' || p_partkey WHEN 2 THEN 'absolute_path_not_allowed:/x' WHEN 3 THEN 'path_traversal:artifacts/2024-01-01/../y'
-    WHEN 4 THEN 'path_outside_daily_dir:x/y' WHEN 5 THEN 'shell_metachar_in_cmd:pytest tests/a; rm' WHEN 6 THEN 'cmd_option_injection' WHEN 7 THEN 'cmd_not_whitelisted:ls x'
-    WHEN 8 THEN 'business_rule_without_expr' WHEN 9 THEN 'needs_web_requires_freshness' WHEN 10 THEN 'schema_invalid:priority' WHEN 11 THEN 'schema_invalid:privacy' WHEN 12 THEN 'schema_invalid:objective' END AS reason,
+    WHEN 4 THEN CASE WHEN p_partkey % 2 = 1 THEN 'path_outside_daily_dir:artifacts/2024-01-01/a b.md' ELSE 'path_outside_daily_dir:x/y' END WHEN 5 THEN 'shell_metachar_in_cmd:pytest tests/a; rm' WHEN 6 THEN 'cmd_option_injection' WHEN 7 THEN 'cmd_not_whitelisted:ls x'
+    WHEN 8 THEN CASE WHEN p_partkey % 2 = 1 THEN 'bad_expr_node:r1' ELSE 'business_rule_without_expr' END WHEN 9 THEN 'needs_web_requires_freshness' WHEN 10 THEN 'schema_invalid:priority' WHEN 11 THEN 'schema_invalid:privacy' WHEN 12 THEN 'schema_invalid:objective' END AS reason,
     CASE WHEN m = 13 THEN 'given' WHEN m = 14 THEN 'pipeline/' || tid || '/' || sha256('in' || p_partkey) WHEN m = 1 THEN 'pipeline/Task-' || p_partkey ELSE 'pipeline/' || tid END AS idempotency_key FROM t"""
 
 
@@ -181,7 +181,11 @@ def validate_tasks(spark, d):
     def rule(path=s, cmd=s, kind=F.lit("file_exists")):
         return F.array(F.struct(s.alias("rule_id"), kind.alias("type"), path.alias("path"), cmd.alias("cmd"), s.alias("schema_ref"), s.alias("expr")))
 
-    acc = (F.when(m == 2, rule(F.lit("/x"))).when(m == 3, rule(F.lit("artifacts/2024-01-01/../y"))).when(m == 4, rule(F.lit("x/y")))
+    def expr(e):
+        return F.array(F.struct(F.lit("r1").alias("rule_id"), F.lit("business_rule").alias("type"), s.alias("path"), s.alias("cmd"), s.alias("schema_ref"), F.lit(e).alias("expr")))
+
+    odd = k % 2 == 1
+    acc = (F.when((m == 4) & odd, rule(F.lit("artifacts/2024-01-01/a b.md"))).when((m == 8) & odd, expr("open('x') > 1")).when((m == 14) & odd, expr("a > 1 and (b in ['p(q).r'])")).when(m == 2, rule(F.lit("/x"))).when(m == 3, rule(F.lit("artifacts/2024-01-01/../y"))).when(m == 4, rule(F.lit("x/y")))
            .when(m == 5, rule(cmd=F.lit("pytest tests/a; rm"))).when(m == 6, rule(cmd=F.lit(" -c x"))).when(m == 7, rule(cmd=F.lit("ls x")))
            .when(m == 8, rule(kind=F.lit("business_rule"))).otherwise(rule(F.lit("artifacts/2024-01-01/a.md"), F.lit("pytest tests/a"))))
     t = table(spark, d, "part").select(

@@ -136,8 +136,16 @@ def estimate_tokens(spark, d):
 
 
 _W = r"[\p{L}\p{N}\p{M}_.-]"
-PII_SQL = [("id_card", "(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])"), ("phone", "(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])"),
-           ("bank", "(^|[^0-9])[0-9]{16,19}($|[^0-9])"),
+#: Every seventh document writes its digits in full width.
+WIDE_SQL = "CASE WHEN doc_id % 7 = 0 THEN translate(text, '0123456789', '０１２３４５６７８９') ELSE text END"
+
+
+def wide():
+    return F.when(F.col("doc_id") % 7 == 0, F.translate("text", "0123456789", "０１２３４５６７８９")).otherwise(F.col("text"))
+
+
+PII_SQL = [("id_card", r"(^|\P{Nd})\p{Nd}{17}[\p{Nd}Xx]($|\P{Nd})"), ("phone", r"(^|\P{Nd})1[3-9]\p{Nd}{9}($|\P{Nd})"),
+           ("bank", r"(^|\P{Nd})\p{Nd}{16,19}($|\P{Nd})"),
            ("api_key", r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*\S+"),
            ("email", rf"{_W}+@{_W}+\.[\p{{L}}\p{{N}}\p{{M}}_]+")]
 
@@ -148,13 +156,13 @@ PII_SQL = [("id_card", "(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])"), ("phone", "(^|[^
        + ") AS flags FROM documents)")
 def pii_flags(spark, d):
     declared = F.when(F.col("doc_id") % 50 == 0, "secret").when(F.col("doc_id") % 3 == 0, "internal").otherwise("public")
-    flags = T.pii_flags(F.col("text"))
+    flags = T.pii_flags(wide())
     return table(spark, d, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"),
                                                T.privacy_class(flags, declared).alias("privacy"))
 
 
 def _redact_sql() -> str:
-    s = "text"
+    s = WIDE_SQL
     for k, p in PII_SQL:
         if k in ("id_card", "phone", "bank"):
             for _ in range(2):      # neighbours share a border character, so one pass is not enough
@@ -166,7 +174,7 @@ def _redact_sql() -> str:
 
 @R.add("redact", _redact_sql())
 def redact(spark, d):
-    r = T.redact(F.col("text"))
+    r = T.redact(wide())
     return table(spark, d, "documents").select("doc_id", F.md5(r.cast("binary")).alias("digest"),
                                                F.length(r).cast("long").alias("n_chars"))
 

@@ -98,15 +98,17 @@ LIMIT_TEXTS = ("rate limit", "rate_limit", "ratelimit", "too many requests", "qu
 TASK_ID = "^[a-z0-9_]{1,64}$"
 SHELL_META = "[;|&`$><\\n\\r]"
 CMD_PREFIXES = ("pytest tests/", "python tests/", "python -m pytest tests/")
-DAILY_PATH = r"^artifacts/\d{4}-\d{2}-\d{2}/"
+# calls, attributes, arithmetic, comprehensions and lambdas have no place in a comparison
+EXPR_FORBIDDEN = r"[A-Za-z0-9_)\]]\s*\(|[A-Za-z_)\]]\s*\.|\b(lambda|for|if|else|await|yield)\b|[+*/%@^~|&]|[A-Za-z0-9_)\]]\s*-|:=|<<|>>"
+DAILY_PATH = r"^artifacts/\d{4}-\d{2}-\d{2}/[A-Za-z0-9._\-/]*$"
 
 # --- privacy ------------------------------------------------------------------------------
-# kind -> (Java regex; digits guarded by lookaround because \b is no border next to CJK)
+# kind -> Java regex; digits and spaces of all scripts; lookaround because \b is no border next to CJK
 PII = {
-    "id_card": r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])",
-    "phone": r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])",
-    "bank": r"(?<![0-9])[0-9]{16,19}(?![0-9])",
-    "api_key": r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*\S+",
+    "id_card": r"(?U)(?<!\d)\d{17}[\dXx](?!\d)",
+    "phone": r"(?U)(?<!\d)1[3-9]\d{9}(?!\d)",
+    "bank": r"(?U)(?<!\d)\d{16,19}(?!\d)",
+    "api_key": r"(?iU)(api[_-]?key|secret|token)\s*[:=]\s*\S+",
     "email": r"(?U)[\w.-]+@[\w.-]+\.\w+",
 }
 

@@ -97,7 +97,7 @@ def _pii_guard(kind: str, c: Column) -> Column:
         return F.contains(c, F.lit("@"))
     if kind == "api_key":
         return F.rlike(c, F.lit("[:=]"))
-    return F.rlike(c, F.lit("[0-9]{11}"))
+    return F.rlike(c, F.lit("(?U)\\d{11}"))
 
 
 def pii_flags(col: Column) -> Column:

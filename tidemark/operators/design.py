@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import first_per_key
+
 from tidemark.functions.stats import safe_pct
 
 # fixed values: periods each metric needs
@@ -146,8 +148,9 @@ def price_outliers(series: DataFrame, keys: Sequence[str] = ("entity_id",), limi
 
 
 def adopt_proposals(quarantine: DataFrame, proposals: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Outcome of model proposals for quarantined rows: merge_to, create_entity, or stays."""
-    p = proposals.groupBy("quarantine_id").agg(F.max_by(F.struct("action", "target_entity_id", "confidence"), "confidence").alias("_p"))
+    """Outcome of model proposals for quarantined rows: merge_to, create_entity, or stays. The surest proposal counts; of equally sure ones the smallest by action and target."""
+    p = first_per_key(proposals, ["quarantine_id"], [F.col("confidence").desc_nulls_last(), F.col("action").asc_nulls_last(), F.col("target_entity_id").asc_nulls_last()])
+    p = p.select("quarantine_id", F.struct("action", "target_entity_id", "confidence").alias("_p"))
     j = quarantine.join(p, "quarantine_id", "left")
     sure = F.coalesce(F.col("_p.confidence") >= threshold, F.lit(False))
     ok = (F.col("_p.action") == "create_entity") | ((F.col("_p.action") == "merge_to") & F.col("_p.target_entity_id").isNotNull())

@@ -102,28 +102,40 @@ def lineage_expand(obs: DataFrame, lineage: DataFrame) -> DataFrame:
 
 
 def apply_entity_changes(entities: DataFrame, changes: DataFrame, categories, brands) -> DataFrame:
-    """Outcome of create / update / retire requests (newest request per target wins).
+    """Outcome of every create / update / retire request.
 
-    changes: seq, action, entity_id, category, series, spec, brand. An identity held by another active
-    entity is a conflict; observations are never touched.
+    changes: seq, action, entity_id, category, series, spec, brand. Only the newest request per target counts, earlier ones are superseded. An identity held by another
+    active entity is a conflict; of several requests for one identity the earliest gets it. An identity given up in this batch is free from the next one on. Observations are never touched.
     """
-    newest = first_per_key(
-        changes.withColumn("_target", F.coalesce(F.col("entity_id").cast("string"), F.concat_ws("|", *IDENTITY))),
-        ["_target"], [F.col("seq").desc()])
+    target = F.coalesce(F.col("entity_id").cast("string"), F.concat_ws("|", *IDENTITY))
+    last = changes.groupBy(target.alias("_target")).agg(F.max("seq").alias("_last"))
+    asked = changes.withColumn("_target", target).join(last, "_target")
     holder = entities.filter("active").groupBy(*IDENTITY).agg(F.min("entity_id").alias("holder_id"))
     known = entities.select("entity_id", F.lit(True).alias("_known"))
-    j = newest.join(holder, list(IDENTITY), "left").join(known, "entity_id", "left")
+    j = asked.join(holder, list(IDENTITY), "left").join(known, "entity_id", "left")
     blank = F.lit(False)
     for k in IDENTITY:
         blank = blank | (F.coalesce(F.col(k), F.lit("")) == "")
     bad = (F.when(blank, "bad:identity").when(~F.col("category").isin(*categories), "bad:category")
            .when((F.coalesce("brand", F.lit("")) != "") & ~F.col("brand").isin(*brands), "bad:brand"))
-    outcome = F.coalesce(
+    refused = F.coalesce(
+        F.when(F.col("seq") < F.col("_last"), "superseded"),
         F.when((F.col("action") != "create") & F.col("_known").isNull(), "unknown_entity"),
         F.when(F.col("action") == "retire", "retired"), bad,
-        F.when(F.col("holder_id").isNotNull() & ~F.col("holder_id").eqNullSafe(F.col("entity_id")), "conflict"),
-        F.when(F.col("action") == "create", "created"), F.lit("updated"))
-    return j.select("seq", "action", "entity_id", *IDENTITY, outcome.alias("outcome"))
+        F.when(F.col("holder_id").isNotNull() & ~F.col("holder_id").eqNullSafe(F.col("entity_id")), "conflict"))
+    j = j.withColumn("_o", refused)
+    winner = j.filter("_o IS NULL").groupBy(*IDENTITY).agg(F.min("seq").alias("_winner"))
+    outcome = F.coalesce("_o", F.when(F.col("seq") > F.col("_winner"), "conflict").when(F.col("action") == "create", "created").otherwise("updated"))
+    return j.join(winner, list(IDENTITY), "left").select("seq", "action", "entity_id", *IDENTITY, outcome.alias("outcome"))
+
+
+def rebind_identities(rows: DataFrame, entities: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Registry or seed rows that carry an identity: those bound to an entity's old identity take its new one; `rebound` says which."""
+    new = outcomes.filter("outcome = 'updated'").select("entity_id", F.struct(*IDENTITY).alias("_new"))
+    moved = entities.filter("active").join(new, "entity_id").groupBy(*IDENTITY).agg(F.min_by("_new", "entity_id").alias("_new"))
+    j = rows.join(moved, list(IDENTITY), "left")
+    rest = [c for c in rows.columns if c not in IDENTITY]
+    return j.select(*[F.coalesce(f"_new.{k}", k).alias(k) for k in IDENTITY], *rest, F.col("_new").isNotNull().alias("rebound"))
 
 
 def merge_entity_changes(entities: DataFrame, outcomes: DataFrame) -> DataFrame:

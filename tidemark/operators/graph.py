@@ -13,11 +13,11 @@ from tidemark import fixed
 from tidemark.session import Rounds, cut_lineage
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) pairs connected by a path of edges, by path doubling (log2 of the depth in rounds)."""
     reach = cut_lineage(edges.select("src", "dst").distinct())
     size = reach.count()
-    for _ in range(max_rounds):
+    while True:
         step = (reach.select("src", F.col("dst").alias("mid"))
                 .join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst"))
         grown = cut_lineage(reach.union(step).distinct())
@@ -26,53 +26,48 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         size = new_size
         if new_size == old:
             return reach
-    raise RuntimeError("closure did not settle")
 
 
-def reach_from(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None,
-               max_rounds: int = 10_000) -> DataFrame:
-    """(root, node) pairs reached along src -> dst; nodes outside `allowed` stop the walk and are left out.
+def first_root(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(node, root): every node reached along src -> dst, with the smallest root that reaches it; nodes outside `allowed` stop the walk and are left out.
 
-    roots: one column `node` (each its own root). Only the frontier is joined in each round.
+    roots: one column `node` (each its own root, and kept as such). A round takes only the nodes whose root has just become smaller.
     """
     edges = edges.select("src", "dst").distinct()
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
     edges = cut_lineage(edges)
     rounds = Rounds(edges.sparkSession)
-    frontier = rounds.add(roots.select(F.col("node").alias("root"), "node").distinct())
-    for _ in range(max_rounds):
-        nxt = (frontier.join(edges, frontier["node"] == edges["src"])
-               .select("root", F.col("dst").alias("node")).distinct()
-               .join(rounds.all(), ["root", "node"], "left_anti"))
-        frontier = rounds.add(nxt)
+    frontier = rounds.add(roots.select("node", F.col("node").alias("root")).distinct())
+    while True:
+        pushed = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("root"))
+        known = rounds.all().groupBy("node").agg(F.min("root").alias("_had"))
+        frontier = rounds.add(pushed.join(known, "node", "left").filter("_had IS NULL OR root < _had").select("node", "root"))
         if frontier.isEmpty():
-            return rounds.all()
-    raise RuntimeError("walk did not end")
+            return rounds.all().groupBy("node").agg(F.min("root").alias("root"))
 
 
-def mark_reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def mark_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached from any seed along src -> dst, seeds included (one row per node)."""
     edges = cut_lineage(edges.select("src", "dst").distinct())
     rounds = Rounds(edges.sparkSession)
     frontier = rounds.add(seeds.select("node").distinct())
-    for _ in range(max_rounds):
+    while True:
         nxt = (edges.join(frontier, edges["src"] == frontier["node"], "left_semi")
                .select(F.col("dst").alias("node")).distinct().join(rounds.all(), "node", "left_anti"))
         frontier = rounds.add(nxt)
         if frontier.isEmpty():
             return rounds.all()
-    raise RuntimeError("walk did not end")
 
 
-def trim_leaves(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def trim_leaves(edges: DataFrame) -> DataFrame:
     """Edges left after repeatedly dropping nodes that lack an incoming or an outgoing edge.
 
     Every remaining node lies on a cycle or between two cycles; an acyclic graph leaves nothing.
     """
     cur = cut_lineage(edges.select("src", "dst").distinct())
     size = cur.count()
-    for i in range(max_rounds):
+    while True:
         if size == 0:
             return cur
         nxt = (cur.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -82,10 +77,9 @@ def trim_leaves(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if left == size:
             return cur
         cur, size = nxt, left
-    raise RuntimeError("trimming did not end")
 
 
-def cycle_members(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def cycle_members(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle.
 
     Colour propagation: each node takes the largest id that reaches it; a node whose own id is its
@@ -94,7 +88,7 @@ def cycle_members(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """
     found = None
     rest = trim_leaves(edges)
-    for _ in range(max_rounds):
+    while True:
         if rest.isEmpty():
             break
         colour = _max_colour(rest)
@@ -116,10 +110,10 @@ def cycle_members(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return found.distinct()
 
 
-def _max_colour(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _max_colour(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     colour = cut_lineage(nodes.select("node", F.col("node").alias("colour")))
-    for _ in range(max_rounds):
+    while True:
         pushed = (edges.join(colour, edges["src"] == colour["node"])
                   .groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_in")))
         nxt = cut_lineage(colour.join(pushed, "node", "left").select(
@@ -128,7 +122,6 @@ def _max_colour(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if nxt.filter("_moved").isEmpty():
             return nxt.drop("_moved")
         colour = nxt.drop("_moved")
-    raise RuntimeError("colouring did not settle")
 
 
 def dependency_edges(tasks: DataFrame) -> DataFrame:
@@ -162,11 +155,11 @@ def _node(plan: str, task: str):
 
 
 def cancel_closure(tasks: DataFrame, roots: DataFrame) -> DataFrame:
-    """Not-started tasks downstream of each cancelled root; started tasks stop the walk."""
+    """Not-started tasks downstream of the cancelled roots, one row each with the first root that reaches it; started tasks stop the walk."""
     e = dependency_edges(tasks).select(_node("plan_id", "dep").alias("src"), _node("plan_id", "task_id").alias("dst"))
     ok = tasks.filter(F.col("status").isin(*fixed.NOT_STARTED)).select(_node("plan_id", "task_id").alias("node"))
     r = roots.select(_node("plan_id", "task_id").alias("node"))
-    walk = reach_from(e, r, ok).filter("root <> node")
+    walk = first_root(e, r, ok).join(r, "node", "left_anti")
     return walk.select(F.col("node.plan_id").alias("plan_id"), F.col("node.task_id").alias("task_id"),
                        F.col("root.task_id").alias("cascaded_from"))
 

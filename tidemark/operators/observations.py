@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import first_per_key
+
 from tidemark.functions.text import promo_event
 
 OBS_KEY = ("entity_id", "obs_date", "shop_platform", "shop_name")
@@ -81,9 +83,9 @@ def convert_series(series: DataFrame) -> DataFrame:
 
 
 def dedupe_rows(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New rows whose (shop, platform, date, price) is not on file, one of each within the batch."""
+    """New rows whose (shop, platform, date, price) is not on file; of equal ones in the batch the first by `pos`."""
     key = ["shop_name", "shop_platform", "obs_date", "low_price"]
-    return new.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
+    return first_per_key(new, key, ["pos"]).join(existing.select(*key).distinct(), key, "left_anti")
 
 
 def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

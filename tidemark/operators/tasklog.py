@@ -16,6 +16,7 @@ from tidemark import fixed
 from tidemark.functions.dates import business_date
 from tidemark.operators import graph
 from tidemark.operators.ordered import lag_in_key, top_per_key
+from tidemark.session import cut_lineage
 
 TASK_KEY = ("plan_id", "task_id")
 
@@ -278,16 +279,16 @@ def provider_health(log: DataFrame) -> DataFrame:
 def rule_handoff(results: DataFrame) -> DataFrame:
     """Per task: file and row rules as `rule:ok` / `rule:FAIL detail`, in rule order, at most 2000 characters.
 
-    A rule takes at least five characters, so the 401 first rules fill the text and no task gathers more.
+    Rules without an id leave no word. A word and its separator take at least five characters, so the first 401 words fill the text and no task gathers more.
     """
     judged = results.filter(F.col("type").isin("file_exists", "row_count"))
     passed = judged.groupBy(*TASK_KEY).agg(F.every("ok").alias("passed"))
-    judged = top_per_key(judged, TASK_KEY, ["pos"], 401, "_r")
     word = F.concat("rule_id", F.when(F.col("ok"), ":ok").otherwise(F.concat(F.lit(":FAIL "), F.coalesce("detail", F.lit("")))))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", word.alias("w"))))
-    text = judged.groupBy(*TASK_KEY).agg(
+    said = top_per_key(judged.withColumn("_w", word).filter("_w IS NOT NULL"), TASK_KEY, ["pos"], 401, "_r")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("_w").alias("w"))))
+    text = said.groupBy(*TASK_KEY).agg(
         F.substring(F.array_join(F.transform(ordered, lambda x: x["w"]), "; "), 1, 2000).alias("handoff"))
-    return text.join(passed, list(TASK_KEY))
+    return passed.join(text, list(TASK_KEY), "left").select(*TASK_KEY, F.coalesce("handoff", F.lit("")).alias("handoff"), "passed")
 
 
 def decomposition_view(tasks: DataFrame) -> DataFrame:
@@ -354,14 +355,31 @@ def price_gap_days(jobs: DataFrame, plans: DataFrame, today: str, n_days: int, g
 
 
 def idempotent_insert(tasks: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Outcome per incoming task: already_exists (same key), conflict (same plan and task, other content), inserted."""
-    by_key = tasks.select("idempotency_key", F.lit(True).alias("_same_key")).distinct()
-    by_id = tasks.select(*TASK_KEY, F.lit(True).alias("_same_task")).distinct()
-    first = top_per_key(incoming, ["idempotency_key"], ["pos"], 1, "_r1").drop("_r1").select("pos", F.lit(True).alias("_first"))
-    j = incoming.join(by_key, "idempotency_key", "left").join(by_id, list(TASK_KEY), "left").join(first, "pos", "left")
-    outcome = (F.when(F.col("_same_key") | F.col("_first").isNull(), "already_exists")
-               .when(F.col("_same_task"), "conflict").otherwise("inserted"))
-    return j.withColumn("outcome", outcome).select("pos", *TASK_KEY, "idempotency_key", "outcome")
+    """Outcome per incoming task, decided in the order of `pos` within the batch as against the table.
+
+    already_exists: a task on file or inserted before has its key. conflict: one has its plan and task, under another key. Else it is inserted. A row that was
+    refused gives neither its key nor its task away. In each round the rows that come first both for their key and for their task go in and decide their
+    followers; keys made from plan and task need two rounds.
+    """
+    key, task = ["idempotency_key"], list(TASK_KEY)
+    rest = incoming.select("pos", *task, *key)
+    known = tasks.select(*task, *key)
+    decided = None
+    while True:
+        j = (rest.join(known.select(*key, F.lit(True).alias("_key")).distinct(), key, "left")
+             .join(known.select(*task, F.lit(True).alias("_task")).distinct(), task, "left"))
+        j = cut_lineage(j.withColumn("outcome", F.when(F.col("_key"), "already_exists").when(F.col("_task"), "conflict")).drop("_key", "_task"))
+        free = j.filter("outcome IS NULL").drop("outcome")
+        done = j.filter("outcome IS NOT NULL")
+        decided = done if decided is None else decided.unionByName(done)
+        if free.isEmpty():
+            return decided.select("pos", *task, *key, "outcome")
+        first = lambda keys, out: free.groupBy(*keys).agg(F.min("pos").alias(out))
+        ranked = cut_lineage(free.join(first(key, "_fk"), key).join(first(task, "_ft"), task)
+                             .withColumn("_in", (F.col("pos") == F.col("_fk")) & (F.col("pos") == F.col("_ft"))).drop("_fk", "_ft"))
+        known = ranked.filter("_in").select(*task, *key)
+        decided = decided.unionByName(ranked.filter("_in").select("pos", *task, *key, F.lit("inserted").alias("outcome")))
+        rest = ranked.filter("NOT _in").drop("_in")
 
 
 def alert_level(kind: Column) -> Column:

@@ -152,10 +152,17 @@ def rule_reason(r: Column) -> Column:
         path_reason(r["schema_ref"]))
 
 
+def _bare(expr: Column) -> Column:
+    """An expression with its quoted texts emptied and the words between operands as commas."""
+    return F.regexp_replace(F.regexp_replace(expr, "'[^']*'|\x22[^\x22]*\x22", "''"), r"\b(and|or|not|in|is)\b", ",")
+
+
 def task_reason() -> Column:
     """First failing gate of an inbound task row (columns of schemas.INBOX_TASK plus `bytes`)."""
     rules = F.coalesce("acceptance", F.array().cast("array<struct<rule_id:string,type:string,path:string,cmd:string,"
                                                     "schema_ref:string,expr:string>>"))
+    calc = F.filter(rules, lambda r: (r["type"] == "business_rule") & (F.coalesce(r["expr"], F.lit("")) != ""))
+    bad_expr = _first(F.transform(calc, lambda r: F.when(F.rlike(_bare(r["expr"]), F.lit(fixed.EXPR_FORBIDDEN)), F.concat(F.lit("bad_expr_node:"), F.coalesce(r["rule_id"], F.lit("rule"))))))
     no_expr = F.exists(rules, lambda r: (r["type"] == "business_rule") & (F.coalesce(r["expr"], F.lit("")) == ""))
     needs_web = F.coalesce("needs_web", F.lit(False))
     fresh = F.coalesce("freshness", F.lit("none"))
@@ -168,7 +175,7 @@ def task_reason() -> Column:
         F.when(~F.rlike(F.coalesce("task_id", F.lit("")), F.lit(fixed.TASK_ID)),
                F.concat(F.lit("bad_task_id:"), F.coalesce("task_id", F.lit("")))),
         _first(F.transform(rules, rule_reason)),
-        F.when(no_expr, "business_rule_without_expr"),
+        F.when(no_expr, "business_rule_without_expr"), bad_expr,
         F.when(needs_web & (fresh == "none"), "needs_web_requires_freshness"),
         F.when(F.coalesce("objective", F.lit("")) == "", "schema_invalid:objective"),
         F.when(~F.coalesce("priority", F.lit(10)).between(0, 10), "schema_invalid:priority"),
@@ -177,9 +184,9 @@ def task_reason() -> Column:
 
 
 def default_task_key() -> Column:
-    """Given key, else plan/task[/inputs hash]."""
+    """Given key, else plan/task[/inputs hash]; inputs that are JSON are hashed with their keys in order."""
     ih = F.coalesce(F.when(F.col("inputs_hash") != "", F.col("inputs_hash")),
-                    F.when(F.coalesce("inputs", F.lit("")) != "", F.sha2("inputs", 256)))
+                    F.when(F.coalesce("inputs", F.lit("")) != "", F.sha2(F.coalesce(F.to_json(F.try_parse_json("inputs")), "inputs"), 256)))
     made = F.concat_ws("/", F.coalesce("plan_id", F.lit("pipeline")), F.coalesce("task_id", F.lit("")), ih)
     return F.coalesce(F.when(F.col("idempotency_key") != "", F.col("idempotency_key")), made)
 

@@ -30,8 +30,9 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, key:
     incoming.select(*kept).limit(0).write.mode("append").partitionBy("obs_date").parquet(path)
     schema = incoming.select(*kept).schema
     table = spark.read.schema(schema).parquet(path)
-    dates = incoming.select("obs_date").distinct()
-    touched = table.join(dates, "obs_date", "left_semi")
+    # the touched dates are bounded by the calendar; as literals they prune the table's folders
+    dates = incoming.agg(F.sort_array(F.collect_set("obs_date"))).first()[0]
+    touched = table.filter(F.col("obs_date").isin(*dates)) if dates else table.limit(0)
     merged = cut_lineage(O.upsert_observations(touched, incoming, key, updated))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -68,13 +69,9 @@ def write_evidence_set(sources: DataFrame, claims: DataFrame, reports: DataFrame
     return E.traceability(claims, sources).filter("bad").drop("bad")
 
 
-def plan_documents(tasks: DataFrame, plans: DataFrame, width: int = 100_000) -> DataFrame:
-    """One nested document per plan with its tasks in seq order.
-
-    A plan beyond `width` tasks is continued in further documents (`part` 0, 1, ...), so no row grows without bound.
-    """
-    t = tasks.withColumn("part", F.floor(F.col("seq") / width))
-    docs = t.groupBy("plan_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "task_id", "status", "priority"))).alias("tasks"))
+def plan_documents(tasks: DataFrame, plans: DataFrame) -> DataFrame:
+    """One nested document per plan with all its tasks in seq order; a plan is the unit of the file and held by one row."""
+    docs = tasks.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("seq", "task_id", "status", "priority"))).alias("tasks"))
     return plans.join(docs, "plan_id", "left")
 
 

@@ -176,7 +176,9 @@ def inbox_batch(tasks_path: str, out_path: str) -> Callable[[DataFrame, int], No
         spark = batch.sparkSession
         v = V.validate_tasks(batch)
         v = cut_lineage(v.withColumn("reason", F.when(F.col("bad_json"), "bad_json").otherwise(F.col("reason"))))
-        known = spark.read.schema("plan_id string, task_id string, idempotency_key string").parquet(f"{tasks_path}/*")
+        # a redelivered batch must not meet the tasks it wrote itself
+        known = (spark.read.schema("plan_id string, task_id string, idempotency_key string").parquet(f"{tasks_path}/*")
+                 .filter(~F.contains("_metadata.file_path", F.lit(f"/batch={batch_id}/"))))
         outcome = L.idempotent_insert(known, v.filter("reason is null"))
         rows = cut_lineage(outcome.select("pos", "plan_id", "task_id", "idempotency_key", "outcome", F.lit(None).cast("string").alias("reason"))
                            .unionByName(v.filter("reason is not null").select("pos", "plan_id", "task_id", "idempotency_key",
