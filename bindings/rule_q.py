@@ -58,13 +58,43 @@ def rule_json_schema(spark, d):
     return D.json_schema(table(spark, d, "orders").select("o_orderkey", body.alias("body")), CHECKS, ["o_orderkey"])
 
 
-@R.add("rule_business", """SELECT event_id, 'business_rule' AS rule_id, 'business_rule' AS type, value >= 5 AND CASE WHEN event_id % 9 = 0 THEN false
-    ELSE CAST(json_extract_string(props, '$.k') AS INT) > 20 END AS ok, 'rows >= 5 and k > 20 and mode == x' AS detail FROM events""")
+TREE = {"type": "object", "required": ["as_of", "orders", "note"], "properties": {
+    "as_of": {"type": "string", "minLength": 4},
+    "orders": {"type": "array", "minItems": 3, "maxItems": 12, "allOf": [{"contains": {"type": "object", "required": ["name"], "properties": {"name": {"const": "O"}}}}],
+               "items": {"type": "object", "required": ["name", "lines"], "properties": {
+                   "name": {"type": "string", "enum": ["O", "F"]},
+                   "lines": {"type": "array", "maxItems": 5, "items": {"type": "object", "required": ["rank", "price"], "properties": {
+                       "rank": {"type": "integer", "minimum": 1, "maximum": 4}, "price": {"type": "number", "minimum": 2000}}}}}}}}}
+
+
+@R.add("rule_json_tree", """WITH l AS (SELECT o_custkey, o_orderkey, any_value(o_orderstatus) AS st, count(*) AS n, count(*) FILTER (l_linenumber > 4) AS far, count(*) FILTER (l_partkey % 10 > 0 AND l_extendedprice < 2000) AS cheap,
+      count(*) FILTER (l_partkey % 10 = 0) AS bare FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  c AS (SELECT o_custkey, count(*) AS orders, count(*) FILTER (st NOT IN ('O', 'F')) + count(*) FILTER (n > 5) + sum(far) + sum(cheap) + sum(bare) AS inside, count(*) FILTER (st = 'O') AS named FROM l GROUP BY 1)
+  SELECT o_custkey AS c_custkey, CAST(inside + CASE WHEN orders < 3 THEN 1 ELSE 0 END + CASE WHEN orders > 12 THEN 1 ELSE 0 END + CASE WHEN named = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_problems FROM c""")
+def rule_json_tree(spark, d):
+    """Customers' orders with their lines, two arrays deep."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = F.struct(F.col("l_linenumber").alias("rank"), F.when(F.col("l_partkey") % 10 > 0, F.col("l_extendedprice").cast("double")).alias("price"))
+    per = li.groupBy("o_custkey", "o_orderkey", "o_orderstatus").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    doc = per.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderstatus").alias("name"), "lines")).alias("orders"))
+    k = F.col("o_custkey")
+    body = F.to_json(F.struct(F.when(k % 3 == 0, "x").otherwise("2024").alias("as_of"), "orders", F.when(k % 5 != 0, 1).alias("note")))
+    docs = doc.select(k.alias("c_custkey"), F.try_parse_json(body).alias("v"))
+    return docs.select("c_custkey", F.size(D.tree_problems(F.col("v"), TREE, F.lit("$"))).cast("long").alias("n_problems"))
+
+
+BUSINESS = [{"field": "rows", "op": ">=", "value": 5}, {"json": "k", "op": ">", "value": 20, "default": 0}, {"json": "mode", "op": "==", "value": "x", "default": "x"},
+            {"any": [{"field": "kind", "op": "in", "value": ["view", "click"]}, {"not": {"has": "k"}}, {"json": "k", "op": "<=", "value": {"field": "rows"}, "default": 0}]},
+            {"field": "kind", "op": "not in", "value": ["signup"]}, {"field": "kind", "op": "lacks", "value": "err"}, {"any": [{"json": "k", "op": "contains", "value": "5"}, {"field": "rows", "op": "<", "value": 40}]}]
+
+
+@R.add("rule_business", """WITH e AS (SELECT event_id, event_type, value, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM events)
+  SELECT event_id, 'business_rule' AS rule_id, 'business_rule' AS type, value >= 5 AND coalesce(k, 0) > 20 AND (event_type IN ('view', 'click') OR k IS NULL OR coalesce(k, 0) <= value) AND event_type <> 'signup'
+    AND NOT contains(event_type, 'err') AND (contains(coalesce(CAST(k AS VARCHAR), ''), '5') OR value < 40) AS ok,
+    'rows >= 5 and k > 20 and mode == x and (kind in [''view'', ''click''] or not has k or k <= rows) and kind not in [''signup''] and kind lacks err and (k contains 5 or rows < 40)' AS detail FROM e""")
 def rule_business(spark, d):
-    s = table(spark, d, "events").select("event_id", F.col("value").alias("rows"), F.when(F.col("event_id") % 9 == 0, "{oops").otherwise(F.col("props")).alias("body"))
-    terms = [{"field": "rows", "op": ">=", "value": 5}, {"json": "k", "op": ">", "value": 20, "default": 0},
-             {"json": "mode", "op": "==", "value": "x", "default": "x"}]
-    return D.business_rule(s, terms, ["event_id"])
+    s = table(spark, d, "events").select("event_id", F.col("value").alias("rows"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 9 == 0, "{oops").otherwise(F.col("props")).alias("body"))
+    return D.business_rule(s, BUSINESS, ["event_id"])
 
 
 @R.add("rule_data_period", """WITH per AS (SELECT c_custkey, unnest(['1-URGENT', '5-LOW']) AS market, strftime(d, '%Y-%m-%d') AS day FROM customer JOIN (SELECT o_custkey,
@@ -217,3 +247,24 @@ def validate_split(spark, d):
     plans = table(spark, d, "customer").select(F.col("c_custkey").alias("plan_id"),
                                                F.when(F.col("c_custkey") % 4 != 0, F.array(F.lit("q"))).alias("key_questions"))
     return V.validate_split(t, plans, max_tasks=12)
+
+
+SUITE = [{"type": "row_count", "min": 3}, {"type": "mermaid", "min": 1, "rule_id": "charts"}, {"type": "coverage"}, {"type": "business_rule", "rule_id": "size", "terms": [{"field": "n_chars", "op": ">", "value": 500}]},
+         {"type": "python_test"}, {"type": "magic", "rule_id": "m"}, {"type": "json_schema", "rule_id": "shape", "schema": {"type": "object", "required": ["lang"], "properties": {"lang": {"enum": ["en", "fr"]}}}}]
+
+
+@R.add("run_suite", f"""WITH r AS (SELECT doc_id, 'rule_0' AS rule_id, 'row_count' AS type, ok, detail FROM ({SQL['rule_row_count']}) UNION ALL SELECT doc_id, 'charts', 'mermaid', ok, detail FROM ({SQL['rule_mermaid']})
+    UNION ALL SELECT doc_id, 'rule_2', 'coverage', ok, detail FROM ({SQL['rule_coverage']}) UNION ALL SELECT doc_id, 'size', 'business_rule', n_chars > 500, 'n_chars > 500' FROM documents
+    UNION ALL SELECT doc_id, 'shape', 'json_schema', lang IN ('en', 'fr'), CASE WHEN lang IN ('en', 'fr') THEN '' ELSE '$.lang: enum' END FROM documents)
+  SELECT doc_id, rule_id, type, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS status, detail FROM r
+  UNION ALL SELECT doc_id, 'rule_4', 'python_test', 'deferred', 'not_evaluated' FROM documents UNION ALL SELECT doc_id, 'm', 'magic', 'fail', 'unknown_rule_type:magic' FROM documents""")
+def run_suite(spark, d):
+    """Real results: the suite's handlers run over the documents."""
+    t = table(spark, d, "documents")
+    w, k = F.regexp_extract("text", "([A-Za-z]{3,})", 1), F.col("doc_id")
+    q3 = F.concat(F.lit("xylophone "), w, F.when(k % 2 == 0, " zebrafish").otherwise(""))
+    inputs = {"counts": t.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines")), "texts": t.select("doc_id", F.concat("text", F.expr(FENCE.replace("\n", "\\n"))).alias("text")),
+              "stats": t.select("doc_id", "n_chars", F.lit("{}").alias("body")), "bodies": t.select("doc_id", F.to_json(F.struct("lang")).alias("body")),
+              "reports": t.select("doc_id", F.array(F.substring("text", 50, 30), F.lit("qqqq"), F.lit(" "), q3).alias("key_questions"),
+                                  F.when(F.col("text") != "", F.concat("text", F.when(k % 3 == 0, "\n## about qqqq\n").otherwise(""))).otherwise("").alias("report"))}
+    return D.run_suite(t.select("doc_id"), SUITE, inputs, ["doc_id"]).select("doc_id", "rule_id", "type", "status", "detail")

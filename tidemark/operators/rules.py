@@ -83,24 +83,119 @@ def json_schema(docs: DataFrame, checks: Sequence[Mapping], keys: Sequence[str],
     return _result(d, keys, rule_id, "json_schema", F.col("_doc").isNotNull() & (F.size(v) == 0), detail)
 
 
+def tree_problems(node: Column, schema: Mapping, path: Column) -> Column:
+    """Array of `path: word` for every place where a variant breaks a schema, outer before inner.
+
+    Understands type, required, properties, items, minItems, maxItems, minLength, minimum, maximum, pattern, enum, const, and contains (by itself or in allOf), nested to any
+    depth: the schema is laid out as one expression, arrays are walked by higher-order functions.
+    """
+    kind = F.schema_of_variant(node)
+    text = F.when(F.rlike(kind, F.lit("^STRING")), F.try_variant_get(node, "$", "string"))
+    number = F.when(F.rlike(kind, F.lit(_TYPES["number"])), F.try_variant_get(node, "$", "double"))
+    items = F.when(F.rlike(kind, F.lit("^ARRAY")), F.try_variant_get(node, "$", "array<variant>"))
+    child = lambda name: F.try_variant_get(node, f"$['{name}']", "variant")
+    own, inner = [], []
+
+    def say(broken: Column, word: str, at: Column = path) -> None:
+        own.append(F.when(broken, F.concat(at, F.lit(f": {word}"))))
+
+    def fits(sub: Mapping):
+        return lambda x: F.size(tree_problems(x, sub, F.lit(""))) == 0
+
+    def value(v) -> Column:
+        return (text == v) if isinstance(v, str) else (number == float(v))
+
+    if "type" in schema:
+        say(~F.rlike(kind, F.lit(_TYPES[schema["type"]])), f"type {schema['type']}")
+    for name in schema.get("required", ()):
+        say(F.rlike(kind, F.lit("^OBJECT")) & child(name).isNull(), "required", F.concat(path, F.lit(f".{name}")))
+    for word, measure, wrong in (("minLength", F.length(text), "lt"), ("minimum", number, "lt"), ("maximum", number, "gt"), ("minItems", F.size(items), "lt"), ("maxItems", F.size(items), "gt")):
+        if word in schema:
+            seen = measure.isNotNull() & (items.isNotNull() if word.endswith("Items") else F.lit(True))
+            say(seen & (measure < schema[word] if wrong == "lt" else measure > schema[word]), word)
+    if "pattern" in schema:
+        say(~F.rlike(text, F.lit(schema["pattern"])), "pattern")
+    if "const" in schema:
+        say(~F.coalesce(value(schema["const"]), F.lit(False)), "const")
+    if "enum" in schema:
+        among = F.lit(False)
+        for v in schema["enum"]:
+            among |= F.coalesce(value(v), F.lit(False))
+        say(~among, "enum")
+    for part in (*([schema] if "contains" in schema else []), *schema.get("allOf", ())):
+        if "contains" in part:
+            say(~F.exists(items, fits(part["contains"])), "contains")
+    for name, sub in schema.get("properties", {}).items():
+        inner.append(F.when(child(name).isNotNull(), tree_problems(child(name), sub, F.concat(path, F.lit(f".{name}")))))
+    if "items" in schema:
+        inner.append(F.flatten(F.transform(items, lambda x, i: tree_problems(x, schema["items"], F.concat(path, F.lit("."), i.cast("string"))))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array_compact(F.array(*own)) if own else none, *[F.coalesce(x, none) for x in inner])
+
+
+def json_tree(docs: DataFrame, schema: Mapping, keys: Sequence[str], rule_id: str = "json_schema") -> DataFrame:
+    """docs: keys + body (JSON text), held against a nested schema. The detail names the first five problems."""
+    d = docs.withColumn("_doc", F.when(is_json(F.col("body")), F.try_parse_json("body"))).withColumn("_v", tree_problems(F.col("_doc"), schema, F.lit("$")))
+    detail = F.when(F.col("_doc").isNull(), "not_json").otherwise(F.array_join(F.slice("_v", 1, 5), "; "))
+    return _result(d, keys, rule_id, "json_schema", F.col("_doc").isNotNull() & (F.size("_v") == 0), detail)
+
+
 _OPS = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b,
         "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
 
+def _operand(t: Mapping, like=None) -> Column:
+    """A column of the statistics, or a nested JSON value (dotted path) with its default; a number where it meets one."""
+    if "json" not in t:
+        return F.col(t["field"])
+    raw = F.get_json_object("body", f"$.{t['json']}")
+    if isinstance(like, (int, float)) or isinstance(t.get("default"), (int, float)):
+        return F.coalesce(raw.try_cast("double"), F.lit(float(t.get("default", 0))))
+    return F.coalesce(raw, F.lit(t.get("default", "")))
+
+
+def holds(t: Mapping) -> Column:
+    """A term as a condition.
+
+    {all: [..]}, {any: [..]}, {not: ..}; {has: dotted path} for a key of the body; else a left operand (field or json) with op and value. ops: comparisons, `in` and `not in`
+    a list, `contains` and `lacks` a text. The value may be another operand: {field: ..} or {json: ..}.
+    """
+    if "all" in t or "any" in t:
+        parts = [holds(x) for x in t.get("all", t.get("any"))]
+        out = F.lit("all" in t)
+        for p in parts:
+            out = out & p if "all" in t else out | p
+        return out
+    if "not" in t:
+        return ~F.coalesce(holds(t["not"]), F.lit(False))
+    if "has" in t:
+        return F.get_json_object("body", f"$.{t['has']}").isNotNull()
+    op, value = t["op"], t["value"]
+    if op in ("in", "not in"):
+        among = _operand(t, value[0] if value else None).isin(*value)
+        return among if op == "in" else ~among
+    right = _operand(value) if isinstance(value, Mapping) else F.lit(value)
+    left = _operand(t, None if isinstance(value, Mapping) else value)
+    if op in ("contains", "lacks"):
+        inside = F.contains(left.cast("string"), right.cast("string"))
+        return inside if op == "contains" else ~inside
+    return _OPS[op](left, right)
+
+
+def words_of(t: Mapping) -> str:
+    if "all" in t or "any" in t:
+        return "(" + (" and " if "all" in t else " or ").join(words_of(x) for x in t.get("all", t.get("any"))) + ")"
+    if "not" in t:
+        return f"not {words_of(t['not'])}"
+    if "has" in t:
+        return f"has {t['has']}"
+    value = t["value"]
+    return f"{t.get('json') or t.get('field')} {t['op']} {value.get('json') or value.get('field') if isinstance(value, Mapping) else value}"
+
+
 def business_rule(stats: DataFrame, terms: Sequence[Mapping], keys: Sequence[str], rule_id: str = "business_rule") -> DataFrame:
-    """All terms must hold. A term compares a number column (rows, cols, bytes, null_rate, ...) or a nested
-    JSON value (`json`: dotted path, with a default) to a value; malformed JSON counts as an empty object."""
-    ok = F.lit(True)
-    for t in terms:
-        if "json" in t:
-            raw = F.get_json_object("body", f"$.{t['json']}")
-            left = F.coalesce(raw.try_cast("double"), F.lit(float(t["default"]))) if isinstance(t["value"], (int, float)) else \
-                F.coalesce(raw, F.lit(t["default"]))
-        else:
-            left = F.col(t["field"])
-        ok = ok & _OPS[t["op"]](left, F.lit(t["value"]))
-    words = " and ".join(f"{t.get('json') or t.get('field')} {t['op']} {t['value']}" for t in terms)
-    return _result(stats, keys, rule_id, "business_rule", ok, F.lit(words))
+    """All terms must hold (see `holds`); malformed JSON counts as an empty object."""
+    return _result(stats, keys, rule_id, "business_rule", holds({"all": list(terms)}), F.lit(" and ".join(words_of(t) for t in terms)))
 
 
 def data_period_match(periods: DataFrame, trades: DataFrame, keys: Sequence[str], rule_id: str = "data_period_match") -> DataFrame:
@@ -232,6 +327,40 @@ def run_rules(rules: DataFrame, results: DataFrame, verified: DataFrame, keys: S
     return j.select(*keys, "rule_id", "type", "run_order", status.alias("status"), detail.alias("detail"))
 
 
+#: How a declared rule finds its inputs: type -> (parameters, inputs, keys, rule id) to results.
+HANDLERS = {
+    "row_count": lambda p, i, k, r: row_count(i["counts"], p["min"], k, r),
+    "file_exists": lambda p, i, k, r: file_exists(i["declared"], i["listing"], k, r),
+    "json_schema": lambda p, i, k, r: json_tree(i["bodies"], p["schema"], k, r),
+    "business_rule": lambda p, i, k, r: business_rule(i["stats"], p["terms"], k, r),
+    "data_period_match": lambda p, i, k, r: data_period_match(i["periods"], i["trades"], k, r),
+    "mermaid": lambda p, i, k, r: mermaid(i["texts"], p.get("min", 1), k, r),
+    "freshness": lambda p, i, k, r: freshness(i["sources"], F.lit(p["now"]), k, p.get("days"), p.get("mode", "none"), r),
+    "source_quality": lambda p, i, k, r: source_quality(i["graded"], k, p.get("bar", fixed.A_TIER_BAR), r),
+    "source_traceable": lambda p, i, k, r: source_traceable(i["claims"], i["sources"], i["tasks"], k, r),
+    "coverage": lambda p, i, k, r: coverage(i["reports"], k, r),
+}
+
+
+def run_suite(subjects: DataFrame, suite: Sequence[Mapping], inputs: Mapping[str, DataFrame], keys: Sequence[str], verified: DataFrame | None = None) -> DataFrame:
+    """Run a declared suite on every subject: the handler of each rule's type over its input frames, then `run_rules`.
+
+    suite: mappings with type, and optionally rule_id and the type's parameters. Types without a handler here (python_test) stay deferred, unknown ones fail.
+    """
+    keys = list(keys)
+    rules, results = [], None
+    for pos, rule in enumerate(suite):
+        rid = rule.get("rule_id") or f"rule_{pos}"
+        rules.append(F.struct(F.lit(pos).alias("pos"), F.lit(rid).alias("rule_id"), F.lit(rule["type"]).alias("type")))
+        if rule["type"] in HANDLERS:
+            got = HANDLERS[rule["type"]](rule, inputs, keys, rid)
+            results = got if results is None else results.unionByName(got)
+    declared = subjects.select(*keys, F.inline(F.array(*rules)))
+    if results is None:
+        results = declared.select(*keys, "rule_id", F.lit(None).cast("boolean").alias("ok"), F.lit("").alias("detail")).limit(0)
+    return run_rules(declared, results, declared.limit(0) if verified is None else verified, keys)
+
+
 def rule_outcome(ran: DataFrame, keys: Sequence[str]) -> DataFrame:
     """DONE when everything passed, RETRY on any failure, RETRY for budget when only deferred rules are left."""
     fail, wait = F.count_if(F.col("status") == "fail"), F.count_if(F.col("status") == "deferred")
