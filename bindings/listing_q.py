@@ -32,13 +32,23 @@ def targets(spark, d):
                       F.col("t.p_retailprice").alias("price"), F.lit("显卡").alias("category"))
 
 
-@R.add("match_candidates")
+BOARD = "b860 z890 z790 b760 z690 b660 b650 b850 x870 x670 x570 b550 lga am5 am4".split()
+
+
+@R.add("match_candidates", f"""WITH t AS (SELECT p_type, arg_min((p_name, p_size, p_retailprice), p_partkey) AS v FROM part GROUP BY 1),
+  r AS (SELECT p.p_type AS target_id, p_partkey AS pos, regexp_replace(lower(v[1] || ' ' || p_brand || ' ' || p_mfgr), '\\s+', '', 'g') AS title, regexp_replace(lower(v[1]), '\\s+', '', 'g') AS target,
+      CAST(v[2] AS VARCHAR) AS spec, v[3] AS want, p_retailprice AS price FROM (SELECT *, repeat('z', CAST(p_partkey % 40 AS INT)) AS p_mfgr FROM part) p JOIN t USING (p_type) WHERE p_partkey % 5 <> 0),
+  s AS (SELECT target_id, pos, 2.0::DOUBLE * length(target) / (length(target) + length(title)) + CASE WHEN contains(title, spec) THEN 0.15::DOUBLE ELSE 0 END
+      - CASE WHEN abs(price - want) / greatest(want, 1.0) > 0.25 THEN 0.25::DOUBLE ELSE 0 END AS score FROM r WHERE NOT ({' OR '.join(f"contains(title, '{w}')" for w in BOARD)}))
+  SELECT target_id, pos, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY score DESC, pos) = 1 AND score >= 0.40""")
 def match_candidates(spark, d):
-    p = table(spark, d, "part")
-    rows = p.select(F.col("p_type").alias("target_id"), F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("title"),
-                    F.when(F.col("p_partkey") % 5 == 0, "10").otherwise("1").alias("siteid"), F.col("p_partkey").cast("string").alias("skuid"),
-                    F.col("p_retailprice").cast("string").alias("price"))
-    return G.match_candidates(rows, targets(spark, d)).select("target_id", "pos", F.round("score", 6).alias("score"))
+    """Titles are the target's name with words behind it, for which the ratio has a closed form."""
+    p, t = table(spark, d, "part"), targets(spark, d)
+    filler = F.repeat(F.lit("z"), (F.col("p_partkey") % 40).cast("int"))
+    rows = p.join(t.select("target_id", "name"), F.col("p_type") == F.col("target_id")).select(
+        "target_id", F.col("p_partkey").alias("pos"), F.concat_ws(" ", "name", "p_brand", filler).alias("title"),
+        F.when(F.col("p_partkey") % 5 == 0, "10").otherwise("1").alias("siteid"), F.col("p_partkey").cast("string").alias("skuid"), F.col("p_retailprice").cast("string").alias("price"))
+    return G.match_candidates(rows, t).select("target_id", "pos", F.round("score", 6).alias("score"))
 
 
 def search_rows(spark, d):
@@ -202,15 +212,15 @@ def gate_stats(spark, d):
     return G.gate_stats(gated(spark, d))
 
 
-WORDS = "w AS (SELECT user_id AS page_id, CAST(floor(value * 10) AS INT) AS y, event_id AS x, CASE WHEN event_id % 9 = 0 THEN '¥1' ELSE substring(event_type, 1, 2) END AS text FROM events)"
-LINES = f"""{WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x) rn FROM w),
+WORDS = "w AS (SELECT user_id AS page_id, CAST(floor(value * 10) AS INT) AS y, event_id % 97 AS x, CASE WHEN event_id % 9 = 0 THEN '¥1' ELSE substring(event_type, 1, 2) END AS text FROM events)"
+LINES = f"""{WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, text) rn FROM w),
   fold AS (SELECT page_id, rn, y, x, text, y AS fy FROM o WHERE rn = 1 UNION ALL
     SELECT o.page_id, o.rn, o.y, o.x, o.text, CASE WHEN o.y - f.fy > 12 THEN o.y ELSE f.fy END FROM fold f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1),
-  lines AS (SELECT page_id, fy AS y, string_agg(text, '' ORDER BY x) AS line FROM fold GROUP BY 1, 2)"""
+  lines AS (SELECT page_id, fy AS y, string_agg(text, '' ORDER BY x, y, text) AS line FROM fold GROUP BY 1, 2)"""
 
 
 def words(spark, d):
-    return table(spark, d, "events").select(F.col("user_id").alias("page_id"), F.floor(F.col("value") * 10).cast("int").alias("y"), F.col("event_id").alias("x"),
+    return table(spark, d, "events").select(F.col("user_id").alias("page_id"), F.floor(F.col("value") * 10).cast("int").alias("y"), (F.col("event_id") % 97).alias("x"),
                                             F.when(F.col("event_id") % 9 == 0, "¥1").otherwise(F.substring("event_type", 1, 2)).alias("text"))
 
 

@@ -249,6 +249,22 @@ def _retried(spark, d):
                                             (F.col("o_orderkey") % 5 != 0).alias("consumed"))
 
 
+@R.add("replay_intake", f"""WITH {TAGGED}, q AS (SELECT *, strftime(ts, '%Y-%m-%d') AS on_day, CASE WHEN CAST(ts AS DATE) > DATE '2024-01-20' AND reason LIKE 'date_after%' THEN
+      CASE WHEN m = 14 THEN 'x' WHEN m = 15 THEN 'x' END ELSE reason END AS why FROM tagged),
+  lost AS (SELECT *, why IS NULL AND event_type IN ('view', 'click', 'purchase') AS consumed FROM q WHERE why IS NOT NULL OR event_type NOT IN ('view', 'click'))
+  SELECT on_day AS collected_on, count(*) AS replayed, count(*) FILTER (consumed) AS ingested, count(*) FILTER (NOT consumed) AS still_isolated, bool_and(consumed) AS removed FROM lost GROUP BY 1""")
+def replay_intake(spark, d):
+    """What the first intake could not place goes through validation and resolution again, after an entity was added."""
+    from tidemark.plans import intake as P
+    raw = raw_observations(spark, d).join(table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), "event_id")
+    raw = raw.withColumn("collected_on", F.col("day")).drop("day", "event_id")
+    kinds = spark.createDataFrame([(1, "view"), (2, "click"), (3, "purchase")], "entity_id long, series string")
+    ents = kinds.select("entity_id", F.lit("显卡").alias("category"), "series", F.lit("8GB").alias("spec"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active"))
+    _, lost = P.intake(raw, C, ents.filter("entity_id < 3"))
+    again = raw.join(lost.select("pos"), "pos", "left_semi")
+    return P.replay(again, C, ents)[1]
+
+
 @R.add("points_drilldown", """SELECT event_id, event_type AS shop_name, value AS low_price, CAST(json_extract_string(props, '$.k') AS INT)
   AS k FROM events WHERE user_id = 7 AND CAST(ts AS DATE) = DATE '2024-01-05'""")
 def points_drilldown(spark, d):

@@ -35,6 +35,7 @@ def read_observations(spark, d):
 
 @R.add("read_trend_dump", """SELECT c_custkey AS listing, count(DISTINCT o_orderdate) AS n_points, min(o_totalprice) AS low FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def read_trend_dump(spark, d):
+    """Fifty listings to a dump file."""
     path = place(spark, "dump")
     # one point per day, so that a listing's points are bounded by the calendar
     daily = table(spark, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("k"), F.min("o_totalprice").alias("low"))
@@ -42,16 +43,26 @@ def read_trend_dump(spark, d):
     c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
     listing = F.struct(F.struct(F.lit("c").alias("category"), F.col("c_name").alias("series")).alias("identity"), F.col("c_custkey").cast("string").alias("url"),
                        F.struct(F.coalesce("p", F.lit("")).alias("datePrice")).alias("trend"))
-    c.select(F.to_json(F.struct(F.lit("2024-01-01").alias("fetched_at"), F.array(listing).alias("listings"))).alias("value"), (F.col("c_custkey") % 8).alias("f")).repartition(8, "f").select("value").write.text(path)
-    dump = spark.read.schema(_dump_schema()).json(path)
-    from tidemark.operators.observations import parse_date_price
-    rows = dump.select(F.inline("listings")).withColumn("points", parse_date_price(F.col("trend.datePrice")))
+    dumps = c.groupBy(F.floor(F.col("c_custkey") / 50).alias("f")).agg(F.collect_list(listing).alias("listings"))
+    dumps.select(F.to_json(F.struct(F.lit("2024-01-01").alias("fetched_at"), "listings")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = S.read_trend_dump(spark, path)
     return rows.select(F.col("url").cast("long").alias("listing"), F.size("points").cast("long").alias("n_points"), F.array_min(F.transform("points", lambda p: p["price"])).alias("low"))
 
 
-def _dump_schema():
-    from tidemark import schemas
-    return schemas.TREND_DUMP
+@R.add("read_sources", """SELECT 't' || s_suppkey AS task_id, pos, CASE pos WHEN 0 THEN 'a' ELSE 'b' END AS source_id, CASE pos WHEN 0 THEN s_name ELSE s_name || '"q' END AS title, NULL AS issue
+    FROM supplier, (VALUES (0::INT), (1::INT)) v(pos) WHERE s_suppkey % 5 <> 1 AND (pos = 0 OR s_suppkey % 5 <> 3)
+  UNION ALL SELECT 't' || s_suppkey, NULL, NULL, NULL, 'sources_json_invalid' FROM supplier WHERE s_suppkey % 5 = 1""")
+def read_sources(spark, d):
+    """A folder per task, named as the file would be."""
+    path = place(spark, "src")
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    two = F.to_json(F.array(F.struct(F.lit("a").alias("id"), F.lit(None).cast("string").alias("source_id"), name.alias("title")), F.struct(F.lit(None).cast("string").alias("id"), F.lit("b").alias("source_id"), F.concat(name, F.lit('"q')).alias("title"))))
+    one = F.to_json(F.array(F.struct(F.lit("a").alias("id"), name.alias("title"))))
+    body = F.when(k % 5 == 0, F.concat(F.lit('{"sources":'), two, F.lit("}"))).when(k % 5 == 1, F.concat(F.lit('[{"id":"'), name, F.lit('""]'))).when(k % 5 == 3, one).otherwise(F.concat(F.lit('{"items":'), two, F.lit("}")))
+    table(spark, d, "supplier").select(body.alias("value"), F.concat(F.lit("t"), k.cast("string"), F.lit(".sources.json")).alias("f")).write.partitionBy("f").text(path)
+    rows, issues = S.read_sources_claims(spark, f"{path}/*", "sources")
+    return rows.select("task_id", "pos", "source_id", "title", F.lit(None).cast("string").alias("issue")).unionByName(
+        issues.select("task_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("title"), "issue"))
 
 
 @R.add("read_event_log", """SELECT user_id % 10 AS plan, count(*) AS n, max(event_id) AS last_seq FROM events GROUP BY 1""")
@@ -74,11 +85,36 @@ def parse_screen_nodes(spark, d):
     return S.parse_screen_nodes(xml).select("screen_id", F.col("pos").cast("long").alias("pos"), "y1", "y2", "x1", "val")
 
 
-@R.add("ocr_text_values", """SELECT page_id, 'a' || page_id || '|' || 'b"q' AS texts FROM pages""")
+@R.add("read_screen_nodes", """SELECT 'kw_s' || (s_suppkey // 4) AS screen_id, row_number() OVER (PARTITION BY s_suppkey // 4 ORDER BY s_suppkey) - 1 AS pos, CAST(s_suppkey % 500 AS INT) AS y1, s_name AS val FROM supplier""")
+def read_screen_nodes(spark, d):
+    """Screen files of four nodes."""
+    path = place(spark, "screen")
+    k = F.col("s_suppkey")
+    node = F.concat(F.lit('<node text="'), "s_name", F.lit('" content-desc="" bounds="[3,'), (k % 500).cast("string"), F.lit("][9,"), (k % 500 + 9).cast("string"), F.lit(']"/>'))
+    xml = table(spark, d, "supplier").groupBy(F.floor(k / 4).alias("s")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", node.alias("n")))).alias("n"))
+    xml.select(F.array_join(F.transform("n", lambda x: x["n"]), "\n").alias("value"), F.concat(F.lit("kw_s"), F.col("s").cast("string"), F.lit(".xml")).alias("f")).write.partitionBy("f").text(path)
+    return S.read_screen_nodes(spark, f"{path}/*").select("screen_id", F.col("pos").cast("long").alias("pos"), "y1", "val")
+
+
+@R.add("read_ocr_words", """SELECT 'p' || n_nationkey || '.json' AS page_id, CAST(c_custkey % 300 AS INT) AS y, CAST(c_custkey AS INT) AS x, c_name AS text FROM customer JOIN nation ON n_nationkey = c_custkey % 25""")
+def read_ocr_words(spark, d):
+    """A page per nation."""
+    path = place(spark, "ocr")
+    w = F.struct(F.concat(F.lit(" "), "c_name").alias("Text"), F.struct((F.col("c_custkey") % 300).alias("Top"), F.col("c_custkey").alias("Left")).alias("BoundingRect"))
+    pages = table(spark, d, "customer").groupBy((F.col("c_custkey") % 25).alias("n")).agg(F.to_json(F.struct(F.collect_list(w).alias("Words"))).alias("value"))
+    pages.select("value", F.concat(F.lit("p"), F.col("n").cast("string"), F.lit(".json")).alias("f")).write.partitionBy("f").text(path)
+    return S.read_ocr_words(spark, f"{path}/*").select("page_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "text")
+
+
+@R.add("ocr_text_values", r"""SELECT page_id, md5('a' || page_id || '|' || 'b"q' || CASE WHEN trim(html, ' ') = '' THEN '' ELSE '|' || trim(html, ' ') END) AS digest FROM pages""")
 def ocr_text_values(spark, d):
+    """The page's own html among the values, as JSON text."""
     p = table(spark, d, "pages")
-    body = F.concat(F.lit('{"k":[{"Text": "a'), F.col("page_id").cast("string"), F.lit('","w":{"Text":" "}},{"Text":"b\\"q"}]}'))
-    return p.select("page_id", F.replace(F.array_join(S.all_text_values(body), "|"), F.lit('\\"'), F.lit('"')).alias("texts"))
+    html = F.substring(F.to_json(F.struct(F.col("html").alias("Text"))), 2, 1_000_000_000)
+    body = F.concat(F.lit('{"k":[{"Text": "a'), F.col("page_id").cast("string"), F.lit('","w":{"Text":" "}},{"Text":"b\\"q"},{'), html, F.lit("]}"))
+    # values come back as they stand in the JSON text
+    values = F.transform(S.all_text_values(body), lambda v: F.get_json_object(F.concat(F.lit('{"v":"'), v, F.lit('"}')), "$.v"))
+    return p.select("page_id", F.md5(F.array_join(values, "|").cast("binary")).alias("digest"))
 
 
 @R.add("source_lists", """SELECT doc_id AS task_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'sources_json_invalid' WHEN 2 THEN 'sources_json_bad_shape' ELSE NULL END AS issue,

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark import fixed
 from tidemark.functions.text import any_word, norm_title, norm_token, parse_price
-from tidemark.operators.ordered import first_per_key, lag_in_key, running_sum, top_per_key
+from tidemark.operators.ordered import first_per_key, top_per_key
 
 
 def match_spec(title: Column, series: Column, spec: Column) -> Column:
@@ -71,9 +71,11 @@ def match_candidates(rows: DataFrame, targets: DataFrame) -> DataFrame:
     score = (_similarity("_target", "_title")
              + F.when((F.col("_spec") != "") & F.contains("_title", F.col("_spec")), 0.15).otherwise(0.0)
              - F.when(F.coalesce(off, F.lit(False)), 0.25).otherwise(0.0))
-    scored = j.withColumn("score", score).filter("score >= 0.40")
+    # no ratio of two texts exceeds what their lengths allow, so most pairs need none; the bar is put to the best alone, lest Spark work out every ratio twice
+    la, lb = F.length("_target"), F.length("_title")
+    j = j.filter((F.col("_target") == "") | (2 * F.least(la, lb) / (la + lb) + 0.15 >= 0.40))
     best = F.max_by(F.struct("pos", "skuid", "title", "score"), F.struct(F.col("score"), -F.col("pos")))
-    return scored.groupBy("target_id").agg(best.alias("_b")).select("target_id", "_b.*")
+    return j.withColumn("score", score).groupBy("target_id").agg(best.alias("_b")).filter("_b.score >= 0.40").select("target_id", "_b.*")
 
 
 def top_sales(rows: DataFrame, k: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -207,28 +209,17 @@ def gate_stats(gated: DataFrame) -> DataFrame:
 
 
 def line_cluster(words: DataFrame, page: Sequence[str] = ("page_id",), tol: int = 12) -> DataFrame:
-    """Words to text lines: a new line starts when y is more than `tol` below the first word of the line.
+    """Words to text lines: a new line starts when y is more than `tol` below the first word of the line. words: page, y, x, text.
 
-    A vertical gap above `tol` always starts a line, so a page is first cut at such gaps (band by band) and only
-    the short runs between them are folded in order. words: page, y, x, text.
+    Only the distinct heights of a page are folded to line starts, which the page's height bounds; each word then takes the last start above it. Within a line words stand by
+    x, those with equal x in reading order.
     """
-    order, band = ["y", "x", "text"], F.floor(F.col("y") / 4096)
-    near = lag_in_key(words, page, order, band, {"_above": "y"})
-    gap = (F.coalesce(F.col("y") - F.col("_above"), F.lit(tol + 1)) > tol).cast("int")
-    runs = running_sum(near, page, order, band, gap, "_run")
-    item = F.struct("y", "x", "text")
-    arr = runs.groupBy(*page, "_run").agg(F.array_sort(F.collect_list(item)).alias("_w"))
-
-    def step(acc, v):
-        return F.array_append(acc, F.struct(F.when(F.size(acc) == 0, v["y"]).when(
-            v["y"] - F.element_at(acc, -1)["first_y"] > tol, v["y"]).otherwise(F.element_at(acc, -1)["first_y"]).alias("first_y"),
-            v["x"].alias("x"), v["text"].alias("text")))
-
-    kind = runs.select(F.struct(F.col("y").alias("first_y"), "x", "text").alias("s")).schema["s"].dataType.simpleString()
-    folded = F.aggregate("_w", F.array().cast(f"array<{kind}>"), step)
-    rows = arr.select(*page, F.inline(folded))
-    return rows.groupBy(*page, F.col("first_y").alias("y")).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("x", "text"))), lambda t: t["text"]), "").alias("line"))
+    heights = words.groupBy(*page).agg(F.sort_array(F.collect_set("y")).alias("_ys"))
+    kind = words.schema["y"].dataType.simpleString()
+    starts = F.aggregate("_ys", F.array().cast(f"array<{kind}>"), lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > tol), F.array_append(acc, y)).otherwise(acc))
+    placed = words.join(heights.select(*page, starts.alias("_starts")), list(page)).withColumn("first_y", F.array_max(F.filter("_starts", lambda s: s <= F.col("y"))))
+    return placed.groupBy(*page, F.col("first_y").alias("y")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("x", F.col("y").alias("at"), "text"))), lambda t: t["text"]), "").alias("line"))
 
 
 def price_context(lines: DataFrame, page: Sequence[str] = ("page_id",)) -> DataFrame:

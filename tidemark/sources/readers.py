@@ -91,9 +91,9 @@ def list_issue(body: Column, items: Column) -> Column:
 
 
 def read_sources_claims(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, issues) of `*.sources.json` or `*.claims.json`; ids may be called `id`, nothing is made up."""
+    """(entries, issues) of `*.sources.json` or `*.claims.json`, files or folders of that name; ids may be called `id`, nothing is made up."""
     files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{kind}\.json$", 1).alias("task_id"), F.col("value").alias("body"))
+        F.regexp_extract(F.col("_metadata.file_path"), rf"([^/=]+)\.{kind}\.json(?:/[^/]+)?$", 1).alias("task_id"), F.col("value").alias("body"))
     tagged = files.withColumn("items", parse_wrapped_list(F.col("body"), kind))
     schema = schemas.SOURCE_FILE if kind == "sources" else schemas.CLAIM_FILE
     name = "source_id" if kind == "sources" else "claim_id"
@@ -118,24 +118,30 @@ def parse_screen_nodes(dumps: DataFrame, keys=("screen_id",)) -> DataFrame:
 
 
 def read_screen_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Files named <keyword>_s<screen>.xml."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.xml$", 1).alias("screen_id"),
+    """Files or folders named <keyword>_s<screen>.xml."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.xml(?:/[^/]+)?$", 1).alias("screen_id"),
                                                        F.col("value").alias("xml"))
     return parse_screen_nodes(raw)
 
 
 def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
-    """Words of recognition results with their place on the page."""
+    """Words of recognition results with their place on the page; a page is a file, or a folder named *.json."""
     raw = spark.read.schema(schemas.OCR_PAGE).option("multiLine", True).json(path)
-    w = raw.select(F.col("_metadata.file_name").alias("page_id"), F.explode("Words").alias("w"))
+    folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+\.json)/[^/]+$", 1), F.lit(""))
+    w = raw.select(F.coalesce(folder, "_metadata.file_name").alias("page_id"), F.explode("Words").alias("w"))
     return w.select("page_id", F.coalesce("w.BoundingRect.Top", F.lit(0)).alias("y"), F.coalesce("w.BoundingRect.Left", F.lit(0)).alias("x"),
                     F.trim("w.Text").alias("text")).filter("text <> ''")
 
 
 def all_text_values(body: Column) -> Column:
-    """Every `Text` value anywhere in a JSON text, in order."""
-    hits = F.regexp_extract_all(body, F.lit(r'"Text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    return F.filter(F.transform(hits, lambda t: F.trim(t)), lambda t: t != "")
+    """Every `Text` value anywhere in a JSON text, in order and as it stands there.
+
+    Escaped backslashes and quotes are put aside as control characters, which JSON has only escaped, so that a value of any length is one run of characters to the regex.
+    """
+    plain = F.replace(F.replace(body, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    hits = F.regexp_extract_all(plain, F.lit(r'"Text"\s*:\s*"([^"]*+)"'), 1)
+    back = lambda t: F.replace(F.replace(t, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.filter(F.transform(hits, lambda t: F.trim(back(t))), lambda t: t != "")
 
 
 def file_row_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators import entities as E
 from tidemark.operators import tasklog as L
 from tidemark.operators import validate as V
+from tidemark.plans.intake import intake
 from tidemark.session import cut_lineage
 from tidemark.sources import writers
 from tidemark.sources.readers import with_position
@@ -156,16 +156,8 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
 def ingest_batch(contract: dict, entities: DataFrame, table_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: validate, resolve, merge; what fails goes to quarantine. Redelivery changes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        # cut once, so that both branches read the parsed rows instead of the files again
-        tagged = cut_lineage(V.tag_observations(with_position(batch), contract))
-        good = V.shape_observations(tagged, contract, normalize=False)
-        flat = good.select(*[F.col(f"identity.{k}").alias(k) for k in contract["identity"]], *[c for c in good.columns if c != "identity"])
-        resolved = cut_lineage(E.resolve_entities(flat, entities))
-        rows = (resolved.filter("entity_id is not null").drop(*contract["identity"])
-                .withColumn("raw_json", F.to_json(F.struct("low_price", "raw_price"))))
-        lost = resolved.filter("entity_id is null").select("collected_on", "pos", F.lit("no_entity").alias("reason"),
-                                                           F.to_json(F.struct(*contract["identity"])).alias("raw_json"))
-        V.quarantine_rows(tagged).unionByName(lost).write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        rows, quarantine = intake(with_position(batch), contract, entities)
+        quarantine.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         writers.upsert_partitions(batch.sparkSession, table_path, rows)
     return run
 
