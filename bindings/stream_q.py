@@ -82,10 +82,21 @@ def breaker_log(spark, d):
     return B.breaker_log(calls(table(spark, d, "events")), fold=BreakerFold(3, HOUR)).select("pos", "provider", "phase", "outcome")
 
 
+_SLICED: dict = {}
+
+
 def stream_of(spark, d, name):
-    """The table's file as a stream source."""
-    schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """The table as a stream of four files in order of time, one to a micro-batch, so that state is kept and restored between them."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SLICED:
+        path = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+        t = table(spark, d, name)
+        a, b, c = t.select(F.percentile_approx(epoch_micros(F.col("ts")), [0.25, 0.5, 0.75])).first()[0]
+        at = epoch_micros(F.col("ts"))
+        for part in (at <= a, (at > a) & (at <= b), (at > b) & (at <= c), at > c):
+            t.filter(part).coalesce(1).write.mode("append").parquet(path)
+        _SLICED[key] = path
+    return spark.readStream.schema(table(spark, d, name).schema).option("maxFilesPerTrigger", 1).parquet(_SLICED[key])
 
 
 def run(spark, stream, mode="append"):
@@ -112,7 +123,7 @@ def breaker_stream(spark, d):
 
 @R.add("state_stream", f"WITH {LOG} SELECT task_id, arg_max(to_s, seq) AS replayed FROM app GROUP BY 1")
 def state_stream(spark, d):
-    out = run(spark, J.state_stream(event_log_stream(spark, d)), "complete")
+    out = run(spark, J.state_stream(event_log_stream(spark, d)), "update")
     return out.groupBy("task_id").agg(F.max_by("replayed", "batch").alias("replayed"))
 
 
@@ -126,8 +137,10 @@ def event_log_stream(spark, d):
   FROM events GROUP BY ALL""")
 def metric_windows(spark, d):
     m = stream_of(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), "value")
-    out = run(spark, J.metric_windows(m), "complete")
-    return out.select(F.date_format("business_day", "yyyy-MM-dd").alias("business_day"), "name", "n", F.round("total", 2).alias("total"), "max")
+    out = run(spark, J.metric_windows(m), "update")
+    # of each window the last batch that touched it
+    last = out.groupBy("business_day", "name").agg(F.max_by(F.struct("n", "total", "max"), "batch").alias("r"))
+    return last.select(F.date_format("business_day", "yyyy-MM-dd").alias("business_day"), "name", "r.n", F.round("r.total", 2).alias("total"), "r.max")
 
 
 @R.add("seen_stream", "SELECT CAST(round(value * 10) AS INT) AS price, event_type AS head, count(*) > 0 AS seen FROM events GROUP BY ALL")
@@ -139,9 +152,9 @@ def seen_stream(spark, d):
 
 @R.add("quota_stream", SQL["daily_quota"])
 def quota_stream(spark, d):
-    q = stream_of(spark, d, "events").select(F.lit("all").alias("who"), F.col("event_id").alias("pos"), F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"),
+    q = stream_of(spark, d, "events").select(F.col("event_id").alias("pos"), F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"),
                                              (F.get_json_object("props", "$.k").cast("int") % 9 + 1).alias("n"))
-    return run(spark, J.quota_stream(q, ["who"], QuotaFold(300))).select("pos", "day", "taken", "used")
+    return run(spark, J.quota_stream(q, ["day"], QuotaFold(300))).select("pos", "day", "taken", "used")
 
 
 @R.add("lost_heartbeat_stream", f"""WITH h AS (SELECT user_id AS task_id, max(epoch_us(ts) // 1000 + event_id % 50 * 600000) AS lease_ms FROM events GROUP BY 1)

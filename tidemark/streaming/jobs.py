@@ -28,7 +28,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class FoldProcessor(StatefulProcessor):
-    """Runs a fold per key; the state is one short array, rows of a micro-batch are put in order first."""
+    """Runs a fold per key; the state is one short array. The rows of a key and micro-batch are put in order first: bound them by the source's trigger (maxFilesPerTrigger)."""
 
     def __init__(self, fold, order: Sequence[str], columns: Sequence[str], out: Sequence[str]):
         self.fold, self.order, self.columns, self.out = fold, list(order), list(columns), list(out)
@@ -71,7 +71,7 @@ def rate_limit_stream(requests: DataFrame, keys: Sequence[str], fold: RateFold =
 
 
 def quota_stream(requests: DataFrame, keys: Sequence[str], fold: QuotaFold = QuotaFold()) -> DataFrame:
-    """requests: keys, day (integer), pos, n."""
+    """requests: keys, day (integer), pos, n. With the day among the keys no day waits for another."""
     out = [T.StructField("taken", T.BooleanType()), T.StructField("used", T.LongType())]
     return _fold_stream(requests, keys, ["day", "pos"], fold, out)
 
