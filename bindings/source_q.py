@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from bindings.base import Registry, day, table
+from bindings.base import VENDORS, Registry, day, observations, table
 from bindings.entity_q import SQL as ENTITY_SQL, shifted_obs, users
 from bindings.obs_q import ROWS, base_rows, raw_observations, shop_rows
 from tidemark.plans import snapshot as P
@@ -182,13 +182,14 @@ def upsert_partitions(spark, d):
 @R.add("prometheus_lines", """WITH m AS (SELECT replace(event_type, 'e', '-') AS name, CAST(user_id % 3 AS VARCHAR) || '"' AS plan_id, CAST(round(value * 100) AS BIGINT) AS v FROM events),
   r AS (SELECT replace(name, '-', '_') AS n, replace(plan_id, '"', '\\"') AS p, count(*) AS c, sum(v) AS s FROM m GROUP BY ALL)
   SELECT 'orchestrator_' || n || '_count{plan_id="' || p || '"} ' || c AS line FROM r UNION ALL SELECT 'orchestrator_' || n || '_sum{plan_id="' || p || '"} ' || s || '.0000' FROM r
+  UNION ALL SELECT 'orchestrator_' || n || '_avg{plan_id="' || p || '"} ' || printf('%.4f', CAST(s AS DOUBLE) / c) FROM r
   UNION ALL SELECT 'orchestrator_tasks{plan_id="' || p || '",status="' || st || '"} ' || c FROM (SELECT o_custkey % 3 AS p, CASE o_orderstatus WHEN 'O' THEN 'READY' ELSE 'DONE' END AS st, count(*) AS c FROM orders GROUP BY ALL)
   UNION ALL SELECT 'orchestrator_ready ' || count(*) FILTER (o_orderstatus = 'O') FROM orders""")
 def prometheus_lines(spark, d):
     m = table(spark, d, "events").select(F.replace("event_type", F.lit("e"), F.lit("-")).alias("name"), F.concat((F.col("user_id") % 3).cast("string"), F.lit('"')).alias("plan_id"),
                                          F.round(F.col("value") * 100).alias("value"))
     t = table(spark, d, "orders").select((F.col("o_custkey") % 3).alias("plan_id"), F.when(F.col("o_orderstatus") == "O", "READY").otherwise("DONE").alias("status"))
-    return K.prometheus_lines(m, t).filter(~F.contains("line", F.lit("_avg{")))
+    return K.prometheus_lines(m, t)
 
 
 @R.add("write_snapshot", f"SELECT entity_id, n_periods, label, sales_n_periods, median_pct, stab_action FROM ({ENTITY_SQL['snapshot']})")
@@ -203,6 +204,15 @@ def write_snapshot(spark, d):
                       F.col("sales.stab_risk.median_pct").alias("median_pct"), F.col("sales.stab_action").alias("stab_action"))
 
 
+@R.add("snapshot_contrast_files", ENTITY_SQL["snapshot_contrast"])
+def snapshot_contrast_files(spark, d):
+    """The contrast rows of a written snapshot."""
+    path = place(spark, "snap")
+    ents, obs, as_of = users(spark, d), observations(spark, d).withColumn("entity_id", F.col("entity_id") % 10), F.lit("2024-12-31").cast("date")
+    K.write_snapshot(P.compute_snapshot(ents, obs, as_of), P.snapshot_contrast(ents, obs, as_of, VENDORS), "2024-12-31", path)
+    return spark.read.schema("entity_id long, vendor string, last_price double, slope_7_pct_per_day double, label string, spread_pct double").json(f"{path}/date=*/contrasts")
+
+
 @R.add("write_evidence_set", """SELECT o_custkey % 50 AS task_id, o_orderkey AS claim_id FROM orders WHERE o_orderkey % 17 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)
   OR (o_orderkey % 3 = 0 AND NOT (o_orderkey % 2000 IN (SELECT c_custkey FROM customer) AND o_orderkey % 2000 % 50 = o_custkey % 50))""")
 def write_evidence_set(spark, d):
@@ -212,6 +222,20 @@ def write_evidence_set(spark, d):
     return K.write_evidence_set(claim_sources(spark, d), claims(spark, d), t, t, path)
 
 
+@R.add("evidence_set_files", """SELECT 'claims' AS name, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'sources', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer
+  UNION ALL SELECT 'report', count(*), CAST(sum(length(text)) AS BIGINT) FROM documents UNION ALL SELECT 'tuning', count(*), CAST(sum(length(text)) AS BIGINT) FROM documents""")
+def evidence_set_files(spark, d):
+    """The four sets as they were written."""
+    from bindings.evidence_q import claim_sources, claims
+    path = place(spark, "evid")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("task_id"), "text")
+    K.write_evidence_set(claim_sources(spark, d), claims(spark, d), t, t, path)
+    parts = [(n, spark.read.schema(s).json(f"{path}/{n}").select(v.alias("v"))) for n, s, v in (
+        ("claims", "claim_id long", F.col("claim_id")), ("sources", "source_id long", F.col("source_id")), ("report", "text string", F.length("text")), ("tuning", "text string", F.length("text")))]
+    rows = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum("v").cast("long").alias("total")) for n, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @R.add("export_plans", """SELECT o_custkey AS plan_id, count(*) AS n_tasks, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS tasks FROM orders GROUP BY 1
   UNION ALL SELECT c_custkey, 0, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def export_plans(spark, d):

@@ -167,10 +167,10 @@ def pack_summary(raw: DataFrame, unique: DataFrame, dropped: DataFrame, tiers: D
     return out.withColumn("a_ratio", F.round(ratio, 4)).withColumn("meets_bar", ratio >= fixed.A_TIER_BAR).drop("_a")
 
 
-def analysis_context(tiers: DataFrame, keys: Sequence[str] = ("pack_id",)) -> DataFrame:
-    """One text per pack: graded results in order with clipped snippets between a fixed head and foot."""
+def analysis_context(tiers: DataFrame, keys: Sequence[str] = ("pack_id",), head: str = fixed.CONTEXT_HEAD, foot: str = fixed.CONTEXT_FOOT) -> DataFrame:
+    """One text per pack: graded results in order with clipped snippets between a head and a foot."""
     line = F.concat(F.lit("- ["), "tier", F.lit("] "), "title", F.lit("\n  "), "url", F.lit("\n  分级理由: "), "tier_reason",
                     F.lit("\n  片段: "), F.substring(F.coalesce("snippet", F.lit("")), 1, 400))
     ordered = F.array_sort(F.collect_list(F.struct("pos", line.alias("l"))))
     body = F.array_join(F.transform(ordered, lambda s: s["l"]), "\n")
-    return tiers.groupBy(*keys).agg(F.concat_ws("\n", F.lit(fixed.CONTEXT_HEAD), body, F.lit(fixed.CONTEXT_FOOT)).alias("context"))
+    return tiers.groupBy(*keys).agg(F.concat_ws("\n", F.lit(head), body, F.lit(foot)).alias("context"))

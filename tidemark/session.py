@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_HELD = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Frames cut inside are needed inside only: their folders are deleted at the end. For jobs that write their results themselves, such as the body of a micro-batch."""
+    outer, _HELD.paths = getattr(_HELD, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _HELD.paths = _HELD.paths, outer
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            there.getFileSystem(conf).delete(there, True)
+
+
+def _hold(path: str) -> str:
+    if getattr(_HELD, "paths", None) is not None:
+        _HELD.paths.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back, so that a lost executor costs no replay."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = _hold(f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,7 +71,7 @@ class Rounds:
     """Frames of an iteration kept as one folder per round, so that earlier rounds are never rewritten."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.paths, self.schema = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", [], None
+        self.spark, self.base, self.paths, self.schema = spark, _hold(f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"), [], None
 
     def add(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evidence as E
 from tidemark.operators import observations as O
 from tidemark.plans.snapshot import snapshot_documents
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, scratch
 
 
 def write_snapshot(snapshot: DataFrame, contrasts: DataFrame, date: str, path: str) -> None:
@@ -33,8 +33,9 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, key:
     # the touched dates are bounded by the calendar; as literals they prune the table's folders
     dates = incoming.agg(F.sort_array(F.collect_set("obs_date"))).first()[0]
     touched = table.filter(F.col("obs_date").isin(*dates)) if dates else table.limit(0)
-    merged = cut_lineage(O.upsert_observations(touched, incoming, key, updated))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)
+    with scratch(spark):
+        merged = cut_lineage(O.upsert_observations(touched, incoming, key, updated))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
