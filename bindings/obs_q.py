@@ -90,6 +90,30 @@ def validate_registry(spark, d):
     return V.validate_registry(rows, C).select("p_partkey", "reason")
 
 
+@R.add("validate_registry_files", """WITH r AS (SELECT p_partkey // 20 AS file, p_partkey AS pos, CASE WHEN p_partkey % 97 = 1 THEN 'bad_url' WHEN p_partkey % 89 = 2 THEN 'bad_channel' END AS reason,
+    p_partkey % 11 = 0 OR p_partkey // 20 % 13 = 5 AS retired FROM part),
+  a AS (SELECT file, count(*) FILTER (NOT retired) AS n, arg_min('listing ' || pos || ': ' || reason, pos) FILTER (NOT retired AND reason IS NOT NULL) AS bad FROM r GROUP BY 1)
+  SELECT file, n AS n_listings, CASE WHEN file % 7 = 3 THEN 'bad_domain' WHEN file % 7 = 5 THEN 'bad_source' WHEN bad IS NOT NULL THEN bad WHEN n = 0 THEN 'no_usable_listing' END AS reason FROM a""")
+def validate_registry_files(spark, d):
+    """Registry files of twenty listings, held against a contract that was read from a file."""
+    import json
+    import uuid
+
+    from tidemark.session import shared_dir
+    from tidemark.sources.contracts import read_contract
+    path = f"{shared_dir(spark)}/contract-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(C, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").withColumn("file", F.floor(k / 20))
+    rows = p.select("file", k.alias("pos"), ((k % 11 == 0) | (F.col("file") % 13 == 5)).alias("retired"),
+                    F.expr("map('category', 'c', 'series', p_name, 'spec', 's')").alias("identity"),
+                    F.when(k % 97 == 1, "https://item.example.com/1.html").otherwise(F.concat(F.lit("https://item.jd.com/"), k.cast("string"), F.lit(".html"))).alias("url"),
+                    F.when(k % 89 == 2, "淘宝").otherwise("自营").alias("channel"), F.lit(None).cast("string").alias("source"), F.lit("微星").alias("vendor"), F.lit("").alias("anchor"))
+    f = F.col("file")
+    files = p.select("file").distinct().select(f, F.when(f % 7 == 3, "homes").otherwise("hardware").alias("domain"), F.when(f % 7 == 5, "web").otherwise("自采").alias("source"))
+    return V.validate_registry_files(files, rows, read_contract(spark, path))
+
+
 @R.add("collapse_daily", """WITH p AS (SELECT user_id, event_id, value, event_type, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM events)
   SELECT user_id, CAST(day AS VARCHAR) AS obs_date, min(value) AS price,
     arg_min(event_type, (value, event_id)) AS remark FROM p GROUP BY user_id, day""")

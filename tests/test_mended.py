@@ -85,3 +85,15 @@ def test_gate_of_paths_and_inputs(spark):
     assert [r[0] is None for r in paths.select(V.path_reason(F.col("p"))).collect()] == [False, False, True]
     keys = spark.createDataFrame([('{"b": 1, "a": [2]}',), ('{"a":[2],"b":1}',)], "inputs string").select(F.lit("").alias("inputs_hash"), "inputs", F.lit("p").alias("plan_id"), F.lit("t").alias("task_id"), F.lit("").alias("idempotency_key"))
     assert keys.select(V.default_task_key().alias("k")).distinct().count() == 1
+
+
+def test_contract_from_a_file(spark, tmp_path):
+    import json
+
+    from tidemark import fixed
+    from tidemark.sources.contracts import contract, read_contract
+    (tmp_path / "c.json").write_text(json.dumps(fixed.HARDWARE_CONTRACT, ensure_ascii=False))
+    got = read_contract(spark, str(tmp_path / "c.json"))
+    assert {k: got[k] for k in fixed.HARDWARE_CONTRACT} == fixed.HARDWARE_CONTRACT
+    with pytest.raises(ValueError, match="identity"):
+        contract({"domain": "x"})

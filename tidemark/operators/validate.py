@@ -126,6 +126,20 @@ def validate_registry(rows: DataFrame, contract: dict) -> DataFrame:
     return rows.filter(~F.coalesce("retired", F.lit(False))).withColumn("reason", registry_reason(contract))
 
 
+def validate_registry_files(files: DataFrame, rows: DataFrame, contract: dict) -> DataFrame:
+    """Whole registry files: `reason` is the first that holds of another domain, a source outside the contract, the first bad listing, no usable listing; null for a good file.
+
+    files: file, domain, source. rows: file, pos and the columns of `validate_registry`.
+    """
+    judged = validate_registry(rows, contract)
+    per = judged.groupBy("file").agg(F.count(F.lit(1)).alias("n_listings"), F.min_by(F.struct("pos", "reason"), F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("_bad"))
+    first = F.when(F.col("_bad.reason").isNotNull(), F.concat(F.lit("listing "), F.col("_bad.pos").cast("string"), F.lit(": "), F.col("_bad.reason")))
+    reason = F.coalesce(F.when(~F.col("domain").eqNullSafe(F.lit(contract["domain"])), "bad_domain"),
+                        F.when(~F.coalesce(F.col("source").isin(*contract["attrs"]["source"]["values"]), F.lit(False)), "bad_source"),
+                        first, F.when(F.col("n_listings").isNull(), "no_usable_listing"))
+    return files.join(per, "file", "left").select("file", F.coalesce("n_listings", F.lit(0)).cast("long").alias("n_listings"), reason.alias("reason"))
+
+
 def path_reason(p: Column) -> Column:
     """Why a declared path may not be used: absolute, climbing, or outside the dated folder."""
     s = F.translate(p, "\\", "/")
