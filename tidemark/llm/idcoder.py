@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fields, new_folder, query, table
+from tidemark.llm.common import cut, fields, new_folder, query, small_batches, table
 from tidemark.llm.tokens import coder
 
 MAGIC = b"TMIDS01\n"
@@ -140,9 +140,9 @@ def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -
     """The 16-bit words of each block of a sequence of places in an alphabet with the given counts."""
     n = len(symbols)
     k, tail = blocks_of(n, block)
-    padded = np.zeros(k * block, np.int64)
-    padded[:n] = symbols
-    grid = np.ascontiguousarray(padded.reshape(k, block).T)
+    grid = np.zeros(k * block, np.int32)
+    grid[:n] = symbols
+    grid = grid.reshape(k, block).T
     lanes = Lanes(k, counts)
     low, rng = np.zeros(k, np.uint64), np.full(k, (1 << 48) - 1, np.uint64)
     out = np.zeros((k, block * 3 // 2 + 8), np.uint16)
@@ -168,7 +168,7 @@ def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -
             low, rng = low[:k], rng[:k]
         if step in REBUILDS:
             lanes.rebuild(step)
-        s = grid[step, :k]
+        s = grid[step, :k].astype(np.int64)
         lanes.predict()
         start, freq = lanes.interval(s)
         r = rng >> np.uint64(TOTAL_BITS)
@@ -201,7 +201,7 @@ def decode_blocks(words: list[np.ndarray], n: int, counts: np.ndarray, block: in
     rng = np.full(k, (1 << 48) - 1, np.uint64)
     lanes = Lanes(k, counts)
     inverse = lanes.inverse()
-    grid = np.zeros((block, k), np.int64)
+    grid = np.zeros((block, k), np.int32)
     mask32, top = np.uint64((1 << 32) - 1), np.int64((1 << TOTAL_BITS) - 1)
     for step in range(block if k > 1 else tail):
         if step == tail and k > 1:
@@ -226,10 +226,22 @@ def decode_blocks(words: list[np.ndarray], n: int, counts: np.ndarray, block: in
     return grid.T.reshape(-1)[:n]
 
 
+def in_alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids that occur, ascending, how often, and each id's place among them."""
+    if len(ids) and ids.max() >= 1 << 20:
+        alphabet, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        return alphabet, counts, places.astype(np.int32)
+    counts = np.bincount(ids)
+    alphabet = np.flatnonzero(counts)
+    places = np.zeros(len(counts), np.int32)
+    places[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    return alphabet, counts[alphabet], places[ids]
+
+
 def write_file(part: int, seq: int, doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK) -> bytes:
     """The image of a file with these documents, each given as little-endian unsigned 32-bit ids."""
     every = np.frombuffer(b"".join(ids), "<u4")
-    alphabet, symbols, counts = np.unique(every, return_inverse=True, return_counts=True)
+    alphabet, counts, symbols = in_alphabet(every)
     words = encode_blocks(symbols, counts.astype(float), block)
     sums = [zlib.crc32(every[i:i + block].tobytes()) for i in range(0, len(every), block)]
     head = MAGIC + struct.pack("<6Q", part, seq, len(ids), len(every), len(alphabet), block)
@@ -266,6 +278,7 @@ def read_file(data: bytes) -> tuple[int, int, list[int | None], list[np.ndarray]
 
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, per_file: int = PER_FILE) -> None:
     """Encode whole texts and write their ids, with an end id each, below `path` in ascending order of document id."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
