@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from bindings.base import Registry, table
 from bindings.log_q import LOG
 from tidemark.functions.dates import epoch_micros
-from tidemark.operators import folds as B
+from tidemark.operators import folds as B, tasklog as L
 from tidemark.session import shared_dir
 from tidemark.streaming import jobs as J
-from tidemark.streaming.folds import AlertFold, BreakerFold, QuotaFold, RateFold
+from tidemark.streaming.folds import AlertFold, QuotaFold, RateFold
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -67,19 +67,14 @@ def daily_quota(spark, d):
 
 def calls(df):
     return df.select(F.col("event_type").alias("provider"), epoch_micros(F.col("ts")).alias("ts_us"), F.col("event_id").alias("pos"),
-                     (F.col("value") > 8).alias("ok"), (F.col("event_id") % 37 == 0).alias("permanent"))
+                     (F.col("value") > 40).alias("ok"), (F.col("event_id") % 37 == 0).alias("permanent"))
 
 
-@R.add("breaker_log", f"""WITH RECURSIVE e AS (SELECT event_id AS pos, event_type AS provider, epoch_us(ts) AS ts_us, value > 8 AS ok, event_id % 37 = 0 AS perm,
-    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) rn FROM events),
-  f AS (SELECT provider, 0::BIGINT AS rn, 0::BIGINT AS pos, 0 AS fails, 0::BIGINT AS opened, '' AS phase, '' AS outcome FROM e WHERE rn = 1 UNION ALL
-    SELECT provider, rn, pos, CASE WHEN blocked THEN fails WHEN ok OR trip THEN 0 ELSE fails + 1 END, CASE WHEN blocked THEN opened WHEN ok THEN 0 WHEN trip THEN ts_us ELSE 0 END,
-      CASE WHEN blocked THEN 'open' WHEN opened > 0 THEN 'half_open' ELSE 'closed' END, CASE WHEN blocked THEN 'rejected' WHEN ok THEN 'passed' WHEN trip THEN 'tripped' ELSE 'failed' END
-    FROM (SELECT e.provider, e.rn, e.pos, e.ts_us, e.ok, f.fails, f.opened, f.opened > 0 AND e.ts_us - f.opened < {HOUR} AS blocked, f.opened > 0 OR e.perm OR f.fails + 1 >= 3 AS trip
-      FROM f JOIN e ON e.provider = f.provider AND e.rn = f.rn + 1))
-  SELECT pos, provider, phase, outcome FROM f WHERE rn > 0""")
-def breaker_log(spark, d):
-    return B.breaker_log(calls(table(spark, d, "events")), fold=BreakerFold(3, HOUR)).select("pos", "provider", "phase", "outcome")
+@R.add("outage_intervals", """WITH e AS (SELECT event_type AS provider, epoch_us(ts) AS ts_us, event_id AS pos, value > 40 AS ok, event_id % 37 = 0 AS perm FROM events),
+  r AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY provider ORDER BY ts_us, pos) AS run FROM e)
+  SELECT provider, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n_failed, bool_or(perm) AS permanent FROM r WHERE NOT ok GROUP BY provider, run HAVING count(*) >= 3 OR bool_or(perm)""")
+def outage_intervals(spark, d):
+    return L.outage_intervals(calls(table(spark, d, "events")), 3, F.floor(F.col("ts_us") / (24 * HOUR)))
 
 
 _SLICED: dict = {}
@@ -116,11 +111,6 @@ def rate_limit_stream(spark, d):
     return run(spark, J.rate_limit_stream(alerts(stream_of(spark, d, "events")), ["kind"], RateFold(2))).select("pos", "kind", "accepted")
 
 
-@R.add("breaker_stream", SQL["breaker_log"])
-def breaker_stream(spark, d):
-    return run(spark, J.breaker_stream(calls(stream_of(spark, d, "events")), BreakerFold(3, HOUR))).select("pos", "provider", "phase", "outcome")
-
-
 @R.add("state_stream", f"WITH {LOG} SELECT task_id, arg_max(to_s, seq) AS replayed FROM app GROUP BY 1")
 def state_stream(spark, d):
     out = run(spark, J.state_stream(event_log_stream(spark, d)), "update")

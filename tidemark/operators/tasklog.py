@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions.dates import business_date
 from tidemark.operators import graph
-from tidemark.operators.ordered import lag_in_key, top_per_key
+from tidemark.operators.ordered import lag_in_key, running_sum, top_per_key
 from tidemark.session import cut_lineage
 
 TASK_KEY = ("plan_id", "task_id")
@@ -276,6 +276,16 @@ def provider_health(log: DataFrame) -> DataFrame:
     return base.join(mid, "provider", "left")
 
 
+def outage_intervals(calls: DataFrame, least: int, chunk: Column, keys: Sequence[str] = ("provider",)) -> DataFrame:
+    """Failures in a row: at least `least` of them, or one that was permanent. calls: keys, ts_us, pos, ok, permanent.
+
+    Each success starts a new run; the runs are numbered slice by slice (`chunk`, monotone in time), so that a provider with most of the calls spreads over tasks.
+    """
+    runs = running_sum(calls, keys, ["ts_us", "pos"], chunk, F.col("ok").cast("long"), "_run").filter("NOT ok")
+    found = runs.groupBy(*keys, "_run").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("n_failed"), F.max("permanent").alias("permanent"))
+    return found.filter((F.col("n_failed") >= least) | F.col("permanent")).drop("_run")
+
+
 def rule_handoff(results: DataFrame) -> DataFrame:
     """Per task: file and row rules as `rule:ok` / `rule:FAIL detail`, in rule order, at most 2000 characters.
 

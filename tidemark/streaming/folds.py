@@ -1,7 +1,7 @@
 """Order-dependent decisions as small state machines, shared by the streams and their batch twins.
 
 A fold has `start()` giving the state as a list of integers and `step(state, row)` giving (state, outputs).
-States stay short: admitted times within the hour, a counter, or three numbers. Times are microseconds.
+States stay short: admitted times within the hour, or a counter. Times are microseconds.
 """
 
 from __future__ import annotations
@@ -64,24 +64,3 @@ class QuotaFold:
         fits = used + row["n"] <= self.per_day
         used += row["n"] if fits else 0
         return [row["day"], used], (bool(fits), int(used))
-
-
-@dataclass(frozen=True)
-class BreakerFold:
-    """Circuit breaker over an outcome log. State: consecutive failures, opened at (0 = closed)."""
-    threshold: int = 3
-    cooldown_us: int = 60_000_000
-
-    def start(self):
-        return [0, 0]
-
-    def step(self, state, row):
-        fails, opened = state
-        if opened and row["ts_us"] - opened < self.cooldown_us:
-            return state, ("open", "rejected")
-        phase = "half_open" if opened else "closed"
-        if row["ok"]:
-            return [0, 0], (phase, "passed")
-        if opened or row["permanent"] or fails + 1 >= self.threshold:
-            return [0, row["ts_us"]], (phase, "tripped")
-        return [fails + 1, 0], (phase, "failed")

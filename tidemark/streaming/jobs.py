@@ -17,7 +17,7 @@ from tidemark.plans.intake import intake
 from tidemark.session import cut_lineage, scratch
 from tidemark.sources import writers
 from tidemark.sources.readers import with_position
-from tidemark.streaming.folds import AlertFold, BreakerFold, QuotaFold, RateFold
+from tidemark.streaming.folds import AlertFold, QuotaFold, RateFold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -76,11 +76,6 @@ def quota_stream(requests: DataFrame, keys: Sequence[str], fold: QuotaFold = Quo
     return _fold_stream(requests, keys, ["day", "pos"], fold, out)
 
 
-def breaker_stream(calls: DataFrame, fold: BreakerFold = BreakerFold()) -> DataFrame:
-    out = [T.StructField("phase", T.StringType()), T.StructField("outcome", T.StringType())]
-    return _fold_stream(calls, ["provider"], ["ts_us", "pos"], fold, out)
-
-
 class LeaseWatch(StatefulProcessor):
     """Emits a task once event time passes its lease without a renewal."""
 
