@@ -44,11 +44,23 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that pass between Spark and Python at once, and that Python turns into objects at once.
+ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts can be long: unless the session says otherwise, hand over fewer rows at once than Spark would."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes]], list[tuple]], fields: T.StructType, keep: list[str] | None = None) -> DataFrame:
     """Columns `doc` (a struct of the kept columns, all by default) and `out` (a struct of `fields`, one tuple of `fn` per text).
 
     `fn` gets the UTF-8 bytes of a batch of whole texts; a null text is passed as empty. Column names of `df` cannot clash with anything.
     """
+    small_batches(df.sparkSession)
     kept = df.columns if keep is None else keep
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
     schema = T.StructType([src.schema["doc"], T.StructField("out", fields)])
@@ -57,11 +69,12 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes]], list[tuple]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
         kinds = [to_arrow_type(f.dataType) for f in fields]
-        for b in batches:
-            rows = fn(b.column(1).to_pylist())
-            cols = list(zip(*rows)) if rows else [()] * len(names)
-            out = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], fields=[pa.field(n, k) for n, k in zip(names, kinds)])
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["doc", "out"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                b = batch.slice(i, ROWS)
+                cols = zip(*fn(b.column(1).to_pylist()))
+                out = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], fields=[pa.field(n, k) for n, k in zip(names, kinds)])
+                yield pa.RecordBatch.from_arrays([b.column(0), out], names=["doc", "out"])
 
     return src.mapInArrow(run, schema)
 

@@ -125,7 +125,7 @@ def span_features(s: str) -> list[int]:
         names.append(f"octets={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
     if "@" in s or TRIGGER.search(s) and re.search(r"at", s, re.I):
         names.append(f"at, then dot={bool(re.search(r'(@|at).*([.]|dot)', s, re.I | re.S))}, end={shape[-2:]}")
-    if len(_SHAPES) > 200_000:
+    if len(_SHAPES) > 20_000:
         _SHAPES.clear()
     _SHAPES[s] = out = [feature(n) for n in names]
     return out

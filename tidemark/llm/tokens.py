@@ -8,24 +8,28 @@ characters. Parts are looked up in a table first; only new ones go through the l
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
-#: Parts remembered by one Python worker; the table is emptied when full.
-REMEMBERED = 1_500_000
+#: Parts remembered by one Python worker since the last time the table was full; those before are looked up once more before they go.
+REMEMBERED = 250_000
 
 
-class _Words(dict):
-    """Part of a text -> its ids as little-endian bytes."""
+class Recent(dict):
+    """Part of a text -> its ids as little-endian bytes, worked out by `make` where not remembered."""
 
-    def __init__(self, coder: "Coder", lead: str):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.coder, self.lead = coder, lead
+        self.make, self.older = make, {}
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        out = self.coder.part(self.lead + part)
+        out = self.older.get(part)
+        if out is None:
+            out = self.make(part)
         self[part] = out
         return out
 
@@ -50,8 +54,9 @@ class Coder:
         self.model = self.tokenizer.model
         self.drops_space = "Lowercase" in str(self.tokenizer.normalizer)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.drops_space else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.first, self.rest = _Words(self, ""), _Words(self, "" if self.drops_space else " ")
-        self.atoms: dict[str, bytes] = {}
+        self.first = Recent(self.part)
+        self.rest = self.first if self.drops_space else Recent(lambda part: self.part(" " + part))
+        self.atoms = Recent(self.atom)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}     # how the vocabulary writes bytes
@@ -64,19 +69,14 @@ class Coder:
         if self.drops_space:
             if max(part, default="a") > "ſ":       # normalisation of rarer letters is left to the library
                 return self.whole(part)
-            return b"".join([self.atom(x) for x in self.split.findall(part.lower())])
+            return b"".join([self.atoms[x] for x in self.split.findall(part.lower())])
         if not bare or bare[0].isspace() or bare[-1].isspace():
             raise Unsplittable
-        return b"".join([self.atom(x) for x in self.split.findall(part)])
+        return b"".join([self.atoms[x] for x in self.split.findall(part)])
 
     def atom(self, x: str) -> bytes:
-        out = self.atoms.get(x)
-        if out is None:
-            if len(self.atoms) >= REMEMBERED:
-                self.atoms.clear()
-            written = x.encode().decode("latin-1").translate(self.letters)
-            out = self.atoms[x] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-        return out
+        written = x.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
