@@ -20,11 +20,16 @@ HOUR = 3_600_000_000
 
 
 def alerts(df):
-    return df.select(F.lit("p").alias("plan_id"), F.lit("t").alias("task_id"), F.col("event_type").alias("kind"), epoch_micros(F.col("ts")).alias("ts_us"),
-                     F.col("event_id").alias("pos"))
+    """Ten users to a task, so that keys grow with the users; time runs 240 times as fast, so that they meet the windows."""
+    return df.select(F.lit("p").alias("plan_id"), F.floor(F.col("user_id") / 10).cast("string").alias("task_id"), F.col("event_type").alias("kind"),
+                     F.floor(epoch_micros(F.col("ts")) / 240).alias("ts_us"), F.col("event_id").alias("pos"))
 
 
-NUM = "e AS (SELECT event_id AS pos, event_type AS kind, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) rn FROM events)"
+def named(df, *cols):
+    return df.select("pos", F.concat_ws("/", "kind", "task_id").alias("kind"), *cols)
+
+
+NUM = "e AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts_us, pos) rn FROM (SELECT event_id AS pos, event_type || '/' || (user_id // 10) AS kind, epoch_us(ts) // 240 AS ts_us FROM events))"
 SPACED = f"""WITH RECURSIVE {NUM}, f AS (SELECT pos, kind, ts_us, rn, true AS admitted, ts_us AS held FROM e WHERE rn = 1 UNION ALL
     SELECT e.pos, e.kind, e.ts_us, e.rn, e.ts_us - f.held >= {HOUR}, CASE WHEN e.ts_us - f.held >= {HOUR} THEN e.ts_us ELSE f.held END
     FROM f JOIN e ON e.kind = f.kind AND e.rn = f.rn + 1)
@@ -33,7 +38,7 @@ SPACED = f"""WITH RECURSIVE {NUM}, f AS (SELECT pos, kind, ts_us, rn, true AS ad
 
 @R.add("admit_alerts", SPACED)
 def admit_alerts(spark, d):
-    return B.admit_alerts(alerts(table(spark, d, "events")), fold=AlertFold(HOUR, 20)).select("pos", "kind", "admitted", "reason")
+    return B.admit_alerts(alerts(table(spark, d, "events")), fold=AlertFold(HOUR, 20)).transform(named, "admitted", "reason")
 
 
 @R.add("admit_alerts_capped", f"""WITH RECURSIVE {NUM}, f AS (SELECT pos, kind, ts_us, rn, 'ok' AS reason, [ts_us] AS held FROM e WHERE rn = 1 UNION ALL
@@ -43,7 +48,7 @@ def admit_alerts(spark, d):
       FROM f JOIN e ON e.kind = f.kind AND e.rn = f.rn + 1))
   SELECT pos, kind, reason = 'ok' AS admitted, reason FROM f""")
 def admit_alerts_capped(spark, d):
-    return B.admit_alerts(alerts(table(spark, d, "events")), fold=AlertFold(300_000_000, 2)).select("pos", "kind", "admitted", "reason")
+    return B.admit_alerts(alerts(table(spark, d, "events")), fold=AlertFold(300_000_000, 2)).transform(named, "admitted", "reason")
 
 
 @R.add("rate_limit", f"""WITH RECURSIVE {NUM}, f AS (SELECT pos, kind, ts_us, rn, true AS accepted, [ts_us] AS held FROM e WHERE rn = 1 UNION ALL
@@ -51,7 +56,7 @@ def admit_alerts_capped(spark, d):
     FROM (SELECT e.pos, e.kind, e.ts_us, e.rn, list_filter(f.held, lambda h: h >= e.ts_us - {HOUR}) AS held FROM f JOIN e ON e.kind = f.kind AND e.rn = f.rn + 1))
   SELECT pos, kind, accepted FROM f""")
 def rate_limit(spark, d):
-    return B.rate_limit(alerts(table(spark, d, "events")), ["kind"], RateFold(2)).select("pos", "kind", "accepted")
+    return B.rate_limit(alerts(table(spark, d, "events")), ["task_id", "kind"], RateFold(2)).transform(named, "accepted")
 
 
 @R.add("daily_quota", """WITH RECURSIVE e AS (SELECT event_id AS pos, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS day, CAST(json_extract_string(props, '$.k') AS INT) % 9 + 1 AS n,
@@ -103,12 +108,12 @@ def run(spark, stream, mode="append"):
 @R.add("alert_dedup_stream", SPACED.replace("SELECT pos, kind, admitted,", "SELECT pos, kind, 'P2' AS level, admitted,"))
 def alert_dedup_stream(spark, d):
     s = J.alert_dedup_stream(alerts(stream_of(spark, d, "events")), AlertFold(HOUR, 20))
-    return run(spark, s).select("pos", "kind", "level", "admitted", "reason")
+    return run(spark, s).transform(named, "level", "admitted", "reason")
 
 
 @R.add("rate_limit_stream", SQL["rate_limit"])
 def rate_limit_stream(spark, d):
-    return run(spark, J.rate_limit_stream(alerts(stream_of(spark, d, "events")), ["kind"], RateFold(2))).select("pos", "kind", "accepted")
+    return run(spark, J.rate_limit_stream(alerts(stream_of(spark, d, "events")), ["task_id", "kind"], RateFold(2))).transform(named, "accepted")
 
 
 @R.add("state_stream", f"WITH {LOG} SELECT task_id, arg_max(to_s, seq) AS replayed FROM app GROUP BY 1")
