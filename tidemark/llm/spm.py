@@ -17,16 +17,17 @@ A null text is empty and has no ids. Rows are independent.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fields, map_texts, query, table
+from tidemark.llm.tokens import Recent
 
 MARK = "▁"
-REMEMBERED = 1_000_000
+STATES = 300_000        # states remembered since the table was last full; those before are looked up once more
+BEGINNING = 12      # longest beginning of a part whose state is remembered
 FALLBACK = 1e6      # weight of a byte arc: above any path of pieces
 
 
@@ -44,9 +45,14 @@ class Transducer:
         self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_id)}
         self.longest = max(map(len, self.rank))
-        self.parts: dict[str, bytes] = {}
-        self.stable = lru_cache(REMEMBERED)(self._stable)
-        self.whole = lru_cache(REMEMBERED)(lambda p: self.merged(p) == [p])
+        self.words = Recent(lambda w: self.part(MARK + w))
+        self.follows: dict[str, dict[str, bool]] = {}       # piece -> next piece -> whether the two stay two
+        self.arcs = {p: h for p in self.rank if (h := self.history(p))[0] == p}      # pieces that merging can make, and how
+        self.beginnings: dict[str, tuple[float, str]] = {}
+        self.older: dict[str, tuple[float, str]] = {}
+        # a byte below 128 is a character whatever stands beside it
+        self.spelled = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
+        self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(n)])
         # the normaliser as arcs: what it makes of a leading space and of none shows whether it adds a mark in front
         self.leading = model.encode("a", out_type=str)[0].startswith(MARK)
 
@@ -54,61 +60,90 @@ class Transducer:
         """The text in the model's alphabet."""
         return (MARK if self.leading and text else "") + text.replace(" ", MARK)
 
-    def merged(self, s: str) -> list[str]:
-        """The pieces of a short string by merging, best rank first, leftmost among equals: what defines stable pairs."""
+    def history(self, s: str) -> tuple[str, list[float], list[str], list[str]]:
+        """What merging, best rank first and leftmost among equals, makes of a short string: the result (joined by spaces), the rank of each merge, then
+        infinity, and the first and the last symbol before each merge and at the end."""
         parts = list(s)
+        ranks, firsts, lasts = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
             best, at = min((self.rank.get(parts[i] + parts[i + 1], np.inf), i) for i in range(len(parts) - 1))
             if best == np.inf:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _stable(self, a: str, b: str) -> bool:
-        return self.merged(a + b) == [a, b]
+            ranks.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return " ".join(parts), [*ranks, np.inf], firsts, lasts
+
+    def stable(self, a: str, b: str) -> bool:
+        """Whether two pieces in a row stay two: their merges are taken in turn, and no pair across the border ever comes first."""
+        _, left, _, last = self.arcs[a]
+        _, right, first, _ = self.arcs[b]
+        i = j = 0
+        while True:
+            x, y, across = left[i], right[j], self.rank.get(last[i] + first[j], np.inf)
+            if across < x and across <= y:
+                return False
+            if x == y == np.inf:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
 
     def shortest(self, s: str) -> list[int]:
         """Ids on the shortest path of the lattice over `s`. A state is a place and the last piece.
 
         Of all paths to a place one alone has finite weight, what the model makes of the text so far: so each place has one state, and the first stable arc into it is the one.
+        For the same reason a state depends on the text before it only, and those of short beginnings are remembered.
         """
-        n, rank, whole, stable = len(s), self.rank, self.whole, self.stable
-        weight, last = [0.0] + [np.inf] * n, [""] * (n + 1)
+        n, arcs, follows, known, older = len(s), self.arcs, self.follows, self.beginnings, self.older
+        states: list[tuple[float, str]] = [(0.0, "")]
         for end in range(1, n + 1):
-            for at in range(max(0, end - self.longest), end):
-                p, before = s[at:end], last[at]
-                if p in rank and whole(p) and (before not in rank or stable(before, p)):
-                    weight[end], last[end] = weight[at] + 1.0, p
-                    break
-            else:       # a character that is no piece: its bytes, across which nothing merges
-                weight[end], last[end] = weight[end - 1] + FALLBACK, s[end - 1]
+            start = s[:end]
+            state = (known.get(start) or older.get(start)) if end <= BEGINNING else None
+            if state is None:
+                for at in range(max(0, end - self.longest), end):
+                    p = s[at:end]
+                    if p in arcs:
+                        weight, before = states[at]
+                        pairs = follows.get(before)
+                        if pairs is None:
+                            pairs = follows[before] = {}
+                        ok = pairs.get(p)
+                        if ok is None:
+                            ok = pairs[p] = before not in arcs or self.stable(before, p)
+                        if ok:
+                            state = (weight + 1.0, p)
+                            break
+                else:       # a character that is no piece: its bytes, across which nothing merges
+                    state = (states[-1][0] + FALLBACK, s[end - 1])
+                if end <= BEGINNING:
+                    known[start] = state
+            states.append(state)
+        if len(known) >= STATES:
+            self.beginnings, self.older = {}, known
+        if len(follows) > 2 * len(arcs):        # characters outside the vocabulary have rows too
+            follows.clear()
         ids: list[list[int]] = []
         while n:
-            p = last[n]
+            p = states[n][1]
             ids.append([self.id[p]] if p in self.id else [self.byte_id[b] for b in p.encode()])
             n -= len(p)
         return [i for x in reversed(ids) for i in x]
 
     def part(self, s: str) -> bytes:
-        known = self.parts.get(s)
-        if known is None:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            known = self.parts[s] = np.array(self.shortest(s), "<u4").tobytes()
-        return known
+        return np.array(self.shortest(s), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        s = self.normalise(text)
-        if not s:
+        if not text:
             return b""
-        head, *words = s.split(MARK)
+        words = text.split(" ")
+        if self.leading and "" not in words and MARK not in text:
+            return b"".join(map(self.words.__getitem__, words))
         # a run of marks belongs to one part: empty words are marks without letters
-        if "" not in words:
-            known, look = [self.part(head)] if head else [], self.parts.get
-            for w in words:
-                known.append(look(MARK + w) or self.part(MARK + w))
-            return b"".join(known)
+        head, *words = self.normalise(text).split(MARK)
         out, run = [self.part(head)] if head else [], ""
         for w in words:
             run += MARK
@@ -117,21 +152,24 @@ class Transducer:
                 run = ""
         return b"".join([*out, self.part(run)] if run else out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""
-        out, run = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        s = "".join(out).replace(MARK, " ")
+        ids = np.asarray(ids, np.int64)
+        if not self.joins[ids].any():
+            s = "".join(map(self.spelled.__getitem__, ids.tolist()))
+        else:
+            out, run = [], bytearray()
+            for i in ids.tolist():
+                b = self.byte_of.get(i)
+                if b is not None:
+                    run.append(b)
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                out.append(self.pieces[i])
+            s = "".join([*out, run.decode("utf-8", "replace")])
+        s = s.replace(MARK, " ")
         return s[1:] if self.leading and s[:1] == " " else s
 
 
@@ -164,7 +202,7 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = "piece_bpe_32k.model"
     @F.pandas_udf("string")
     def text(s: pd.Series) -> pd.Series:
         t = transducer(model)
-        return s.map(lambda x: "" if x is None else t.decode(x.tolist()))
+        return s.map(lambda x: "" if x is None else t.decode(x))
     return rows.withColumn("decoded", text(F.col(ids)))
 
 
@@ -176,7 +214,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = []
         for x in texts:
             ids = t.encode(x.decode("utf-8", "replace"))
-            back = t.decode(np.frombuffer(ids, "<u4").tolist()).encode()
+            back = t.decode(np.frombuffer(ids, "<u4")).encode()
             out.append((len(ids) // 4, zlib.crc32(ids), zlib.crc32(back), back == x))
         return out
     kinds = fields(n_pieces="bigint", ids_crc32="bigint", decoded_crc32="bigint", round_trip="boolean")
