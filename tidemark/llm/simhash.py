@@ -10,6 +10,11 @@ Only distinct fingerprints take part, so copies cost nothing; anchors that a sin
 than BLOCK visitors is split into blocks, and each pair of blocks is compared by a task of its own. A task hands on no pairs but the edges of a spanning
 forest of what it saw linked; components come from these by label propagation over written tables.
 
+The pipeline's stage (drop_near_copies) has its own rule: two documents are near copies if the Jaccard similarity of their sets of five-word shingles is at
+least 0.8. Such pairs differ in about 15 % of the bits of any simhash, too many for anchors, so its fingerprints are 24 bands of four minima of the shingles'
+hashes. Two sets of similarity s share a band with probability 1 - (1 - s^4)^24, which leaves out 3 of a million pairs at 0.8. Sets that meet in a band are compared
+exactly before they link: each with the first one of the band, then those of the band that are not connected yet with each other.
+
 A null text is empty, with fingerprint zero, and links like any other. Repeated rows and ids share a component. The component of rows without any id is null.
 """
 
@@ -27,6 +32,15 @@ from tidemark.llm.common import cut, fields, map_texts, query, table
 WORDS = 3
 THRESHOLD = 3
 BLOCK = 2048
+
+#: Near copies of the pipeline's stage: words of a shingle, least similarity as a fraction, bands and hash functions of a band.
+COPY_WORDS = 5
+SIMILARITY = (4, 5)
+BANDS = 24
+BAND_ROWS = 4
+MIX, SHIFT = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+MIX |= np.uint64(1)
+
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 FOLD = bytes.maketrans(UPPER, LOWER)
@@ -151,12 +165,71 @@ def groups(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return own.join(own.groupBy("root").agg(F.min("low").alias("least")), "root").select("fp", F.col("least").alias("low"))
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text's COPY_WORDS-word shingles."""
+    from xxhash import xxh64_intdigest
+    w = text.translate(FOLD).split()
+    shingles = map(b" ".join, zip(*[w[i:] for i in range(COPY_WORDS)])) if len(w) > COPY_WORDS else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """BANDS keys of a shingle set, each from the minima of BAND_ROWS hash functions."""
+    from xxhash import xxh64_intdigest
+    if not len(h):
+        return []
+    low = np.full(len(MIX), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 10):
+        low = np.minimum(low, (h[i:i + (1 << 10), None] * MIX + SHIFT).min(0))
+    return [xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(low.reshape(BANDS, BAND_ROWS))]
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of at least SIMILARITY."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose shingle sets are near."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            sides = [[x.values.to_numpy() for x in t.column(k)] for k in (2, 3)]
+            yield t.select(["a", "b"]).filter(pa.array([near(x, y) for x, y in zip(*sides)], pa.bool_()))
+    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return cut(sides.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+
+
+def copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the near nodes. `classes` has distinct shingle sets as node, n (its size) and keys (its bands), `texts` has node and text for all of them."""
+    homes = classes.select("node", "n", F.explode("keys").alias("key"))
+    met = cut(homes.join(homes.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("hub")).filter("c > 1"), "key").select("key", "node", "n", "hub"))
+    sized = lambda x, y: (SIMILARITY[1] * F.least(x, y) >= SIMILARITY[0] * F.greatest(x, y))
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi")
+    sets = cut(map_texts(wanted, "text", lambda ts: [(shingle_set(t).view(np.int64),) for t in ts], fields(hashes="array<bigint>"), ["node"]).select("doc.node", "out.hashes"))
+    # each member of a band against the band's first, then all pairs of a band that are not connected by then
+    first = checked(met.filter(F.col("node") > F.col("hub.node")).filter(sized(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), sets)
+    roots = components(first).withColumnRenamed("root", "known")
+    apart = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("known", "node").alias("root"), F.col("hub.node").alias("hub"))
+    mixed = apart.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("c")).filter("p < q AND c > 2").select("key")
+    left = cut(apart.join(mixed, "key", "left_semi").filter("node > hub"))
+    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rest = left.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & sized(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
+    return first.unionByName(checked(rest, sets))
+
+
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id, rows without id last; any one of equal rows."""
-    rows = cut(fingerprints(docs, text).withColumn("row", F.monotonically_increasing_id()))
+    """One row of each component of near copies: the one with the smallest id, rows without id last; any one of equal rows."""
+    from xxhash import xxh3_128_hexdigest
+
+    def run(texts: list[bytes]) -> list[tuple]:
+        return [(xxh3_128_hexdigest(h.tobytes()), len(h), bands(h)) for h in map(shingle_set, texts)]
+    rows = cut(map_texts(docs, text, run, fields(same="string", n="bigint", keys="array<bigint>")).withColumn("row", F.monotonically_increasing_id()))
     key = F.col(f"doc.`{doc_id}`")
-    classes = cut(rows.groupBy("fp").agg(F.min(F.struct(key.isNull().alias("lost"), key.alias("id"), F.col("row"))).alias("low")))
-    stay = groups(classes).select(F.col("low.row").alias("row")).distinct()
+    low = F.struct(key.isNull().alias("lost"), key.alias("id"), F.col("row"))
+    classes = cut(rows.groupBy("out.same").agg(F.min(F.struct(*[low[c].alias(c) for c in ("lost", "id", "row")], F.col("out.n").alias("n"), F.col("out.keys").alias("keys"))).alias("low")).select(F.col("low.row").alias("node"), F.col("low.n").alias("n"), F.col("low.keys").alias("keys"), F.struct("low.lost", "low.id", "low.row").alias("low")))
+    roots = components(copy_links(classes, rows.select(F.col("row").alias("node"), F.col(f"doc.`{text}`").alias("text"))))
+    stay = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("low").alias("low")).select(F.col("low.row").alias("row"))
     return rows.join(stay, "row", "left_semi").select("doc.*")
 
 
