@@ -2,8 +2,10 @@
 
 import random
 
-from tests.llm.conftest import DOC
-from tidemark.llm import simhash
+import pytest
+
+from tests.llm.conftest import DOC, prose
+from tidemark.llm import pii, simhash
 
 
 def test_near_copies_of_the_stage_are_those_of_all_pairs(spark):
@@ -32,3 +34,24 @@ def test_near_copies_of_the_stage_are_those_of_all_pairs(spark):
         par[y] = x
     left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, DOC)).collect()}
     assert left == {find(i) for i in range(len(docs))}
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(21)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    things = [lambda: f"{rng.choice(['ann', 'bob', 'carol', 'dave'])}@{rng.choice(['mail', 'post', 'example'])}.{rng.choice(['com', 'org'])}", lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: d(2)]
+    sample = []
+    for i in range(400):
+        w = " ".join([*prose(i, rng.randint(0, 2)).split(), *(things[(i + k) % 4]() for k in range(rng.randint(1, 3))), *prose(i + 1, rng.randint(0, 2)).split()])
+        sample.append((w, pii.base_spans(w)))
+    return pii.fit([*sample, *(pii.rewritten(w, s, i) for i, (w, s) in enumerate(sample) if s)], rounds=4)
+
+
+@pytest.mark.parametrize("text", ["24 bob (at) example.com now", "alice@x.com bob (at) example.com", "bob (at) example.com carol (at) example.org"])
+def test_an_entity_right_after_a_trigger_lies_in_a_window(text, model):
+    assert list(pii.windows(text)) == [(0, len(text))]
+    at = text.index("example")
+    end = len(text.removesuffix(" now"))
+    last = max(at, text.rfind("example"))
+    assert any(k == 0 and a <= last < b == end for k, a, b in pii.spans_of(text, model)[1])

@@ -38,7 +38,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
+TRIGGER = re.compile(r"[0-9]+|@|[\[({]\s?at\s?[\])}]", re.I)
 ATOM = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 NEEDED = b"0123456789@([{"
 
@@ -82,10 +82,8 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of text around what an entity needs, with some words of context; stretches that touch are one."""
     start = end = -1
     for m in TRIGGER.finditer(text):
-        if m.start() < end:
-            continue
         a, b = m.start(), m.end()
-        for _ in range(AROUND + 1):
+        for _ in range(AROUND + 1 if a >= end else 0):
             a = max(text.rfind(" ", 0, max(a - 1, 0)), text.rfind("\n", 0, max(a - 1, 0)), 0)
         for _ in range(AROUND + 1):
             stops = [x for x in (text.find(" ", b + 1, b + 200), text.find("\n", b + 1, b + 200)) if x >= 0]
@@ -94,7 +92,7 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         if start < 0:
             start, end = a, b
         elif a <= end:
-            end = b
+            end = max(end, b)
         else:
             yield start, end
             start, end = a, b
