@@ -55,3 +55,16 @@ def test_an_entity_right_after_a_trigger_lies_in_a_window(text, model):
     end = len(text.removesuffix(" now"))
     last = max(at, text.rfind("example"))
     assert any(k == 0 and a <= last < b == end for k, a, b in pii.spans_of(text, model)[1])
+
+
+def test_long_windows_are_decoded_as_one(model):
+    rng = random.Random(22)
+    filler = lambda n: [str(rng.randint(10, 99)) for _ in range(n)]
+    for at in range(pii.WINDOW - 8, pii.WINDOW + 2, 3):
+        text = " ".join([*filler(at), "mail bob (at) example.com now", *filler(500)])
+        assert len(list(pii.windows(text))) == 1
+        atoms, segs, feats = pii.segments(text)
+        whole = pii.decode(len(atoms), [(len(atoms), segs, pii.scores(model, feats))])
+        assert pii.entities(text, model) == [(k, atoms[i][0], atoms[j - 1][1]) for i, j, k in whole]
+        start = text.index("bob")
+        assert (0, start, start + len("bob (at) example.com")) in pii.spans_of(text, model)[1]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ AROUND = 2              # words of context on either side of a window
 SAMPLE = 1200           # windows a model is trained on
 ROUNDS = 6
 FEATURES = 1 << 14
-WINDOW = 400            # a window of more atoms is cut
+WINDOW = 400            # atoms of a window whose segments are held at once; longer windows are not trained on
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -129,13 +129,17 @@ def span_features(s: str) -> list[int]:
     return out
 
 
-def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[list[int]]]:
-    """Atoms of a window as (start, end); candidate segments as (first atom, last atom + 1), by last atom; their features."""
+def atoms_of(text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray]:
+    """Atoms of a window as (start, end); their texts; how many of the first n hold what an entity needs."""
     atoms = [m.span() for m in ATOM.finditer(text)]
     word = [text[a:b] for a, b in atoms]
-    need = np.cumsum([0, *(bool(TRIGGER.search(w)) or w.lower() == "at" for w in word)])
+    return atoms, word, np.cumsum([0, *(bool(TRIGGER.search(w)) or w.lower() == "at" for w in word)])
+
+
+def candidates(text: str, atoms: list[tuple[int, int]], word: list[str], need: np.ndarray, after_atom: int, until: int) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Candidate segments as (first atom, last atom + 1), by last atom, of those that end in atoms after_atom + 1 to until; their features."""
     segs, feats = [], []
-    for j in range(1, len(atoms) + 1):
+    for j in range(after_atom + 1, until + 1):
         if not word[j - 1][-1].isalnum():
             continue
         for i in range(max(0, j - LONGEST), j):
@@ -146,7 +150,13 @@ def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], l
             glued = (i > 0 and atoms[i - 1][1] == atoms[i][0], j < len(word) and atoms[j - 1][1] == atoms[j][0])
             segs.append((i, j))
             feats.append([*span_features(text[atoms[i][0]:atoms[j - 1][1]]), feature("before=" + (before if glued[0] else "_")), feature("after=" + (after if glued[1] else "_"))])
-    return atoms, segs, feats
+    return segs, feats
+
+
+def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[list[int]]]:
+    """Atoms of a window, all its candidate segments and their features."""
+    atoms, word, need = atoms_of(text)
+    return atoms, *candidates(text, atoms, word, need, 0, len(atoms))
 
 
 def scores(weights: np.ndarray, feats: list[list[int]]) -> np.ndarray:
@@ -157,18 +167,20 @@ def scores(weights: np.ndarray, feats: list[list[int]]) -> np.ndarray:
     return np.add.reduceat(weights[flat], np.cumsum([0, *(len(f) for f in feats[:-1])]), axis=0)
 
 
-def decode(n: int, segs: list[tuple[int, int]], s: np.ndarray) -> list[tuple[int, int, int]]:
-    """Best cut of n atoms: (first, end, kind) of its entities."""
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    kinds, tops = s.argmax(1).tolist() if len(s) else [], s.max(1).tolist() if len(s) else []
-    at = 0
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        while at < len(segs) and segs[at][1] == j:
-            i = segs[at][0]
-            if best[i] + tops[at] > best[j]:
-                best[j], back[j] = best[i] + tops[at], (i, j, kinds[at])
-            at += 1
+def decode(n: int, parts: Iterable[tuple[int, list[tuple[int, int]], np.ndarray]]) -> list[tuple[int, int, int]]:
+    """Best cut of n atoms: (first, end, kind) of its entities. A part is the number of atoms it ends at, the segments that end in it and their scores."""
+    best, back = [0.0], [None]
+    for until, segs, s in parts:
+        kinds, tops = s.argmax(1).tolist() if len(s) else [], s.max(1).tolist() if len(s) else []
+        at = 0
+        for j in range(len(best), until + 1):
+            best.append(best[-1])
+            back.append(None)
+            while at < len(segs) and segs[at][1] == j:
+                i = segs[at][0]
+                if best[i] + tops[at] > best[j]:
+                    best[j], back[j] = best[i] + tops[at], (i, j, kinds[at])
+                at += 1
     out, j = [], n
     while j > 0:
         if back[j]:
@@ -179,6 +191,18 @@ def decode(n: int, segs: list[tuple[int, int]], s: np.ndarray) -> list[tuple[int
     return out[::-1]
 
 
+def entities(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the entities of a window's best cut. Segments are made and scored for WINDOW last atoms at a time; the cut is one of the whole window."""
+    atoms, word, need = atoms_of(text)
+
+    def parts() -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray]]:
+        for n in range(0, len(atoms), WINDOW):
+            until = min(n + WINDOW, len(atoms))
+            segs, feats = candidates(text, atoms, word, need, n, until)
+            yield until, segs, scores(weights, feats)
+    return [(k, atoms[i][0], atoms[j - 1][1]) for i, j, k in decode(len(atoms), parts())]
+
+
 def expectations(n: int, segs: list[tuple[int, int]], s: np.ndarray) -> np.ndarray:
     """Marginal probability of each (segment, kind) over all cuts of the window."""
     total = np.logaddexp.reduce(s, axis=1)
@@ -261,14 +285,7 @@ def spans_of(text: str, weights: np.ndarray | None) -> tuple[list[tuple[int, int
         return base, base
     more = []
     for a, b in windows(text):
-        atoms, segs, feats = segments(text[a:b])
-        for n in range(0, len(atoms), WINDOW) if len(atoms) > WINDOW else [None]:      # a window without end is cut
-            if n is not None:
-                part = text[a + atoms[n][0]:a + atoms[min(n + WINDOW, len(atoms)) - 1][1]]
-                shift, (own, segs, feats) = a + atoms[n][0], segments(part)
-            else:
-                shift, own = a, atoms
-            more += [(k, shift + own[i][0], shift + own[j - 1][1]) for i, j, k in decode(len(own), segs, scores(weights, feats))]
+        more += [(k, a + x, a + y) for k, x, y in entities(text[a:b], weights)]
     taken = sorted((x, y) for _, x, y in base)
     free = [m for m in more if not any(x < m[2] and m[1] < y for x, y in taken)]
     return base, sorted({*base, *free})
