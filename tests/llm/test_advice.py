@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.llm.conftest import DOC, prose
-from tidemark.llm import pii, simhash
+from tidemark.llm import linededup, pii, simhash
 
 
 def test_near_copies_of_the_stage_are_those_of_all_pairs(spark):
@@ -68,3 +68,32 @@ def test_long_windows_are_decoded_as_one(model):
         assert pii.entities(text, model) == [(k, atoms[i][0], atoms[j - 1][1]) for i, j, k in whole]
         start = text.index("bob")
         assert (0, start, start + len("bob (at) example.com")) in pii.spans_of(text, model)[1]
+
+
+def test_a_block_of_frequent_lines_meets_its_first_holder(spark):
+    a, b = "a line of six common words", "another line of exactly seven common words"
+    own = lambda i: f"only document {i} has this line of its own words, twelve or more"
+    docs = [(i, "\n".join([own(i), a if i % 2 else b, own(i + 100)]), "en", "s", 1) for i in range(12)]
+    docs += [(i, "\n".join([own(i), a, b, own(i + 100)]), "en", "s", 1) for i in (20, 21)]
+    got = {r.doc_id: r.n_deleted for r in linededup.align_lines(spark.createDataFrame(docs, DOC), keep=["doc_id"]).select("doc.doc_id", "n_deleted").collect()}
+    assert got == {i: 2 * (i == 21) for i in got}
+
+
+def test_run_keys_cover_every_line_of_a_block():
+    rng = random.Random(23)
+    for _ in range(300):
+        n = rng.randint(1, 12)
+        words = [rng.choice([0, 1, 3, 5, 7, 12, 15]) for _ in range(n)]
+        hashes = [i + 1 if w else 0 for i, w in enumerate(words)]
+        lines = [(h, w) for h, w in zip(hashes, words) if w]
+        # a block on its own has the run keys that a document around it has; every line of it lies in a keyed run
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                block = lines[i:j]
+                if sum(w for _, w in block) < 12:
+                    continue
+                outer = set(linededup.run_keys(hashes, words, set(hashes) - {0}, 12))
+                assert set(linededup.run_keys([h for h, _ in block], [w for _, w in block], {h for h, _ in block}, 12)) <= outer
+                spans = [(p, q) for p in range(len(block)) for q in range(p + 1, len(block) + 1) if sum(w for _, w in block[p:q]) >= 12 > min(sum(w for _, w in block[p:q - 1]), sum(w for _, w in block[p + 1:q]))]
+                own = linededup.run_keys([h for h, _ in block], [w for _, w in block], {h for h, _ in block}, 12)
+                assert len(own) == len(spans) and {x for p, q in spans for x in range(p, q)} == set(range(len(block)))

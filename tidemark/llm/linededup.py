@@ -1,10 +1,11 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
 1. Every line with a word is hashed, and the documents that hold it are counted. A rare line (at most RARE holders) pairs each holder with every earlier one: three
-   partners at most. A line with more holders pairs each holder with the first one only, so that no line is given up and pairs grow with the lines.
-2. A pair whose shared lines together have fewer than MIN_WORDS words cannot have a common block that long and is dropped.
+   partners at most. A line with more holders pairs each holder with the first one only. Line pairs whose own lines together have fewer than MIN_WORDS words are dropped.
+2. So is every shortest run of adjacent shared lines that reaches MIN_WORDS words, forwards or backwards from a line: each holder is paired with the run's first holder. These
+   runs cover every line of any block that long, so a document that has a block always meets the first document that has each of its parts, however frequent its lines are.
 3. The two line sequences are aligned by patience diff: lines that occur once in both, longest increasing chain of their places, then the same between the
-   links of the chain, and equal lines next to aligned ones are taken in.
+   links of the chain, and equal lines next to aligned ones are taken in. A range without such a line is aligned at its heaviest common run of MIN_WORDS words or more.
 4. Runs of aligned lines that follow each other in both documents are blocks; those of MIN_WORDS words or more are deleted from the later document.
 
 Documents are ordered by id, rows without id last, equal ids by text. Lines are compared by a 64-bit hash of their bytes without ASCII white space at the ends. A line that
@@ -17,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,26 @@ def common_lines(early: list[int], late: list[int], words: list[int], min_words:
     return found
 
 
+def run_keys(hashes: list[int], words: list[int], shared: set[int], min_words: int) -> list[int]:
+    """Hashes of the shortest runs of adjacent shared lines that reach `min_words` words, forwards or backwards from a line; lines without words do not count."""
+    from xxhash import xxh64_intdigest
+    keys: set[int] = set()
+    run: list[tuple[int, int]] = []
+    for h, w in [*((h, w) for h, w in zip(hashes, words) if w), (0, 0)]:
+        if h in shared:
+            run.append((h, w))
+            continue
+        if sum(w for _, w in run) >= min_words:
+            image = np.array([h for h, _ in run], np.int64)
+            total = np.cumsum([0, *(w for _, w in run)])
+            ahead = np.searchsorted(total, total[:-1] + min_words)                # end of the shortest run from each line
+            back = np.searchsorted(total, total[1:] - min_words, "right") - 1     # start of the shortest run up to each line
+            spans = {(i, e) for i, e in enumerate(ahead.tolist()) if e <= len(run)} | {(i, e) for e, i in enumerate(back.tolist(), 1) if i >= 0}
+            keys.update(xxh64_intdigest(image[i:e].tobytes()) - (1 << 63) for i, e in spans)
+        run = []
+    return list(keys)
+
+
 def overlaps(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """(late, early): places in the order of documents of the pairs to align. `lines` has place, hashes and words, one row per document."""
     held = lines.select("place", F.explode(F.arrays_zip("hashes", "words")).alias("l")).filter("l.words > 0").select("place", F.col("l.hashes").alias("line"), F.col("l.words").alias("words")).distinct()
@@ -102,8 +124,19 @@ def overlaps(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) ->
     hub = known.filter(F.col("place") > F.col("first")).select(F.col("place").alias("late"), F.col("first").alias("early"), "words", "line")
     few = known.filter(F.col("holders").between(3, rare)).groupBy("line").agg(F.max("words").alias("words"), F.sort_array(F.collect_list("place")).alias("p"))
     others = few.select("line", "words", "p", F.posexplode(F.slice("p", 2, rare)).alias("i", "early")).select("line", "words", "early", F.explode(F.slice(F.col("p"), F.col("i") + 3, F.lit(rare))).alias("late"))
-    pairs = hub.unionByName(others.select("late", "early", "words", "line"))
-    return pairs.groupBy("late", "early").agg(F.sum("words").alias("n")).filter(F.col("n") >= min_words).select("late", "early")
+    by_line = hub.unionByName(others.select("late", "early", "words", "line")).groupBy("late", "early").agg(F.sum("words").alias("n")).filter(F.col("n") >= min_words).select("late", "early")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            found = [run_keys(h, w, set(s), min_words) for h, w, s in zip(*(t.column(k).to_pylist() for k in (1, 2, 3)))]
+            sizes = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.column(0).to_numpy(), sizes), pa.int64()), pa.array([k for x in found for k in x], pa.int64())], names=["place", "run"])
+
+    runs = lines.join(known.groupBy("place").agg(F.collect_list("line").alias("shared")), "place").select("place", "hashes", "words", "shared").mapInArrow(keys, "place bigint, run bigint")
+    held_runs = cut(runs)
+    first = held_runs.groupBy("run").agg(F.min("place").alias("early"), F.count("*").alias("holders")).filter("holders > 1").select("run", "early")
+    by_run = held_runs.join(first, "run").filter("place > early").select(F.col("place").alias("late"), "early")
+    return by_line.unionByName(by_run).distinct()
 
 
 def deletions(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
