@@ -97,3 +97,23 @@ def test_run_keys_cover_every_line_of_a_block():
                 spans = [(p, q) for p in range(len(block)) for q in range(p + 1, len(block) + 1) if sum(w for _, w in block[p:q]) >= 12 > min(sum(w for _, w in block[p:q - 1]), sum(w for _, w in block[p + 1:q]))]
                 own = linededup.run_keys([h for h, _ in block], [w for _, w in block], {h for h, _ in block}, 12)
                 assert len(own) == len(spans) and {x for p, q in spans for x in range(p, q)} == set(range(len(block)))
+
+
+def test_a_passage_that_one_side_repeats_is_aligned_once():
+    passage = [101, 102, 103]
+    for early, late in (([1, *passage, 2], [3, *passage, 4, *passage, 5]), ([1, *passage, 6, *passage, 2], [3, *passage, 4]), ([1, *passage, 102, 2], [3, 103, 101, *passage, 4, 5])):
+        got = linededup.common_lines(early, late, [5] * len(late), 12)
+        assert len(got) == 3 and [late[i] for i in got] == passage, (early, late)
+    # edges in the range between anchors, and lines without words inside the passage
+    assert linededup.common_lines([50, 1, *passage, 2, 60], [50, 3, 101, 0, 102, 103, 4, *passage, 5, 60], [5, 5, 5, 0, 5, 5, 5, 5, 5, 5, 5, 5], 12) in ([2, 4, 5], [7, 8, 9])
+
+
+def test_heaviest_run_is_that_of_all_runs():
+    rng = random.Random(24)
+    for _ in range(2000):
+        a, b = ([rng.randint(1, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        weight = [0, *(rng.randint(1, 9) for _ in range(4))]
+        words = [weight[x] for x in b]
+        got, p, q, n = linededup.heaviest_run(a, b, words)
+        assert a[p:p + n] == b[q:q + n] and sum(words[q:q + n]) == got
+        assert got == max([sum(words[k:k + m]) for i in range(len(a)) for k in range(len(b)) for m in range(1, 13) if i + m <= len(a) and k + m <= len(b) and a[i:i + m] == b[k:k + m]], default=0)

@@ -54,10 +54,56 @@ def chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places of two line sequences, rising in both."""
+def heaviest_run(a: list[int], b: list[int], words: list[int]) -> tuple[int, int, int, int]:
+    """(words, start in a, start in b, lines) of the common run of adjacent lines with the most words; `words` are those of b. By a suffix automaton of a."""
+    step: list[dict[int, int]] = [{}]
+    size, link, at = [0], [-1], [0]      # at: an end in a
+    last = 0
+    for i, x in enumerate(a, 1):
+        new = len(step)
+        step.append({})
+        size.append(i)
+        link.append(0)
+        at.append(i)
+        p = last
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                twin = len(step)
+                step.append(dict(step[q]))
+                size.append(size[p] + 1)
+                link.append(link[q])
+                at.append(at[q])
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    total = [0]
+    for w in words:
+        total.append(total[-1] + w)
+    best, state, n = (0, 0, 0, 0), 0, 0
+    for k, x in enumerate(b, 1):
+        while state and x not in step[state]:
+            state = link[state]
+            n = size[state]
+        if x in step[state]:
+            state, n = step[state][x], n + 1
+        if total[k] - total[k - n] > best[0]:
+            best = total[k] - total[k - n], at[state] - n, k - n, n
+    return best
+
+
+def patience(a: list[int], b: list[int], words: list[int] | None = None, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """Aligned places of two line sequences, rising in both. `words` are those of b's lines, one each by default."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
+    words = words or [1] * len(b)
     while todo:
         i, j, k, m = todo.pop()
         while i < j and k < m and a[i] == b[k]:
@@ -71,6 +117,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         ca, cb = Counter(a[i:j]), Counter(b[k:m])
         at = {x: y for y, x in enumerate(b[k:m], k) if cb[x] == 1}
         anchors = chain([(y, at[x]) for y, x in enumerate(a[i:j], i) if ca[x] == 1 and x in at])
+        if not anchors and sum(w for x, w in zip(b[k:m], words[k:m]) if x in ca) >= min_words:
+            # a run below min_words that touches no aligned line is no block, whatever is aligned beside it
+            weight, p, q, n = heaviest_run(a[i:j], b[k:m], words[k:m])
+            anchors = [(i + p + x, k + q + x) for x in range(n)] if weight >= min_words else []
         if not anchors:
             continue
         out += anchors
@@ -84,7 +134,7 @@ def common_lines(early: list[int], late: list[int], words: list[int], min_words:
     # lines without words are left out of the alignment; a block runs on across them
     a = [x for x in early if x]
     place = [i for i, x in enumerate(late) if x]
-    pairs = patience(a, [late[i] for i in place])
+    pairs = patience(a, [late[i] for i in place], [words[i] for i in place], min_words)
     found: list[int] = []
     block: list[int] = []
     for n, (x, y) in enumerate(pairs):
