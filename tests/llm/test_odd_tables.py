@@ -13,7 +13,7 @@ from tidemark.llm import idcoder, linededup, packing, pii, simhash
 from tidemark.llm.common import QUERIES, SQL
 import tidemark.llm.queries  # noqa: F401
 
-PER_DOC = [q for q in QUERIES if not q.startswith(("op4", "op10"))]
+PER_DOC = [q for q in QUERIES if not q.startswith(("op4", "op10", "op11", "op12"))]
 DOCS = odd_rows()
 
 
@@ -37,7 +37,7 @@ def rows(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op4_warc_index", "op7_quality_rules"])
+@pytest.mark.parametrize("name", ["op4_warc_index", "op7_quality_rules", "op13_license_index"])
 def test_sql_twin(spark, odd, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
