@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("series_q", "text_q", "obs_q", "entity_q", "log_q", "graph_q", "evidence_q", "rule_q", "listing_q",
-           "registry_q", "design_q", "source_q", "stream_q")
+           "registry_q", "design_q", "signal_q", "source_q", "stream_q")
 
 
 def collect() -> tuple[dict, dict]:

@@ -109,7 +109,7 @@ def promo_delta(obs: DataFrame, keys: Sequence[str] = ("entity_id",), none: str
 def composite_index(factors: DataFrame, names: Sequence[str], out: str, weights: Mapping[str, float] | None = None) -> DataFrame:
     """0-100 index: each factor scaled over its own range, then weighted (equal weights unless given).
 
-    Serves fomo_index (slope, listings, news), stabilization and supply_heat. The ranges are one aggregated row.
+    A negative weight turns its factor round. The ranges are one aggregated row. The factors of the signals across domains are in `signals`.
     """
     w = weights or {n: 1.0 / len(names) for n in names}
     span = factors.agg(F.struct(*[F.min(n).alias(f"_lo_{n}") for n in names], *[F.max(n).alias(f"_hi_{n}") for n in names])).scalar()
@@ -117,7 +117,8 @@ def composite_index(factors: DataFrame, names: Sequence[str], out: str, weights:
     score = F.lit(0.0)
     for n in names:
         width = F.col(f"_hi_{n}") - F.col(f"_lo_{n}")
-        score = score + F.lit(w[n]) * F.when(width == 0, 0.0).otherwise((F.col(n) - F.col(f"_lo_{n}")) / width)
+        up = (F.col(n) - F.col(f"_lo_{n}")) if w[n] >= 0 else (F.col(f"_hi_{n}") - F.col(n))
+        score = score + F.lit(abs(w[n])) * F.when(width == 0, 0.0).otherwise(up / width)
     return j.select(*factors.columns, (score * 100).alias(out))
 
 
