@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.base import OBS, SELF, VENDORS, Registry, day, l0_sql, observations, table
-from tidemark.operators import entities as E, registry as G, series as S
+from tidemark.operators import entities as E, lineage as L, registry as G, series as S
 from tidemark.plans import snapshot as P
 
 R = Registry()
@@ -116,7 +116,7 @@ def apply_anchors(spark, d):
 def lineage_expand(spark, d):
     lin = table(spark, d, "customer").filter("c_custkey % 5 > 0").select(
         F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") - 1).alias("inherits_from"))
-    x = E.lineage_expand(order_obs(spark, d), lin)
+    x = L.lineage_expand(order_obs(spark, d), lin)
     return x.groupBy("entity_id").agg(F.count("*").alias("n_obs"), F.countDistinct("origin_id").alias("n_origins"),
                                       F.min("low_price").alias("min_price"))
 

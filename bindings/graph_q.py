@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.base import Registry, table
 from tidemark.operators import graph as G
+from tidemark.operators.lineage import heirs
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -73,7 +74,8 @@ def dag_problems(spark, d):
 def closure_sizes(spark, d):
     e = table(spark, d, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"),
                                                                F.floor(F.col("p_partkey") / 2).alias("dst"))
-    return G.closure(e).groupBy("src").agg(F.count("*").alias("n_ancestors"))
+    pairs = heirs(e.select(F.col("src").alias("entity_id"), F.col("dst").alias("inherits_from")))
+    return pairs.groupBy(F.col("heir").alias("src")).agg(F.count("*").alias("n_ancestors"))
 
 
 @R.add("stuck_on_dead", """WITH RECURSIVE t AS (SELECT 'plan' || (p_partkey % 7) AS plan_id, p_partkey AS task_id, CASE

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize_name
-from tidemark.operators.graph import closure
 from tidemark.operators.ordered import first_per_key, number_rows
 
 IDENTITY = ("category", "series", "spec")
@@ -92,15 +91,6 @@ def apply_anchors(entities: DataFrame, anchors: DataFrame) -> DataFrame:
         "entity_id", "display_name", new.alias("perf_anchor"), outcome.alias("outcome"))
 
 
-def lineage_expand(obs: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Own observations plus those of every inherited entity; `origin_id` keeps the owner."""
-    reach = closure(lineage.select(F.col("entity_id").alias("src"), F.col("inherits_from").alias("dst")))
-    own = obs.withColumn("origin_id", F.col("entity_id"))
-    inherited = obs.withColumnRenamed("entity_id", "origin_id").join(
-        reach.filter("src <> dst").select(F.col("src").alias("entity_id"), F.col("dst").alias("origin_id")), "origin_id")
-    return own.unionByName(inherited)
-
-
 def apply_entity_changes(entities: DataFrame, changes: DataFrame, categories, brands) -> DataFrame:
     """Outcome of every create / update / retire request.
 

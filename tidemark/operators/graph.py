@@ -13,21 +13,6 @@ from tidemark import fixed
 from tidemark.session import Rounds, cut_lineage
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) pairs connected by a path of edges, by path doubling (log2 of the depth in rounds)."""
-    reach = cut_lineage(edges.select("src", "dst").distinct())
-    size = reach.count()
-    while True:
-        step = (reach.select("src", F.col("dst").alias("mid"))
-                .join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst"))
-        grown = cut_lineage(reach.union(step).distinct())
-        new_size = grown.count()
-        reach, old = grown, size
-        size = new_size
-        if new_size == old:
-            return reach
-
-
 def first_root(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(node, root): every node reached along src -> dst, with the smallest root that reaches it; nodes outside `allowed` stop the walk and are left out.
 
