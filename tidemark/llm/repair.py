@@ -109,9 +109,6 @@ def deepen(n: int, start: int, goal: int | None, least, step) -> tuple[int, str]
     return None
 
 
-FLOOR = {"x": DELETE, "o": REROLE, **{c: min(DELETE, TRUNCATED) for c in "SUAOE"}}
-
-
 def reachable(marks: str, start: int, goal: int | None) -> bool:
     """Whether some edits lead from `start` to `goal`: nothing and a lone system row come from rows only, the others can be inserted before a row."""
     if goal is None or start == goal:
@@ -121,16 +118,43 @@ def reachable(marks: str, start: int, goal: int | None) -> bool:
     return goal != NOTHING and bool(marks)
 
 
+ALONE = {"x": DELETE, "o": REROLE, **{c: min(DELETE, TRUNCATED) for c in "SUAOE"}}     # the least that a row costs wherever it stands
+
+
+def floors(marks: str, goal: int | None):
+    """A lower bound of what rows i onwards cost from a state: what each costs alone, and one edit for each two clean rows after another whose
+    roles cannot stand together (no row counted twice; the first one may clash with the state instead). For a goal without user and assistant rows all others must go."""
+    n, never = len(marks), float("inf")
+    if goal in (NOTHING, SYSTEM):
+        gone = [0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            gone[i] = gone[i + 1] + (0 if marks[i] == "e" else min(DELETE, TRUNCATED) if marks[i] == "E" else DELETE)
+        return lambda i, state: never if state > goal else max(0, gone[i] - (DELETE if state < goal else 0))
+    alone, pairs, clash = [0] * (n + 1), [0] * (n + 1), [(None, 0)] * (n + 1)
+    first = None                                        # the next clean row, if only rows that must go stand before it
+    for i in range(n - 1, -1, -1):
+        c = marks[i]
+        alone[i] = alone[i + 1] + ALONE.get(c, 0)
+        pairs[i], clash[i] = pairs[i + 1], clash[i + 1] if c == "x" else (None, 0)
+        if c in ("s", "u", "a"):
+            if first is not None and c + marks[first] not in LEGAL:
+                pairs[i] = max(pairs[i], 1 + pairs[first + 1])
+            clash[i], first = (c, pairs[i + 1]), i
+        elif c != "x":
+            first = None
+
+    def least(i: int, state: int) -> int:
+        c, behind = clash[i]
+        return alone[i] + (max(pairs[i], 1 + behind) if c and kept(state, c) is None else pairs[i])
+    return least
+
+
 @lru_cache(200_000)
 def solve(marks: str, start: int = NOTHING, goal: int | None = None) -> tuple[int, str] | None:
     """Cheapest edits of one block of rows; None if there is no way."""
     if not reachable(marks, start, goal):
         return None
-    n, floor = len(marks), [0]
-    for c in reversed(marks):
-        floor.append(floor[-1] + FLOOR.get(c, 0))
-    floor.reverse()
-    return deepen(n, start, goal, lambda i, state: floor[i], lambda i, state, inserted: moves(marks[i], state, inserted))
+    return deepen(len(marks), start, goal, floors(marks, goal), lambda i, state, inserted: moves(marks[i], state, inserted))
 
 
 Ways = list  # sixteen entries, by 4 * start + goal: (cost, labels) or None
