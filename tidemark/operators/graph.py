@@ -6,12 +6,21 @@ and a lost executor replays at most that many rounds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.operators.pointers import chase, numbered
 from tidemark.session import Rounds, cut_lineage
 
+#: Edges that one task peels at once; rounds whose results are folded into one frame.
+PART = 200_000
+FOLD = 8
+
 
 def first_root(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(node, root): every node reached along src -> dst, with the smallest root that reaches it; nodes outside `allowed` stop the walk and are left out.
@@ -22,14 +31,16 @@ def first_root(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = N
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
     edges = cut_lineage(edges)
-    rounds = Rounds(edges.sparkSession)
-    frontier = rounds.add(roots.select("node", F.col("node").alias("root")).distinct())
-    while True:
+    frontier = cut_lineage(roots.select("node", F.col("node").alias("root")).distinct())
+    known, since = frontier, 0
+    while not frontier.isEmpty():
         pushed = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("root"))
-        known = rounds.all().groupBy("node").agg(F.min("root").alias("_had"))
-        frontier = rounds.add(pushed.join(known, "node", "left").filter("_had IS NULL OR root < _had").select("node", "root"))
-        if frontier.isEmpty():
-            return rounds.all().groupBy("node").agg(F.min("root").alias("root"))
+        had = known.groupBy("node").agg(F.min("root").alias("_had"))
+        frontier = cut_lineage(pushed.join(had, "node", "left").filter("_had IS NULL OR root < _had").select("node", "root"))
+        known, since = known.unionByName(frontier), since + 1
+        if since == FOLD:                               # what is known is one row per node again
+            known, since = cut_lineage(known.groupBy("node").agg(F.min("root").alias("root"))), 0
+    return known.groupBy("node").agg(F.min("root").alias("root"))
 
 
 def mark_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -45,37 +56,112 @@ def mark_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             return rounds.all()
 
 
-def trim_leaves(edges: DataFrame) -> DataFrame:
-    """Edges left after repeatedly dropping nodes that lack an incoming or an outgoing edge.
-
-    Every remaining node lies on a cycle or between two cycles; an acyclic graph leaves nothing.
+def _alive(tail: np.ndarray, head: np.ndarray, alone: bool) -> np.ndarray:
+    """Which edges are left after dropping, again and again, those whose tail has no edge into it. All edges into a node are known to be here if it lies
+    strictly between the least and the largest head, or if there is no other task."""
+    nodes, at = np.unique(np.concatenate([tail, head]), return_inverse=True)
+    t, h = at[:len(tail)], at[len(tail):]
+    whole = (nodes > head.min()) & (nodes < head.max()) | alone
+    incoming = np.bincount(h, minlength=len(nodes))
+    order = np.argsort(t, kind="stable")
+    start = np.searchsorted(t[order], np.arange(len(nodes) + 1))
+    left = np.ones(len(tail), bool)
+    todo = np.flatnonzero(whole & (incoming == 0)).tolist()
+    while todo:
+        u = todo.pop()
+        out = order[start[u]:start[u + 1]]
+        left[out] = False
+        for v in h[out].tolist():
+            incoming[v] -= 1
+            if not incoming[v] and whole[v]:
+                todo.append(v)
+    return left
+
+
+def _peel(edges: DataFrame, head: str, parts: int) -> DataFrame:
+    """Edges that are left when every task peels its range of nodes as deep as it can see."""
+    tail = "src" if head == "dst" else "dst"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [b for b in batches if b.num_rows]
+        if t:
+            t = pa.Table.from_batches(t)
+            keep = _alive(t[tail].to_numpy(), t[head].to_numpy(), parts == 1)
+            yield from t.filter(pa.array(keep)).to_batches()
+    dealt = edges.repartition(1) if parts == 1 else edges.repartitionByRange(parts, head, tail)
+    return dealt.select("src", "dst").mapInArrow(run, "src bigint, dst bigint")
+
+
+def trim_leaves(edges: DataFrame, part: int = PART, until: float = 1.0) -> tuple[DataFrame, int]:
+    """(edges, their number) left after repeatedly dropping nodes that lack an incoming or an outgoing edge; nodes are numbers. Stops early once a round leaves more than `until` of its edges.
+
+    Before each exchange a task peels whole stretches of its own. Every node that remains lies on a cycle or between two cycles; an acyclic graph leaves nothing.
     """
     cur = cut_lineage(edges.select("src", "dst").distinct())
     size = cur.count()
-    while True:
-        if size == 0:
-            return cur
-        nxt = (cur.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-               .join(cur.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    while size:
+        parts = -(-size // part)
+        nxt = _peel(_peel(cur, "dst", parts), "src", parts)
+        if parts > 1:
+            nxt = nxt.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(cur.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         nxt = cut_lineage(nxt)
         left = nxt.count()
-        if left == size:
-            return cur
+        if parts == 1 or left >= until * size:
+            return nxt, left
         cur, size = nxt, left
+    return cur, size
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle.
+def contract_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Chains of nodes with one way in and one way out become single edges: (edges, chain nodes as node, a, b, nodes of rings made of such nodes alone as node, comp).
 
-    Colour propagation: each node takes the largest id that reaches it; a node whose own id is its
-    colour roots a component, made of the nodes of that colour that reach back to it. Such components
-    are cut out and the rest is coloured again. One row per node throughout, never a pair table.
+    A chain node lies on a cycle just if its ends a and b lie on one together. None if there is no such node.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("prv")).filter("n = 1").drop("n")
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("nxt")).filter("n = 1").drop("n")
+    mid = cut_lineage(into.join(out, "node").filter("prv <> node"))
+    if mid.isEmpty():
+        return None
+    b = chase(mid.select("node", "nxt", F.col("node").alias("comp")), {"comp": F.least})      # on a ring the least node passed is the same for all
+    a = chase(mid.select("node", F.col("prv").alias("nxt")))
+    inner = mid.select("node")
+    ends = a.select("node", F.col("nxt").alias("a")).join(b.select("node", F.col("nxt").alias("b"), "comp"), "node")
+    rings = cut_lineage(ends.join(inner.withColumnRenamed("node", "b"), "b", "left_semi").select("node", "comp"))
+    chains = cut_lineage(ends.drop("comp").join(rings, "node", "left_anti"))
+    rest = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_anti").join(inner.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return rest.unionByName(chains.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct(), chains, rings
+
+
+def cycle_members(edges: DataFrame, part: int = PART) -> DataFrame:
+    """Nodes that lie on a cycle, one row each (column node).
+
+    Leaves are trimmed and chains contracted in turns, so a long way costs rounds by its logarithm. What is left is coloured: each node takes the largest number that reaches
+    it; a node whose own number is its colour roots a component, made of the nodes of that colour that reach back to it. Such components are cut out
+    and the rest is coloured again. At the end chain nodes join the component of their ends. One row per node throughout, never a pair table.
     """
-    found = None
-    rest = trim_leaves(edges)
+    rest, nodes = numbered(edges.select("src", "dst"))
+    chains, rings = [], []
     while True:
-        if rest.isEmpty():
+        rest, size = trim_leaves(rest, part, 0.9)
+        got = contract_chains(rest) if size else None
+        if got is None:
             break
+        rest = got[0]
+        chains.append(got[1])
+        rings.append(got[2])
+    found = _components(trim_leaves(rest, part)[0], part)
+    for r in rings:
+        found = found.unionByName(r)
+    for c in reversed(chains):
+        on = lambda end: found.select(F.col("node").alias(end), F.col("comp").alias(f"of_{end}"))  # noqa: E731, B023
+        found = cut_lineage(found.unionByName(c.join(on("a"), "a").join(on("b"), "b").filter("of_a = of_b").select("node", F.col("of_a").alias("comp"))))
+    return found.select("node").distinct().join(nodes.select(F.col("id"), F.col("node").alias("name")), F.col("node") == F.col("id")).select(F.col("name").alias("node"))
+
+
+def _components(rest: DataFrame, part: int) -> DataFrame:
+    """(node, comp): nodes on cycles with the root of their component."""
+    found = rest.select(F.col("src").alias("node"), F.col("src").alias("comp")).limit(0)
+    while not rest.isEmpty():
         colour = _max_colour(rest)
         same = (rest.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src")
                 .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
@@ -85,14 +171,10 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         back = mark_reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
         # a root without a self path forms no cycle: it needs an edge from inside its own component
         loops = same.join(back.select(F.col("node").alias("src")), "src", "left_semi").select("colour").distinct()
-        members = (back.join(colour, "node").join(loops, "colour", "left_semi").select("node"))
-        found = members if found is None else found.unionByName(members)
-        gone = back.select("node")
-        rest = trim_leaves(rest.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
-                           .join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    if found is None:
-        return edges.select(F.col("src").alias("node")).limit(0)
-    return found.distinct()
+        found = found.unionByName(back.join(colour, "node").join(loops, "colour", "left_semi").select("node", F.col("colour").alias("comp")))
+        rest = trim_leaves(rest.join(back.select(F.col("node").alias("src")), "src", "left_anti")
+                           .join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), part)[0]
+    return found
 
 
 def _max_colour(edges: DataFrame) -> DataFrame:
