@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-Templates are short passages of licences with a label and a key phrase. Of each template the index holds the RARE words of highest inverse document frequency among those
-the corpus has at all, with their places in the template. A file's words that the index knows are its rarest licence words; each occurrence, looked up,
+Templates are short passages of licences with a label and a key phrase. Of each template the index holds the half of its words with the highest inverse document frequency,
+RARE at most, with their places in the template. A file's words that the index knows are its rarest licence words; each occurrence, looked up,
 votes for the place in the file where the template would begin (its own place less the posting's). Votes that fall into a window of 2 * SLACK words are one candidate, so
 a word inserted or left out between them does no harm. A candidate is a match if it has LEAST of the template's postings and if the template's key phrase, word for
-word, votes for the same window. The score is the share of postings found, the best one of the file's matches.
+word, votes for the same window. The score is the share of postings found, the best one of the file's matches. Files without any key phrase cannot match, so their words
+are not looked up.
 
 Phrases of the base are templates too, whose key phrase is all of them; each of their places in a text counts, whatever the index says.
 
@@ -67,7 +68,7 @@ def postings(templates: list[tuple[str, str, str]], seen: dict[str, int], rare:
     out = []
     for t, (_, passage, _) in enumerate(templates):
         w = passage.split()
-        best = sorted({x for x in w if seen.get(x)}, key=lambda x: (seen[x], x))[:rare]
+        best = sorted(set(w), key=lambda x: (seen.get(x, 0), x))[:min(rare, (len(set(w)) + 1) // 2)]
         out += [(x, t, i) for i, x in enumerate(w) if x in best]
     return out
 
@@ -92,24 +93,27 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), words(F.col(f"`{text}`")).alias("words"))
     index = postings(templates, frequencies(found, {w for _, p, _ in templates for w in p.split()}))
     phrases = {w for _, p in base for w in p.split()} | {w for _, _, k in templates for w in k.split()}
-    files = cut(found.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("words").cast("bigint").alias("n_words"), hits(found, phrases | {w for w, _, _ in index}).alias("hits")))
+    files = found.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("words").cast("bigint").alias("n_words"), hits(found, phrases | {w for w, _, _ in index}).alias("hits"))
 
-    # votes of words and of key phrases for the place where a template begins
-    spark, total = docs.sparkSession, [0] * len(templates)
-    for _, t, _ in index:
-        total[t] += 1
-    entries = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(at).alias("at")) for w, t, at in [*index, ("", 0, 0)]])
-    postings_df = spark.range(1).select(F.inline(entries))
-    votes = files.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(postings_df, "word").select("row", "template", (F.col("place") - F.col("at")).alias("begin"), "at")
 
     def begins(t: int, passage: list[str], key: list[str]) -> Column:
         at = next(i for i in range(len(passage)) if passage[i:i + len(key)] == key)
         return F.transform(places(" ".join(key)), lambda p: F.struct(F.lit(t).alias("template"), (p - at).alias("begin")))
-    keyed = [begins(t, passage.split(), key.split()) for t, (_, passage, key) in enumerate(templates)]
-    keys = files.select("row", F.explode(F.concat(*keyed)).alias("vote")).select("row", "vote.*", F.lit(None).cast("int").alias("at"))
+    keyed = F.concat(*[begins(t, passage.split(), key.split()) for t, (_, passage, key) in enumerate(templates)])
+    files = cut(files.withColumn("keyed", F.when(F.size("hits") == 0, F.array().cast("array<struct<template:int,begin:int>>")).otherwise(keyed)))
+
+    # votes of words and of key phrases for the place where a template begins
+    total = [0] * len(templates)
+    for _, t, _ in index:
+        total[t] += 1
+    entries = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(at).alias("at")) for w, t, at in index])
+    postings_df = docs.sparkSession.range(1).select(F.inline(entries))
+    named = files.filter(F.size("keyed") > 0)
+    votes = named.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(postings_df, "word").select("row", "template", (F.col("place") - F.col("at")).alias("begin"), "at")
+    keys = named.select("row", F.explode("keyed").alias("vote")).select("row", "vote.*", F.lit(None).cast("int").alias("at"))
     window = F.floor(F.col("begin") / SLACK)
     seen = votes.unionByName(keys).select("row", "template", "at", F.explode(F.array(window, window - 1)).alias("window"))
-    sizes = F.element_at(F.array(*[F.lit(max(1, n)) for n in total]), F.col("template") + 1)
+    sizes = F.element_at(F.array(*[F.lit(n) for n in total]), F.col("template") + 1)
     names = F.element_at(F.array(*[F.lit(label) for label, _, _ in templates]), F.col("template") + 1)
     # each posting once, so that repeats of a word in a window don't count twice
     single = seen.distinct().groupBy("row", "template", "window").agg(F.count("at").alias("n"), F.count_if(F.col("at").isNull()).alias("key")).filter("key > 0")
@@ -133,7 +137,8 @@ def scan_sql() -> str:
   x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM d),
   tw AS (SELECT template, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS seat FROM t),
   df AS (SELECT word, count(DISTINCT rid) AS n FROM x WHERE word IN (SELECT word FROM tw) GROUP BY word),
-  best AS (SELECT template, word FROM (SELECT DISTINCT template, word FROM tw) JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY template ORDER BY n, word) <= {RARE}),
+  best AS (SELECT template, word FROM (SELECT DISTINCT template, word FROM tw) LEFT JOIN df USING (word)
+    QUALIFY row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 0), word) <= least({RARE}, (count(*) OVER (PARTITION BY template) + 1) // 2)),
   post AS (SELECT template, word, seat FROM tw JOIN best USING (template, word)),
   sizes AS (SELECT template, count(*) AS n FROM post GROUP BY template),
   ph AS (SELECT 'b' || label AS name, words FROM b UNION ALL SELECT 't' || template, key FROM t),
@@ -142,7 +147,7 @@ def scan_sql() -> str:
     SELECT rid, template, place - (SELECT min(i) FROM range(0, len(t.words)) r(i) WHERE t.words[i + 1:i + len(t.key)] = t.key), NULL FROM at_phrase JOIN t ON name = 't' || template),
   win AS (SELECT DISTINCT rid, template, seat, CAST(floor(begins / {float(SLACK)}) AS BIGINT) - s AS w FROM votes, (VALUES (0), (1)) o(s)),
   cand AS (SELECT rid, template, count(seat) AS n FROM win GROUP BY rid, template, w HAVING count(*) > count(seat)),
-  good AS (SELECT rid, label, CAST(c.n AS DOUBLE) / greatest(1, coalesce(s.n, 0)) AS share FROM cand c JOIN t USING (template) LEFT JOIN sizes s USING (template) WHERE CAST(c.n AS DOUBLE) / greatest(1, coalesce(s.n, 0)) >= {LEAST}),
+  good AS (SELECT rid, label, CAST(c.n AS DOUBLE) / s.n AS share FROM cand c JOIN t USING (template) JOIN sizes s USING (template) WHERE CAST(c.n AS DOUBLE) / s.n >= {LEAST}),
   base AS (SELECT rid, substr(name, 2) AS label, place FROM at_phrase WHERE name LIKE 'b%'),
   bs AS (SELECT rid, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
   ls AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM good) GROUP BY rid),
