@@ -75,7 +75,6 @@ def test_ids_come_back(spark, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
     want = Counter((d, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for d, x in ((d, tk.encode(t or "", add_special_tokens=False).ids) for d, t, *_ in DOCS))
     got = sorted(QUERIES["op2_id_range_coder"](spark, odd).collect(), key=lambda r: r.start)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
@@ -88,7 +87,6 @@ def test_pieces_are_packed(spark, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     got = QUERIES["op10_best_fit_packing"](spark, odd).collect()
     want = Counter()
     for d, t, *_ in DOCS:

@@ -2,7 +2,8 @@
 
 Both tokenizers split a text at certain places whatever stands around them, so a text's ids are those of its parts in a row:
 `word_bpe` drops white space and looks at no word across it; `byte_bpe` starts a new part at a single space between two other
-characters. Parts are looked up in a table first; only new ones go through the library, whole texts with other white space too.
+characters. Parts are looked up in a table first; only new ones go through the library, whole texts with other white space or the string of
+an added token too.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ REMEMBERED = 250_000
 class Recent(dict):
     """Part of a text -> its ids as little-endian bytes, worked out by `make` where not remembered."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int = REMEMBERED):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         out = self.older.get(part)
@@ -41,7 +42,7 @@ class Unsplittable(Exception):
 class Coder:
     """Ids of whole texts by one tokenizer file; `name` is a file of public_tokenizers or a path."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,13 +51,14 @@ class Coder:
             import public_tokenizers
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        #: strings of added tokens get ids of their own wherever they stand, so a text that has one is left to the library
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.drops_space = "Lowercase" in str(self.tokenizer.normalizer)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.drops_space else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.first = Recent(self.part)
-        self.rest = self.first if self.drops_space else Recent(lambda part: self.part(" " + part))
-        self.atoms = Recent(self.atom)
+        self.first = Recent(self.part, remembered)
+        self.rest = self.first if self.drops_space else Recent(lambda part: self.part(" " + part), remembered)
+        self.atoms = Recent(self.atom, remembered)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}     # how the vocabulary writes bytes
@@ -82,6 +84,9 @@ class Coder:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        low = text.lower()
+        if any(x in low for x in self.added):
+            return self.whole(text)
         first, *rest = text.split(" ")
         try:
             return b"".join([self.first[first], *map(self.rest.__getitem__, rest)])
@@ -92,8 +97,8 @@ class Coder:
 _CODERS: dict[str, Coder] = {}
 
 
-def coder(name: str) -> Coder:
+def coder(name: str, remembered: int = REMEMBERED) -> Coder:
     """The worker's own coder, made once per process."""
     if name not in _CODERS:
-        _CODERS[name] = Coder(name)
+        _CODERS[name] = Coder(name, remembered)
     return _CODERS[name]
