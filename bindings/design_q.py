@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings.base import OBS, Registry, day, l0_sql, observations, table
 from bindings.series_q import PLAIN, PRIO, plain_obs, priority_series
 from tidemark.operators import design as G, series as S
+from tidemark.sources.contracts import contract
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -141,12 +142,42 @@ def adopt_proposals(spark, d):
     return G.adopt_proposals(table(spark, d, "customer").select(F.col("c_custkey").alias("quarantine_id")), p)
 
 
+OWN_SQL, APPS_SQL = "['自采', 'manmanmai', 'gwdang']", "['自采', 'beike_app', 'xianyi_app']"
+
+
 @R.add("route_metrics", f"""WITH {OBS}, m AS (SELECT source, CASE WHEN k % 3 = 0 THEN 'rr_pct' WHEN k % 3 = 1 THEN 'price' ELSE 'unit_price' END AS metric FROM obs),
-  r(target, metrics, sources) AS (VALUES ('l0', ['price', 'unit_price', 'rr_pct'], ['自采', 'manmanmai', 'gwdang']), ('stab_risk', ['price', 'unit_price'], ['自采', 'manmanmai', 'gwdang']),
-    ('wait_value', ['price', 'unit_price'], ['自采', 'manmanmai', 'gwdang']), ('anchor_check', ['price'], ['自采']), ('sloth_tax', ['price'], ['自采']), ('promo_delta', ['price'], ['自采']),
-    ('offer_percentile', ['unit_price'], ['自采', 'beike_app', 'xianyi_app']), ('distress_signal', ['unit_price'], ['自采', 'beike_app', 'xianyi_app']),
-    ('flagship_premium', ['price', 'unit_price'], ['自采', 'manmanmai', 'gwdang']), ('depreciation', ['price', 'unit_price'], ['自采', 'manmanmai', 'gwdang']))
-  SELECT target, count(*) AS n_rows FROM m JOIN r ON list_contains(metrics, metric) AND list_contains(sources, source) GROUP BY 1""")
+  r(target, metrics, sources) AS (VALUES ('l0', ['price', 'unit_price', 'rr_pct'], {OWN_SQL}), ('stab_risk', ['price', 'unit_price'], {OWN_SQL}),
+    ('wait_value', ['price', 'unit_price'], {OWN_SQL}), ('anchor_check', ['price'], ['自采']), ('sloth_tax', ['price'], ['自采']), ('promo_delta', ['price'], ['自采']),
+    ('offer_percentile', ['unit_price'], {APPS_SQL}), ('distress_signal', ['unit_price'], {APPS_SQL}), ('stabilization', ['unit_price'], {APPS_SQL}),
+    ('flagship_premium', ['price', 'unit_price'], {OWN_SQL}), ('depreciation', ['price', 'unit_price'], {OWN_SQL}),
+    ('fomo_index', ['price', 'unit_price'], NULL), ('arb_window', ['price', 'unit_price'], NULL), ('supply_heat', ['price', 'unit_price'], NULL))
+  SELECT target, count(*) AS n_rows, count(*) FILTER (target IN ('stab_risk', 'wait_value', 'flagship_premium', 'depreciation') AND source IN ('manmanmai', 'gwdang')) AS n_marked
+  FROM m JOIN r ON list_contains(metrics, metric) AND (sources IS NULL OR list_contains(sources, source)) GROUP BY 1""")
 def route_metrics(spark, d):
-    o = observations(spark, d)
-    return G.route_matrix(o.withColumn("metric", F.when(F.col("k") % 3 == 0, "rr_pct").when(F.col("k") % 3 == 1, "price").otherwise("unit_price")))
+    return G.route_matrix(kinds_of_value(spark, d))
+
+
+def kinds_of_value(spark, d):
+    return observations(spark, d).withColumn("metric", F.when(F.col("k") % 3 == 0, "rr_pct").when(F.col("k") % 3 == 1, "price").otherwise("unit_price"))
+
+
+@R.add("route_by_contract", f"""WITH {OBS}, m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'rr_pct' WHEN k % 3 = 1 THEN 'price' ELSE 'unit_price' END AS metric FROM obs)
+  SELECT entity_id, count(*) AS n_rows, count(*) FILTER (source = 'gwdang') AS n_marked, min(low_price) AS low FROM m WHERE (metric = 'price' AND source IN ('gwdang', '自采')) OR (metric = 'rr_pct' AND source IN ('gwdang', '自采')) GROUP BY 1""")
+def route_by_contract(spark, d):
+    """A contract that narrows the sources of one kind of value and opens another one to a metric."""
+    c = contract({"domain": "x", "identity": ["a"], "metrics": {"price": {"unit": "CNY", "allowed_sources": {"stab_risk": ["gwdang"], "l0": ["自采"]}}, "rr_pct": {"allowed_sources": {"stab_risk": ["自采"]}}}})
+    r = G.route(kinds_of_value(spark, d), "stab_risk", c)
+    return r.groupBy("entity_id").agg(F.count("*").alias("n_rows"), F.count("basis").alias("n_marked"), F.min("low_price").alias("low"))
+
+
+@R.add("sufficiency_forecast", """WITH ser AS (SELECT DISTINCT o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS d FROM orders),
+  g AS (SELECT *, d - lag(d) OVER (PARTITION BY entity_id ORDER BY d) AS gap, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC) AS rn FROM ser),
+  p AS (SELECT c_custkey AS entity_id, c_custkey % 4 AS n_pending FROM customer WHERE c_custkey % 4 > 0),
+  a AS (SELECT entity_id, count(*) AS n_periods, max(d) AS last, CAST(quantile_disc(gap, 0.5) FILTER (rn <= 30) AS INT) AS cadence_days FROM g GROUP BY 1),
+  e AS (SELECT a.*, CASE WHEN n_periods < 20 THEN last + CAST(greatest(20 - n_periods - coalesce(n_pending, 0), 0) * cadence_days AS INT) END AS expected FROM a LEFT JOIN p USING (entity_id))
+  SELECT entity_id, n_periods, 20 AS need, cadence_days, CAST(expected AS VARCHAR) AS expected,
+    CASE WHEN n_periods >= 20 THEN 'OK(' || n_periods || ')' WHEN expected IS NULL THEN n_periods || '/20' ELSE n_periods || '/20, ' || CAST(expected AS VARCHAR) END AS sufficiency FROM e""")
+def sufficiency_forecast(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.to_date("o_orderdate").alias("obs_date"))
+    pending = table(spark, d, "customer").filter("c_custkey % 4 > 0").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") % 4).alias("n_pending"))
+    return G.sufficiency_forecast(s, "offer_percentile", pending=pending).withColumn("expected", F.date_format("expected", "yyyy-MM-dd"))

@@ -15,19 +15,26 @@ from tidemark.functions.stats import safe_pct
 # fixed values: periods each metric needs
 SUFFICIENCY = {"l0": 5, "stab_risk": 60, "wait_value": 120, "anchor_check": 30, "offer_percentile": 20,
                "distress_signal": 30, "depreciation": 60, "promo_delta": 30}
-# fixed values: which metric kinds and sources a metric may use
+# fixed values: which kinds of value and which sources a metric may use; None stands for every source
+OWN, FILLED, APPS = ("自采", "manmanmai", "gwdang"), ("manmanmai", "gwdang"), ("自采", "beike_app", "xianyi_app")
 ROUTES = {
-    "l0": (("price", "unit_price", "rr_pct"), ("自采", "manmanmai", "gwdang")),
-    "stab_risk": (("price", "unit_price"), ("自采", "manmanmai", "gwdang")),
-    "wait_value": (("price", "unit_price"), ("自采", "manmanmai", "gwdang")),
+    "l0": (("price", "unit_price", "rr_pct"), OWN),
+    "stab_risk": (("price", "unit_price"), OWN),
+    "wait_value": (("price", "unit_price"), OWN),
     "anchor_check": (("price",), ("自采",)),
     "sloth_tax": (("price",), ("自采",)),
     "promo_delta": (("price",), ("自采",)),
-    "offer_percentile": (("unit_price",), ("自采", "beike_app", "xianyi_app")),
-    "distress_signal": (("unit_price",), ("自采", "beike_app", "xianyi_app")),
-    "flagship_premium": (("price", "unit_price"), ("自采", "manmanmai", "gwdang")),
-    "depreciation": (("price", "unit_price"), ("自采", "manmanmai", "gwdang")),
+    "offer_percentile": (("unit_price",), APPS),
+    "distress_signal": (("unit_price",), APPS),
+    "stabilization": (("unit_price",), APPS),
+    "flagship_premium": (("price", "unit_price"), OWN),
+    "depreciation": (("price", "unit_price"), OWN),
+    "fomo_index": (("price", "unit_price"), None),
+    "arb_window": (("price", "unit_price"), None),
+    "supply_heat": (("price", "unit_price"), None),
 }
+# fixed values: metrics that say so when their value rests on a source filled in later, and what they say
+MARKED, BASIS = ("stab_risk", "wait_value", "flagship_premium", "depreciation"), "标价近似"
 
 
 def _enough(series: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -135,6 +142,31 @@ def sufficiency_note(counts: DataFrame, metric: str) -> DataFrame:
                              .otherwise(F.format_string(f"%d/{need}", "n_periods")))
 
 
+def sufficiency_forecast(series: DataFrame, metric: str, keys: Sequence[str] = ("entity_id",), pending: DataFrame | None = None, recent: int = 30, need: int | None = None) -> DataFrame:
+    """(keys, n_periods, need, cadence_days, expected, sufficiency): when a metric will have its periods, from how often the series was collected of late.
+
+    The cadence is the lower median of the last `recent` gaps between periods, kept as counts per gap, which add up over partial results. `pending` (keys, n_pending) are periods that backfill
+    tasks under way will bring. A series of one period has no cadence and no date.
+    """
+    need = need or SUFFICIENCY[metric]
+    w = W.partitionBy(*keys).orderBy("obs_date")
+    d = series.select(*keys, "obs_date").distinct().withColumn("_gap", F.date_diff("obs_date", F.lag("obs_date").over(w)))
+    d = d.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("obs_date").desc())))
+    late = F.when(F.col("_rn") <= recent, F.col("_gap"))
+    gaps = d.groupBy(*keys, late.alias("gap")).agg(F.count(F.lit(1)).alias("c"), F.max("obs_date").alias("last"))
+    half = F.expr("(aggregate(h, 0L, (a, x) -> a + x.c) + 1) div 2")
+    g = gaps.groupBy(*keys).agg(F.sum("c").alias("n_periods"), F.max("last").alias("last"), F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("gap", "c")))).alias("h"))
+    g = g.withColumn("_half", half)
+    g = g.withColumn("cadence_days", F.expr("aggregate(h, named_struct('left', _half, 'gap', CAST(null AS INT)), (a, x) -> named_struct('left', a.left - x.c, 'gap', if(a.left > 0, x.gap, a.gap)), a -> a.gap)"))
+    if pending is not None:
+        g = g.join(pending.select(*keys, "n_pending"), list(keys), "left")
+    missing = F.lit(need) - F.col("n_periods") - (F.coalesce("n_pending", F.lit(0)) if pending is not None else F.lit(0))
+    expected = F.when(F.col("n_periods") < need, F.date_add("last", (F.greatest(missing, F.lit(0)) * F.col("cadence_days")).cast("int")))
+    note = F.when(F.col("n_periods") >= need, F.format_string("OK(%d)", "n_periods")).when(expected.isNull(), F.format_string(f"%d/{need}", "n_periods")).otherwise(
+        F.concat(F.format_string(f"%d/{need}, ", "n_periods"), F.date_format(expected, "yyyy-MM-dd")))
+    return g.select(*keys, "n_periods", F.lit(need).alias("need"), "cadence_days", expected.alias("expected"), note.alias("sufficiency"))
+
+
 def significant_change(now: DataFrame, before: DataFrame, abs_d1_pct: float = 1.0) -> DataFrame:
     """Entities whose label changed since the last snapshot or that moved by more than the threshold."""
     j = now.join(before.select("entity_id", F.col("label").alias("_was")), "entity_id", "left")
@@ -159,14 +191,39 @@ def adopt_proposals(quarantine: DataFrame, proposals: DataFrame, threshold: floa
                     F.when(sure & ok, F.col("_p.target_entity_id")).alias("target_entity_id"))
 
 
-def route(obs: DataFrame, metric_name: str) -> DataFrame:
-    """Rows a metric may use, by kind of value and source (a plain filter that reaches the scan)."""
-    kinds, sources = ROUTES[metric_name]
-    return obs.filter(F.col("metric").isin(*kinds) & F.col("source").isin(*sources))
+def routes_of(contract: dict | None) -> dict:
+    """The routing matrix: the fixed one, with what a contract's metrics say (`allowed_sources`, by metric, in a kind of value's declaration) in place of it.
+
+    A kind of value that the contract declares with allowed sources feeds just the metrics named there; kinds that it doesn't declare feed none.
+    """
+    declared = (contract or {}).get("metric_rules") or {}
+    if not any(r["allowed_sources"] for r in declared.values()):
+        return ROUTES
+    out: dict = {}
+    for kind, rule in declared.items():
+        for name, sources in (rule["allowed_sources"] or {n: s for n, (kinds, s) in ROUTES.items() if kind in kinds}).items():
+            kinds, before = out.get(name, ((), ()))
+            out[name] = ((*kinds, kind), None if sources is None or before is None else tuple(dict.fromkeys([*before, *sources])))
+    return out
+
+
+def _allowed(kinds, sources):
+    ok = F.col("metric").isin(*kinds)
+    return ok if sources is None else ok & F.col("source").isin(*sources)
+
+
+def basis(metric_name: str, source="source"):
+    """What a value rests on: the mark of filled-in sources for the metrics that show it, else null."""
+    c = F.col(source) if isinstance(source, str) else source
+    return F.when(c.isin(*FILLED), F.lit(BASIS)) if metric_name in MARKED else F.lit(None).cast("string")
+
 
+def route(obs: DataFrame, metric_name: str, contract: dict | None = None) -> DataFrame:
+    """Rows a metric may use, by kind of value and source (a plain filter that reaches the scan), with their `basis`."""
+    return obs.filter(_allowed(*routes_of(contract)[metric_name])).withColumn("basis", basis(metric_name))
 
-def route_matrix(obs: DataFrame) -> DataFrame:
-    """Rows per metric that the routing lets through."""
-    hits = F.array_compact(F.array(*[F.when(F.col("metric").isin(*k) & F.col("source").isin(*s), F.lit(m)) for m, (k, s) in ROUTES.items()]))
-    return obs.select(F.explode(hits).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"))
 
+def route_matrix(obs: DataFrame, contract: dict | None = None) -> DataFrame:
+    """Rows per metric that the routing lets through, and how many of them rest on filled-in sources where the metric says so."""
+    hits = F.array_compact(F.array(*[F.when(_allowed(k, s), F.struct(F.lit(m).alias("target"), basis(m).isNotNull().alias("marked"))) for m, (k, s) in routes_of(contract).items()]))
+    return obs.select(F.explode(hits).alias("h")).groupBy("h.target").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("h.marked")).alias("n_marked"))
