@@ -321,3 +321,20 @@ def fill_from_registry(spark, d):
                                          F.col("p_brand").alias("vendor"),
                                          F.when(F.col("p_size") % 2 == 0, "gwdang").alias("source"))
     return G.fill_from_registry(dump, reg, ["sp_name", "vendor"], "manmanmai")
+
+
+@R.add("outlier_gate", """WITH RECURSIVE stored AS (SELECT user_id AS e, CAST(ts AS DATE) AS d, min(value) AS price FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
+  inc AS (SELECT event_id, user_id AS e, CAST(ts AS DATE) AS d, CASE WHEN event_id % 21 = 0 THEN value * 10 ELSE value END AS low_price FROM events WHERE event_id % 3 = 0),
+  days AS (SELECT e, d, max(price) AS price, max(prices) AS prices FROM (SELECT e, d, price, NULL::DOUBLE[] AS prices FROM stored UNION ALL SELECT e, d, NULL, list(DISTINCT low_price) FROM inc GROUP BY e, d) GROUP BY e, d),
+  n AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY d) AS rn FROM days),
+  f AS (SELECT e, d, rn, NULL::DOUBLE AS mean, [list_min(list_append(coalesce(prices, []::DOUBLE[]), price))] AS last FROM n WHERE rn = 1 UNION ALL
+    SELECT e, d, rn, mean, CASE WHEN low IS NULL THEN last ELSE list_append(last, low)[-7:] END FROM (
+      SELECT *, list_min(list_append(CASE WHEN mean IS NULL THEN coalesce(prices, []::DOUBLE[]) ELSE list_filter(coalesce(prices, []::DOUBLE[]), lambda p: abs(p - mean) <= mean * 0.5) END, price)) AS low FROM (
+        SELECT n.e, n.d, n.rn, n.price, n.prices, f.last, CASE WHEN len(f.last) = 7 THEN list_sum(f.last) / 7 END AS mean FROM f JOIN n ON n.e = f.e AND n.rn = f.rn + 1)))
+  SELECT event_id, low_price, round(mean, 4) AS mean_7, coalesce(abs(low_price - mean) > mean * 0.5, false) AS outlier FROM inc JOIN f USING (e, d)""")
+def outlier_gate(spark, d):
+    """Prices of every third event meet the series of the others; every seventh of them is planted ten times too high."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("entity_id"), F.to_date("ts").alias("obs_date"), "value")
+    stored = e.filter("event_id % 3 <> 0").groupBy("entity_id", "obs_date").agg(F.min("value").alias("price"))
+    new = e.filter("event_id % 3 = 0").select("event_id", "entity_id", "obs_date", F.when(F.col("event_id") % 21 == 0, F.col("value") * 10).otherwise(F.col("value")).alias("low_price"))
+    return O.outlier_gate(new, stored).select("event_id", "low_price", F.round("mean_7", 4).alias("mean_7"), "outlier")

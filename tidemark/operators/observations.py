@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.ordered import first_per_key
+from tidemark.operators.ordered import first_per_key, top_per_key
 
 from tidemark.functions.text import promo_event
 
@@ -156,3 +158,39 @@ def latest_nonempty(artifacts: DataFrame, usable: Column, keys: Sequence[str] =
     rest = [c for c in artifacts.columns if c not in keys]
     return (artifacts.filter(usable).groupBy(*keys).agg(F.max_by(F.struct(*rest), "date").alias("_r"))
             .select(*keys, "_r.*"))
+
+
+def outlier_gate(incoming: DataFrame, stored: DataFrame, key: str = "entity_id", limit: float = 0.5, periods: int = 7) -> DataFrame:
+    """Incoming rows (key, obs_date, low_price) with mean_7 and outlier: prices more than `limit` off the mean of the last seven periods before their day.
+
+    A period is a day with its lowest price, stored or let in: days of the batch count for the days after them, without the rows that were kept out. stored: key, obs_date, price, one row per day.
+    Only the stored days that can matter are read on: the last seven before an entity's first incoming day and those after it. Rows without a price or a day, and days with fewer than
+    seven periods before them, pass. An entity's days go by in order, one at a time, each with its distinct prices.
+    """
+    days = incoming.filter(F.col("low_price").isNotNull() & F.col("obs_date").isNotNull()).groupBy(key, "obs_date").agg(F.collect_set("low_price").alias("prices"))
+    first = days.groupBy(key).agg(F.min("obs_date").alias("_first"))
+    near = stored.select(key, "obs_date", F.col("price").cast("double").alias("price")).join(first, key)
+    before = top_per_key(near.filter("obs_date < _first"), [key], [F.col("obs_date").desc()], periods, "_rank")
+    known = before.unionByName(near.filter("obs_date >= _first"), allowMissingColumns=True).select(key, "obs_date", "price", F.lit(None).cast("array<double>").alias("prices"))
+    merged = known.unionByName(days.select(key, "obs_date", F.lit(None).cast("double").alias("price"), F.col("prices").cast("array<double>").alias("prices")))
+    merged = merged.groupBy(key, "obs_date").agg(F.min("price").alias("price"), F.max("prices").alias("prices"))
+    schema = T.StructType([merged.schema[key], merged.schema["obs_date"], T.StructField("mean_7", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), []
+        for b in batches:
+            means = []
+            for who, price, prices in zip(b.column(key).to_pylist(), b.column("price").to_pylist(), b.column("prices").to_pylist()):
+                if who != now:
+                    now, last = who, []
+                mean = sum(last) / periods if len(last) == periods else None
+                means.append(mean)
+                inside = [p for p in prices or () if mean is None or abs(p - mean) <= mean * limit]
+                inside += [] if price is None else [price]
+                if inside:
+                    last = [*last, min(inside)][-periods:]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("obs_date"), pa.array(means, pa.float64())], names=schema.names)
+
+    means = merged.repartition(key).sortWithinPartitions(key, "obs_date").mapInArrow(run, schema)
+    off = F.coalesce(F.abs(F.col("low_price") - F.col("mean_7")) > F.col("mean_7") * limit, F.lit(False))
+    return incoming.join(means.filter("mean_7 IS NOT NULL"), [key, "obs_date"], "left").withColumn("outlier", off).select(*incoming.columns, "mean_7", "outlier")
