@@ -245,3 +245,13 @@ def export_plans(spark, d):
     back = spark.read.schema("plan_id long, tasks array<struct<seq:long,task_id:long,status:string,priority:int>>").json(path)
     return back.select("plan_id", F.when(F.col("tasks").isNull(), 0).otherwise(F.size("tasks")).cast("long").alias("n_tasks"),
                        F.array_join(F.transform("tasks", lambda x: x["seq"].cast("string")), ",").alias("tasks"))
+
+
+@R.add("file_tails", """WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id || ' ' || event_type || ' ' || user_id AS line, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id DESC) AS place FROM events)
+  SELECT day, place, line FROM l WHERE place <= 25""")
+def file_tails(spark, d):
+    """One log file a day; of each the last lines, read from its end."""
+    base = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", F.concat_ws(" ", "event_id", "event_type", "user_id").alias("value"))
+    e.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(base)
+    return S.file_tails(spark, base, 25).select(F.regexp_extract("path", "day=([0-9-]+)", 1).alias("day"), "place", "line")

@@ -191,14 +191,52 @@ def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
     return out.select("path", "sha256", "bytes", F.greatest(F.coalesce("n_lines", F.lit(0)) - 1, F.lit(0)).alias("rows"), "preview")
 
 
+TAIL_BLOCK = 1 << 16
+
+
+def _last_lines(f, size: int, n: int) -> tuple[list[bytes], int]:
+    """The last n lines of an open file and the bytes read for them: blocks from the end until there are enough line ends."""
+    blocks, ends, at = [], 0, size
+    while at > 0 and ends <= n:
+        step = min(TAIL_BLOCK, at)
+        at -= step
+        f.seek(at)
+        blocks.append(f.read(step))
+        ends += blocks[-1].count(b"\n")
+    lines = b"".join(reversed(blocks)).split(b"\n")
+    if lines[-1] == b"":
+        lines.pop()
+    return (lines[-n:] if n else []), size - at
+
+
+def file_tails(spark: SparkSession, path: str, n: int = 120) -> DataFrame:
+    """(path, place, line, bytes_read): the last n lines of every file, place 1 being the last; n is held to 10..500. A task reads a file from its end and only as far as it must.
+
+    Bytes that are no UTF-8 become the replacement character, line ends of either kind are dropped, an empty file has no rows.
+    """
+    n = max(10, min(500, n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for uri, size in zip(pdf["path"], pdf["bytes"]):
+                fs, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                with fs.open_input_file(name) as f:
+                    lines, read = _last_lines(f, int(size), n)
+                yield pd.DataFrame({"path": uri, "place": range(len(lines), 0, -1), "line": [x.rstrip(b"\r").decode("utf-8", "replace") for x in lines], "bytes_read": read})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    return files.mapInPandas(run, "path string, place long, line string, bytes_read long")
+
+
 def report_catalog(spark: SparkSession, path: str, days: int, labels: Mapping[str, str]) -> DataFrame:
-    """Files of the newest dates with label and size; only file metadata is read."""
+    """Files of the newest dates with label and size; only file metadata is read, and only the files of those dates are gathered."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
     f = f.withColumn("date", path_date(F.col("path"))).withColumn("name", F.element_at(F.split("path", "/"), -1)).filter("date <> ''")
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) if labels else F.create_map().cast("map<string,string>")
-    per_day = f.groupBy("date").agg(F.array_sort(F.collect_list(F.struct(
+    newest = f.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
+    per_day = f.join(newest, "date", "left_semi").groupBy("date").agg(F.array_sort(F.collect_list(F.struct(
         "name", F.coalesce(F.try_element_at(label, F.col("name")), F.col("name")).alias("label"), "size"))).alias("files"))
-    return per_day.orderBy(F.col("date").desc()).limit(days)
+    return per_day.orderBy(F.col("date").desc())
 
 
 def read_market_csv(spark: SparkSession, path: str, market_col: str = "市场", day_prefix: str = "交易日") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tidemark.plans.intake import intake
 from tidemark.session import cut_lineage, scratch
 from tidemark.sources import writers
 from tidemark.sources.readers import with_position
-from tidemark.streaming.folds import AlertFold, QuotaFold, RateFold
+from tidemark.streaming.folds import HOUR_US, AlertFold, QuotaFold, RateFold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,52 +29,76 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class FoldProcessor(StatefulProcessor):
-    """Runs a fold per key; the state is one short array. The rows of a key and micro-batch are put in order first: bound them by the source's trigger (maxFilesPerTrigger)."""
+    """Runs a fold per key; the state is one short array that ends: once event time is `lasts_us` past a key's last row, a timer drops it.
 
-    def __init__(self, fold, order: Sequence[str], columns: Sequence[str], out: Sequence[str]):
-        self.fold, self.order, self.columns, self.out = fold, list(order), list(columns), list(out)
+    The rows of a key and micro-batch come in batches. Of each only the order columns and the fold's inputs are kept, as numbers, until all are there; decisions are then
+    made in order and written beside the batches, which go out as they came in.
+    """
+
+    def __init__(self, fold, order: Sequence[str], takes: Sequence[str], columns: Sequence[str], out: Sequence[str], time: str, unit_ms: float, lasts_ms: int):
+        self.fold, self.order, self.takes, self.columns, self.out = fold, list(order), list(takes), list(columns), list(out)
+        self.time, self.unit_ms, self.lasts_ms = time, unit_ms, lasts_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "v array<bigint>")
+        self.handle = handle
+        self.state = handle.getValueState("held", "v array<bigint>, until_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = list(self.state.get()[0]) if self.state.exists() else self.fold.start()
-        got = []
-        for row in pdf.to_dict("records"):
-            state, o = self.fold.step(state, row)
-            got.append(o)
-        self.state.update(([int(x) for x in state],))
-        yield pdf[self.columns].assign(**{n: [g[i] for g in got] for i, n in enumerate(self.out)})
+        batches = [b for b in rows if len(b)]
+        held, until = self.state.get() if self.state.exists() else (None, None)
+        state = list(held) if held is not None else self.fold.start()
+        columns = {c: np.concatenate([b[c].to_numpy() for b in batches]) for c in dict.fromkeys([*self.order, *self.takes])}
+        got: list = [None] * len(columns[self.order[0]])
+        for i in np.lexsort([columns[c] for c in reversed(self.order)]).tolist():
+            state, got[i] = self.fold.step(state, {c: columns[c][i].item() for c in self.takes})
+        ends = int(columns[self.time].max() * self.unit_ms) + self.lasts_ms
+        if until is None or ends > until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(ends)
+            until = ends
+        self.state.update(([int(x) for x in state], until))
+        at = 0
+        for b in batches:
+            mine = got[at:at + len(b)]
+            at += len(b)
+            yield b[self.columns].assign(**{n: [g[i] for g in mine] for i, n in enumerate(self.out)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def _fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, out: Sequence[T.StructField]) -> DataFrame:
+def _fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, out: Sequence[T.StructField], takes: Sequence[str], time: str, unit_us: int, lasts_us: int, lateness: str) -> DataFrame:
+    """Rows later than `lateness` behind the newest one are dropped by the watermark, as for every event-time state."""
     use_rocksdb(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *out])
-    proc = FoldProcessor(fold, order, df.columns, [f.name for f in out])
-    return df.groupBy(*keys).transformWithStateInPandas(proc, schema, "append", "None")
+    proc = FoldProcessor(fold, order, takes, df.columns, [f.name for f in out], time, unit_us / 1000, lasts_us // 1000 + 1)
+    timed = df.withColumn("_at", F.timestamp_micros((F.col(time) * unit_us).cast("long"))).withWatermark("_at", lateness)
+    return timed.groupBy(*keys).transformWithStateInPandas(proc, schema, "append", "EventTime")
 
 
-def alert_dedup_stream(alerts: DataFrame, fold: AlertFold = AlertFold()) -> DataFrame:
+def alert_dedup_stream(alerts: DataFrame, fold: AlertFold = AlertFold(), lateness: str = "1 hour") -> DataFrame:
     """alerts: plan_id, task_id, kind, ts_us, pos. Suppressed rows are emitted too, with their reason; the level
-    follows from the kind alone."""
+    follows from the kind alone. What a key holds ends an hour (or a window) after its last alert."""
     out = [T.StructField("admitted", T.BooleanType()), T.StructField("reason", T.StringType())]
-    d = _fold_stream(alerts, ["plan_id", "task_id", "kind"], ["ts_us", "pos"], fold, out)
+    d = _fold_stream(alerts, ["plan_id", "task_id", "kind"], ["ts_us", "pos"], fold, out, ["ts_us"], "ts_us", 1, max(HOUR_US, fold.window_us), lateness)
     return d.withColumn("level", L.alert_level(F.col("kind")))
 
 
-def rate_limit_stream(requests: DataFrame, keys: Sequence[str], fold: RateFold = RateFold()) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, keys: Sequence[str], fold: RateFold = RateFold(), lateness: str = "1 hour") -> DataFrame:
+    """What a key holds ends a span after its last request."""
     out = [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType())]
-    return _fold_stream(requests, keys, ["ts_us", "pos"], fold, out)
+    return _fold_stream(requests, keys, ["ts_us", "pos"], fold, out, ["ts_us"], "ts_us", 1, fold.span_us, lateness)
 
 
-def quota_stream(requests: DataFrame, keys: Sequence[str], fold: QuotaFold = QuotaFold()) -> DataFrame:
-    """requests: keys, day (integer), pos, n. With the day among the keys no day waits for another."""
+def quota_stream(requests: DataFrame, keys: Sequence[str], fold: QuotaFold = QuotaFold(), lateness: str = "1 day") -> DataFrame:
+    """requests: keys, day (integer, days since 1970), pos, n. With the day among the keys no day waits for another, and a day's state ends after it."""
     out = [T.StructField("taken", T.BooleanType()), T.StructField("used", T.LongType())]
-    return _fold_stream(requests, keys, ["day", "pos"], fold, out)
+    return _fold_stream(requests, keys, ["day", "pos"], fold, out, ["day", "n"], "day", 24 * HOUR_US, 24 * HOUR_US, lateness)
 
 
 class LeaseWatch(StatefulProcessor):
