@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding as shortest paths in weighted finite-state transducers.
 
-Three transducers are compiled from the model's parts: the normaliser (input characters to the model's alphabet: spaces to the space mark), the pieces (strings of that alphabet to
-ids, a trie whose final states carry the piece's weight), and the byte fallback (a character no piece spells to the ids of its UTF-8 bytes, at a weight no piece path can lose to).
-Composed with an input they give a lattice over its characters; the ids are the outputs on its shortest path in the tropical semiring (weights add along a path, the least path counts).
+Three transducers are compiled from the model file: the normaliser (input characters to the model's alphabet, as the file's normaliser specification says: spaces to the space mark, a mark in
+front), the pieces (strings of that alphabet to ids, each with its weight), and the byte fallback (a character no piece spells to the ids of its UTF-8 bytes, at a weight no piece path can
+lose to). Composed with an input they give a lattice over its characters; the ids are the outputs on its shortest path in the tropical semiring: weights add along a path, and of
+all arcs into a place the one with the least total stays.
 
-The model merges pairs by rank, and what it returns is the one path on which every two neighbouring pieces would also stand if they were merged by themselves. The lattice therefore
-keeps, in its state, the last piece, and an arc to the next piece exists only if the pair is stable; unstable paths have infinite weight. Stability is worked out once per pair.
+A unigram model's weights are the negative scores of its pieces, and its paths are free. A merging model returns the one path on which every two neighbouring pieces would also stand if they were
+merged by themselves: an arc to the next piece has a finite weight only if the pair is stable, which is worked out once per pair. Of all paths to a place then one alone is finite, so the minimum, though
+taken over all arcs, has one candidate.
 
-No piece has a space mark after another character, so inputs fall apart before each space mark that follows something else: a part's path is found once and remembered.
+Models with a character map, with blanks to be removed, without space marks or with user-defined symbols are refused: their normaliser is more than this one. Inputs fall apart before each space mark
+that follows something else, if no piece has a mark after another character: a part's path is found once and remembered.
 
 Decoding is the inverse: ids to pieces, runs of byte ids to characters, space marks to spaces, and the mark put in front of a text taken off.
 
@@ -27,38 +30,74 @@ from tidemark.llm.tokens import Recent
 
 MARK = "▁"
 STATES = 300_000        # states remembered since the table was last full; those before are looked up once more
-BEGINNING = 12      # longest beginning of a part whose state is remembered
-FALLBACK = 1e6      # weight of a byte arc: above any path of pieces
+BEGINNING = 12          # longest beginning of a part whose state is remembered
+WORDS = 500_000         # words remembered likewise
+FALLBACK = 1e6          # weight of a byte arc: above any path of pieces
+INFINITE = float("inf")
 
 
-class Transducer:
-    """The compiled model: `path` is a SentencePiece model file."""
+UNIGRAM, MERGES = 1, 2
+USER_DEFINED = 4
 
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-        model = SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(n)]
-        special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
-        self.rank = {p: -model.get_score(i) for i, p in enumerate(self.pieces) if not special(i)}
-        self.id = {p: i for i, p in enumerate(self.pieces) if not special(i)}
-        self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.byte_id)}
-        self.longest = max(map(len, self.rank))
-        self.words = Recent(lambda w: self.part(MARK + w))
+
+def message(data: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer message by number: whole numbers, or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            value, at = data[at:at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def specification(model: bytes) -> tuple[int, bool]:
+    """(kind of model, whether a mark is put in front) of a model file; raises for one whose normaliser or symbols are not compiled here."""
+    fields_of = message(model)
+    trainer, normaliser = message(b"".join(fields_of.get(2, []))), message(b"".join(fields_of.get(3, [])))
+    flag = lambda n: bool(normaliser.get(n, [1])[-1])  # noqa: E731 - true where the file says nothing
+    kind = trainer.get(3, [UNIGRAM])[-1]
+    if kind not in (UNIGRAM, MERGES):
+        raise ValueError("neither a unigram nor a merging model")
+    if any(normaliser.get(2, [])):
+        raise ValueError("the model normalises by a character map")
+    if flag(4) or not flag(5):
+        raise ValueError("the model removes blanks or keeps spaces as they are")
+    if any(message(p).get(3, [1])[-1] == USER_DEFINED for p in fields_of.get(1, [])):
+        raise ValueError("the model has user-defined symbols")
+    return kind, flag(3)
+
+
+class Lattice:
+    """Pieces with weights, and whether they come from merges: shortest paths over strings of the model's alphabet."""
+
+    def __init__(self, weight: dict[str, float], merges: dict[str, float] | None = None):
+        self.rank = merges or {}
+        self.merged = merges is not None
+        self.longest = max(map(len, weight), default=0)
         self.follows: dict[str, dict[str, bool]] = {}       # piece -> next piece -> whether the two stay two
-        self.arcs = {p: h for p in self.rank if (h := self.history(p))[0] == p}      # pieces that merging can make, and how
+        if self.merged:                                     # pieces that merging can make, and how
+            self.made = {p: h for p in weight if (h := self.history(p))[0] == p}
+            weight = {p: weight[p] for p in self.made}
+        self.weight = weight
         self.beginnings: dict[str, tuple[float, str]] = {}
         self.older: dict[str, tuple[float, str]] = {}
-        # a byte below 128 is a character whatever stands beside it
-        self.spelled = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
-        self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(n)])
-        # the normaliser as arcs: what it makes of a leading space and of none shows whether it adds a mark in front
-        self.leading = model.encode("a", out_type=str)[0].startswith(MARK)
-
-    def normalise(self, text: str) -> str:
-        """The text in the model's alphabet."""
-        return (MARK if self.leading and text else "") + text.replace(" ", MARK)
 
     def history(self, s: str) -> tuple[str, list[float], list[str], list[str]]:
         """What merging, best rank first and leftmost among equals, makes of a short string: the result (joined by spaces), the rank of each merge, then
@@ -77,8 +116,8 @@ class Transducer:
 
     def stable(self, a: str, b: str) -> bool:
         """Whether two pieces in a row stay two: their merges are taken in turn, and no pair across the border ever comes first."""
-        _, left, _, last = self.arcs[a]
-        _, right, first, _ = self.arcs[b]
+        _, left, _, last = self.made[a]
+        _, right, first, _ = self.made[b]
         i = j = 0
         while True:
             x, y, across = left[i], right[j], self.rank.get(last[i] + first[j], np.inf)
@@ -91,54 +130,89 @@ class Transducer:
             else:
                 j += 1
 
-    def shortest(self, s: str) -> list[int]:
-        """Ids on the shortest path of the lattice over `s`. A state is a place and the last piece.
+    def shortest(self, s: str) -> list[str]:
+        """Pieces on the shortest path over `s`; a character that is no piece stands for its bytes. A state is a place and the last piece.
 
-        Of all paths to a place one alone has finite weight, what the model makes of the text so far: so each place has one state, and the first stable arc into it is the one.
-        For the same reason a state depends on the text before it only, and those of short beginnings are remembered.
+        What a place's least state is depends on the text before it only, and those of short beginnings are remembered. Of equal totals the longer last piece counts.
         """
-        n, arcs, follows, known, older = len(s), self.arcs, self.follows, self.beginnings, self.older
+        n, arcs, follows, known, older, merged, longest = len(s), self.weight, self.follows, self.beginnings, self.older, self.merged, self.longest
         states: list[tuple[float, str]] = [(0.0, "")]
         for end in range(1, n + 1):
             start = s[:end]
             state = (known.get(start) or older.get(start)) if end <= BEGINNING else None
             if state is None:
-                for at in range(max(0, end - self.longest), end):
+                least, last = INFINITE, ""
+                for at in range(end - longest if end > longest else 0, end):
                     p = s[at:end]
-                    if p in arcs:
-                        weight, before = states[at]
+                    w = arcs.get(p)
+                    if w is None:
+                        continue
+                    total, before = states[at]
+                    total += w
+                    if total >= least:
+                        continue
+                    if merged and before in arcs:
                         pairs = follows.get(before)
                         if pairs is None:
                             pairs = follows[before] = {}
                         ok = pairs.get(p)
                         if ok is None:
-                            ok = pairs[p] = before not in arcs or self.stable(before, p)
-                        if ok:
-                            state = (weight + 1.0, p)
-                            break
-                else:       # a character that is no piece: its bytes, across which nothing merges
-                    state = (states[-1][0] + FALLBACK, s[end - 1])
+                            ok = pairs[p] = self.stable(before, p)
+                        if not ok:
+                            continue
+                    least, last = total, p
+                if not last:        # a character that is no piece: its bytes, across which nothing merges
+                    least, last = states[-1][0] + FALLBACK, s[end - 1]
+                state = (least, last)
                 if end <= BEGINNING:
                     known[start] = state
             states.append(state)
         if len(known) >= STATES:
             self.beginnings, self.older = {}, known
-        if len(follows) > 2 * len(arcs):        # characters outside the vocabulary have rows too
-            follows.clear()
-        ids: list[list[int]] = []
+        out: list[str] = []
         while n:
             p = states[n][1]
-            ids.append([self.id[p]] if p in self.id else [self.byte_id[b] for b in p.encode()])
+            out.append(p)
             n -= len(p)
-        return [i for x in reversed(ids) for i in x]
+        return out[::-1]
+
+
+class Transducer:
+    """The compiled model: `path` is a SentencePiece model file."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+        model = SentencePieceProcessor(model_file=path)
+        kind, self.leading = specification(model.serialized_model_proto())
+        n = model.get_piece_size()
+        self.pieces = [model.id_to_piece(i) for i in range(n)]
+        special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
+        scores = {p: -model.get_score(i) for i, p in enumerate(self.pieces) if not special(i)}
+        self.id = {p: i for i, p in enumerate(self.pieces) if not special(i)}
+        self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.byte_of = {i: b for b, i in enumerate(self.byte_id)}
+        self.lattice = Lattice(dict.fromkeys(scores, 1.0), scores) if kind == MERGES else Lattice(scores)
+        self.arcs, self.stable, self.history = self.lattice.weight, self.lattice.stable, self.lattice.history
+        self.apart = not any(MARK in p.lstrip(MARK) for p in scores)
+        self.words = Recent(lambda w: self.part(MARK + w), WORDS)
+        # a byte below 128 is a character whatever stands beside it
+        self.spelled = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
+        self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(n)])
+
+    def normalise(self, text: str) -> str:
+        """The text in the model's alphabet."""
+        return (MARK if self.leading and text else "") + text.replace(" ", MARK)
 
     def part(self, s: str) -> bytes:
-        return np.array(self.shortest(s), "<u4").tobytes()
+        ids, spell = self.id, self.byte_id
+        return np.array([i for p in self.lattice.shortest(s) for i in ([ids[p]] if p in ids else [spell[b] for b in p.encode()])], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.apart:
+            return self.part(self.normalise(text))
         words = text.split(" ")
         if self.leading and "" not in words and MARK not in text:
             return b"".join(map(self.words.__getitem__, words))
