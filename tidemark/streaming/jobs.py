@@ -183,21 +183,72 @@ def ingest_batch(contract: dict, entities: DataFrame, table_path: str, quarantin
     return run
 
 
-def inbox_batch(tasks_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
+BUCKETS = 64
+FOLD_EVERY = 16
+_KEYS = "plan_id string, task_id string, idempotency_key string, src long, part long, bucket int"
+
+
+class TaskKeys:
+    """The keys of all tasks on file, in buckets by idempotency key and once more by plan and task, beside the task table: a micro-batch opens the buckets its own keys fall into, no others.
+
+    Each micro-batch adds one small file per bucket it touches; every `fold_every` batches the parts so far become one, so the files stay few. `src` names the batch a task came in with, so that a
+    batch delivered again doesn't meet its own tasks.
+    """
+
+    def __init__(self, spark: SparkSession, tasks_path: str, buckets: int = BUCKETS, fold_every: int = FOLD_EVERY):
+        self.spark, self.tasks, self.path, self.buckets, self.fold_every = spark, tasks_path, f"{tasks_path.rstrip('/')}.keys", buckets, fold_every
+
+    def _fs(self, path: str):
+        there = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), there
+
+    def _bucketed(self, tasks: DataFrame) -> DataFrame:
+        of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(self.buckets)).cast("int")
+        return tasks.withColumn("bucket", F.explode(F.array_distinct(F.array(of("idempotency_key"), of("plan_id", "task_id")))))
+
+    def write(self, tasks: DataFrame, part: int) -> None:
+        """tasks: plan_id, task_id, idempotency_key, src; written over what the part held before."""
+        (self._bucketed(tasks).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/part={part}"))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(_KEYS).option("basePath", self.path).parquet(self.path)
+
+    def known(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The tasks that could share a key with the batch: those of its buckets, whose numbers alone reach the driver."""
+        fs, there = self._fs(self.path)
+        if not fs.exists(there):
+            before = F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1)
+            on_file = self.spark.read.schema("plan_id string, task_id string, idempotency_key string").parquet(f"{self.tasks}/*")
+            self.write(on_file.withColumn("src", F.when(before != "", before.try_cast("long")).otherwise(F.lit(-1).cast("long"))), -1)
+        hit = [r.bucket for r in self._bucketed(batch.select("plan_id", "task_id", "idempotency_key")).select("bucket").distinct().collect()]
+        return self.read().filter(F.col("bucket").isin(hit) & (F.col("src") != batch_id))
+
+    def add(self, tasks: DataFrame, batch_id: int) -> None:
+        self.write(tasks.withColumn("src", F.lit(batch_id).cast("long")), batch_id)
+        if batch_id % self.fold_every == self.fold_every - 1:
+            parts = [r.part for r in self.read().select("part").distinct().collect()]
+            # under a new number, so that nothing is lost if the driver is: until the old parts are gone they only repeat what the fold holds
+            self.write(self.read().select("plan_id", "task_id", "idempotency_key", "src").distinct(), min(-1, *parts) - 1)
+            for p in parts:
+                fs, there = self._fs(f"{self.path}/part={p}")
+                fs.delete(there, True)
+
+
+def inbox_batch(tasks_path: str, out_path: str, buckets: int = BUCKETS, fold_every: int = FOLD_EVERY) -> Callable[[DataFrame, int], None]:
     """foreachBatch body for task files: gate every row, then accepted / already_exists / error by outcome."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch(spark):
             v = V.validate_tasks(batch)
             v = cut_lineage(v.withColumn("reason", F.when(F.col("bad_json"), "bad_json").otherwise(F.col("reason"))))
-            # a redelivered batch must not meet the tasks it wrote itself
-            known = (spark.read.schema("plan_id string, task_id string, idempotency_key string").parquet(f"{tasks_path}/*")
-                     .filter(~F.contains("_metadata.file_path", F.lit(f"/batch={batch_id}/"))))
-            outcome = L.idempotent_insert(known, v.filter("reason is null"))
+            keys = TaskKeys(spark, tasks_path, buckets, fold_every)
+            good = v.filter("reason is null")
+            outcome = L.idempotent_insert(keys.known(good, batch_id), good)
             rows = cut_lineage(outcome.select("pos", "plan_id", "task_id", "idempotency_key", "outcome", F.lit(None).cast("string").alias("reason"))
                                .unionByName(v.filter("reason is not null").select("pos", "plan_id", "task_id", "idempotency_key",
                                                                                  F.lit("error").alias("outcome"), "reason")))
             rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{out_path}/batch={batch_id}")
-            (rows.filter("outcome = 'inserted'").select("plan_id", "task_id", "idempotency_key")
-             .write.mode("overwrite").parquet(f"{tasks_path}/batch={batch_id}"))
+            new = rows.filter("outcome = 'inserted'").select("plan_id", "task_id", "idempotency_key")
+            new.write.mode("overwrite").parquet(f"{tasks_path}/batch={batch_id}")
+            keys.add(new, batch_id)
     return run
