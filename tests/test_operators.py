@@ -89,3 +89,23 @@ def test_slices_follow_the_busiest_key(spark):
     assert 20 <= len(sizes) <= 24 and max(sizes) <= 101
     whole = df.withColumn("s", ordered.time_slice(df, ["k"], "t"))
     assert whole.select("s").distinct().count() <= 2
+
+
+def test_few_pairs_need_a_ratio(spark):
+    """Titles shuffled among targets: same winners as all ratios give, and the bound keeps nine of ten pairs from Python."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice("bcdefhijkmnopqrstuvwxyz") for _ in range(rng.randrange(8, 24))) for _ in range(40)]
+    targets = [(i, "", "", [], n, 0.0, "x") for i, n in enumerate(names)]
+    titles = [n[:rng.randrange(4, len(n) + 1)] + "".join(rng.choice(n + "xyz") for _ in range(rng.randrange(12))) for n in names for _ in range(3)]
+    rows = [(i, 1000 * i + k, t, "1", f"s{k}", "0") for i in range(40) for k, t in enumerate(rng.sample(titles, 30) + [titles[3 * i + 1]])]
+    t = spark.createDataFrame(targets, "target_id int, series string, spec string, aliases array<string>, name string, price double, category string")
+    r = spark.createDataFrame(rows, "target_id int, pos long, title string, siteid string, skuid string, price string")
+    got = {x.target_id: (x.pos, round(x.score, 9)) for x in G.match_candidates(r, t).collect()}
+    want = {}
+    for i, pos, title, *_ in rows:
+        s = difflib.SequenceMatcher(None, names[i], title).ratio()
+        if s >= .4:
+            want[i] = max(want.get(i, (0, 0)), (s, -pos))
+    assert got == {i: (-p, round(s, 9)) for i, (s, p) in want.items()}
+    lead, rest = G.contenders(G.candidate_bounds(r, t))
+    assert lead.count() + rest.count() <= len(rows) / 10

@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from tidemark import fixed
 from tidemark.functions.text import any_word, norm_title, norm_token, parse_price
 from tidemark.operators.ordered import first_per_key, top_per_key
+from tidemark.session import cut_lineage
+
+
+#: Least score of a candidate, and what rounding may take from a bound.
+SURE, SLIP = 0.40, 1e-9
 
 
 def match_spec(title: Column, series: Column, spec: Column) -> Column:
@@ -53,29 +58,52 @@ def _key_variants(series: Column, aliases: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(base, less), lambda k: k != ""))
 
 
-def match_candidates(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Best candidate per target among the rows its search returned.
+def _letters(text: Column) -> Column:
+    """How often each character stands in a text."""
+    return F.transform(F.array_distinct(F.split(text, "")), lambda c: F.struct(c.alias("c"), (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n")))
 
-    rows: target_id, pos, title, siteid, skuid, price; targets: target_id, series, spec, aliases, name, price,
-    category. Rows meet only their own target, filters run before the similarity, the best is a partial max.
+
+def candidate_bounds(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The pairs that pass the filters, with what is known without the similarity: `bonus`, added to it, and `bound`, which the score cannot exceed.
+
+    Two texts have no more in common than the characters of one that the other has as well, each as often as it stands in both.
     """
     t = targets.select("target_id", _key_variants(F.col("series"), F.col("aliases")).alias("_keys"),
                        norm_title(F.col("spec")).alias("_spec"), norm_title(F.col("name")).alias("_target"),
-                       F.col("price").alias("_want"), "category")
+                       F.col("price").alias("_want"), "category").withColumn("_letters", _letters(F.col("_target")))
     ok = rows.filter((F.col("siteid").cast("string") == "1") & (F.coalesce("skuid", F.lit("")) != ""))
     j = ok.join(t, "target_id").withColumn("_title", norm_title(F.col("title")))
     j = j.filter((F.size("_keys") == 0) | F.exists("_keys", lambda k: F.contains("_title", k)))
     j = j.filter(~candidate_reject(F.col("title"), F.col("category")))
     price = parse_price(F.col("price"))
     off = (F.col("_want") > 0) & (price > 0) & (F.abs(price - F.col("_want")) / F.greatest(F.col("_want"), F.lit(1.0)) > 0.25)
-    score = (_similarity("_target", "_title")
-             + F.when((F.col("_spec") != "") & F.contains("_title", F.col("_spec")), 0.15).otherwise(0.0)
+    bonus = (F.when((F.col("_spec") != "") & F.contains("_title", F.col("_spec")), 0.15).otherwise(0.0)
              - F.when(F.coalesce(off, F.lit(False)), 0.25).otherwise(0.0))
-    # no ratio of two texts exceeds what their lengths allow, so most pairs need none; the bar is put to the best alone, lest Spark work out every ratio twice
     la, lb = F.length("_target"), F.length("_title")
-    j = j.filter((F.col("_target") == "") | (2 * F.least(la, lb) / (la + lb) + 0.15 >= 0.40))
+    common = F.aggregate("_letters", F.lit(0), lambda n, x: n + F.least(x["n"], lb - F.length(F.replace(F.col("_title"), x["c"], F.lit("")))))
+    likely = F.when(F.col("_target") == "", 0.5).otherwise(2 * common / (la + lb))
+    j = j.filter((F.col("_target") == "") | (2 * F.least(la, lb) / (la + lb) + 0.15 >= SURE))
+    return j.select("target_id", "pos", "skuid", "title", "_target", "_title", bonus.alias("bonus"), (likely + bonus).alias("bound")).filter(F.col("bound") >= SURE - SLIP)
+
+
+def contenders(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the pair of the highest bound of each target with its score, the other pairs whose bound reaches that score): no other can win."""
+    scored = lambda d: d.withColumn("score", _similarity("_target", "_title") + F.col("bonus"))
+    lead = cut_lineage(scored(first_per_key(pairs, ["target_id"], [F.col("bound").desc(), F.col("pos")])))
+    rest = pairs.join(lead.select("target_id", F.col("score").alias("_bar"), F.col("pos").alias("_lead")), "target_id").filter((F.col("pos") != F.col("_lead")) & (F.col("bound") >= F.col("_bar") - SLIP))
+    return lead, rest.drop("_bar", "_lead")
+
+
+def match_candidates(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Best candidate per target among the rows its search returned.
+
+    rows: target_id, pos, title, siteid, skuid, price; targets: target_id, series, spec, aliases, name, price,
+    category. Rows meet only their own target, filters run before the similarity, which is worked out for the likeliest pair of a target first and then for those that could still beat it.
+    """
+    lead, rest = contenders(cut_lineage(candidate_bounds(rows, targets)))
+    scored = lead.unionByName(rest.withColumn("score", _similarity("_target", "_title") + F.col("bonus")))
     best = F.max_by(F.struct("pos", "skuid", "title", "score"), F.struct(F.col("score"), -F.col("pos")))
-    return j.withColumn("score", score).groupBy("target_id").agg(best.alias("_b")).filter("_b.score >= 0.40").select("target_id", "_b.*")
+    return scored.groupBy("target_id").agg(best.alias("_b")).filter(F.col("_b.score") >= SURE).select("target_id", "_b.*")
 
 
 def top_sales(rows: DataFrame, k: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
