@@ -266,3 +266,115 @@ def test_base_places(spark, odd):
             g = got[r.doc_id]
             assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
     assert got[85].labels == "cc-by-nc" and got[84].n_base == 304 and got[84].base_labels == "apache,gpl,mit"
+
+
+# --- neighbours of any ids, near copies in blocks ----------------------------------------------
+
+@pytest.mark.parametrize("ids", [[0, 1, 9 * 10 ** 18], [-9 * 10 ** 18, 5, 9 * 10 ** 18], [17 * 10 ** 17 + 31 * i for i in range(50)] + [1], list(range(200)) + [2 ** 63 - 1], [-(2 ** 63), 2 ** 63 - 1],
+                                 [7] * 40 + [3, 9], [], [None, None, 4], [i ** 9 for i in range(60)]])
+def test_neighbours_of_any_ids(spark, ids):
+    """With ranges of three rows: every row meets the next one in falling order, the last one the first."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import fingerprint
+    rows = [(d, f"t{i:03d}") for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ranged = fingerprint.in_ranges(df, "doc_id", ["text"], 3)
+    got = fingerprint.with_next(ranged, "doc_id", ["text"], ["text"]).collect()
+    known = sorted((r for r in rows if r[0] is not None), reverse=True)
+    want = {a[1]: b[1] for a, b in zip(known, known[1:])}
+    assert sorted(r.text for r in got) == sorted(t for _, t in rows)
+    assert {t: n for t, n in ((r.text, r.next_text) for r in got) if t in want} == want
+    follow = {r.text: r.next_text for r in got}
+    seen, at = set(), known[0][1] if known else None
+    while at is not None and at not in seen:
+        seen.add(at)
+        at = follow[at]
+    assert len(seen) == len(rows) or not known
+    crowded = ranged.filter("NOT guest").groupBy("range_no").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).filter("n > 12 AND k > 1")
+    assert crowded.count() == 0
+
+
+def test_next_texts_on_the_odd_table(spark, odd):
+    """op8 against its SQL, the row after the last one included; ids that are missing or repeated have no one neighbour there."""
+    import duckdb
+
+    from tidemark.llm.common import SQL
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, min(text) AS text FROM read_parquet('{odd}/documents.parquet/*.parquet') WHERE doc_id IS NOT NULL GROUP BY doc_id")
+    con.execute("CREATE TABLE given AS SELECT * FROM documents")
+    want = con.execute(SQL["op8_document_fingerprints"]).fetchall()
+    from tidemark.llm import fingerprint
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="run-")
+    con.execute(f"COPY given TO '{folder}/documents.parquet' (FORMAT parquet)")
+    got = QUERIES["op8_document_fingerprints"](spark, folder).collect()
+    assert fingerprint.WORDS == 5 and sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [2, 7, 512])
+def test_near_sets_in_blocks(spark, block):
+    """A band that holds several groups and chains of near sets: the blocks connect just what all pairs do."""
+    from tidemark.llm import simhash
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(-2 ** 62, 2 ** 62, 120)) for _ in range(4)]
+    sets, now = [], None
+    for i in range(40):
+        now = base[i % 4].copy() if i < 8 else sets[i - 4].copy()
+        now[rng.integers(0, len(now), 3)] = rng.integers(-2 ** 62, 2 ** 62, 3)
+        sets.append(np.unique(now))
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node bigint, hashes array<bigint>")
+    left = spark.createDataFrame([(k, i, i if i % 5 else 0) for k in (1, 2) for i in range(40) if (i + k) % 9], "key bigint, node bigint, root bigint")
+    edges = [(r.a, r.b) for r in simhash.met_in_blocks(left, frame, block).collect()]
+    assert all(simhash.near(sets[a], sets[b]) for a, b in edges)
+
+    def classes(links):
+        par = list(range(40))
+
+        def find(x):
+            while par[x] != x:
+                x = par[x]
+            return x
+        for a, b in links:
+            par[find(a)] = find(b)
+        return [{i for i in range(40) if find(i) == find(j)} for j in range(40)]
+    members = {k: [i for i in range(40) if (i + k) % 9] for k in (1, 2)}
+    known = [(0, i) for i in range(0, 40, 5)]
+    assert classes(edges + known) == classes([(a, b) for k in (1, 2) for a in members[k] for b in members[k] if simhash.near(sets[a], sets[b])] + known)
+
+
+# --- shortest paths ---------------------------------------------------------------------------
+
+def test_least_path_counts():
+    """Weights compete: the first arc into a place is not the best one, nor the longest."""
+    from tidemark.llm import spm
+    rng = random.Random(4)
+    weight = {"".join(x): rng.uniform(0.5, 9) for k in (1, 2, 3) for x in itertools.product("ab", repeat=k)}
+    lattice = spm.Lattice(weight)
+
+    def ways(s):
+        return [[]] if not s else [[s[:k], *rest] for k in (1, 2, 3) if s[:k] in weight and len(s) >= k for rest in ways(s[k:])]
+    for _ in range(60):
+        s = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 11)))
+        assert lattice.shortest(s) == min(ways(s), key=lambda w: sum(weight[p] for p in w))
+    assert lattice.shortest("aéb")[1] == "é" and lattice.shortest("") == []
+    assert spm.Lattice({"a": 1.0, "b": 1.0, "ab": 5.0, "abb": 2.5}).shortest("abbab") == ["abb", "a", "b"]
+
+
+def varint(x):
+    return bytes([x]) if x < 128 else bytes([x & 127 | 128]) + varint(x >> 7)
+
+
+def field(n, value):
+    return varint(n << 3) + varint(value) if isinstance(value, int) else varint(n << 3 | 2) + varint(len(value)) + value
+
+
+def test_specification_of_a_model():
+    from tidemark.llm import spm
+    plain = field(3, 1) + field(4, 0) + field(5, 1)
+    piece = field(1, b"a") + varint(2 << 3 | 5) + b"\0\0\0\0"
+    assert spm.specification(field(1, piece) + field(2, field(3, 2)) + field(3, plain)) == (spm.MERGES, True)
+    assert spm.specification(field(2, b"") + field(3, field(3, 0) + field(4, 0))) == (spm.UNIGRAM, False)
+    for bad, why in ((field(3, plain + field(2, b"map")), "map"), (field(3, field(3, 1)), "blanks"), (field(3, field(4, 0) + field(5, 0)), "spaces"), (field(1, piece + field(3, 4)) + field(3, plain), "user"), (field(2, field(3, 3)) + field(3, plain), "merging")):
+        with pytest.raises(ValueError, match=why):
+            spm.specification(bad)

@@ -10,6 +10,7 @@ All expressions are built-in functions. A null text counts as empty; equal texts
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,27 +50,44 @@ def merge(a: Column, b: Column, below: str = BELOW) -> Column:
     return let(F.array_sort(F.array_union(a, b)), lambda h: let(F.array_min(h), lambda m: F.filter(h, lambda x: (x < below) | (x == m))))
 
 
-def in_ranges(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """`df` with `range_no` and `guest`: rows cut into ranges of the key (about BUCKET rows each where keys are evenly spread), and the first
+def in_ranges(df: DataFrame, key: str, order: list[str], bucket: int = BUCKET) -> DataFrame:
+    """`df` with `range_no` and `guest`: rows cut into ranges of the key of about `bucket` rows, and the first
     row of each range, in descending order of `key` and `order`, once more as the guest that ends the range above it.
 
-    Rows without a key come last, spread over ranges of their own by a hash. The highest range's first row is the guest of the lowest.
+    The key's span is cut evenly; a range that gets too many rows is cut evenly over its own span, and so on, so that neither gaps nor outliers crowd a range (rows of one and the
+    same key stay together). A range is named by its lower bound. Rows without a key come last, spread over ranges of their own by a hash. The highest
+    range's first row is the guest of the lowest.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    width = max(1, ((hi or 0) - (lo or 0) + 1) * BUCKET // max(1, n))
-    lost = -1 - F.pmod(F.xxhash64(*order), F.lit(BUCKET))
-    cut = df.withColumn("range_no", F.coalesce(F.expr(f"(`{key}` - {lo or 0}L) div {width}L"), lost))
+    whole = F.col(key).cast("decimal(38,0)")
+    exact = lambda x: F.lit(Decimal(x)).cast("decimal(38,0)")
+    lo, hi, n = df.agg(F.min(whole), F.max(whole), F.count(key)).first()
+    lo, hi = int(lo or 0), int(hi or 0)
+    width = max(1, (hi - lo + 1) * bucket // max(1, n))
+    lost = exact(lo) - 1 - F.pmod(F.xxhash64(*order), F.lit(bucket))
+    cut = df.withColumn("range_no", F.coalesce(stepped(whole, exact(lo), exact(width)), lost.cast("decimal(38,0)")))
+    while True:
+        crowd = cut.groupBy("range_no").agg(F.count(key).alias("n"), F.min(whole).alias("least"), F.max(whole).alias("most")).filter((F.col("n") > 4 * bucket) & (F.col("most") > F.col("least")))
+        if crowd.isEmpty():
+            break
+        step = F.greatest(exact(1), F.floor((F.col("most") - F.col("least") + 1) / F.col("n") * bucket).cast("decimal(38,0)"))
+        finer = crowd.select(F.col("range_no").alias("_r"), F.col("least").alias("_low"), step.alias("_step"))
+        cut = cut.join(finer, F.col("range_no") == F.col("_r"), "left").withColumn("range_no", F.coalesce(stepped(whole, F.col("_low"), F.col("_step")), F.col("range_no"))).drop("_r", "_low", "_step")
     falling = [F.desc_nulls_last(c) for c in (key, *order)]
     heads = cut.withColumn("place", F.row_number().over(Window.partitionBy("range_no").orderBy(*falling))).filter("place = 1").drop("place")
     # the range above each: within blocks of ranges, then over one row per block
-    heads = heads.withColumn("block", F.floor(F.col("range_no") / F.lit(BUCKET)))
-    near = heads.withColumn("above", F.lead("range_no").over(Window.partitionBy("block").orderBy("range_no")))
-    blocks = cut.select(F.col("range_no"), F.floor(F.col("range_no") / F.lit(BUCKET)).alias("b")).groupBy("b").agg(F.min("range_no").alias("low"))
+    block = F.floor((F.col("range_no") - exact(lo)) / exact(width * bucket))
+    near = heads.withColumn("block", block).withColumn("above", F.lead("range_no").over(Window.partitionBy("block").orderBy("range_no")))
+    blocks = cut.select("range_no", block.alias("b")).groupBy("b").agg(F.min("range_no").alias("low"))
     blocks = blocks.select("b", F.lead("low").over(Window.orderBy("b")).alias("over"), F.min("low").over(Window.partitionBy()).alias("lowest"))
     guests = near.join(blocks, F.col("block") == F.col("b")).withColumn("range_no", F.coalesce("above", "over", "lowest"))
     return cut.withColumn("guest", F.lit(False)).unionByName(guests.select(*cut.columns, F.lit(True).alias("guest")))
 
 
+def stepped(value: Column, low: Column, step: Column) -> Column:
+    """The largest low + k * step that is not above the value, as a whole number of any size."""
+    return (value - F.pmod(value - low, step)).cast("decimal(38,0)")
+
+
 def with_next(ranged: DataFrame, key: str, order: list[str], carry: list[str]) -> DataFrame:
     """Rows of `in_ranges` without the guests, with next_{c}: values of the row that follows."""
     w = Window.partitionBy("range_no").orderBy("guest", *[F.desc_nulls_last(c) for c in (key, *order)])
