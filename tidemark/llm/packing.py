@@ -26,6 +26,7 @@ from tidemark.llm.tokens import coder
 
 TOKENS = 1024
 GROUP = 8_000
+REMEMBERED = 500_000      # word parts: one worker has the memory for them when it does nothing but encode
 PIECES = fields(starts="array<bigint>", lengths="array<bigint>", crcs="array<bigint>")
 
 
@@ -40,7 +41,7 @@ def pieces(docs: DataFrame, text: str = "text", size: int = TOKENS, tokenizer: s
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(texts: list[bytes]) -> list[tuple]:
-        c = coder(tokenizer)
+        c = coder(tokenizer, REMEMBERED)
         rows = []
         for t in texts:
             ids = c.encode(t.decode("utf-8", "replace")) + end
