@@ -378,3 +378,15 @@ def test_specification_of_a_model():
     for bad, why in ((field(3, plain + field(2, b"map")), "map"), (field(3, field(3, 1)), "blanks"), (field(3, field(4, 0) + field(5, 0)), "spaces"), (field(1, piece + field(3, 4)) + field(3, plain), "user"), (field(2, field(3, 3)) + field(3, plain), "merging")):
         with pytest.raises(ValueError, match=why):
             spm.specification(bad)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_strings_of_added_tokens(name):
+    """Ids equal a fresh library's plain call, whatever stands around such a string."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import Coder
+    fresh, mine = Tokenizer.from_file(public_tokenizers.path(name)), Coder(name)
+    for t in ("see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b", "<|EndOfText|> x", "<|startoftext|><|endoftext|>", "< |endoftext|>", "x <|endoftext| > y", "é <|endoftext|>\n  z"):
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t

@@ -26,7 +26,7 @@ from tidemark.llm.tokens import coder
 
 TOKENS = 1024
 GROUP = 8_000
-REMEMBERED = 500_000      # word parts: one worker has the memory for them when it does nothing but encode
+REMEMBERED = 800_000      # word parts: one worker has the memory for them when it does nothing but encode
 PIECES = fields(starts="array<bigint>", lengths="array<bigint>", crcs="array<bigint>")
 
 

@@ -52,7 +52,8 @@ class Coder:
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         #: strings of added tokens get ids of their own wherever they stand, so a text that has one is left to the library
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.openings = sorted({c for t in self.added for c in (t[0], t[0].upper())})
         self.model = self.tokenizer.model
         self.drops_space = "Lowercase" in str(self.tokenizer.normalizer)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.drops_space else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -84,9 +85,10 @@ class Coder:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        low = text.lower()
-        if any(x in low for x in self.added):
-            return self.whole(text)
+        if any(c in text for c in self.openings):
+            low = text.lower()
+            if any(x in low for x in self.added):
+                return self.whole(text)
         first, *rest = text.split(" ")
         try:
             return b"".join([self.first[first], *map(self.rest.__getitem__, rest)])
