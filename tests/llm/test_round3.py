@@ -390,3 +390,13 @@ def test_strings_of_added_tokens(name):
     fresh, mine = Tokenizer.from_file(public_tokenizers.path(name)), Coder(name)
     for t in ("see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b", "<|EndOfText|> x", "<|startoftext|><|endoftext|>", "< |endoftext|>", "x <|endoftext| > y", "é <|endoftext|>\n  z"):
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
+def test_large_pages_go_into_small_files(spark, tmp_path):
+    from tidemark.llm import warc
+    pages = spark.range(0, 30, 1, 1).selectExpr("id AS page_id", "concat('http://h.example/', id) AS url", "repeat(concat('p', id % 10), if(id < 10, 2500000, 50)) AS html")
+    warc.write_archives(pages, f"{tmp_path}/w")
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < warc.FILE_BYTES + 10_000_000 and sum(sizes) > 50_000_000
+    index = warc.merge_runs(warc.capture_runs(spark, f"{tmp_path}/w")).collect()
+    assert sorted(r.page_id for r in index) == list(range(30)) and {r.payload_bytes for r in index if r.page_id < 10} == {5_000_000} and [r.place for r in sorted(index, key=lambda r: r.url_key)] == list(range(30))

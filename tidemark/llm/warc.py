@@ -4,7 +4,7 @@ Writing: one WARC 1.1 record per page, as files of the text sink whose line sepa
 can write to will do. Of records with equal payloads of MIN_SHARED bytes or more, the one with the largest id holds the payload; the others are revisit records
 that refer to it. Reading: records are cut by their Content-Length; payloads are checked against their digest.
 
-Index: each archive file gives a run of entries sorted by (URL key, time, id). Runs are dealt out by ranges of that key, and in each range a
+Index: each archive file gives a run of entries sorted by (URL key, time, id). Runs are dealt out by ranges of that key, about RANGE_ROWS entries at most, and in each range a
 loser tree merges the slices of all runs, which leaves capture histories in one global order. A URL with many captures spreads over ranges.
 
 A null html is an empty payload, a null url an empty one. Rows without an id count as the smallest; equal rows are each written, as responses if
@@ -27,6 +27,8 @@ from tidemark.llm.common import cut, fields, new_folder, query, table
 
 MIN_SHARED = 1000
 PER_FILE = 1000         # records of one archive file, which one task reads as a whole
+FILE_BYTES = 1 << 26    # payload bytes that a file of PER_FILE small pages may come to; files of larger pages hold fewer of them
+RANGE_ROWS = 200_000    # index entries that one task merges
 URN = "urn:capture:"
 END = "\r\n\r\n"
 ENTRY = fields(run="string", seq="int", url_key="string", captured="string", page_id="bigint", payload_bytes="bigint", payload_digest="string",
@@ -57,7 +59,18 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     shared = cut(rows.filter(F.octet_length("html") >= MIN_SHARED).groupBy(F.col("digest").alias("shared")).agg(F.max("id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     both = rows.join(shared, F.col("digest") == F.col("shared"), "left")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("id").eqNullSafe(F.col("kept")), F.col("kept"))
-    both.select(record(F.col("url"), F.col("captured"), F.col("id"), F.col("html"), F.col("digest"), refers).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    both = both.select(record(F.col("url"), F.col("captured"), F.col("id"), F.col("html"), F.col("digest"), refers).alias("value"), size_class(F.octet_length("html"), per_file).alias("class"))
+    # pages by powers of two of their size, most tables have one class: a file is bounded by bytes as well as by records
+    classes = sorted(r[0] for r in rows.select(size_class(F.octet_length("html"), per_file)).distinct().collect()) or [0]
+    for c in classes:
+        some = both.filter(F.col("class") == c) if len(classes) > 1 else both
+        some.select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, per_file >> c)).text(path)
+
+
+def size_class(n_bytes: Column, per_file: int) -> Column:
+    """How often the number of records in a file has to be halved for pages of this size."""
+    small = max(1, FILE_BYTES // per_file)
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n_bytes, F.lit(1)) / small))).cast("int")
 
 
 def url_key(url: str) -> str:
@@ -155,7 +168,8 @@ class LoserTree:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The runs' entries with `place`, their position in the global order of (URL key, time, id). Give it a written table: ranges are found by sampling."""
-    ranges = runs.repartitionByRange("url_key", "captured", F.col("page_id").asc_nulls_first()).sortWithinPartitions("run", "seq")
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    ranges = runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first()).sortWithinPartitions("run", "seq")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), schema=schema)
