@@ -400,3 +400,30 @@ def test_large_pages_go_into_small_files(spark, tmp_path):
     assert max(sizes) < warc.FILE_BYTES + 10_000_000 and sum(sizes) > 50_000_000
     index = warc.merge_runs(warc.capture_runs(spark, f"{tmp_path}/w")).collect()
     assert sorted(r.page_id for r in index) == list(range(30)) and {r.payload_bytes for r in index if r.page_id < 10} == {5_000_000} and [r.place for r in sorted(index, key=lambda r: r.url_key)] == list(range(30))
+
+
+@pytest.mark.parametrize("capacity, score", [((100, 100, 10_000), "norm"), ((100, 4, 10_000), "norm"), ((100, 100, 4_000), "norm"), ((100, 5, 5_000), "dot"), ((1024, 1024, 1024 * 1024), "norm")])
+def test_bins_are_those_of_a_plain_search(capacity, score):
+    """Every piece goes where a search over all bins ever opened would put it (same score; the bins' numbers may differ among equals)."""
+    from tidemark.llm import packing
+    rng = np.random.default_rng(sum(capacity))
+    limit = min(capacity[0], int(capacity[2] ** 0.5))
+    lengths = np.sort(rng.integers(1, limit + 1, 400))[::-1].astype(np.int64)
+    weights, cap = (1.0, 0.05, 0.2), np.array(capacity, float)
+    bins, offsets = packing.best_fit(lengths, capacity, weights, score)
+    left: dict[int, np.ndarray] = {}
+    for x, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
+        need = np.array([x, 1.0, float(x) * x])
+
+        def value(room):
+            share, d, w = room / cap, need / cap, np.array(weights)
+            return -(w * share * d).sum() if score == "dot" else (w * (share - d) ** 2).sum()
+        fitting = {i: value(room) for i, room in left.items() if (room >= need).all()}
+        if b in left:
+            assert b in fitting and fitting[b] <= min(fitting.values()) + 1e-12
+        else:
+            assert not fitting
+        room = left.get(b, cap.copy())
+        assert o == int(cap[0] - room[0])
+        left[b] = room - need
+        assert (left[b] >= 0).all()
