@@ -83,11 +83,12 @@ def candidate_bounds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     common = F.aggregate("_letters", F.lit(0), lambda n, x: n + F.least(x["n"], lb - F.length(F.replace(F.col("_title"), x["c"], F.lit("")))))
     likely = F.when(F.col("_target") == "", 0.5).otherwise(2 * common / (la + lb))
     j = j.filter((F.col("_target") == "") | (2 * F.least(la, lb) / (la + lb) + 0.15 >= SURE))
-    return j.select("target_id", "pos", "skuid", "title", "_target", "_title", bonus.alias("bonus"), (likely + bonus).alias("bound")).filter(F.col("bound") >= SURE - SLIP)
+    return j.select("target_id", "pos", "skuid", "title", "_target", "_title", bonus.alias("bonus"), (likely + bonus).alias("bound"))
 
 
 def contenders(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the pair of the highest bound of each target with its score, the other pairs whose bound reaches that score): no other can win."""
+    """(the pair of the highest bound of each target with its score, the other pairs whose bound reaches that score): no other can win. Give it a written table, or Spark works out bounds twice."""
+    pairs = pairs.filter(F.col("bound") >= SURE - SLIP)
     scored = lambda d: d.withColumn("score", _similarity("_target", "_title") + F.col("bonus"))
     lead = cut_lineage(scored(first_per_key(pairs, ["target_id"], [F.col("bound").desc(), F.col("pos")])))
     rest = pairs.join(lead.select("target_id", F.col("score").alias("_bar"), F.col("pos").alias("_lead")), "target_id").filter((F.col("pos") != F.col("_lead")) & (F.col("bound") >= F.col("_bar") - SLIP))
