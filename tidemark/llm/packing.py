@@ -26,7 +26,7 @@ from tidemark.llm.tokens import coder
 
 TOKENS = 1024
 GROUP = 8_000
-REMEMBERED = 800_000      # word parts: one worker has the memory for them when it does nothing but encode
+REMEMBERED = 500_000      # word parts: by default, as pieces share a worker's memory with what ran before
 PIECES = fields(starts="array<bigint>", lengths="array<bigint>", crcs="array<bigint>")
 
 
@@ -36,12 +36,12 @@ def cut_points(n: int, size: int) -> list[int]:
     return [0, *range(first, n, size)]
 
 
-def pieces(docs: DataFrame, text: str = "text", size: int = TOKENS, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, keep: list[str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", size: int = TOKENS, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: `doc`, piece, start, length, ids_crc32."""
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(texts: list[bytes]) -> list[tuple]:
-        c = coder(tokenizer, REMEMBERED)
+        c = coder(tokenizer, remembered)
         rows = []
         for t in texts:
             ids = c.encode(t.decode("utf-8", "replace")) + end
@@ -111,12 +111,12 @@ def pack(cut_docs: DataFrame, size: int = TOKENS, max_docs: int | None = None, m
     return full.unionByName(dealt.groupBy("deal").applyInArrow(run, schema))
 
 
-def pack_documents(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **limits) -> DataFrame:
-    """Documents to packed pieces; the pieces are written once, as packing counts them first."""
-    return pack(cut(pieces(docs, text, keep=keep)), **limits)
+def pack_documents(docs: DataFrame, text: str = "text", keep: list[str] | None = None, remembered: int = REMEMBERED, **limits) -> DataFrame:
+    """Documents to packed pieces; the pieces are written once, as packing counts them first. A worker remembers the ids of `remembered` word parts."""
+    return pack(cut(pieces(docs, text, keep=keep, remembered=remembered)), **limits)
 
 
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pack_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    rows = pack_documents(table(spark, sf_dir, "documents"), keep=["doc_id"], remembered=800_000)
     return rows.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
