@@ -67,3 +67,16 @@ def test_heat_is_turned_round(spark):
     seen = spark.createDataFrame([(2, "2024-03-30")] * 3, "entity_id long, obs_date string")
     got = {r.entity_id: (r.supply_heat, r.action) for r in X.supply_heat(offers.withColumn("obs_date", F.to_date("obs_date")), seen.withColumn("obs_date", F.to_date("obs_date")), day).collect()}
     assert got[1] == (0.0, "probe_offer") and abs(got[2][0] - 100) < 1e-9 and got[2][1] == "wait"
+
+
+def test_a_price_of_zero_does_not_stop_the_settling(spark):
+    day = F.lit("2024-03-31").cast("date")
+    obs = spark.createDataFrame([(e, d, p, low) for e, d, p, low in [
+        (1, "2024-03-30", "a", 0.0), (1, "2024-03-30", "b", 5.0), (1, "2024-03-10", "a", 2.0), (1, "2024-03-10", "b", 3.0),       # from 0.5 to infinite
+        (2, "2024-03-30", "a", 0.0), (2, "2024-03-30", "b", 0.0), (2, "2024-03-10", "a", 2.0), (2, "2024-03-10", "b", 3.0),       # 0 of 0
+        (3, "2024-03-30", "a", 2.0), (3, "2024-03-30", "b", 3.0), (3, "2024-03-10", "a", 1.0), (3, "2024-03-10", "b", 2.0)]], "entity_id long, obs_date string, shop_platform string, low_price double")
+    got = {r.entity_id: r.spread_convergence for r in X.spread_convergence(obs.withColumn("obs_date", F.to_date("obs_date")), day, 15).collect()}
+    assert got[1] == float("-inf") and got[2] != got[2] and got[3] == 50.0
+    days = spark.createDataFrame([(e, f"2024-03-{d:02d}", p) for e, p in ((1, 0.0), (2, 4.0)) for d in range(1, 15)], "entity_id long, obs_date string, price double")
+    vol = {r.entity_id: r.vol_convergence for r in X.volatility_convergence(days.withColumn("obs_date", F.to_date("obs_date"))).collect()}
+    assert vol[1] != vol[1] and vol[2] == 0.0

@@ -11,6 +11,12 @@ def safe_pct(num: Column, den: Column) -> Column:
     return F.when(den == 0, 0.0).otherwise(num / den * 100)
 
 
+def quotient(num: Column, den: Column) -> Column:
+    """num / den of doubles as IEEE has it: by 0 infinite, 0 / 0 not a number. Null where either is."""
+    by_zero = F.when(num > 0, float("inf")).when(num < 0, float("-inf")).when(num == 0, float("nan"))
+    return F.when(den == 0, F.when(F.isnan(num), num).otherwise(by_zero)).otherwise(num / den)
+
+
 def exclusive_p75(sorted_arr: Column) -> Column:
     """Third exclusive quartile of a sorted array (needs 4 values; fewer give the maximum)."""
     n = F.size(sorted_arr)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import safe_pct
+from tidemark.functions.stats import quotient, safe_pct
 from tidemark.operators.design import composite_index
 
 THIRD = 1 / 3
@@ -64,15 +64,18 @@ def volatility_convergence(series: DataFrame, periods: int = 7) -> DataFrame:
     """(entity_id, vol_convergence): by how many percent the spread of the last periods, relative to their mean, is below that of the periods before."""
     rn = F.row_number().over(W.partitionBy("entity_id").orderBy(F.col("obs_date").desc()))
     d = series.withColumn("_rn", rn).filter(F.col("_rn") <= 2 * periods)
-    vol = lambda cond: F.stddev_pop(F.when(cond, F.col("price"))) / F.avg(F.when(cond, F.col("price")))
+    vol = lambda cond: quotient(F.stddev_pop(F.when(cond, F.col("price"))), F.avg(F.when(cond, F.col("price"))))
     v = d.groupBy("entity_id").agg(vol(F.col("_rn") <= periods).alias("now"), vol(F.col("_rn") > periods).alias("before"), F.max("_rn").alias("n")).filter(F.col("n") == 2 * periods)
     return v.select("entity_id", safe_pct(F.col("before") - F.col("now"), F.col("before")).alias("vol_convergence"))
 
 
 def spread_convergence(obs: DataFrame, as_of: Column, days: int = 30, platform: str = "shop_platform") -> DataFrame:
-    """(entity_id, spread_convergence): by how many percent the same-day gap between platforms shrank against the span before."""
+    """(entity_id, spread_convergence): by how many percent the same-day gap between platforms shrank against the span before.
+
+    A day whose lowest price is 0 has an infinite gap, or none that is a number.
+    """
     low = obs.filter(_within("obs_date", as_of, 2 * days)).groupBy("entity_id", "obs_date", platform).agg(F.min("low_price").alias("p"))
-    gap = low.groupBy("entity_id", "obs_date").agg(F.count(F.lit(1)).alias("n"), ((F.max("p") - F.min("p")) / F.min("p")).alias("gap")).filter("n >= 2")
+    gap = low.groupBy("entity_id", "obs_date").agg(F.count(F.lit(1)).alias("n"), quotient(F.max("p") - F.min("p"), F.min("p")).alias("gap")).filter("n >= 2")
     of = lambda back: F.avg(F.when(_within("obs_date", as_of, days, back), F.col("gap")))
     g = gap.groupBy("entity_id").agg(of(0).alias("now"), of(days).alias("before")).filter("now IS NOT NULL AND before IS NOT NULL")
     return g.select("entity_id", safe_pct(F.col("before") - F.col("now"), F.col("before")).alias("spread_convergence"))
