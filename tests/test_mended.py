@@ -97,3 +97,20 @@ def test_contract_from_a_file(spark, tmp_path):
     assert {k: got[k] for k in fixed.HARDWARE_CONTRACT} == fixed.HARDWARE_CONTRACT
     with pytest.raises(ValueError, match="identity"):
         contract({"domain": "x"})
+
+
+def test_a_node_of_a_tree_is_worked_out_once(spark):
+    from tidemark.operators import rules as D
+
+    def deep(n):
+        return {"type": "object", "required": ["a"], "properties": {"a": deep(n - 1)}} if n else {"type": "integer", "minimum": 3}
+
+    size = lambda n: str(D.tree_problems(F.col("v"), deep(n), F.lit("$"))).count("schema_of_variant")
+    assert size(5) == 6
+    schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "array", "minItems": 2, "items": {"type": "object", "required": ["n"], "properties": {
+        "n": {"type": "number", "minimum": 2}}}, "allOf": [{"contains": {"type": "object", "required": ["n"], "properties": {"n": {"const": 5}}}}]}, "b": {"type": "string", "minLength": 2, "enum": ["xx", "y"]}}}
+    bodies = ['{"a":[{"n":5},{"n":1},3,{}],"b":"y"}', '{"a":null,"b":7}', '[]', '{"a":{},"b":"zzz"}', '{', None, '{"a":[{"n":"x"}],"b":null}', 'null', '{"a":[{"n":5},{"n":5.5}],"b":"xx"}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string").select("i", F.try_parse_json("body").alias("v"))
+    got = {r.i: r.p for r in df.select("i", D.tree_problems(F.col("v"), schema, F.lit("$")).alias("p")).collect()}
+    assert got == {0: ["$.a.1.n: minimum", "$.a.2: type object", "$.a.3.n: required", "$.b: minLength"], 1: ["$.a: type array", "$.b: type string", "$.b: enum"], 2: ["$: type object"],
+                   3: ["$.a: type array", "$.b: enum"], 4: [], 5: [], 6: ["$.a: minItems", "$.a: contains", "$.a.0.n: type number", "$.b: type string", "$.b: enum"], 7: ["$: type object"], 8: []}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,24 +83,57 @@ def json_schema(docs: DataFrame, checks: Sequence[Mapping], keys: Sequence[str],
     return _result(d, keys, rule_id, "json_schema", F.col("_doc").isNotNull() & (F.size(v) == 0), detail)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tree_problems(node: Column, schema: Mapping, path: Column) -> Column:
     """Array of `path: word` for every place where a variant breaks a schema, outer before inner.
 
     Understands type, required, properties, items, minItems, maxItems, minLength, minimum, maximum, pattern, enum, const, and contains (by itself or in allOf), nested to any
-    depth: the schema is laid out as one expression, arrays are walked by higher-order functions.
+    depth: the schema is laid out as one expression, arrays are walked by higher-order functions. What a node is and holds is worked out once, so the expression grows with the
+    schema alone. Arrays and objects are known by a cast that opens their first level only; the schema of a variant, which reads all below it, is asked for single values.
     """
-    kind = F.schema_of_variant(node)
-    text = F.when(F.rlike(kind, F.lit("^STRING")), F.try_variant_get(node, "$", "string"))
-    number = F.when(F.rlike(kind, F.lit(_TYPES["number"])), F.try_variant_get(node, "$", "double"))
-    items = F.when(F.rlike(kind, F.lit("^ARRAY")), F.try_variant_get(node, "$", "array<variant>"))
-    child = lambda name: F.try_variant_get(node, f"$['{name}']", "variant")
+    return _with(node, lambda v: _tree(v, schema, path))
+
+
+def _tree(v: Column, schema: Mapping, path: Column) -> Column:
+    """The problems of a node that is at hand; only what its schema asks for is opened."""
+    names = list(dict.fromkeys([*schema.get("required", ()), *schema.get("properties", {})]))
+    listed = schema.get("type") == "array" or any(w in schema for w in ("items", "minItems", "maxItems", "contains", "allOf"))
+    values = [schema[w] for w in ("const",) if w in schema] + list(schema.get("enum", ()))
+    none = F.lit(None)
+    items = F.try_variant_get(v, "$", "array<variant>") if listed else none.cast("array<variant>")
+    mapped = F.try_variant_get(v, "$", "map<string,variant>").isNotNull() if names or schema.get("type") == "object" else F.lit(False)
+    children = [F.try_variant_get(v, f"$['{name}']", "variant").alias(f"child{i}") for i, name in enumerate(names)]
+    worded = any(w in schema for w in ("minLength", "pattern")) or any(isinstance(x, str) for x in values)
+    counted = any(w in schema for w in ("minimum", "maximum")) or any(not isinstance(x, str) for x in values)
+
+    def seen(o: Column) -> Column:
+        kind = F.when(o["items"].isNotNull(), "ARRAY").when(o["object"], "OBJECT").otherwise(F.schema_of_variant(v))
+        return _with(kind, lambda k: told(o, k))
+
+    def told(o: Column, kind: Column) -> Column:
+        text = F.when(F.rlike(kind, F.lit("^STRING")), F.try_variant_get(v, "$", "string")) if worded else none.cast("string")
+        number = F.when(F.rlike(kind, F.lit(_TYPES["number"])), F.try_variant_get(v, "$", "double")) if counted else none.cast("double")
+        child = {name: o[f"child{i}"] for i, name in enumerate(names)}
+        if not worded and not counted:
+            return _problems(kind, text, number, o["items"], child, schema, path)
+        return _with(F.struct(text.alias("text"), number.alias("number")), lambda x: _problems(kind, x["text"], x["number"], o["items"], child, schema, path))
+
+    return _with(F.struct(items.alias("items"), mapped.alias("object"), *children), seen)
+
+
+def _problems(kind: Column, text: Column, number: Column, items: Column, child: Mapping[str, Column], schema: Mapping, path: Column) -> Column:
+    """The problems of one node and those below it."""
     own, inner = [], []
 
     def say(broken: Column, word: str, at: Column = path) -> None:
         own.append(F.when(broken, F.concat(at, F.lit(f": {word}"))))
 
     def fits(sub: Mapping):
-        return lambda x: F.size(tree_problems(x, sub, F.lit(""))) == 0
+        return lambda x: F.size(_tree(x, sub, F.lit(""))) == 0
 
     def value(v) -> Column:
         return (text == v) if isinstance(v, str) else (number == float(v))
@@ -108,7 +141,7 @@ def tree_problems(node: Column, schema: Mapping, path: Column) -> Column:
     if "type" in schema:
         say(~F.rlike(kind, F.lit(_TYPES[schema["type"]])), f"type {schema['type']}")
     for name in schema.get("required", ()):
-        say(F.rlike(kind, F.lit("^OBJECT")) & child(name).isNull(), "required", F.concat(path, F.lit(f".{name}")))
+        say(F.rlike(kind, F.lit("^OBJECT")) & child[name].isNull(), "required", F.concat(path, F.lit(f".{name}")))
     for word, measure, wrong in (("minLength", F.length(text), "lt"), ("minimum", number, "lt"), ("maximum", number, "gt"), ("minItems", F.size(items), "lt"), ("maxItems", F.size(items), "gt")):
         if word in schema:
             seen = measure.isNotNull() & (items.isNotNull() if word.endswith("Items") else F.lit(True))
@@ -126,9 +159,9 @@ def tree_problems(node: Column, schema: Mapping, path: Column) -> Column:
         if "contains" in part:
             say(~F.exists(items, fits(part["contains"])), "contains")
     for name, sub in schema.get("properties", {}).items():
-        inner.append(F.when(child(name).isNotNull(), tree_problems(child(name), sub, F.concat(path, F.lit(f".{name}")))))
+        inner.append(F.when(child[name].isNotNull(), _tree(child[name], sub, F.concat(path, F.lit(f".{name}")))))
     if "items" in schema:
-        inner.append(F.flatten(F.transform(items, lambda x, i: tree_problems(x, schema["items"], F.concat(path, F.lit("."), i.cast("string"))))))
+        inner.append(F.flatten(F.transform(items, lambda x, i: _tree(x, schema["items"], F.concat(path, F.lit("."), i.cast("string"))))))
     none = F.array().cast("array<string>")
     return F.concat(F.array_compact(F.array(*own)) if own else none, *[F.coalesce(x, none) for x in inner])
 
