@@ -38,6 +38,24 @@ def test_mentions_whatever_the_parts(spark, limit):
     assert M.find_names(docs, "text", names.limit(0), ["doc_id"], limit).count() == 0 == M.find_names(docs.limit(0), "text", names, ["doc_id"], limit).count()
 
 
+@pytest.mark.parametrize("limit", [M.LIMIT, 60])
+def test_entities_that_share_names_cost_no_rows_of_their_own(spark, monkeypatch, limit):
+    found, search = [], M._find
+    monkeypatch.setattr(M, "_find", lambda *a: found.append(search(*a)) or found[-1])
+    names = NAMES + [(100 + i, n) for i in range(200) for n in ("rtx", "RTX 5060")] + [(400 + i, n) for i in range(50) for n in ("rtx", "彩虹")]
+    docs = spark.createDataFrame([*DOCS, (6, None, "rtx"), (7, None, "彩虹"), (8, None, "彩虹 rtx rtx")], "doc_id long, obs_date string, text string")
+    got = {(r.entity_id, r.obs_date): (r.n_docs, r.n_hits) for r in M.mention_counts(docs, spark.createDataFrame(names, "entity_id long, name string"), limit=limit).collect()}
+    want: dict = {}
+    for e in {e for e, _ in names} - {None}:
+        for d in docs.collect():
+            hits = sum(len(re.findall(f"(?={re.escape(n)})", fold(d.text))) for n in {fold(n) for x, n in names if x == e} if n.strip())
+            if hits:
+                n, h = want.get((e, d.obs_date), (0, 0))
+                want[e, d.obs_date] = n + 1, h + hits
+    assert got == want
+    assert sum(f.count() for f in found) < 40
+
+
 def test_brand_of_a_large_vocabulary(spark):
     words = spark.createDataFrame([(i, f"brand{i}") for i in range(3000)] + [(3000, "brand7 pro")], "entity_id long, name string")
     titles = spark.createDataFrame([(1, "new brand9 and brand7 pro"), (2, "brand30000"), (3, None)], "id long, title string")

@@ -18,6 +18,8 @@ from tidemark.session import Rounds, cut_lineage
 
 #: Bytes of names that one automaton may hold; it takes some forty times as much memory in a worker.
 LIMIT = 8_000_000
+#: Mentions that a worker gathers before it hands them on.
+ROWS = 20_000
 _IDEOGRAM = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
 
 
@@ -34,15 +36,16 @@ def _automaton(data: bytes):
     """The automaton of a part of the names, kept for the tasks that follow in this worker."""
     if data not in _BUILT:
         import ahocorasick
-        t = pa.ipc.open_stream(data).read_all()
-        owners: dict[str, list] = {}
-        for who, name in zip(t["entity_id"].to_pylist(), t["name"].to_pylist()):
-            owners.setdefault(name, []).append(who)
+        _BUILT.clear()      # first, so that a worker never holds two
         a = ahocorasick.Automaton()
-        for name, who in owners.items():
-            a.add_word(name, who)
+        for b in pa.ipc.open_stream(data):
+            for who, name in zip(b["entity_id"].to_pylist(), b["name"].to_pylist()):
+                owners = a.get(name, None)
+                if owners is None:
+                    a.add_word(name, [who])
+                else:
+                    owners.append(who)
         a.make_automaton()
-        _BUILT.clear()
         _BUILT[data] = a
     return _BUILT[data]
 
@@ -61,26 +64,37 @@ def find_names(docs: DataFrame, text: str, names: DataFrame, keep: Sequence[str]
 
     Overlapping mentions all count; a name given twice for an entity counts once. Null texts and names without a letter or digit mention nothing.
     """
-    vocabulary = names.select("entity_id", folded(F.col("name")).alias("name")).filter("name <> ' ' AND entity_id IS NOT NULL").distinct()
+    return _find(docs, text, _vocabulary(names), keep, limit)
+
+
+def _vocabulary(names: DataFrame) -> DataFrame:
+    """(entity_id, name): the names as they are looked for, each once per entity."""
+    return names.select("entity_id", folded(F.col("name")).alias("name")).filter("name <> ' ' AND entity_id IS NOT NULL").distinct()
+
+
+def _find(docs: DataFrame, text: str, vocabulary: DataFrame, keep: Sequence[str], limit: int) -> DataFrame:
     kept = F.struct(*[F.col(c) for c in keep]).alias("doc")
     src = docs.select(kept, folded(F.col(text)).alias("text")).filter("text <> ' '")
-    schema = T.StructType([src.schema["doc"], T.StructField("entity_id", names.schema["entity_id"].dataType), T.StructField("n_hits", T.LongType())])
+    schema = T.StructType([src.schema["doc"], T.StructField("entity_id", vocabulary.schema["entity_id"].dataType), T.StructField("n_hits", T.LongType())])
 
     def search(data: bytes):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
             automaton = _automaton(data)
+            kind = to_arrow_type(schema["entity_id"].dataType)
             for b in batches:
                 at, who, n = [], [], []
-                for i, t in enumerate(b.column(1)):
+                for i, t in enumerate(b.column(1) if len(automaton) else ()):
                     found: dict = {}
-                    for _, owners in automaton.iter(t.as_py()) if len(automaton) else ():
+                    for _, owners in automaton.iter(t.as_py()):
                         for x in owners:
                             found[x] = found.get(x, 0) + 1
                     at += [i] * len(found)
                     who += found.keys()
                     n += found.values()
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(who, to_arrow_type(schema["entity_id"].dataType)), pa.array(n, pa.int64())], names=schema.names)
+                    if len(at) >= ROWS or i == b.num_rows - 1:
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(who, kind), pa.array(n, pa.int64())], names=schema.names)
+                        at, who, n = [], [], []
         return run
 
     n = max(1, -(-(vocabulary.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0) // limit))
@@ -95,8 +109,27 @@ def find_names(docs: DataFrame, text: str, names: DataFrame, keep: Sequence[str]
 
 
 def mention_counts(docs: DataFrame, names: DataFrame, day: str = "obs_date", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(entity_id, day, n_docs, n_hits): documents of the day that mention an entity, and mentions in them."""
-    return find_names(docs, text, names, [day], limit).groupBy("entity_id", day).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_hits").alias("n_hits"))
+    """(entity_id, day, n_docs, n_hits): documents of the day that mention an entity, and mentions in them.
+
+    The texts are searched for names, not for entities: what leaves the tasks is bounded by the texts, however many entities share a name, and is counted per name before
+    entities meet it. Only where an entity has names of which none holds the other, the documents with any of them are counted in a second pass, once for all entities named alike.
+    """
+    owned = cut_lineage(_vocabulary(names).groupBy("entity_id").agg(F.sort_array(F.collect_set("name")).alias("names")))
+    # a document with a name has every name inside it, so those that hold no other one tell the documents
+    least = F.filter("names", lambda a: ~F.exists("names", lambda b: (a != b) & F.contains(a, b)))
+    owned = owned.withColumn("least", least)
+    each = owned.select(F.explode("names").alias("name")).distinct().select(F.col("name").alias("entity_id"), "name")
+    by_name = _find(docs, text, each, [day], limit).groupBy(F.col("entity_id").alias("name"), day).agg(F.count(F.lit(1)).alias("n"), F.sum("n_hits").alias("hits"))
+    of = owned.select("entity_id", F.explode("names").alias("name"), F.when(F.size("least") == 1, F.col("least")[0]).alias("one"), F.when(F.size("least") > 1, F.array_join("names", "\n")).alias("set"))
+    n_docs = F.sum(F.when(F.col("name") == F.col("one"), F.col("n"))).alias("n_docs")
+    counts = of.join(by_name, "name").groupBy("entity_id", "set", day).agg(n_docs, F.sum("hits").alias("n_hits"))
+    several = owned.filter(F.size("least") > 1).select("names").distinct()
+    if not several.isEmpty():
+        sets = several.select(F.array_join("names", "\n").alias("entity_id"), F.explode("names").alias("name"))
+        by_set = _find(docs, text, sets, [day], limit).groupBy(F.col("entity_id").alias("set"), F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("n_any"))
+        same = (counts["set"] == by_set["set"]) & counts[day].eqNullSafe(by_set["_day"])
+        counts = counts.join(by_set, same, "left").select("entity_id", day, F.coalesce("n_docs", "n_any").alias("n_docs"), "n_hits")
+    return counts.select("entity_id", day, "n_docs", "n_hits")
 
 
 def brand_in(df: DataFrame, text: str, vocabulary: DataFrame, key: Sequence[str], mode: str = "first", limit: int = LIMIT) -> DataFrame:
