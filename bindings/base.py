@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folders(df: DataFrame, key: str):
+    """A writer of a folder per key. All tasks share the folders, however few bytes there are, and put them in their place themselves, so that no one task or driver makes all files."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key)
+
+
 class Registry:
     """Collects (name -> spark callable) and (name -> SQL)."""
 

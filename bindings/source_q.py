@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from bindings.base import VENDORS, Registry, day, observations, table
+from bindings.base import VENDORS, Registry, day, folders, observations, table
 from bindings.entity_q import SQL as ENTITY_SQL, shifted_obs, users
 from bindings.obs_q import ROWS, base_rows, raw_observations, shop_rows
 from tidemark.plans import snapshot as P
@@ -59,7 +59,7 @@ def read_sources(spark, d):
     two = F.to_json(F.array(F.struct(F.lit("a").alias("id"), F.lit(None).cast("string").alias("source_id"), name.alias("title")), F.struct(F.lit(None).cast("string").alias("id"), F.lit("b").alias("source_id"), F.concat(name, F.lit('"q')).alias("title"))))
     one = F.to_json(F.array(F.struct(F.lit("a").alias("id"), name.alias("title"))))
     body = F.when(k % 5 == 0, F.concat(F.lit('{"sources":'), two, F.lit("}"))).when(k % 5 == 1, F.concat(F.lit('[{"id":"'), name, F.lit('""]'))).when(k % 5 == 3, one).otherwise(F.concat(F.lit('{"items":'), two, F.lit("}")))
-    table(spark, d, "supplier").select(body.alias("value"), F.concat(F.lit("t"), k.cast("string"), F.lit(".sources.json")).alias("f")).write.partitionBy("f").text(path)
+    folders(table(spark, d, "supplier").select(body.alias("value"), F.concat(F.lit("t"), k.cast("string"), F.lit(".sources.json")).alias("f")), "f").text(path)
     rows, issues = S.read_sources_claims(spark, f"{path}/*", "sources")
     return rows.select("task_id", "pos", "source_id", "title", F.lit(None).cast("string").alias("issue")).unionByName(
         issues.select("task_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("title"), "issue"))
@@ -92,7 +92,7 @@ def read_screen_nodes(spark, d):
     k = F.col("s_suppkey")
     node = F.concat(F.lit('<node text="'), "s_name", F.lit('" content-desc="" bounds="[3,'), (k % 500).cast("string"), F.lit("][9,"), (k % 500 + 9).cast("string"), F.lit(']"/>'))
     xml = table(spark, d, "supplier").groupBy(F.floor(k / 4).alias("s")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", node.alias("n")))).alias("n"))
-    xml.select(F.array_join(F.transform("n", lambda x: x["n"]), "\n").alias("value"), F.concat(F.lit("kw_s"), F.col("s").cast("string"), F.lit(".xml")).alias("f")).write.partitionBy("f").text(path)
+    folders(xml.select(F.array_join(F.transform("n", lambda x: x["n"]), "\n").alias("value"), F.concat(F.lit("kw_s"), F.col("s").cast("string"), F.lit(".xml")).alias("f")), "f").text(path)
     return S.read_screen_nodes(spark, f"{path}/*").select("screen_id", F.col("pos").cast("long").alias("pos"), "y1", "val")
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from bindings.base import Registry, table
+from bindings.base import Registry, folders, table
 from bindings.log_q import LOG
 from tidemark.functions.dates import epoch_micros
 from tidemark.operators import folds as B, tasklog as L
@@ -195,7 +195,7 @@ def inbox_stream(spark, d):
     path = F.when(m == 1, "artifacts/2024-01-01/../x").otherwise("artifacts/2024-01-01/x")
     body = F.to_json(F.struct(tid.alias("task_id"), F.lit("p").alias("plan_id"), F.lit("do").alias("objective"),
                               F.array(F.struct(F.lit("file_exists").alias("type"), path.alias("path"))).alias("acceptance")))
-    s.select(F.when(m == 0, F.concat(body, F.lit("}{"))).otherwise(body).alias("value"), k.alias("f")).repartition("f").write.partitionBy("f").text(f"{base}/in")
+    folders(s.select(F.when(m == 0, F.concat(body, F.lit("}{"))).otherwise(body).alias("value"), k.alias("f")), "f").text(f"{base}/in")
     s.filter(m.isin(2, 3)).select(F.lit("p").alias("plan_id"), tid.alias("task_id"), F.when(m == 2, F.concat(F.lit("p/"), tid)).otherwise("old").alias("idempotency_key")).write.parquet(f"{base}/tasks/seed")
     J.run_available(read_inbox(spark, f"{base}/in", stream=True), f"{base}/checkpoint", J.inbox_batch(f"{base}/tasks", f"{base}/out"))
     out = spark.read.parquet(f"{base}/out")

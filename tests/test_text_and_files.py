@@ -149,3 +149,12 @@ def test_manifest(spark, tmp_path):
     m = R.artifact_manifest(spark, str(tmp_path / "a.csv")).first()
     assert m.sha256 == hashlib.sha256(body.encode()).hexdigest() and m.rows == 7 and m.bytes == len(body)
     assert len(m.preview) == 5 and m.preview[0] == "h" and len(m.preview[1]) == 500
+
+
+def test_a_folder_per_key_is_written_by_all_tasks(spark, tmp_path):
+    from bindings.base import folders
+    rows = spark.range(0, 40, 1, 1).selectExpr("concat('x', id) AS value", "concat('t', id, '.sources.json') AS f")
+    folders(rows, "f").text(str(tmp_path / "in"))
+    files = [p for p in (tmp_path / "in").glob("f=*/part-*")]
+    assert sorted(p.read_text() for p in files) == sorted(f"x{i}\n" for i in range(40))
+    assert len({p.name.split("-")[1] for p in files}) > 1
