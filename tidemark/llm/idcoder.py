@@ -10,7 +10,7 @@ as little-endian unsigned 32-bit integers. All blocks of a file are coded in ste
 +, -, *, / of doubles, which every machine rounds alike.
 
 File. Magic, six counts (part, file of the part, documents, ids, alphabet, ids of a block), then as little-endian arrays: document ids, a byte per document that is 1 where the id is
-missing, document lengths, alphabet, its counts; per block its number of 16-bit words and checksum; the crc32 of all that; then the words of the blocks.
+missing, document lengths, alphabet, its counts; per block its number of 32-bit words and checksum; the crc32 of all that; then the words of the blocks.
 Files are written by the text sink, one row each, so that any store Spark can write to will do and lost tasks are written again; the sink's separator ends a file.
 
 Documents are in ascending order of id, missing ids last, equal ids by the hash of their text. A null text has the end id alone. No documents: no files, no rows.
@@ -32,101 +32,139 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, fields, new_folder, query, small_batches, table
 from tidemark.llm.tokens import coder
 
-MAGIC = b"TMIDS01\n"
+MAGIC = b"TMIDS02\n"
 END = "\nend of ids\n"
 BLOCK = 4096
 PER_FILE = BLOCK * 1024     # ids of a file, more where a document is longer
+TEXT_BYTES = 16 << 20       # texts whose words are looked up together
 REBUILDS = frozenset((384, 1536))
 PRIOR = 1024.0              # ids that the file's counts are worth in a block
 TABLE = 4096                # places of the order-1 and order-2 tables
-SHARE = 0.02
-TOTAL_BITS = 24
-NONE = (1 << 20) - 1       # no expected id: above any alphabet
+SHARE = np.float32(0.02)
+TOTAL = np.uint64(24)       # bits of the interval that the experts share
+WHOLE, ONE = np.float32(1 << 24), np.float32(1)
+KEPT, GAIN = np.float32(0.97), np.float32(0.0294)       # of a share of hits, and what a hit adds
+WORD = np.uint64(32)        # bits written at once
+LEAST = np.uint64((1 << 32) - 1)
 
 
 class Lanes:
-    """State of the model and the coder of `k` blocks."""
+    """State of the model and the coder of `k` blocks. Tables have a column per lane, so what most lanes look up lies together; of weights, row 0 is that of order 0."""
 
     def __init__(self, k: int, counts: np.ndarray):
-        self.k, self.a = k, len(counts)
+        self.k, self.width, self.a = k, k, len(counts)
         self.bits = max(14, int(2 * self.a - 1).bit_length())
         self.prior = counts / counts.sum()
-        self.table1, self.table2 = np.full(k * TABLE, NONE, np.int32), np.full(k * TABLE, NONE, np.int32)
+        # ids with two bits of confidence; no expected id is one above any alphabet
+        self.kind, none = (np.int16, (1 << 13) - 1) if self.a < 1 << 13 else (np.int32, (1 << 29) - 1)
+        self.table = np.full(2 * TABLE * k, none << 2, self.kind)
+        self.hit = np.tile(np.array([0.0, 0.2, 0.4, 0.6], np.float32), 2 * k)
         self.at = np.arange(k)
-        self.hit1, self.hit2 = (np.tile([0.0, 0.2, 0.4, 0.6], k) for _ in range(2))
-        self.w1 = self.w2 = np.full(k, 1 / 3)
-        self.w0 = np.full(k, 1 / 3)
+        self.at2 = np.stack([self.at, self.at + TABLE * k])
+        self.at4 = 4 * np.stack([self.at, self.at + k])
+        self.w = np.full((3, k), WHOLE / 3, np.float32)
         self.last = self.before = np.zeros(k, np.int64)
-        self.seen = np.zeros(k * self.a, np.int32)
-        self.rebuild(0)
+        self.rebuild(0, None)
 
-    def rebuild(self, step: int) -> None:
-        """Order-0 frequencies of every lane, each at least 1 of 1 << bits."""
+    def rebuild(self, step: int, grid: np.ndarray | None) -> None:
+        """Order-0 frequencies of every lane, each at least 1 of 1 << bits; `grid` has a row per step so far."""
         part = ((1 << self.bits) - self.a) / (PRIOR + step)
-        f = np.floor(self.prior * (PRIOR * part)).astype(np.int32) + (self.seen.reshape(self.k, self.a) * int(part) + 1 if step else np.ones((self.k, 1), np.int32))
-        c = np.zeros((self.k, self.a + 1), np.int32)
-        f[:, -1] += (1 << self.bits) - f.sum(1, dtype=np.int32)
-        np.cumsum(f, axis=1, out=c[:, 1:])
-        self.below, self.freq = c.ravel(), f
+        places = np.empty((self.a, self.width, 2), np.int32)
+        self.freq, below = places[..., 0], places[..., 1]
+        f = self.freq
+        f[:] = (np.floor(self.prior * (PRIOR * part)).astype(np.int32) + 1)[:, None]
+        if step:
+            lanes = np.arange(grid.shape[1])
+            for i in range(0, step, 64):
+                np.add.at(f.reshape(-1), (grid[i:min(i + 64, step)].astype(np.int64) * self.width + lanes).ravel(), np.int32(part))
+        f[-1] += (1 << self.bits) - f.sum(0, dtype=np.int32)
+        below[0] = 0
+        for i in range(1, self.a):
+            np.add(below[i - 1], f[i - 1], out=below[i])
+        self.places = places.reshape(-1).view(np.int64)     # both are looked up at once
 
     def inverse(self) -> np.ndarray:
         """Symbol at each place of the order-0 interval, for decoding."""
-        kind = np.uint16 if self.a < 1 << 16 else np.int32
-        return np.repeat(np.tile(np.arange(self.a, dtype=kind), self.k), self.freq.ravel())
+        out = np.empty((self.k, 1 << self.bits), self.kind if self.kind is np.int16 or self.a >= 1 << 16 else np.uint16)
+        symbols = np.arange(self.a, dtype=out.dtype)
+        for i in range(0, self.k, 64):
+            part = self.freq[:, i:min(i + 64, self.k)].T
+            out[i:i + 64] = np.repeat(np.tile(symbols, len(part)), part.ravel()).reshape(len(part), -1)
+        return out.reshape(-1)
 
     def shrink(self, k: int) -> None:
         """Go on with the first k lanes."""
         self.k = k
-        for name in ("at", "w0", "w1", "w2", "last", "before"):
-            setattr(self, name, getattr(self, name)[:k])
-        self.seen, self.below, self.freq = self.seen[:k * self.a], self.below[:k * (self.a + 1)], self.freq[:k]
+        for name in ("at", "at2", "at4", "w", "last", "before"):
+            setattr(self, name, getattr(self, name)[..., :k].copy())
 
     def predict(self) -> None:
-        """The two expected ids, and where the mixture puts them in the interval."""
-        self.i1 = self.at * TABLE + (self.last & (TABLE - 1))
-        self.i2 = self.at * TABLE + ((self.last * 2_654_435_761 + self.before * 40_503 >> 7) & (TABLE - 1))
-        e1, e2 = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.c1, self.c2, self.k1, self.k2 = e1 & NONE, e2 & NONE, e1 >> 20, e2 >> 20
-        self.j1, self.j2 = self.at * 4 + self.k1, self.at * 4 + self.k2
-        self.p1, self.p2 = self.hit1.take(self.j1), self.hit2.take(self.j2)
-        self.f2 = (self.w2 * self.p2 * (1 << TOTAL_BITS)).astype(np.int64)
-        self.base = self.f2 + (self.w1 * self.p1 * (1 << TOTAL_BITS)).astype(np.int64)
-        self.unit = ((1 << TOTAL_BITS) - self.base) >> self.bits
+        """The two expected ids, and where the mixture puts them in the interval: at least a place each."""
+        i = np.empty((2, self.k), np.int64)
+        i[0] = self.last
+        np.multiply(self.last, 2_654_435_761, out=i[1])
+        i[1] += self.before * 40_503
+        i[1] >>= 7
+        i &= TABLE - 1
+        i *= self.width
+        i += self.at2
+        e = self.table.take(i)
+        self.i, self.c, self.sure = i, e >> 2, e & 3
+        self.j = self.at4 + self.sure
+        self.p = self.hit.take(self.j)
+        f = self.w[1:] * self.p
+        f += ONE
+        self.f1, self.f2 = np.floor(f, out=f)
+        self.base = self.f1 + self.f2
+        self.unit = np.floor((WHOLE - self.base) * np.float32(1 / (1 << self.bits)))
 
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the next ids."""
-        self.place0(s)
-        by2 = (s == self.c2) & (self.f2 > 0)
-        by1 = (s == self.c1) & (self.base > self.f2)
-        start = np.where(by2, 0, np.where(by1, self.f2, self.base + self.lo * self.unit))
-        return start, np.where(by2, self.f2, np.where(by1, self.base - self.f2, self.f0 * self.unit))
-
-    def place0(self, s: np.ndarray) -> None:
-        i = self.at * (self.a + 1) + s
-        self.lo = self.below.take(i).astype(np.int64)
-        self.f0 = self.below.take(i + 1) - self.lo
+        """Start and width of the next ids. All are whole numbers up to WHOLE, which a float holds."""
+        i = s * self.width
+        i += self.at
+        self.f0, start = self.places.take(i).view(np.int32).reshape(-1, 2).T.astype(np.float32)
+        self.s = s.astype(self.kind)
+        self.met = by1, by2 = self.c == self.s
+        size = self.f0 * self.unit
+        start *= self.unit
+        start += self.base
+        np.copyto(start, self.f2, where=by1)
+        np.copyto(size, self.f1, where=by1)
+        np.copyto(start, 0, where=by2)
+        np.copyto(size, self.f2, where=by2)
+        return start.astype(np.int64).view(np.uint64), size.astype(np.int64).view(np.uint64)
 
     def symbols(self, v: np.ndarray, inverse: np.ndarray) -> np.ndarray:
         """The ids at places v of the interval."""
-        i = np.clip((v - self.base) // self.unit, 0, (1 << self.bits) - 1)
-        s = inverse.take((self.at << self.bits) + i).astype(np.int64)
-        return np.where(v < self.f2, self.c2, np.where(v < self.base, self.c1, s))
+        i = ((v - self.base) / self.unit).astype(np.int64)
+        i += self.at << self.bits
+        s = inverse.take(i, mode="clip").astype(self.kind, copy=False)
+        np.copyto(s, self.c[0], where=v < self.base)
+        np.copyto(s, self.c[1], where=v < self.f2)
+        return s.astype(np.int64)
 
     def update(self, s: np.ndarray) -> None:
-        """Learn the ids that came. `place0` has looked them up."""
-        m1, m2 = s == self.c1, s == self.c2
-        p0 = self.f0 * (1.0 / (1 << self.bits))
-        w0 = self.w0 * p0
-        w1 = self.w1 * (p0 + self.p1 * (m1 - p0))
-        w2 = self.w2 * (p0 + self.p2 * (m2 - p0))
-        part = (1.0 - SHARE) / (w0 + w1 + w2)
-        self.w0, self.w1, self.w2 = w0 * part + SHARE / 3, w1 * part + SHARE / 3, w2 * part + SHARE / 3
+        """Learn the ids that came. `interval` has looked them up."""
+        met, w = self.met.astype(np.float32), self.w
+        given = np.empty((3, self.k), np.float32)
+        p0 = np.multiply(self.f0, np.float32(1 / (1 << self.bits)), out=given[0])
+        more = np.subtract(met, p0, out=given[1:])
+        more *= self.p
+        more += p0
+        w *= given
+        part = w[0] + w[1]
+        part += w[2]
+        w *= np.divide(WHOLE * (ONE - SHARE), part, out=part)
+        w += WHOLE * SHARE / 3
         # without an expected id the share of hits stays 0
-        self.hit1[self.j1] = self.p1 * 0.97 + m1 * 0.0294
-        self.hit2[self.j2] = self.p2 * 0.97 + m2 * 0.0294
-        self.table1[self.i1] = s + ((np.minimum(self.k1 * m1, 2) + 1) << 20)
-        self.table2[self.i2] = s + ((np.minimum(self.k2 * m2, 2) + 1) << 20)
-        self.seen[self.at * self.a + s] += 1
+        met *= GAIN
+        self.p *= KEPT
+        self.p += met
+        self.hit[self.j] = self.p
+        e = np.minimum(self.sure, 2)
+        e *= self.met
+        e += self.s * 4 + 1
+        self.table[self.i] = e
         self.before, self.last = self.last, s
 
 
@@ -137,29 +175,23 @@ def blocks_of(n: int, block: int) -> tuple[int, int]:
 
 
 def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
-    """The 16-bit words of each block of a sequence of places in an alphabet with the given counts."""
+    """The 32-bit words of each block of a sequence of places in an alphabet with the given counts."""
     n = len(symbols)
     k, tail = blocks_of(n, block)
     grid = np.zeros(k * block, np.int32)
     grid[:n] = symbols
-    grid = grid.reshape(k, block).T
+    grid = np.ascontiguousarray(grid.reshape(k, block).T)
     lanes = Lanes(k, counts)
-    low, rng = np.zeros(k, np.uint64), np.full(k, (1 << 48) - 1, np.uint64)
-    out = np.zeros((k, block * 3 // 2 + 8), np.uint16)
-    flat, width, size = out.ravel(), out.shape[1], np.zeros(k, np.int64)
-    mask48, mask32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
+    low, rng = np.zeros(k, np.uint64), np.full(k, (1 << 64) - 1, np.uint64)
+    width = block * 3 // 4 + 4
+    flat, size = np.zeros(k * width, np.uint32), np.arange(k) * width
     full_low = low
 
-    def carry(who: np.ndarray) -> None:
-        at = who * width + size[who] - 1
-        while len(at):
-            flat[at] += 1
-            at = at[flat[at] == 0] - 1
-
     def emit(low: np.ndarray, who: np.ndarray) -> None:
-        flat[who * width + size[who]] = (low[who] >> np.uint64(32)).astype(np.uint16)
-        size[who] += 1
-        low[who] = (low[who] & mask32) << np.uint64(16)
+        at, x = size[who], low[who]
+        flat[at] = (x >> WORD).astype(np.uint32)
+        size[who] = at + 1
+        low[who] = x << WORD
 
     for step in range(block if k > 1 else tail):
         if step == tail and k > 1:
@@ -167,60 +199,64 @@ def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -
             lanes.shrink(k)
             low, rng = low[:k], rng[:k]
         if step in REBUILDS:
-            lanes.rebuild(step)
+            lanes.rebuild(step, grid)
         s = grid[step, :k].astype(np.int64)
         lanes.predict()
-        start, freq = lanes.interval(s)
-        r = rng >> np.uint64(TOTAL_BITS)
-        low += r * start.astype(np.uint64)
-        rng[:] = r * freq.astype(np.uint64)
-        over = np.flatnonzero(low >> np.uint64(48))
-        if len(over):
-            carry(over)
-            low &= mask48
-        while len(who := np.flatnonzero(rng <= mask32)):
+        start, share = lanes.interval(s)
+        rng >>= TOTAL
+        start *= rng
+        rng *= share
+        low += start
+        over = size[np.flatnonzero(low < start)]
+        while len(over):        # a carry into the words before
+            over -= 1
+            flat[over] += 1
+            over = over[flat[over] == 0]
+        who = np.flatnonzero(rng <= LEAST)
+        if len(who):
             emit(low, who)
-            rng[who] <<= np.uint64(16)
+            rng[who] <<= WORD
         lanes.update(s)
-    for _ in range(3):
+    for _ in range(2):
         emit(full_low, np.arange(len(full_low)))
-    return [out[i, :size[i]] for i in range(len(size))]
+    return [flat[i * width:end] for i, end in enumerate(size.tolist())]
 
 
 def decode_blocks(words: list[np.ndarray], n: int, counts: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The sequence that `encode_blocks` was given; any consecutive blocks of it by themselves as well."""
     k, tail = blocks_of(n, block)
-    size = np.array([len(w) for w in words])
-    width = int(size.max()) + 4
-    flat = np.zeros((k, width), np.uint16)
+    width = max(map(len, words)) + 4
+    flat = np.zeros((k, width), np.uint32)
     for i, w in enumerate(words):
         flat[i, :len(w)] = w
+    code = flat[:, 0].astype(np.uint64) << WORD | flat[:, 1]
     flat = flat.ravel()
-    at = np.arange(k) * width + 3
-    code = sum(flat[np.arange(k) * width + i].astype(np.uint64) << np.uint64(32 - 16 * i) for i in range(3))
-    rng = np.full(k, (1 << 48) - 1, np.uint64)
+    at = np.arange(k) * width + 2
+    rng = np.full(k, (1 << 64) - 1, np.uint64)
     lanes = Lanes(k, counts)
     inverse = lanes.inverse()
     grid = np.zeros((block, k), np.int32)
-    mask32, top = np.uint64((1 << 32) - 1), np.int64((1 << TOTAL_BITS) - 1)
     for step in range(block if k > 1 else tail):
         if step == tail and k > 1:
             k -= 1
             lanes.shrink(k)
             code, rng, at = code[:k], rng[:k], at[:k]
         if step in REBUILDS:
-            lanes.rebuild(step)
+            lanes.rebuild(step, grid)
             inverse = lanes.inverse()
         lanes.predict()
-        r = rng >> np.uint64(TOTAL_BITS)
-        s = lanes.symbols(np.minimum((code // r).astype(np.int64), top), inverse)
-        start, freq = lanes.interval(s)
-        code -= r * start.astype(np.uint64)
-        rng[:] = r * freq.astype(np.uint64)
-        while len(who := np.flatnonzero(rng <= mask32)):
-            code[who] = (code[who] << np.uint64(16)) | flat[at[who]]
-            at[who] += 1
-            rng[who] <<= np.uint64(16)
+        rng >>= TOTAL
+        s = lanes.symbols(np.minimum((code // rng).view(np.int64).astype(np.float32), WHOLE - ONE), inverse)
+        start, share = lanes.interval(s)
+        start *= rng
+        code -= start
+        rng *= share
+        who = np.flatnonzero(rng <= LEAST)
+        if len(who):
+            i = at[who]
+            code[who] = code[who] << WORD | flat[i]
+            at[who] = i + 1
+            rng[who] <<= WORD
         lanes.update(s)
         grid[step, :k] = s
     return grid.T.reshape(-1)[:n]
@@ -247,7 +283,7 @@ def write_file(part: int, seq: int, doc_ids: list[int | None], ids: list[bytes],
     head = MAGIC + struct.pack("<6Q", part, seq, len(ids), len(every), len(alphabet), block)
     head += np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array([len(x) // 4 for x in ids], "<u4").tobytes()
     head += alphabet.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + np.array([len(w) for w in words], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(w.astype("<u2").tobytes() for w in words)
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(w.astype("<u4").tobytes() for w in words)
 
 
 def read_file(data: bytes) -> tuple[int, int, list[int | None], list[np.ndarray]]:
@@ -268,7 +304,7 @@ def read_file(data: bytes) -> tuple[int, int, list[int | None], list[np.ndarray]
     if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise ValueError(f"the head of file {part}, {seq} is damaged")
     at += 4
-    words = [take("<u2", x) for x in sizes.tolist()]
+    words = [take("<u4", x) for x in sizes.tolist()]
     every = alphabet[decode_blocks(words, n, counts.astype(float), block)].astype("<u4")
     for i, want in enumerate(sums.tolist()):
         if zlib.crc32(every[i * block:(i + 1) * block].tobytes()) != want:
@@ -276,6 +312,18 @@ def read_file(data: bytes) -> tuple[int, int, list[int | None], list[np.ndarray]
     return part, seq, [None if x else d for d, x in zip(names.tolist(), lost.tolist())], np.split(every, np.cumsum(lengths)[:-1])
 
 
+def at_least(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they have so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, per_file: int = PER_FILE) -> None:
     """Encode whole texts and write their ids, with an end id each, below `path` in ascending order of document id."""
     small_batches(docs.sparkSession)
@@ -290,9 +338,9 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         ids: list[bytes] = []
         seq = size = 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([write_file(part, seq, names, ids)], pa.binary())], names=["image"])
-        for b in batches:
-            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = c.encode(t) + end
+        for b in at_least(TEXT_BYTES, batches):
+            for name, x in zip(b.column(0).to_pylist(), c.encode_all(b.column(1))):
+                x += end
                 if names and size + len(x) // 4 > per_file:
                     yield pack()
                     names, ids, seq, size = [], [], seq + 1, 0
