@@ -11,9 +11,10 @@ import pytest
 pytest.importorskip("tokenizers")
 
 import public_tokenizers  # noqa: E402
+from sentencepiece import SentencePieceProcessor  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from tidemark.llm import idcoder  # noqa: E402
+from tidemark.llm import idcoder, spm  # noqa: E402
 from tidemark.llm.tokens import Coder  # noqa: E402
 
 BITS = ["word", "Word", "WORD,", "don't", "we'LL", "'s", "s'", "a1", "12", "x.", "x..", "|", "İx", "ıſ", "ſ", "ǅ", "éa", "é", "Σας", "日本", "a b", "\t", "\n", "\r\n", "\x85", "\x00", "ª", "²", "ß.", "", " ",
@@ -54,3 +55,41 @@ def test_alphabets_of_all_widths(kinds):
     alphabet, counts, places = idcoder.in_alphabet(ids)
     words = idcoder.encode_blocks(places, counts.astype(float))
     assert len(alphabet) == kinds and (alphabet[idcoder.decode_blocks(words, len(ids), counts.astype(float))] == ids).all()
+
+
+def test_arcs_end_with_the_pieces():
+    """A place is left for the next one as soon as no piece ends with what lies before it."""
+    weight = dict.fromkeys("abcdefgh", 1.0) | {"ab": 1.0, "h" * 40: 1.0}
+    lattice = spm.Lattice(weight)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, other=None):
+            Counted.asked += 1
+            return super().get(key, other)
+    lattice.ends = Counted(lattice.ends)
+    word = "abcdefg" * 40
+    assert lattice.shortest(word) == ["ab", "c", "d", "e", "f", "g"] * 40
+    assert Counted.asked < 3 * len(word)
+
+
+def test_remembered_states_do_not_change_paths(monkeypatch):
+    monkeypatch.setattr(spm, "STATES", 5)
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    few = spm.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    for _ in range(3000):
+        word = "".join(rng.choice(["th", "er", "in", "é", "Ω", "日", "a", "tion", ".", "\n", "▁", "☃"]) for _ in range(rng.randint(1, 9)))
+        assert np.frombuffer(few.part(spm.MARK + word), "<u4").tolist() == model.encode(word), word
+
+
+def test_parts_between_pieces_are_found_once():
+    t = spm.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    asked = []
+    part = t.part
+    t.part = t.inner.make = lambda s: asked.append(s) or part(s)
+    text = "Thanword Thanword☃ Thanword☃日 ☃ Thanword\nThanword\n ☃☃"
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == model.encode(text)
+    assert asked.count("▁Thanword") == 1

@@ -20,6 +20,7 @@ A null text is empty and has no ids. Rows are independent.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -84,20 +85,26 @@ def specification(model: bytes) -> tuple[int, bool]:
     return kind, flag(3)
 
 
+#: Least total up to a place, the last piece on the way there, and the state of the place before.
+State = tuple[float, str, "State | None"]
+NOTHING: State = (0.0, "", None)
+
+
 class Lattice:
     """Pieces with weights, and whether they come from merges: shortest paths over strings of the model's alphabet."""
 
     def __init__(self, weight: dict[str, float], merges: dict[str, float] | None = None):
         self.rank = merges or {}
         self.merged = merges is not None
-        self.longest = max(map(len, weight), default=0)
         self.follows: dict[str, dict[str, bool]] = {}       # piece -> next piece -> whether the two stay two
         if self.merged:                                     # pieces that merging can make, and how
             self.made = {p: h for p in weight if (h := self.history(p))[0] == p}
             weight = {p: weight[p] for p in self.made}
         self.weight = weight
-        self.beginnings: dict[str, tuple[float, str]] = {}
-        self.older: dict[str, tuple[float, str]] = {}
+        #: every end of a piece -> its weight, infinite where it is no piece itself: longer strings than these end no piece
+        self.ends = {p[i:]: INFINITE for p in weight for i in range(1, len(p))} | weight
+        self.beginnings: dict[str, State] = {}
+        self.older: dict[str, State] = {}
 
     def history(self, s: str) -> tuple[str, list[float], list[str], list[str]]:
         """What merging, best rank first and leftmost among equals, makes of a short string: the result (joined by spaces), the rank of each merge, then
@@ -133,39 +140,50 @@ class Lattice:
     def shortest(self, s: str) -> list[str]:
         """Pieces on the shortest path over `s`; a character that is no piece stands for its bytes. A state is a place and the last piece.
 
-        What a place's least state is depends on the text before it only, and those of short beginnings are remembered. Of equal totals the longer last piece counts.
+        What a place's least state is depends on the text before it only: those of short beginnings are remembered, each with the one before it. Of equal totals the longer last piece counts.
         """
-        n, arcs, follows, known, older, merged, longest = len(s), self.weight, self.follows, self.beginnings, self.older, self.merged, self.longest
-        states: list[tuple[float, str]] = [(0.0, "")]
-        for end in range(1, n + 1):
-            start = s[:end]
-            state = (known.get(start) or older.get(start)) if end <= BEGINNING else None
-            if state is None:
-                least, last = INFINITE, ""
-                for at in range(end - longest if end > longest else 0, end):
-                    p = s[at:end]
-                    w = arcs.get(p)
-                    if w is None:
-                        continue
-                    total, before = states[at]
-                    total += w
-                    if total >= least:
+        n, arcs, ends, follows, known, older, merged = len(s), self.weight, self.ends, self.follows, self.beginnings, self.older, self.merged
+        state = None
+        for have in range(min(n, BEGINNING), 0, -1):
+            start = s[:have]
+            state = known.get(start) or older.get(start)
+            if state is not None:
+                break
+        else:
+            have, state = 0, NOTHING
+        states: list[State] = []
+        while state is not None:
+            states.append(state)
+            state = state[2]
+        states.reverse()
+        for end in range(have + 1, n + 1):
+            least, last = INFINITE, ""
+            for at in range(end - 1, -1, -1):
+                p = s[at:end]
+                w = ends.get(p)
+                if w is None:
+                    break
+                if w == INFINITE:
+                    continue
+                total, before, _ = states[at]
+                total += w
+                if total > least:
+                    continue
+                if merged and before in arcs:
+                    pairs = follows.get(before)
+                    if pairs is None:
+                        pairs = follows[before] = {}
+                    ok = pairs.get(p)
+                    if ok is None:
+                        ok = pairs[p] = self.stable(before, p)
+                    if not ok:
                         continue
-                    if merged and before in arcs:
-                        pairs = follows.get(before)
-                        if pairs is None:
-                            pairs = follows[before] = {}
-                        ok = pairs.get(p)
-                        if ok is None:
-                            ok = pairs[p] = self.stable(before, p)
-                        if not ok:
-                            continue
-                    least, last = total, p
-                if not last:        # a character that is no piece: its bytes, across which nothing merges
-                    least, last = states[-1][0] + FALLBACK, s[end - 1]
-                state = (least, last)
-                if end <= BEGINNING:
-                    known[start] = state
+                least, last = total, p
+            if not last:        # a character that is no piece: its bytes, across which nothing merges
+                least, last = states[-1][0] + FALLBACK, s[end - 1]
+            state = (least, last, states[-1])
+            if end <= BEGINNING:
+                known[s[:end]] = state
             states.append(state)
         if len(known) >= STATES:
             self.beginnings, self.older = {}, known
@@ -194,7 +212,8 @@ class Transducer:
         self.lattice = Lattice(dict.fromkeys(scores, 1.0), scores) if kind == MERGES else Lattice(scores)
         self.arcs, self.stable, self.history = self.lattice.weight, self.lattice.stable, self.lattice.history
         self.apart = not any(MARK in p.lstrip(MARK) for p in scores)
-        self.words = Recent(lambda w: self.part(MARK + w), WORDS)
+        self.words, self.inner = Recent(self.word, WORDS), Recent(self.part, WORDS // 10)
+        self.pairs = {p[i:i + 2] for p in scores for i in range(len(p) - 1)}
         # a byte below 128 is a character whatever stands beside it
         self.spelled = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
         self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(n)])
@@ -205,7 +224,19 @@ class Transducer:
 
     def part(self, s: str) -> bytes:
         ids, spell = self.id, self.byte_id
-        return np.array([i for p in self.lattice.shortest(s) for i in ([ids[p]] if p in ids else [spell[b] for b in p.encode()])], "<u4").tobytes()
+        path = self.lattice.shortest(s)
+        try:
+            return array("I", [ids[p] for p in path]).tobytes()
+        except KeyError:
+            return array("I", [i for p in path for i in ([ids[p]] if p in ids else [spell[b] for b in p.encode()])]).tobytes()
+
+    def word(self, w: str) -> bytes:
+        """Ids of a mark and a word. Two characters that stand together in no piece belong to two parts, as no path crosses between them."""
+        s, pairs = MARK + w, self.pairs
+        cuts = [i for i in range(1, len(s)) if s[i - 1:i + 1] not in pairs]
+        if not cuts:
+            return self.part(s)
+        return b"".join([self.words[s[1:cuts[0]]], *[self.inner[s[a:b]] for a, b in zip(cuts, [*cuts[1:], len(s)])]])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
