@@ -7,7 +7,7 @@ to all. The mixture splits the coder's interval into the order-2 id, the order-1
 
 Blocks. A block has BLOCK ids (the last of a file fewer) and starts from the file's counts with nothing else known, so each can be decoded by itself; its checksum is the crc32 of its ids
 as little-endian unsigned 32-bit integers. All blocks of a file are coded in step, one lane each: an operation on numpy arrays advances all of them. The arithmetic is on integers and on
-+, -, *, / of doubles, which every machine rounds alike.
++, -, *, / of 32-bit floats, which every machine rounds alike.
 
 File. Magic, six counts (part, file of the part, documents, ids, alphabet, ids of a block), then as little-endian arrays: document ids, a byte per document that is 1 where the id is
 missing, document lengths, alphabet, its counts; per block its number of 32-bit words and checksum; the crc32 of all that; then the words of the blocks.

@@ -10,7 +10,8 @@ merged by themselves: an arc to the next piece has a finite weight only if the p
 taken over all arcs, has one candidate.
 
 Models with a character map, with blanks to be removed, without space marks or with user-defined symbols are refused: their normaliser is more than this one. Inputs fall apart before each space mark
-that follows something else, if no piece has a mark after another character: a part's path is found once and remembered.
+that follows something else, if no piece has a mark after another character: a part's path is found once and remembered. So are the parts between two
+characters that stand together in no piece.
 
 Decoding is the inverse: ids to pieces, runs of byte ids to characters, space marks to spaces, and the mark put in front of a text taken off.
 

@@ -2,7 +2,7 @@
 
 Both tokenizers split a text at certain places whatever stands around them, so a text's ids are those of its parts in a row:
 `word_bpe` drops white space and looks at no word across it; `byte_bpe` starts a new part at a single space between two other
-characters. Parts are looked up in a table first; only new ones go through the library, whole texts with other white space or the string of
+characters. Parts are looked up in a table first; only new ones go through the library (of many texts at once each different one, kept in arrays), whole texts with other white space or the string of
 an added token too.
 """
 
