@@ -6,8 +6,9 @@ first, blended with the block's own at the steps of REBUILDS. The experts' weigh
 to all. The mixture splits the coder's interval into the order-2 id, the order-1 id and all ids by order 0.
 
 Blocks. A block has BLOCK ids (the last of a file fewer) and starts from the file's counts with nothing else known, so each can be decoded by itself; its checksum is the crc32 of its ids
-as little-endian unsigned 32-bit integers. All blocks of a file are coded in step, one lane each: an operation on numpy arrays advances all of them. The arithmetic is on integers and on
-+, -, *, / of 32-bit floats, which every machine rounds alike.
+as little-endian unsigned 32-bit integers. Up to LANES blocks are coded in step, one lane each: an operation on numpy arrays advances all of them. When encoding, all ids are known: the tables' answers,
+the order-0 frequencies and the intervals are worked out for many steps at once, and only shares of hits, weights and the coder's range go step by step. The arithmetic is on
+integers and on +, -, *, / of 32-bit floats, which every machine rounds alike.
 
 File. Magic, six counts (part, file of the part, documents, ids, alphabet, ids of a block), then as little-endian arrays: document ids, a byte per document that is 1 where the id is
 missing, document lengths, alphabet, its counts; per block its number of 32-bit words and checksum; the crc32 of all that; then the words of the blocks.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,16 +46,30 @@ SHARE = np.float32(0.02)
 TOTAL = np.uint64(24)       # bits of the interval that the experts share
 WHOLE, ONE = np.float32(1 << 24), np.float32(1)
 KEPT, GAIN = np.float32(0.97), np.float32(0.0294)       # of a share of hits, and what a hit adds
+SCALE, BACK = WHOLE * (ONE - SHARE), WHOLE * SHARE / 3  # what the weights are scaled to, and what each gets back
 WORD = np.uint64(32)        # bits written at once
 LEAST = np.uint64((1 << 32) - 1)
+LANES = 1024                # blocks coded in step
+
+
+def order0_bits(a: int) -> int:
+    """Bits of the order-0 interval of an alphabet of `a` ids."""
+    return max(14, int(2 * a - 1).bit_length())
+
+
+def order0(prior: np.ndarray, bits: int, step: int) -> tuple[np.ndarray, np.int32]:
+    """Order-0 frequencies, each at least 1 of 1 << bits, before the block's own ids of `step` steps, and what each of these adds. The last id has what is left over."""
+    part = ((1 << bits) - len(prior)) / (PRIOR + step)
+    return np.floor(prior * (PRIOR * part)).astype(np.int32) + 1, np.int32(part)
 
 
 class Lanes:
-    """State of the model and the coder of `k` blocks. Tables have a column per lane, so what most lanes look up lies together; of weights, row 0 is that of order 0."""
+    """State of the model of `k` blocks that are decoded. Tables have a column per lane, so what most lanes look up lies together; of weights, row 0 is that of order 0."""
 
     def __init__(self, k: int, counts: np.ndarray):
-        self.k, self.width, self.a = k, k, len(counts)
-        self.bits = max(14, int(2 * self.a - 1).bit_length())
+        self.k, self.a = k, len(counts)
+        self.bits = order0_bits(self.a)
+        self.least = np.float32(1 / (1 << self.bits))
         self.prior = counts / counts.sum()
         # ids with two bits of confidence; no expected id is one above any alphabet
         self.kind, none = (np.int16, (1 << 13) - 1) if self.a < 1 << 13 else (np.int32, (1 << 29) - 1)
@@ -64,106 +80,110 @@ class Lanes:
         self.at4 = 4 * np.stack([self.at, self.at + k])
         self.w = np.full((3, k), WHOLE / 3, np.float32)
         self.last = self.before = np.zeros(k, np.int64)
+        self.f = np.zeros((4, k), np.float32)       # places of both experts, of order 1, of order 2, none
+        self.base, self.ends = self.f[0], self.f[0:3:2]
+        self.experts = sliding_window_view(self.f[1:], 2, axis=0).transpose(0, 2, 1)        # width and start of each
+        self.unit, self.part = np.empty((2, k), np.float32)
+        self.given, self.x = np.empty((3, k), np.float32), np.empty((2, k), np.float32)
         self.rebuild(0, None)
 
     def rebuild(self, step: int, grid: np.ndarray | None) -> None:
-        """Order-0 frequencies of every lane, each at least 1 of 1 << bits; `grid` has a row per step so far."""
-        part = ((1 << self.bits) - self.a) / (PRIOR + step)
-        places = np.empty((self.a, self.width, 2), np.int32)
-        self.freq, below = places[..., 0], places[..., 1]
-        f = self.freq
-        f[:] = (np.floor(self.prior * (PRIOR * part)).astype(np.int32) + 1)[:, None]
-        if step:
-            lanes = np.arange(grid.shape[1])
-            for i in range(0, step, 64):
-                np.add.at(f.reshape(-1), (grid[i:min(i + 64, step)].astype(np.int64) * self.width + lanes).ravel(), np.int32(part))
-        f[-1] += (1 << self.bits) - f.sum(0, dtype=np.int32)
+        """Order-0 frequencies of every lane, and the symbol at each place of the order-0 interval; `grid` has a row per step so far. Before a first step all lanes share one column."""
+        self.columns = k = self.k if step else 1
+        first, each = order0(self.prior, self.bits, step)
+        places = np.empty((self.a, k, 2), np.int32)
+        freq, below = places[..., 0], places[..., 1]
+        freq[:] = first[:, None]
+        for i in range(0, step, 64):
+            np.add.at(freq.reshape(-1), (grid[i:min(i + 64, step)].astype(np.int64) * k + self.at).ravel(), each)
+        freq[-1] += (1 << self.bits) - freq.sum(0, dtype=np.int32)
         below[0] = 0
         for i in range(1, self.a):
-            np.add(below[i - 1], f[i - 1], out=below[i])
+            np.add(below[i - 1], freq[i - 1], out=below[i])
         self.places = places.reshape(-1).view(np.int64)     # both are looked up at once
-
-    def inverse(self) -> np.ndarray:
-        """Symbol at each place of the order-0 interval, for decoding."""
-        out = np.empty((self.k, 1 << self.bits), self.kind if self.kind is np.int16 or self.a >= 1 << 16 else np.uint16)
-        symbols = np.arange(self.a, dtype=out.dtype)
-        for i in range(0, self.k, 64):
-            part = self.freq[:, i:min(i + 64, self.k)].T
-            out[i:i + 64] = np.repeat(np.tile(symbols, len(part)), part.ravel()).reshape(len(part), -1)
-        return out.reshape(-1)
-
-    def shrink(self, k: int) -> None:
-        """Go on with the first k lanes."""
-        self.k = k
-        for name in ("at", "at2", "at4", "w", "last", "before"):
-            setattr(self, name, getattr(self, name)[..., :k].copy())
+        inverse = np.empty((k, 1 << self.bits), self.kind if self.kind is np.int16 or self.a >= 1 << 16 else np.uint16)
+        symbols = np.arange(self.a, dtype=inverse.dtype)
+        for i in range(0, k, 64):
+            part = freq[:, i:min(i + 64, k)].T
+            inverse[i:i + 64] = np.repeat(np.tile(symbols, len(part)), part.ravel()).reshape(len(part), -1)
+        self.inverse = inverse.reshape(-1)
+        self.column = self.at if step else 0 * self.at
+        self.row = self.column << self.bits
 
     def predict(self) -> None:
         """The two expected ids, and where the mixture puts them in the interval: at least a place each."""
         i = np.empty((2, self.k), np.int64)
         i[0] = self.last
         np.multiply(self.last, 2_654_435_761, out=i[1])
-        i[1] += self.before * 40_503
+        self.before *= 40_503
+        i[1] += self.before
         i[1] >>= 7
         i &= TABLE - 1
-        i *= self.width
+        i *= self.k
         i += self.at2
         e = self.table.take(i)
-        self.i, self.c, self.sure = i, e >> 2, e & 3
-        self.j = self.at4 + self.sure
+        self.i, self.c = i, e >> 2
+        e &= 3
+        self.sure, self.j = e, self.at4 + e
         self.p = self.hit.take(self.j)
-        f = self.w[1:] * self.p
+        f = np.multiply(self.w[1:], self.p, out=self.f[1:3])
         f += ONE
-        self.f1, self.f2 = np.floor(f, out=f)
-        self.base = self.f1 + self.f2
-        self.unit = np.floor((WHOLE - self.base) * np.float32(1 / (1 << self.bits)))
-
-    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the next ids. All are whole numbers up to WHOLE, which a float holds."""
-        i = s * self.width
-        i += self.at
-        self.f0, start = self.places.take(i).view(np.int32).reshape(-1, 2).T.astype(np.float32)
-        self.s = s.astype(self.kind)
-        self.met = by1, by2 = self.c == self.s
-        size = self.f0 * self.unit
-        start *= self.unit
-        start += self.base
-        np.copyto(start, self.f2, where=by1)
-        np.copyto(size, self.f1, where=by1)
-        np.copyto(start, 0, where=by2)
-        np.copyto(size, self.f2, where=by2)
-        return start.astype(np.int64).view(np.uint64), size.astype(np.int64).view(np.uint64)
-
-    def symbols(self, v: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-        """The ids at places v of the interval."""
-        i = ((v - self.base) / self.unit).astype(np.int64)
-        i += self.at << self.bits
-        s = inverse.take(i, mode="clip").astype(self.kind, copy=False)
-        np.copyto(s, self.c[0], where=v < self.base)
-        np.copyto(s, self.c[1], where=v < self.f2)
-        return s.astype(np.int64)
+        np.floor(f, out=f)
+        np.add(f[0], f[1], out=self.base)
+        unit = np.subtract(WHOLE, self.base, out=self.unit)
+        unit *= self.least
+        np.floor(unit, out=unit)
+
+    def look_up(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places v of the interval, and their width and start. All are whole numbers up to WHOLE, which a float holds."""
+        x = v - self.base
+        x /= self.unit
+        i = x.astype(np.int64)
+        i += self.row
+        s = self.inverse.take(i, mode="clip").astype(self.kind, copy=False)
+        # by whom; arithmetic is faster than masks that follow no pattern
+        by = np.less(v, self.ends)
+        by[0] ^= by[1]
+        more = self.c - s
+        more *= by.astype(self.kind)
+        s += more[0]
+        s += more[1]
+        self.s, out = s, s.astype(np.int64)
+        i = out * self.columns
+        i += self.column
+        x = self.x
+        x[:] = self.places.take(i, mode="clip").view(np.int32).reshape(-1, 2).T
+        np.multiply(x[0], self.least, out=self.given[0])
+        x *= self.unit
+        x[1] += self.base
+        more = self.experts - x
+        more *= by.astype(np.float32)[:, None]
+        x += more[0]
+        x += more[1]
+        return out, x.astype(np.int64).view(np.uint64)
 
     def update(self, s: np.ndarray) -> None:
-        """Learn the ids that came. `interval` has looked them up."""
-        met, w = self.met.astype(np.float32), self.w
-        given = np.empty((3, self.k), np.float32)
-        p0 = np.multiply(self.f0, np.float32(1 / (1 << self.bits)), out=given[0])
-        more = np.subtract(met, p0, out=given[1:])
+        """Learn the ids that came. `look_up` has found them."""
+        met = self.c == self.s
+        came, w, given, part = met.astype(np.float32), self.w, self.given, self.part
+        more = np.subtract(came, given[0], out=given[1:])
         more *= self.p
-        more += p0
+        more += given[0]
         w *= given
-        part = w[0] + w[1]
+        np.add(w[0], w[1], out=part)
         part += w[2]
-        w *= np.divide(WHOLE * (ONE - SHARE), part, out=part)
-        w += WHOLE * SHARE / 3
+        w *= np.divide(SCALE, part, out=part)
+        w += BACK
         # without an expected id the share of hits stays 0
-        met *= GAIN
+        came *= GAIN
         self.p *= KEPT
-        self.p += met
+        self.p += came
         self.hit[self.j] = self.p
-        e = np.minimum(self.sure, 2)
-        e *= self.met
-        e += self.s * 4 + 1
+        e = np.minimum(self.sure, 2, out=self.sure)
+        e *= met.astype(self.kind)
+        self.s <<= 2
+        self.s += 1
+        e += self.s
         self.table[self.i] = e
         self.before, self.last = self.last, s
 
@@ -174,91 +194,212 @@ def blocks_of(n: int, block: int) -> tuple[int, int]:
     return k, n - (k - 1) * block
 
 
+def experience(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What an expert's tables say of the ids of some blocks, a row each, looked up at the given places: 1 where the expected id came, plus 2 for each time in a row (at most 3) that it had come.
+
+    The looks at one place lie together when sorted by place, then step, so that no table is filled step by step."""
+    rows, steps = ids.shape
+    shift = steps.bit_length()
+    v = place.astype(np.int32 if TABLE << shift < 1 << 31 else np.int64)
+    v <<= shift
+    v += np.arange(steps, dtype=v.dtype)
+    v.sort(axis=1)
+    known = v[:, 1:] ^ v[:, :-1] < 1 << shift
+    v &= (1 << shift) - 1
+    at = v + steps * np.arange(rows)[:, None]
+    s = ids.take(at)
+    said = np.zeros((rows, steps + 1), np.uint8)     # the step before the first has seen nothing
+    met = said[:, 1:]
+    np.equal(s[:, 1:], s[:, :-1], out=met[:, 1:].view(bool))
+    met[:, 1:] &= known.view(np.uint8)
+    again = met[:, :-1] & said[:, :-2]
+    again += met[:, :-1]
+    again += 1
+    again *= known.view(np.uint8)
+    again <<= 1
+    again += met[:, 1:]
+    out = np.zeros((rows, steps), np.uint8)
+    out.ravel()[at[:, 1:]] = again      # the first place of a block has said nothing
+    return out
+
+
+def look_ahead(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For known ids, a block a row: what both experts' tables say of each (order 1 in the low 3 bits), its order-0 frequency and what lies below that."""
+    rows, steps = ids.shape
+    a, prior = len(counts), counts / counts.sum()
+    bits = order0_bits(a)
+    past = np.zeros((2, rows, steps), np.uint32)
+    past[0, :, 1:], past[1, :, 2:] = ids[:, :-1], ids[:, :-2]
+    said = experience(ids, past[0] & np.uint32(TABLE - 1))
+    # bits 7 to 18 are the same in 32 bits
+    past *= np.array([2_654_435_761, 40_503], np.uint32)[:, None, None]
+    past[0] += past[1]
+    said |= experience(ids, past[0] >> np.uint32(7) & np.uint32(TABLE - 1)) << 3
+    at = ids + a * np.arange(rows)[:, None]
+    freq, below = np.empty((2, rows, steps + 16), np.float32)[..., :steps]      # rows that don't fall on the same lines of a cache
+    seen = np.zeros((rows, a), np.int32)
+    cuts = [0, *(x for x in sorted(REBUILDS) if x < steps), steps]
+    for i, j in zip(cuts, cuts[1:]):
+        first, each = order0(prior, bits, i)
+        f = first + seen * each
+        f[:, -1] += (1 << bits) - f.sum(1, dtype=np.int32)
+        freq[:, i:j] = f.take(at[:, i:j])
+        up = f.cumsum(1, dtype=np.int32)
+        up -= f
+        below[:, i:j] = up.take(at[:, i:j])
+        if j < steps:
+            seen += np.bincount(at[:, i:j].ravel(), minlength=rows * a).reshape(rows, a)
+    return said, freq, below
+
+
 def encode_blocks(symbols: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
     """The 32-bit words of each block of a sequence of places in an alphabet with the given counts."""
+    out: list[np.ndarray] = []
+    for i in range(0, max(1, len(symbols)), LANES * block):
+        out += encode_lanes(symbols[i:i + LANES * block], counts, block)
+    return out
+
+
+def encode_lanes(symbols: np.ndarray, counts: np.ndarray, block: int) -> list[np.ndarray]:
+    """`encode_blocks` of blocks that are coded in step. As all ids are known, only what an id leaves for the next one goes step by step: shares of hits, weights, the coder's range."""
     n = len(symbols)
     k, tail = blocks_of(n, block)
-    grid = np.zeros(k * block, np.int32)
-    grid[:n] = symbols
-    grid = np.ascontiguousarray(grid.reshape(k, block).T)
-    lanes = Lanes(k, counts)
-    low, rng = np.zeros(k, np.uint64), np.full(k, (1 << 64) - 1, np.uint64)
+    steps = block if k > 1 else tail
+    grid = np.zeros((k, steps), np.int32)
+    grid.ravel()[:n] = symbols
+    said, freq, below = np.empty((steps, k), np.uint8), np.empty((steps, k), np.float32), np.empty((steps, k), np.float32)
+    few = max(1, min(64, (1 << 18) // len(counts)))
+    for i in range(0, k, few):
+        for whole, x in zip((said, freq, below), look_ahead(grid[i:i + few], counts)):
+            whole[:, i:i + few] = x.T
+    del grid
+    least = np.float32(1 / (1 << order0_bits(len(counts))))
+    hit = np.tile(np.array([0.0, 0.2, 0.4, 0.6], np.float32), 2 * k)
+    at4 = 4 * np.arange(2 * k).reshape(2, k)
+    w = np.full((3, k), WHOLE / 3, np.float32)
+    part, shift, rng = np.empty(k, np.float32), np.empty(k, np.uint64), np.full(k, (1 << 64) - 1, np.uint64)
     width = block * 3 // 4 + 4
-    flat, size = np.zeros(k * width, np.uint32), np.arange(k) * width
-    full_low = low
-
-    def emit(low: np.ndarray, who: np.ndarray) -> None:
-        at, x = size[who], low[who]
-        flat[at] = (x >> WORD).astype(np.uint32)
-        size[who] = at + 1
-        low[who] = x << WORD
-
-    for step in range(block if k > 1 else tail):
-        if step == tail and k > 1:
-            k -= 1
-            lanes.shrink(k)
-            low, rng = low[:k], rng[:k]
-        if step in REBUILDS:
-            lanes.rebuild(step, grid)
-        s = grid[step, :k].astype(np.int64)
-        lanes.predict()
-        start, share = lanes.interval(s)
-        rng >>= TOTAL
-        start *= rng
-        rng *= share
-        low += start
-        over = size[np.flatnonzero(low < start)]
-        while len(over):        # a carry into the words before
-            over -= 1
-            flat[over] += 1
-            over = over[flat[over] == 0]
-        who = np.flatnonzero(rng <= LEAST)
-        if len(who):
-            emit(low, who)
-            rng[who] <<= WORD
-        lanes.update(s)
-    for _ in range(2):
-        emit(full_low, np.arange(len(full_low)))
-    return [flat[i * width:end] for i, end in enumerate(size.tolist())]
+    sums, size, ends = np.zeros(k * width, np.uint64), np.zeros(k, np.int64), np.zeros(k, np.int64)    # of a word, not yet carried
+    most = max(1, (1 << 14) // k)
+    for at in range(0, steps, most):
+        t = min(most, steps - at)
+        met, sure = np.empty((t, 2, k), bool), np.empty((t, 2, k), np.int64)
+        for order in range(2):
+            np.not_equal(said[at:at + t] & (1 << 3 * order), 0, out=met[:, order])
+            sure[:, order] = said[at:at + t] >> (3 * order + 1) & 3
+        sure += at4
+        p, gain = np.empty((t, 2, k), np.float32), met * GAIN
+        new = np.empty((2, k), np.float32)
+        for i in range(t):
+            hit.take(sure[i], out=p[i], mode="clip")
+            np.multiply(p[i], KEPT, out=new)
+            new += gain[i]
+            hit[sure[i]] = new
+        f0, start = freq[at:at + t], below[at:at + t]
+        given = np.empty((t, 3, k), np.float32)
+        p0 = np.multiply(f0, least, out=given[:, 0])[:, None]
+        more = np.subtract(met, p0, out=given[:, 1:])
+        more *= p
+        more += p0
+        f = p
+        for i in range(t):
+            f[i] *= w[1:]
+            w *= given[i]
+            np.add(w[0], w[1], out=part)
+            part += w[2]
+            w *= np.divide(SCALE, part, out=part)
+            w += BACK
+        f += ONE
+        np.floor(f, out=f)
+        base = f[:, 0] + f[:, 1]
+        unit = WHOLE - base
+        unit *= least
+        np.floor(unit, out=unit)
+        start *= unit
+        start += base
+        unit *= f0
+        # what an expert expected; arithmetic is faster than masks that follow no pattern
+        for order in range(2):
+            came = met[:, order].astype(np.float32)
+            for x, here in ((unit, f[:, order]), (start, (f[:, 1], np.float32(0))[order])):
+                more = here - x
+                more *= came
+                x += more
+        low, share = start.astype(np.int64).view(np.uint64), unit.astype(np.int64).view(np.uint64)
+        full = np.empty((t, k), bool)
+        for i in range(t):
+            rng >>= TOTAL
+            low[i] *= rng
+            rng *= share[i]
+            np.copyto(shift, np.less_equal(rng, LEAST, out=full[i]))
+            shift *= WORD
+            rng <<= shift
+        if at <= tail - 1 < at + t:
+            ends[-1] = size[-1] + full[:tail - at, -1].sum()
+        if at + t > tail:
+            low[max(0, tail - at):, -1] = 0
+        # what goes into the same word is added up: a block's steps lie together
+        low, full = np.ascontiguousarray(low.T), np.ascontiguousarray(full.T)
+        first = np.empty((k, t), bool)
+        first[:, 0], first[:, 1:] = True, full[:, :-1]
+        first = np.flatnonzero(first)
+        lane = first // t
+        word = np.arange(len(first)) - np.searchsorted(first, np.arange(0, k * t, t))[lane] + size[lane] + lane * width
+        sums[word] += np.add.reduceat((low >> WORD).ravel(), first)
+        low &= LEAST
+        sums[word + 1] += np.add.reduceat(low.ravel(), first)
+        size += full.sum(1)
+    ends[:len(ends) - 1] = size[:-1]
+    while len(over := np.flatnonzero(sums > LEAST)):
+        carry = sums[over] >> WORD
+        sums[over] &= LEAST
+        sums[over - 1] += carry
+    flat = sums.astype(np.uint32)
+    return [flat[i * width:i * width + end + 2] for i, end in enumerate(ends.tolist())]
 
 
 def decode_blocks(words: list[np.ndarray], n: int, counts: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The sequence that `encode_blocks` was given; any consecutive blocks of it by themselves as well."""
+    most = max(1, min(LANES, (1 << 25) >> order0_bits(len(counts))))
+    return np.concatenate([decode_lanes(words[i:i + most], min(n - i * block, most * block), counts, block) for i in range(0, len(words), most)])
+
+
+def decode_lanes(words: list[np.ndarray], n: int, counts: np.ndarray, block: int) -> np.ndarray:
+    """`decode_blocks` of blocks that are decoded in step. What a short last block gives beyond its end is cut off."""
     k, tail = blocks_of(n, block)
     width = max(map(len, words)) + 4
-    flat = np.zeros((k, width), np.uint32)
+    flat = np.zeros((k, width), np.uint64)
     for i, w in enumerate(words):
         flat[i, :len(w)] = w
-    code = flat[:, 0].astype(np.uint64) << WORD | flat[:, 1]
+    code = flat[:, 0] << WORD | flat[:, 1]
     flat = flat.ravel()
     at = np.arange(k) * width + 2
     rng = np.full(k, (1 << 64) - 1, np.uint64)
+    more, full = np.empty(k, np.int64), np.empty(k, bool)
+    shift = more.view(np.uint64)
     lanes = Lanes(k, counts)
-    inverse = lanes.inverse()
     grid = np.zeros((block, k), np.int32)
     for step in range(block if k > 1 else tail):
-        if step == tail and k > 1:
-            k -= 1
-            lanes.shrink(k)
-            code, rng, at = code[:k], rng[:k], at[:k]
         if step in REBUILDS:
             lanes.rebuild(step, grid)
-            inverse = lanes.inverse()
         lanes.predict()
         rng >>= TOTAL
-        s = lanes.symbols(np.minimum((code // rng).view(np.int64).astype(np.float32), WHOLE - ONE), inverse)
-        start, share = lanes.interval(s)
+        v = (code // rng).view(np.int64).astype(np.float32)
+        s, (share, start) = lanes.look_up(np.minimum(v, WHOLE - ONE, out=v))
         start *= rng
         code -= start
         rng *= share
-        who = np.flatnonzero(rng <= LEAST)
-        if len(who):
-            i = at[who]
-            code[who] = code[who] << WORD | flat[i]
-            at[who] = i + 1
-            rng[who] <<= WORD
+        # the lanes whose range has become small read a word
+        np.copyto(more, np.less_equal(rng, LEAST, out=full))
+        word = flat.take(at, mode="clip")
+        word *= shift
+        at += more
+        more *= 32
+        rng <<= shift
+        code <<= shift
+        code |= word
         lanes.update(s)
-        grid[step, :k] = s
+        np.minimum(s, lanes.a - 1, out=grid[step], casting="unsafe")     # beyond a block's end, or where it is damaged, anything may come
     return grid.T.reshape(-1)[:n]
 
 

@@ -149,12 +149,12 @@ class Coder:
         simple, marked = (x.to_numpy(zero_copy_only=False) for x in (simple, marked))
         heads, others, marks = np.split(self.known.places((head.dictionary, other, mark.dictionary), (self.atom, self.part, self.part)), np.cumsum([len(head.dictionary), len(other)]))
         pieces[simple, 0], pieces[~simple, 0], pieces[marked, 1] = heads[head.indices.to_numpy()], others, marks[mark.indices.to_numpy()]
-        pool, lengths = gathered(self.known.ids, self.known.lengths, pieces.ravel()), self.known.lengths[pieces].sum(1)
+        pool, ends = gathered(self.known.ids, self.known.lengths, pieces.ravel()), 4 * np.cumsum(self.known.lengths[pieces].sum(1))
         self.known.shrink()
-        which = coded.indices.to_numpy()
-        raw = gathered(pool, lengths, which).tobytes()
-        cuts = (4 * np.concatenate([[0], np.cumsum(lengths[which])])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
-        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(pool)])
+        _, cuts, raw = ids.take(coded.indices).buffers()
+        cuts = np.frombuffer(cuts, np.int64)[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist() if raw else [0] * (len(parts) + 1)
+        out = [raw[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:])] if raw else [b""] * len(parts)
         for c in self.openings:
             for i in np.flatnonzero(pc.match_substring(texts, c).to_numpy(zero_copy_only=False)).tolist():
                 out[i] = self.encode(texts[i].as_py())
