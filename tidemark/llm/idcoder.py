@@ -43,12 +43,14 @@ REBUILDS = frozenset((384, 1536))
 PRIOR = 1024.0              # ids that the file's counts are worth in a block
 TABLE = 4096                # places of the order-1 and order-2 tables
 SHARE = np.float32(0.02)
-TOTAL = np.uint64(24)       # bits of the interval that the experts share
-WHOLE, ONE = np.float32(1 << 24), np.float32(1)
-KEPT, GAIN = np.float32(0.97), np.float32(0.0294)       # of a share of hits, and what a hit adds
-SCALE, BACK = WHOLE * (ONE - SHARE), WHOLE * SHARE / 3  # what the weights are scaled to, and what each gets back
-WORD = np.uint64(32)        # bits written at once
-LEAST = np.uint64((1 << 32) - 1)
+# arrays without dimensions: operations take them faster than numbers
+TOTAL = np.array(24, np.uint64)     # bits of the interval that the experts share
+WHOLE, TOP, ONE = np.array(1 << 24, np.float32), np.array((1 << 24) - 1, np.float32), np.array(1, np.float32)
+KEPT, GAIN = np.array(0.97, np.float32), np.array(0.0294, np.float32)       # of a share of hits, and what a hit adds
+SCALE, BACK = np.array(WHOLE * (ONE - SHARE)), np.array(WHOLE * SHARE / 3)  # what the weights are scaled to, and what each gets back
+WORD = np.array(32, np.uint64)      # bits written at once
+LEAST = np.array((1 << 32) - 1, np.uint64)
+FACTOR1, FACTOR2, SHIFT, MASK, READ = np.array(2_654_435_761), np.array(40_503), np.array(7), np.array(TABLE - 1), np.array(32)
 LANES = 1024                # blocks coded in step
 
 
@@ -69,10 +71,11 @@ class Lanes:
     def __init__(self, k: int, counts: np.ndarray):
         self.k, self.a = k, len(counts)
         self.bits = order0_bits(self.a)
-        self.least = np.float32(1 / (1 << self.bits))
+        self.least = np.array(1 / (1 << self.bits), np.float32)
         self.prior = counts / counts.sum()
         # ids with two bits of confidence; no expected id is one above any alphabet
         self.kind, none = (np.int16, (1 << 13) - 1) if self.a < 1 << 13 else (np.int32, (1 << 29) - 1)
+        self.width, self.small = np.array(k), [np.array(x, self.kind) for x in range(4)]
         self.table = np.full(2 * TABLE * k, none << 2, self.kind)
         self.hit = np.tile(np.array([0.0, 0.2, 0.4, 0.6], np.float32), 2 * k)
         self.at = np.arange(k)
@@ -89,13 +92,15 @@ class Lanes:
 
     def rebuild(self, step: int, grid: np.ndarray | None) -> None:
         """Order-0 frequencies of every lane, and the symbol at each place of the order-0 interval; `grid` has a row per step so far. Before a first step all lanes share one column."""
-        self.columns = k = self.k if step else 1
+        self.places = self.inverse = None       # those before make room
+        k = self.k if step else 1
+        self.columns = np.array(k)
         first, each = order0(self.prior, self.bits, step)
         places = np.empty((self.a, k, 2), np.int32)
         freq, below = places[..., 0], places[..., 1]
         freq[:] = first[:, None]
         for i in range(0, step, 64):
-            np.add.at(freq.reshape(-1), (grid[i:min(i + 64, step)].astype(np.int64) * k + self.at).ravel(), each)
+            np.add.at(freq.reshape(-1), (np.minimum(grid[i:min(i + 64, step)], self.a - 1).astype(np.int64) * k + self.at).ravel(), each)
         freq[-1] += (1 << self.bits) - freq.sum(0, dtype=np.int32)
         below[0] = 0
         for i in range(1, self.a):
@@ -114,17 +119,18 @@ class Lanes:
         """The two expected ids, and where the mixture puts them in the interval: at least a place each."""
         i = np.empty((2, self.k), np.int64)
         i[0] = self.last
-        np.multiply(self.last, 2_654_435_761, out=i[1])
-        self.before *= 40_503
+        np.multiply(self.last, FACTOR1, out=i[1])
+        self.before *= FACTOR2
         i[1] += self.before
-        i[1] >>= 7
-        i &= TABLE - 1
-        i *= self.k
+        i[1] >>= SHIFT
+        i &= MASK
+        i *= self.width
         i += self.at2
         e = self.table.take(i)
-        self.i, self.c = i, e >> 2
-        e &= 3
-        self.sure, self.j = e, self.at4 + e
+        self.i, self.c = i, e >> self.small[2]
+        e &= self.small[3]
+        self.sure, self.j = e, e.astype(np.int64)
+        self.j += self.at4
         self.p = self.hit.take(self.j)
         f = np.multiply(self.w[1:], self.p, out=self.f[1:3])
         f += ONE
@@ -179,10 +185,10 @@ class Lanes:
         self.p *= KEPT
         self.p += came
         self.hit[self.j] = self.p
-        e = np.minimum(self.sure, 2, out=self.sure)
+        e = np.minimum(self.sure, self.small[2], out=self.sure)
         e *= met.astype(self.kind)
-        self.s <<= 2
-        self.s += 1
+        self.s <<= self.small[2]
+        self.s += self.small[1]
         e += self.s
         self.table[self.i] = e
         self.before, self.last = self.last, s
@@ -273,7 +279,7 @@ def encode_lanes(symbols: np.ndarray, counts: np.ndarray, block: int) -> list[np
         for whole, x in zip((said, freq, below), look_ahead(grid[i:i + few], counts)):
             whole[:, i:i + few] = x.T
     del grid
-    least = np.float32(1 / (1 << order0_bits(len(counts))))
+    least = np.array(1 / (1 << order0_bits(len(counts))), np.float32)
     hit = np.tile(np.array([0.0, 0.2, 0.4, 0.6], np.float32), 2 * k)
     at4 = 4 * np.arange(2 * k).reshape(2, k)
     w = np.full((3, k), WHOLE / 3, np.float32)
@@ -350,12 +356,13 @@ def encode_lanes(symbols: np.ndarray, counts: np.ndarray, block: int) -> list[np
         sums[word + 1] += np.add.reduceat(low.ravel(), first)
         size += full.sum(1)
     ends[:len(ends) - 1] = size[:-1]
+    width, sums = size.max() + 2, sums.reshape(k, width)[:, :size.max() + 2].ravel()
     while len(over := np.flatnonzero(sums > LEAST)):
         carry = sums[over] >> WORD
         sums[over] &= LEAST
         sums[over - 1] += carry
-    flat = sums.astype(np.uint32)
-    return [flat[i * width:i * width + end + 2] for i, end in enumerate(ends.tolist())]
+    flat = sums.astype(np.uint32).reshape(k, width)
+    return [row[:end + 2] for row, end in zip(flat, ends.tolist())]
 
 
 def decode_blocks(words: list[np.ndarray], n: int, counts: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -385,7 +392,7 @@ def decode_lanes(words: list[np.ndarray], n: int, counts: np.ndarray, block: int
         lanes.predict()
         rng >>= TOTAL
         v = (code // rng).view(np.int64).astype(np.float32)
-        s, (share, start) = lanes.look_up(np.minimum(v, WHOLE - ONE, out=v))
+        s, (share, start) = lanes.look_up(np.minimum(v, TOP, out=v))
         start *= rng
         code -= start
         rng *= share
@@ -394,12 +401,14 @@ def decode_lanes(words: list[np.ndarray], n: int, counts: np.ndarray, block: int
         word = flat.take(at, mode="clip")
         word *= shift
         at += more
-        more *= 32
+        more *= READ
         rng <<= shift
         code <<= shift
         code |= word
         lanes.update(s)
-        np.minimum(s, lanes.a - 1, out=grid[step], casting="unsafe")     # beyond a block's end, or where it is damaged, anything may come
+        grid[step] = s
+    # beyond a block's end, or where it is damaged, anything may have come
+    np.minimum(grid, lanes.a - 1, out=grid)
     return grid.T.reshape(-1)[:n]
 
 
@@ -459,10 +468,11 @@ def at_least(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for b in batches:
         held.append(b)
         if sum(x.nbytes for x in held) >= size:
-            yield pa.concat_batches(held)
-            held = []
+            whole, held = pa.concat_batches(held), []
+            yield whole
     if held:
-        yield pa.concat_batches(held)
+        whole, held = pa.concat_batches(held), []
+        yield whole
 
 
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, per_file: int = PER_FILE) -> None:
@@ -480,8 +490,9 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         seq = size = 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([write_file(part, seq, names, ids)], pa.binary())], names=["image"])
         for b in at_least(TEXT_BYTES, batches):
-            for name, x in zip(b.column(0).to_pylist(), c.encode_all(b.column(1))):
-                x += end
+            coded = c.encode_all(b.column(1))[::-1]
+            for name in b.column(0).to_pylist():
+                x = coded.pop() + end
                 if names and size + len(x) // 4 > per_file:
                     yield pack()
                     names, ids, seq, size = [], [], seq + 1, 0
